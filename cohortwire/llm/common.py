@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -61,10 +62,16 @@ def id_remainder(n: int, doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished jobs now, rather than when the driver's heap fills."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class BoundedCache(dict):
     """word -> make(word), emptied when it holds `limit` words, so memory stays bounded on any corpus."""
 
-    def __init__(self, make, limit: int = 600_000):
+    def __init__(self, make, limit: int = 300_000):
         super().__init__()
         self.make, self.limit = make, limit
 

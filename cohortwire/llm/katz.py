@@ -19,11 +19,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, new_path, per_worker, texts
+from .common import BoundedCache, new_path, per_worker, release, texts
 from .packing import NULL_ID
 
 #: Tokens of a chunk, at least, unless its task ends; a chunk is at most this and one document.
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 600_000
 #: Distinct n-grams summed in one group, about.
 BUCKET_KEYS = 2_000_000
 #: Counts up to this are discounted.
@@ -242,6 +242,7 @@ class KatzJob:
         """Stores sums as the partition `what` of the run's tables."""
         path = f"{self.tables}/what={what}"
         df.write.option("compression", "zstd").parquet(path)
+        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _summed(self, parts: DataFrame, what: str, level: int) -> list[int]:
