@@ -45,7 +45,7 @@ def subject_device_episodes(subjects: DataFrame, label_map: DataFrame) -> DataFr
     """A row per subject and device: episode (from 1), n_devices, status ok / no_label_match / no_devices."""
     labels = label_map.select(normalize_subject_id("label").alias("subject_id"), F.coalesce("device_ids", F.lit("")).alias("device_ids"))
     rows = subjects.select("subject_id").join(labels, "subject_id", "left")
-    devices = F.filter(F.transform(F.split("device_ids", ";"), F.trim), lambda d: d != "")
+    devices = F.filter(F.transform(F.split("device_ids", ";"), lambda d: F.trim(d)), lambda d: d != "")
     rows = rows.select("subject_id", "device_ids", F.posexplode_outer(F.coalesce(devices, F.array().cast("array<string>"))).alias("i", "device_id"))
     status = F.when(F.col("device_ids").isNull(), "no_label_match").when(F.col("device_id").isNull(), "no_devices").otherwise("ok")
     by = Window.partitionBy("subject_id")

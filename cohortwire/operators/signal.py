@@ -93,7 +93,7 @@ SPECTRUM = ["total_power", "dominant_hz", *[f"{k}_{b}" for b in BANDS for k in (
 def chunk_spectrum(chunks: DataFrame, hz: float = 10) -> DataFrame:
     """A row of spectral features per chunk that passes the gates (100 samples, 30 s, gap burden 0.5)."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = spectrum_of(pdf["timestamp"].to_numpy(), pdf["magnitude"].to_numpy(), hz)
         return pd.DataFrame([] if found is None else [(*key, *[found[c] for c in SPECTRUM])], columns=[*CHUNK_KEY, *SPECTRUM])
 
@@ -211,7 +211,7 @@ def daily_signal_power(ev: DataFrame, tz: str = S.DEFAULT_TZ) -> DataFrame:
 def daily_band_power(ev: DataFrame, low: float = 0.5, high: float = 5.0, tz: str = S.DEFAULT_TZ, minutes: int = 60) -> DataFrame:
     """Mean square of the band-passed magnitude by device and day: filtered in chunks of `minutes`, weighted by size."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ms, x = pdf["timestamp"].to_numpy(), pdf["magnitude"].to_numpy()
         order = np.argsort(ms, kind="stable")
         ms, x = ms[order], x[order]
@@ -236,7 +236,7 @@ def sliding_power(ev: DataFrame, win_s: float = 5, overlap: float = 0.5, low: fl
     numbers = F.sequence(F.floor((F.col("timestamp") - width) / step) + 1, last)
     rows = ev.select("device_id", "timestamp", "magnitude", F.explode(numbers).alias("window_no"))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ms, x = pdf["timestamp"].to_numpy(), pdf["magnitude"].to_numpy()
         order = np.argsort(ms, kind="stable")
         steps = np.diff(ms[order])
@@ -319,7 +319,7 @@ _SIGNAL = "subject_id string, table_name string, window_rule string, device_id s
 def barometer_signal(we: DataFrame) -> DataFrame:
     """The smoothed pressure and the elevation relative to its start, a row per second of each window's device."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         at, p = smoothed_pressure(pdf["timestamp"].to_numpy(), pdf["pressure"].to_numpy())
         out = pd.DataFrame({"second": at, "pressure": p, "elevation_m": -8.3 * (p - p[0]) if len(p) else p})
         for name, value in zip([*KEY, "device_id"], key, strict=True):
@@ -333,7 +333,7 @@ def barometer_signal(we: DataFrame) -> DataFrame:
 def elevation_transitions(signal: DataFrame) -> DataFrame:
     """A row per detected change of floor: second and signed change in metres."""
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("second")
         hits = N.elevation_hits(pdf["second"].to_numpy(), pdf["elevation_m"].to_numpy())
         seconds = pdf["second"].to_numpy()

@@ -122,7 +122,7 @@ def availability_anchored(ev, subjects, devices, endpoint: str = "t1", days: int
 def fixed_windows(subjects: DataFrame, days: list[int] = (7, 14, 30)) -> DataFrame:
     """[T1, T1 + d) for each d."""
     rows = subjects.select("subject_id", "t1_ms", F.explode(F.array(*[F.lit(d) for d in days])).alias("d"))
-    return rows.select("subject_id", F.format_string("t1_%dd", "d").alias("window_rule"), F.col("t1_ms").alias("start_ms"), (F.col("t1_ms") + F.col("d") * DAY).alias("end_ms"))
+    return rows.select("subject_id", F.format_string("t1_%dd", "d").alias("window_rule"), F.col("t1_ms").alias("start_ms"), (F.col("t1_ms") + F.col("d").cast("long") * DAY).alias("end_ms"))
 
 
 def day_boundary_windows(subjects: DataFrame) -> DataFrame:

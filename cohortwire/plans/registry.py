@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import query_features, query_mapping, query_models, query_tables
+
+_PARTS = (query_mapping, query_features, query_tables, query_models)
+
 
 def queries():
-    return {}
+    return {name: q for part in _PARTS for name, q in part.REGISTER.queries.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: q for part in _PARTS for name, q in part.REGISTER.sql.items()}
