@@ -62,16 +62,16 @@ def _unlock_sessions(key: tuple, frames: Iterator[pd.DataFrame], state: GroupSta
             state.remove()
     else:
         state.update((unlocked,))
-        state.setTimeoutDuration(24 * 3_600_000)
+        state.setTimeoutTimestamp(max(unlocked + 24 * 3_600_000, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame(done, columns=["device_id", "start_ms", "end_ms", "seconds"])
 
 
-def stream_unlock_sessions(sdf: DataFrame) -> DataFrame:
+def stream_unlock_sessions(sdf: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """Unlocked sessions (last unlock to next close) across micro-batches: one number of state per device, dropped
-    after a day without an event."""
+    once the watermark is a day past an unlock that nothing closed."""
     status = S.to_number(F.get_json_object("data", "$.screen_status")).cast("int")
-    rows = sdf.select("device_id", "timestamp", status.alias("status")).where("status is not null")
-    return rows.groupBy("device_id").applyInPandasWithState(_unlock_sessions, _SESSIONS, "unlocked_ms long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = with_event_time(sdf, watermark).select("device_id", "timestamp", "ts", status.alias("status")).where("status is not null")
+    return rows.groupBy("device_id").applyInPandasWithState(_unlock_sessions, _SESSIONS, "unlocked_ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_enrich(sdf: DataFrame, device_map: DataFrame, win: DataFrame | None = None) -> DataFrame:
