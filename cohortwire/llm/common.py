@@ -52,8 +52,17 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bounded_batches(docs: DataFrame, limit_mb: int = 16) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch, for texts of any length in little memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(key).rstrip("b")) <= limit_mb << 20:
+        conf.set(key, str(limit_mb << 20))
+
+
 def texts(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id and text (null: empty), and the named further columns; all others are left out, so none can clash."""
+    bounded_batches(docs)
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *[F.col(c) for c in keep])
 
 
@@ -85,11 +94,15 @@ class BoundedCache(dict):
 _WORKER: dict = {}
 
 
-def per_worker(key, build):
-    """One object per Python worker process, kept from task to task."""
-    if key not in _WORKER:
-        _WORKER[key] = build()
-    return _WORKER[key]
+def per_worker(key, build, keep: int = 3):
+    """One object per Python worker process, kept from task to task; the `keep` used last stay."""
+    value = _WORKER.pop(key, None)
+    if value is None:
+        while len(_WORKER) >= keep:
+            _WORKER.pop(next(iter(_WORKER)))
+        value = build()
+    _WORKER[key] = value
+    return value
 
 
 #: Unicode white space, which differs from str.split() only in the controls 28 to 31.

@@ -1,7 +1,7 @@
 """Language of texts and of the spans within them.
 
 The script of a word's letters narrows the candidate languages; each candidate scores the word by the character
-n-grams of its language; Viterbi with a penalty for every switch labels the words; the language with most labelled
+trigrams of its language; Viterbi with a penalty for every switch labels the words; the language with most labelled
 letters is the text's.
 """
 
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, per_worker
+from .common import bounded_batches, per_worker
 
 #: First and last code points of scripts, in order of the first.
 SCRIPTS = [
@@ -40,13 +40,19 @@ SCRIPTS = [
 _STARTS = [first for first, _, _ in SCRIPTS]
 
 #: Rows that training may read for each language; the sample is those of smallest hash, so it is the same every time.
-TRAINING_ROWS = 4_000
-#: The longest n-gram, and how many (language, n-gram) counts a model keeps, the most frequent.
-NGRAM, KEPT_NGRAMS = 3, 100_000
+TRAINING_ROWS = 1_500
+#: How many (language, trigram) counts a model keeps, the most frequent.
+KEPT_NGRAMS = 100_000
 SWITCH_PENALTY = 12.0
 #: A word's log-likelihood ratio counts at most this much, so that one odd word doesn't make a span.
 WORD_BOUND = 6.0
 UNKNOWN = "und"
+#: Words whose scores a worker keeps.
+CACHED_WORDS = 200_000
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
 def script_of(letter: str) -> str:
@@ -56,12 +62,13 @@ def script_of(letter: str) -> str:
 
 
 def letters_of(chunk: str) -> str:
-    return "".join(c for c in chunk if c.isalpha()).lower()
+    return chunk.lower() if chunk.isalpha() else "".join(c for c in chunk if c.isalpha()).lower()
 
 
 def ngrams(word: str) -> list[str]:
+    """The trigrams of a word with its ends marked: as many as it has letters."""
     marked = f"^{word}$"
-    return [marked[i : i + n] for n in range(1, NGRAM + 1) for i in range(len(marked) - n + 1)]
+    return [marked[i : i + 3] for i in range(len(word))]
 
 
 def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -100,61 +107,68 @@ class LanguageModel:
             (self.scripts if gram[0] == "=" and len(gram) > 3 else grams)[gram][index[lang]] += count
         totals = sum(grams.values(), np.zeros(n))
         smooth = 0.5
-        self.floor = np.log(smooth / (totals + smooth * (len(grams) + 1))) if n else np.zeros(0)
-        self.grams = {g: np.log((c + smooth) / (totals + smooth * (len(grams) + 1))) for g, c in grams.items()}
+        log = lambda c: np.log((c + smooth) / (totals + smooth * (len(grams) + 1)))
+        coded = sorted((int(_codes(g)[0]) << 42 | int(_codes(g)[1]) << 21 | int(_codes(g)[2]), g) for g in grams)
+        self.keys = np.array([k for k, _ in coded], np.uint64)
+        #: Scores of the trigrams in the order of their keys, and of a trigram that isn't known.
+        self.scores = np.array([log(grams[g]) for _, g in coded] + [log(np.zeros(n))]).reshape(len(coded) + 1, n)
         words = sum(self.scripts.values(), np.zeros(n))
         #: A language is a candidate for a script that at least a hundredth of its words are in.
         self.candidates = {s[1:]: c >= 0.01 * np.maximum(words, 1) for s, c in self.scripts.items()}
-        self.rows: list[np.ndarray] = []
-        self.index = BoundedCache(self._row)
+        #: For each chunk a row of scores and letters in the table; -1 for a chunk without a letter.
+        self.index: dict[str, int] = {}
+        self.table = np.zeros((1024, n + 1), np.float32)
+        self.filled = 0
 
-    def word_scores(self, word: str) -> np.ndarray:
+    def word_scores(self, words: list[str]) -> np.ndarray:
         """Scores of the candidates, the best 0, none under -WORD_BOUND; all 0 if no candidate has the script."""
-        candidates = self.candidates.get(script_of(word[0]))
-        if candidates is None or not candidates.any():
-            return np.zeros(len(self.languages))
-        score = np.zeros(len(self.languages))
-        for gram in ngrams(word):
-            score += self.grams.get(gram, self.floor)
-        score /= NGRAM
-        score[~candidates] = -np.inf
-        return np.maximum(score - score.max(), -WORD_BOUND)
-
-    def _row(self, chunk: str) -> int:
-        """The row of a chunk's scores and letters in the table; -1 for a chunk without a letter."""
-        if not self.index:
-            self.rows = []
-        word = letters_of(chunk)
-        if not word:
-            return -1
-        self.rows.append(np.append(self.word_scores(word), len(word)))
-        return len(self.rows) - 1
-
-    def _table(self) -> np.ndarray:
-        """All rows as one array, grown by doubling."""
-        table, filled = getattr(self, "_grown", (np.zeros((0, len(self.languages) + 1)), 0))
-        if filled > len(self.rows):
-            filled = 0
-        if len(self.rows) > len(table):
-            table = np.concatenate([table[:filled], np.zeros((max(1024, len(self.rows) * 2) - filled, table.shape[1]))])
-        if len(self.rows) > filled:
-            table[filled : len(self.rows)] = self.rows[filled:]
-        self._grown = (table, len(self.rows))
-        return table
+        codes = _codes("".join(f"^{w}$" for w in words))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(lengths + 2) - lengths - 2
+        key = codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:]
+        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+        each = self.scores[np.where(known, at, len(self.keys))]
+        within = np.arange(len(key)) - np.repeat(starts, lengths + 2)[: len(key)]
+        each[within >= np.repeat(lengths, lengths + 2)[: len(key)]] = 0  # trigrams over two words
+        score = np.add.reduceat(each, starts, axis=0)
+        none = np.ones(len(self.languages), bool)
+        allowed = np.array([self.candidates.get(script_of(w[0]), ~none) for w in words])
+        unknown = ~allowed.any(axis=1)
+        score[~allowed] = -np.inf
+        score[unknown] = 0
+        return np.maximum(score - score.max(axis=1, keepdims=True), -WORD_BOUND)
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Adds chunks to the cache, which is emptied first if it would hold more than CACHED_WORDS."""
+        if len(self.index) + len(chunks) > CACHED_WORDS:
+            self.index.clear()
+            self.filled = 0
+        words = [letters_of(c) for c in chunks]
+        self.index.update((c, -1) for c, w in zip(chunks, words, strict=True) if not w)
+        chunks, words = [c for c, w in zip(chunks, words, strict=True) if w], [w for w in words if w]
+        if not words:
+            return
+        end = self.filled + len(words)
+        if end > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(end, 2 * len(self.table)) - len(self.table), self.table.shape[1]), np.float32)])
+        self.table[self.filled : end, :-1] = self.word_scores(words)
+        self.table[self.filled : end, -1] = [len(w) for w in words]
+        self.index.update(zip(chunks, range(self.filled, end), strict=True))
+        self.filled = end
 
     def label(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The language's number for each word with a letter, and the words' letters."""
-        chunks = text.split()
-        if len(self.index) + len(chunks) > self.index.limit:
-            self.index.clear()
-            self.rows, self._grown = [], (np.zeros((0, len(self.languages) + 1)), 0)
-            if len(chunks) > self.index.limit:  # one text of more different words than the cache holds
-                scored = [np.append(self.word_scores(w), len(w)) for w in map(letters_of, chunks) if w]
-                found = np.array(scored).reshape(-1, len(self.languages) + 1)
-                return self.best_path(found[:, :-1]), found[:, -1]
-        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-        found = self._table()[at[at >= 0]]
-        return self.best_path(found[:, :-1]), found[:, -1]
+        chunks, parts = text.split(), []
+        for at in range(0, len(chunks), CACHED_WORDS):  # a text may have more words than the cache holds
+            part = chunks[at : at + CACHED_WORDS]
+            new = [c for c in dict.fromkeys(part) if c not in self.index]
+            if new:
+                self._learn(new if len(self.index) + len(new) <= CACHED_WORDS else list(dict.fromkeys(part)))
+            rows = np.fromiter(map(self.index.__getitem__, part), np.int64, len(part))
+            parts.append(self.table[rows[rows >= 0]])
+        found = np.concatenate(parts) if parts else self.table[:0]
+        return self.best_path(found[:, :-1].astype(float)), found[:, -1]
 
     def best_path(self, scores: np.ndarray) -> np.ndarray:
         """Viterbi over the words: the labels of largest sum of scores less the penalty for each switch."""
@@ -246,6 +260,7 @@ def identify(docs: DataFrame, held_out: Column, counts: list[tuple[str, str, int
     other than doc_id, text and lang are ignored.
     """
     counts = train(docs, ~held_out) if counts is None else counts
+    bounded_batches(docs)
     predict = predictor(docs, counts)
     found = docs.select("doc_id", held_out.alias("held_out"), predict("text").alias("found"))
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
@@ -256,5 +271,6 @@ def with_known_language(docs: DataFrame, held_out: Column) -> DataFrame:
 
     Where nothing could be learnt (no lang at all), no text can be told and all go.
     """
+    bounded_batches(docs)
     predict = predictor(docs, train(docs, ~held_out))
     return docs.filter(predict("text")["lang_pred"] != UNKNOWN)
