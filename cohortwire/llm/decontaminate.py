@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, per_worker
+from .common import BoundedCache, bounded_batches, per_worker
 
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -164,18 +164,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshol
     an item without id takes part in coverage and is left out of item_ids; all columns of docs are kept.
     """
     spark = docs.sparkSession
-    leak = F.from_json(F.lit('{"coverage":0,"item_ids":[]}'), _FOUND)
+    bounded_batches(docs)
     out, names = docs, []
     for number, block in enumerate(benchmark_blocks(benchmark, block_chars)):
         matches = _matcher(spark.sparkContext.broadcast(block), seed, threshold)
         names.append(f"_leak_{number}_of_block")
         out = out.withColumn(names[-1], matches("text"))
-    for name in names:
-        leak = F.struct(
-            F.greatest(leak["coverage"], F.col(name)["coverage"]).alias("coverage"),
-            F.array_sort(F.array_union(leak["item_ids"], F.col(name)["item_ids"])).alias("item_ids"),
-        )
-    leak = F.struct(leak["coverage"].alias("coverage"), leak["item_ids"].alias("item_ids"), (leak["coverage"] >= threshold).alias("contaminated"))
+    none = F.from_json(F.lit('{"coverage":0,"item_ids":[]}'), _FOUND)
+    found = F.array(none, *[F.col(n) for n in names])
+    most = F.array_max(F.transform(found, lambda x: x["coverage"]))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda x: x["item_ids"]))))
+    leak = F.struct(most.alias("coverage"), ids.alias("item_ids"), (most >= threshold).alias("contaminated"))
     return out.withColumn("leak", leak).drop(*names)
 
 
