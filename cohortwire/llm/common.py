@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import re
 import tempfile
 import uuid
@@ -71,10 +71,19 @@ def id_remainder(n: int, doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of finished jobs now, rather than when the driver's heap fills."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextlib.contextmanager
+def shuffle_files_dropped(spark: SparkSession):
+    """Within it, a query's shuffle files go when the query ends, not when the driver happens to collect garbage.
+
+    For runs that write each intermediate once and read it back, so that no shuffle is read again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 class BoundedCache(dict):

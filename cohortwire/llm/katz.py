@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, new_path, per_worker, release, texts
+from .common import BoundedCache, new_path, per_worker, shuffle_files_dropped, texts
 from .packing import NULL_ID
 
 #: Tokens of a chunk, at least, unless its task ends; a chunk is at most this and one document.
@@ -242,7 +242,6 @@ class KatzJob:
         """Stores sums as the partition `what` of the run's tables."""
         path = f"{self.tables}/what={what}"
         df.write.option("compression", "zstd").parquet(path)
-        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _summed(self, parts: DataFrame, what: str, level: int) -> list[int]:
@@ -413,4 +412,5 @@ def katz_scores(docs: DataFrame, trains: Column, order: int = 2) -> DataFrame:
     """
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return KatzJob(docs, F.coalesce(trains, F.lit(False)), order).scores()
+    with shuffle_files_dropped(docs.sparkSession):
+        return KatzJob(docs, F.coalesce(trains, F.lit(False)), order).scores()
