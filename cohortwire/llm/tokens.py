@@ -24,12 +24,24 @@ class ChunkIds:
         tokenizer.no_padding()
         encode = tokenizer.encode
 
-        def make(chunk: str) -> bytes:
+        def encoded(chunk: str) -> bytes:
             ids = array("I", encode(chunk, add_special_tokens=False).ids)
             if ids.itemsize != 4:
                 raise RuntimeError("unsigned int is not 32 bits wide here")
             return ids.tobytes()
 
+        words = BoundedCache(encoded)
+        marks = BoundedCache(encoded, 10_000)
+
+        def make(chunk: str) -> bytes:
+            # A Latin word and the marks after it are split and lower-cased by the tokenizer anyway.
+            word = chunk.rstrip(".,;:!?")
+            if word and word.isalpha() and max(word) < "\u0250":
+                low = word.lower()
+                if len(low) == len(word):
+                    return words[low] + marks[chunk[len(word) :]] if len(word) < len(chunk) else words[low]
+            return encoded(chunk)
+
         self.cache = BoundedCache(make)
         self.size = tokenizer.get_vocab_size()
 
