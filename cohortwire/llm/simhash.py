@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import dropped, texts, written
 from .links import components, links_within_keys
 
 PIVOTS = 16
@@ -134,70 +135,131 @@ def _named_by_least(nodes: DataFrame, named: DataFrame, node: str) -> DataFrame:
 
 # ------------------------------------------------------------------ near duplicates by similarity of shingles
 
-#: Smallest shingle hashes that a text is known by, and how many of them are keys.  Texts of similarity s share none
-#: of their KEYS smallest with a probability of about (1 - s) ** KEYS.
-SKETCH, KEYS = 192, 4
-#: Fingerprints of texts of similarity 0.8 differ by 10 bits on average and hardly ever by more than this.
-SIMILAR_BITS = 26
+#: Texts that are looked at for common shingles, and how many of those are remembered.  They only order the keys, so
+#: that few texts share one; what is found doesn't depend on them.
+COMMON_SAMPLE, COMMON_KEPT = 5_000, 50_000
+#: Against rounding of products with the least similarity.
+TINY = 1e-9
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    return np.unique((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype("<u4")[:SKETCH]
-
-
-def similarity(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> float:
-    """Jaccard similarity, exact for texts of up to SKETCH different shingles, else estimated from the sketches."""
-    if not n_a or not n_b:
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of different hashes, 0 if one is empty."""
+    if not len(a) or not len(b):
         return 0.0
-    both = np.intersect1d(a, b, assume_unique=True)
-    if n_a <= SKETCH and n_b <= SKETCH:
-        return len(both) / (n_a + n_b - len(both))
-    union = np.union1d(a, b)[:SKETCH]
-    return np.isin(both, union, assume_unique=True).sum() / len(union)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def prefix_keys(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, least_similarity: float) -> np.ndarray:
+    """The first n - ceil(least_similarity * n) + 1 of n sorted different hashes in the global order (those not
+    common by value, then the common by rank): two sets of that similarity share one of theirs at least."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    length = n - int(np.ceil(least_similarity * n - TINY)) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        known = common[at] == hashes
+        shared = hashes[known][np.argsort(rank[at[known]])]
+        hashes = np.concatenate([hashes[~known], shared])
+    return hashes[:length]
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, their ranks, the most common last) of shingles in three or more of the sampled texts."""
+
+    @F.pandas_udf("array<long>")
+    def different(text: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in text])
+
+    share = COMMON_SAMPLE / max(docs.count(), 1)
+    sample = texts(docs).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
+    counts = sample.select(F.explode(different("text")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON_KEPT).collect()
+    found = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], (len(found) - np.arange(len(found)))[order]
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least_similarity: float) -> DataFrame:
+    """Those of the different pairs (a, b) whose full sets of hashes have the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                x, y = (np.frombuffer(h.as_buffer(), np.uint64) for h in (x, y))
+                good.append(similarity(x, y) >= least_similarity - TINY)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    pairs = written(pairs, "candidate-pairs")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidate-nodes")
+    of_node = sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    of_node = written(of_node, "candidate-sets")
+    both = pairs.join(of_node.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    both = both.join(of_node.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    found = written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar-pairs")
+    for x in (wanted, of_node):
+        dropped(x)
+    return found
+
+
+def similar_links(nodes: DataFrame, sets: DataFrame, least_similarity: float) -> DataFrame:
+    """Links (a, b) that connect all nodes of the similarity.  nodes: node, n, keys; sets: node, hashes.
+
+    All members of a key are compared with its smallest and largest node first; after that only those that aren't
+    yet connected, so a group of copies costs in proportion to its size.
+    """
+    members = nodes.select(F.explode("keys").alias("key"), F.struct(F.col("node").alias("id"), "n").alias("m"))
+    hubs = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("m").alias("low"), F.max("m").alias("high"))
+    hubs = written(hubs.filter("size > 1").drop("size"), "key-hubs")
+    shared = written(members.join(hubs, "key"), "shared-keys")
+    alike = lambda x, y: F.least(x, y) >= F.lit(least_similarity) * F.greatest(x, y) - F.lit(TINY)
+    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    with_hub = shared.select("m", F.explode(F.array("low", "high")).alias("hub")).filter("m.id <> hub.id").filter(alike(F.col("m.n"), F.col("hub.n")))
+    first = _verified(with_hub.select(*pair(F.col("m.id"), F.col("hub.id"))).distinct(), sets, least_similarity)
+    named = components(first, None)
+    member = shared.select("key", F.col("m.id").alias("id"), F.col("m.n").alias("n"))
+    member = member.join(named, member["id"] == named["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("name"))
+    member = written(member, "named-members")
+    split = member.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most")).filter("least < most")
+    member = written(member.join(split.select("key"), "key", "left_semi"), "members-left")
+    other = member.select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("name").alias("other_name"))
+    rest = member.join(other, "key").filter("name < other_name").filter(alike(F.col("n"), F.col("other_n")))
+    rest = _verified(rest.select(*pair(F.col("id"), F.col("other"))).distinct(), sets, least_similarity)
+    for x in (hubs, shared):
+        dropped(x)
+    return first.unionByName(rest)
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, least_similarity: float = 0.8) -> DataFrame:
     """doc_id, keep_id: texts whose `shingle`-word sets have the given similarity are linked; of a component the
     smallest doc_id stays.
 
-    Two bits of a 64-bit fingerprint can't find texts that are only 0.8 alike, so keys are the smallest shingle hashes
-    here; the pivot table discards, and the shingle sketches verify.  Texts without a word are linked with nothing
-    but equal texts.  Repeated rows and null ids are treated as in simhash_groups().
+    Two bits of a 64-bit fingerprint can't find texts that are only 0.8 alike, so keys are prefixes of the shingle
+    sets in a global order, which miss no pair, and the full sets verify every pair.  Texts without a word are linked
+    with nothing but equal texts.  Repeated rows and null ids are treated as in simhash_groups().
     """
+    common, rank = common_shingles(docs, shingle)
+    shared = docs.sparkSession.sparkContext.broadcast((common, rank))
 
-    @F.pandas_udf("node long, payload binary, keys array<long>")
+    @F.pandas_udf("node long, n long, keys array<long>, hashes binary")
     def features(text: pd.Series) -> pd.DataFrame:
-        nodes, rows, keys = [], [], []
-        prints = []
+        nodes, counts, keys, sets = [], [], [], []
         for t in text:
-            h = shingle_hashes(t, shingle)
-            s = sketch(h)
+            h = np.unique(shingle_hashes(t, shingle))
             nodes.append(xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split()), 5))
-            prints.append(fingerprint(h))
-            n = len(s) if len(s) < SKETCH else len(np.unique(h))
-            rows.append(np.uint32(n).astype("<u4").tobytes() + s.tobytes())
-            keys.append(s[:KEYS].astype(np.int64))
-        head = pivot_payload(np.array(prints, np.uint64)) if prints else []
-        return pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "payload": [a + b for a, b in zip(head, rows, strict=True)], "keys": keys})
-
-    def like(payloads, parts, forest):
-        table = np.stack([np.frombuffer(p, np.uint8, 8 + PIVOTS) for p in payloads])
-        counts = [int(np.frombuffer(p, "<u4", 1, 8 + PIVOTS)[0]) for p in payloads]
-        sketches = [np.frombuffer(p, "<u4", -1, 12 + PIVOTS) for p in payloads]
-        i, j = surviving_pairs(table, parts, SIMILAR_BITS)
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            small, large = sorted((counts[a], counts[b]))
-            if small >= least_similarity * large and forest.root(a) != forest.root(b):
-                if similarity(sketches[a], counts[a], sketches[b], counts[b]) >= least_similarity:
-                    yield a, b
-
-    rows = written(texts(docs).select("doc_id", features("text").alias("f")).select("doc_id", "f.*"), "shingle-sketches")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("payload").alias("payload"), F.first("keys").alias("keys"))
-    nodes = written(nodes, "sketch-nodes")
-    members = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "payload")
-    named = components(links_within_keys(members, like), None)
-    by_node = nodes.select(F.col("node").alias("n"), "least")
-    of_node = _named_by_least(by_node, named, "n").withColumnRenamed("n", "node")
+            counts.append(len(h))
+            keys.append(prefix_keys(h, *shared.value, least_similarity).view(np.int64))
+            sets.append(h.tobytes())
+        return pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "n": np.array(counts, np.int64), "keys": keys, "hashes": sets})
+
+    rows = written(texts(docs).select("doc_id", features("text").alias("f")).select("doc_id", "f.*"), "shingle-sets")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = written(nodes, "shingle-nodes")
+    named = components(similar_links(nodes, rows.select("node", "hashes"), least_similarity), None)
+    by_node = nodes.select("node", "least").withColumnRenamed("node", "id")
+    of_node = _named_by_least(by_node, named, "id").withColumnRenamed("id", "node")
     out = rows.select("doc_id", "node").join(of_node.hint("merge"), "node")
     return out.select("doc_id", F.col("component_id").alias("keep_id"))
 

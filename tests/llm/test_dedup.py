@@ -136,3 +136,32 @@ def test_one_of_each_group_odd_rows(spark, odd, empty):
     kept = simhash.one_of_each_group(odd)
     assert kept.columns == odd.columns and sorted((r.doc_id for r in kept.collect())) == [1, 3, 4, 4, 5]
     assert simhash.one_of_each_group(empty).count() == 0
+
+
+def _jaccard(t, u, size=5):
+    a, b = ({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in (t.split(), u.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_groups_are_brute_force_at_the_threshold(spark):
+    rows, want = [], {}
+    for n in range(80):  # long texts, of which a part of growing size is replaced at the end
+        words = [f"w{n}x{i}" for i in range(404)]
+        same = 332 + n
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(words[:same] + [f"z{n}x{i}" for i in range(404 - same)]))]
+        want[2 * n + 1] = 2 * n if _jaccard(rows[-2][1], rows[-1][1]) >= 0.8 else 2 * n + 1
+    values = [_jaccard(rows[2 * n][1], rows[2 * n + 1][1]) for n in range(80)]
+    assert min(values) < 0.75 and any(0.77 < v < 0.8 for v in values) and any(0.8 <= v < 0.82 for v in values)
+    got = {r.doc_id: r.keep_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: got[d] for d in want} == want
+
+
+def test_repeated_passages_do_not_hide_near_copies(spark):
+    rows = []
+    for n in range(12):
+        words = [f"w{n}x{i}" for i in range(304)]
+        for side, at in enumerate((20, 200)):  # one passage many times over, another one in the copy
+            rows.append((2 * n + side, " ".join(words[:at] + words[at : at + 16] * 20 + words[at + 16 :])))
+    assert all(_jaccard(rows[2 * n][1], rows[2 * n + 1][1]) >= 0.8 for n in range(12))
+    got = {r.doc_id: r.keep_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
