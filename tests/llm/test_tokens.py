@@ -125,3 +125,15 @@ def test_packing_odd_rows(spark, odd, empty):
     check_packing(got, 4096)
     assert {(r.length, r.start) for r in got if r.doc_id in (1, 2)} == {(1, 0)} and any(r.doc_id is None for r in got)
     assert packing.pack(empty, VOCABULARY).count() == 0
+
+
+@pytest.mark.parametrize("many", [1, 50])
+def test_most_pieces_follow_the_program(many):
+    rng = np.random.default_rng(3)
+    counts = defaultdict(int)
+    for length in np.minimum(rng.lognormal(5.5, 1.0, 6000).astype(int) + 1, 4095).tolist():
+        counts[length] += many
+    plan = packing.plan_packing(dict(counts), 4096)
+    assert plan.by_program > 0.9 * sum(counts.values())
+    assert plan.taken == counts
+    assert plan.sequences <= packing.least_sequences(counts, 4096) * 1.005 + 1
