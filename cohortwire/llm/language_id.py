@@ -13,7 +13,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, per_worker
@@ -41,8 +41,9 @@ _STARTS = [first for first, _, _ in SCRIPTS]
 
 #: Rows that training may read for each language; the sample is those of smallest hash, so it is the same every time.
 TRAINING_ROWS = 1_500
-#: How many (language, trigram) counts a model keeps, the most frequent.
-KEPT_NGRAMS = 100_000
+#: How many (language, trigram) counts a model keeps: the most frequent of each language, the same number of each,
+#: which is never under LEAST_NGRAMS.
+KEPT_NGRAMS, LEAST_NGRAMS = 100_000, 300
 SWITCH_PENALTY = 12.0
 #: A word's log-likelihood ratio counts at most this much, so that one odd word doesn't make a span.
 WORD_BOUND = 6.0
@@ -115,9 +116,9 @@ class LanguageModel:
         words = sum(self.scripts.values(), np.zeros(n))
         #: A language is a candidate for a script that at least a hundredth of its words are in.
         self.candidates = {s[1:]: c >= 0.01 * np.maximum(words, 1) for s, c in self.scripts.items()}
-        #: For each chunk a row of scores and letters in the table; -1 for a chunk without a letter.
+        #: For each chunk a row of scores, letters and letters in a script of any candidate; -1 for one without a letter.
         self.index: dict[str, int] = {}
-        self.table = np.zeros((1024, n + 1), np.float32)
+        self.table = np.zeros((1024, n + 2), np.float32)
         self.filled = 0
 
     def word_scores(self, words: list[str]) -> np.ndarray:
@@ -152,13 +153,19 @@ class LanguageModel:
         end = self.filled + len(words)
         if end > len(self.table):
             self.table = np.concatenate([self.table, np.zeros((max(end, 2 * len(self.table)) - len(self.table), self.table.shape[1]), np.float32)])
-        self.table[self.filled : end, :-1] = self.word_scores(words)
-        self.table[self.filled : end, -1] = [len(w) for w in words]
+        self.table[self.filled : end, :-2] = self.word_scores(words)
+        self.table[self.filled : end, -2] = [len(w) for w in words]
+        self.table[self.filled : end, -1] = [len(w) * self.scripted(w) for w in words]
         self.index.update(zip(chunks, range(self.filled, end), strict=True))
         self.filled = end
 
-    def label(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The language's number for each word with a letter, and the words' letters."""
+    def scripted(self, word: str) -> bool:
+        """Whether some language is a candidate for the word's script."""
+        candidates = self.candidates.get(script_of(word[0]))
+        return candidates is not None and bool(candidates.any())
+
+    def _rows(self, text: str) -> np.ndarray:
+        """The table's rows of the words with a letter."""
         chunks, parts = text.split(), []
         for at in range(0, len(chunks), CACHED_WORDS):  # a text may have more words than the cache holds
             part = chunks[at : at + CACHED_WORDS]
@@ -167,8 +174,20 @@ class LanguageModel:
                 self._learn(new if len(self.index) + len(new) <= CACHED_WORDS else list(dict.fromkeys(part)))
             rows = np.fromiter(map(self.index.__getitem__, part), np.int64, len(part))
             parts.append(self.table[rows[rows >= 0]])
-        found = np.concatenate(parts) if parts else self.table[:0]
-        return self.best_path(found[:, :-1].astype(float)), found[:, -1]
+        return np.concatenate(parts) if parts else self.table[:0]
+
+    def label(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The language's number for each word with a letter, and the words' letters."""
+        found = self._rows(text)
+        return self.best_path(found[:, :-2].astype(float)), found[:, -2]
+
+    def can_tell(self, text: str | None) -> bool:
+        """Whether at least half of the letters are in words of a script that some learnt language is written in."""
+        if not text or not self.languages:
+            return False
+        found = self._rows(text)
+        letters = found[:, -2].sum(dtype=float)
+        return bool(letters and 2 * found[:, -1].sum(dtype=float) >= letters)
 
     def best_path(self, scores: np.ndarray) -> np.ndarray:
         """Viterbi over the words: the labels of largest sum of scores less the penalty for each switch."""
@@ -217,14 +236,21 @@ class LanguageModel:
 def train(docs: DataFrame, training: Column, rows: int = TRAINING_ROWS, kept: int = KEPT_NGRAMS) -> list[tuple[str, str, int]]:
     """N-gram counts of each language, from about `rows` rows of it, those of smallest hash, where `training` holds.
 
-    At most 1,000 languages, the most frequent, are learnt; at most `kept` counts reach the driver.
+    At most 1,000 languages, the most frequent, are learnt.  Each keeps its most frequent trigrams, an equal share of
+    `kept` but LEAST_NGRAMS at least, and all its script rows, so no language is lost to larger ones.
     """
     usable = docs.filter(training & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("there"))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = usable.join(F.broadcast(sizes.orderBy(F.desc("there")).limit(1_000)), "lang").filter(share * F.col("there") < rows)
     counts = ngram_counts(sample)
-    most = counts.orderBy(F.desc("n"), "lang", "gram").limit(kept)
+    # The same test of a script row as the model's: "=" and a name of more than two letters.
+    script = F.col("gram").startswith("=") & (F.length("gram") > 3)
+    place = F.row_number().over(Window.partitionBy("lang", script).orderBy(F.desc("n"), "gram"))
+    each = F.greatest(F.lit(LEAST_NGRAMS), F.floor(F.lit(kept) / F.col("languages")))
+    languages = F.broadcast(sizes.agg(F.least(F.count(F.lit(1)), F.lit(1_000)).alias("languages")))
+    most = counts.withColumn("place", place).crossJoin(languages).filter(script | (F.col("place") <= each))
+    most = most.orderBy(F.desc("n"), "lang", "gram")
     return [(r["lang"], r["gram"], r["n"]) for r in most.collect()]
 
 
@@ -267,10 +293,17 @@ def identify(docs: DataFrame, held_out: Column, counts: list[tuple[str, str, int
 
 
 def with_known_language(docs: DataFrame, held_out: Column) -> DataFrame:
-    """The documents whose language can be told, with all their columns; texts without a letter go.
+    """The documents whose language can be told, with all their columns; texts without a letter go, and those of which
+    over half of the letters are in scripts that no learnt language is written in.
 
     Where nothing could be learnt (no lang at all), no text can be told and all go.
     """
     bounded_batches(docs)
-    predict = predictor(docs, train(docs, ~held_out))
-    return docs.filter(predict("text")["lang_pred"] != UNKNOWN)
+    shared, tag = docs.sparkSession.sparkContext.broadcast(train(docs, ~held_out)), uuid.uuid4().hex
+
+    @F.pandas_udf("boolean")
+    def known(text: pd.Series) -> pd.Series:
+        model = per_worker(("language", tag), lambda: LanguageModel(shared.value))
+        return pd.Series([model.can_tell(t) and model.predict(t)[0] != UNKNOWN for t in text], dtype=bool)
+
+    return docs.filter(known("text"))

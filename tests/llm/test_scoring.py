@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -304,3 +305,22 @@ def test_candidates_are_the_patterns_matches(spark, documents):
     got = sorted((r.doc_id, r.start, r.candidate) for r in secret_scan.candidates(documents).collect())
     pattern = re.compile(secret_scan.CANDIDATE)
     assert got == sorted((d.doc_id, m.start(), m[0]) for d in documents.collect() for m in pattern.finditer(d.text))
+
+
+def test_small_languages_keep_their_trigrams_and_scripts(spark):
+    rng = random.Random(11)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    rows = [(i, " ".join(word("abcdefgh") for _ in range(200)), "big") for i in range(40)]
+    rows.append((100, "ижк ижк лмн опр", "small"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = language_id.train(docs, F.lit(True), kept=400)
+    assert {g for lang, g, _ in counts if lang == "small"} == {"=cyrillic", "^иж", "ижк", "жк$", "^лм", "лмн", "мн$", "^оп", "опр", "пр$"}
+    assert sum(g != "=latin" for lang, g, _ in counts if lang == "big") == language_id.LEAST_NGRAMS
+    assert language_id.LanguageModel(counts).predict("ижк опр")[0] == "small"
+
+
+def test_texts_of_an_unknown_script_go(spark):
+    rows = [(n, f"plain words number {n}", "en") for n in range(20)] + [(50, "ภาษาไทย ทดสอบ", None), (51, "mostly latin words ไทย", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in language_id.with_known_language(docs, F.lit(False)).collect()}
+    assert kept == {*range(20), 51}
