@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, texts, written
+from .common import dropped, shuffle_files_dropped, texts, written
 from .links import components, links_within_keys
 
 PIVOTS = 16
@@ -199,7 +199,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least_similarity: float) -> Dat
     both = pairs.join(of_node.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = both.join(of_node.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     found = written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar-pairs")
-    for x in (wanted, of_node):
+    for x in (pairs, wanted, of_node):
         dropped(x)
     return found
 
@@ -210,10 +210,11 @@ def similar_links(nodes: DataFrame, sets: DataFrame, least_similarity: float) ->
     All members of a key are compared with its smallest and largest node first; after that only those that aren't
     yet connected, so a group of copies costs in proportion to its size.
     """
-    members = nodes.select(F.explode("keys").alias("key"), F.struct(F.col("node").alias("id"), "n").alias("m"))
-    hubs = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("m").alias("low"), F.max("m").alias("high"))
-    hubs = written(hubs.filter("size > 1").drop("size"), "key-hubs")
-    shared = written(members.join(hubs, "key"), "shared-keys")
+    members = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "n")
+    several = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key"), "key-sizes")
+    kept = written(members.join(several, "key", "left_semi").select("key", F.struct("id", "n").alias("m")), "key-members")
+    hubs = written(kept.groupBy("key").agg(F.min("m").alias("low"), F.max("m").alias("high")), "key-hubs")
+    shared = written(kept.join(hubs, "key"), "shared-keys")
     alike = lambda x, y: F.least(x, y) >= F.lit(least_similarity) * F.greatest(x, y) - F.lit(TINY)
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     with_hub = shared.select("m", F.explode(F.array("low", "high")).alias("hub")).filter("m.id <> hub.id").filter(alike(F.col("m.n"), F.col("hub.n")))
@@ -227,7 +228,7 @@ def similar_links(nodes: DataFrame, sets: DataFrame, least_similarity: float) ->
     other = member.select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("name").alias("other_name"))
     rest = member.join(other, "key").filter("name < other_name").filter(alike(F.col("n"), F.col("other_n")))
     rest = _verified(rest.select(*pair(F.col("id"), F.col("other"))).distinct(), sets, least_similarity)
-    for x in (hubs, shared):
+    for x in (several, kept, hubs, shared, member):
         dropped(x)
     return first.unionByName(rest)
 
@@ -240,6 +241,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least_similarity: float =
     sets in a global order, which miss no pair, and the full sets verify every pair.  Texts without a word are linked
     with nothing but equal texts.  Repeated rows and null ids are treated as in simhash_groups().
     """
+    with shuffle_files_dropped(docs.sparkSession):
+        return _similar_groups(docs, shingle, least_similarity)
+
+
+def _similar_groups(docs: DataFrame, shingle: int, least_similarity: float) -> DataFrame:
     common, rank = common_shingles(docs, shingle)
     shared = docs.sparkSession.sparkContext.broadcast((common, rank))
 
