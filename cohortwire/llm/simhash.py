@@ -138,6 +138,8 @@ def _named_by_least(nodes: DataFrame, named: DataFrame, node: str) -> DataFrame:
 #: Texts that are looked at for common shingles, and how many of those are remembered.  They only order the keys, so
 #: that few texts share one; what is found doesn't depend on them.
 COMMON_SAMPLE, COMMON_KEPT = 5_000, 50_000
+#: Keys that two similar texts share at least (all of the overlap, if that is smaller): the prefixes are longer by it.
+SHARED_KEYS = 12
 #: Against rounding of products with the least similarity.
 TINY = 1e-9
 
@@ -151,12 +153,13 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def prefix_keys(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, least_similarity: float) -> np.ndarray:
-    """The first n - ceil(least_similarity * n) + 1 of n sorted different hashes in the global order (those not
-    common by value, then the common by rank): two sets of that similarity share one of theirs at least."""
+    """The first n - ceil(least_similarity * n) + SHARED_KEYS of n sorted different hashes in the global order (those
+    not common by value, then the common by rank).  Two sets of that similarity overlap in ceil(least_similarity *
+    n) at least, and the first SHARED_KEYS of what they share are among the keys of both."""
     n = len(hashes)
     if not n:
         return hashes
-    length = n - int(np.ceil(least_similarity * n - TINY)) + 1
+    length = n - int(np.ceil(least_similarity * n - TINY)) + SHARED_KEYS
     if len(common):
         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
         known = common[at] == hashes
@@ -218,7 +221,11 @@ def similar_links(nodes: DataFrame, sets: DataFrame, least_similarity: float) ->
     alike = lambda x, y: F.least(x, y) >= F.lit(least_similarity) * F.greatest(x, y) - F.lit(TINY)
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     with_hub = shared.select("m", F.explode(F.array("low", "high")).alias("hub")).filter("m.id <> hub.id").filter(alike(F.col("m.n"), F.col("hub.n")))
-    first = _verified(with_hub.select(*pair(F.col("m.id"), F.col("hub.id"))).distinct(), sets, least_similarity)
+    # Pairs that meet in few keys here are left to the second comparison, which counts all their keys.
+    enough = F.least(F.lit(SHARED_KEYS), F.ceil(F.lit(least_similarity) * F.col("larger") - F.lit(TINY)))
+    with_hub = with_hub.select(*pair(F.col("m.id"), F.col("hub.id")), F.greatest("m.n", "hub.n").alias("larger"))
+    met = with_hub.groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"), F.first("larger").alias("larger"))
+    first = _verified(met.filter(F.col("keys") >= enough).select("a", "b"), sets, least_similarity)
     named = components(first, None)
     member = shared.select("key", F.col("m.id").alias("id"), F.col("m.n").alias("n"))
     member = member.join(named, member["id"] == named["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("name"))
@@ -227,7 +234,9 @@ def similar_links(nodes: DataFrame, sets: DataFrame, least_similarity: float) ->
     member = written(member.join(split.select("key"), "key", "left_semi"), "members-left")
     other = member.select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("name").alias("other_name"))
     rest = member.join(other, "key").filter("name < other_name").filter(alike(F.col("n"), F.col("other_n")))
-    rest = _verified(rest.select(*pair(F.col("id"), F.col("other"))).distinct(), sets, least_similarity)
+    rest = rest.select(*pair(F.col("id"), F.col("other")), F.greatest("n", "other_n").alias("larger"))
+    rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"), F.first("larger").alias("larger"))
+    rest = _verified(rest.filter(F.col("keys") >= enough).select("a", "b"), sets, least_similarity)
     for x in (several, kept, hubs, shared, member):
         dropped(x)
     return first.unionByName(rest)
