@@ -15,12 +15,12 @@ ASCII_SPACE = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
-    try:
-        root = spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # the setting is absent
-        root = None
+    """The folder that driver and executors share; one of our own only where none is set and all run on one machine,
+    as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cohortwire-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

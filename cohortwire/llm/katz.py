@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BoundedCache, new_path, per_worker, shuffle_files_dropped, texts
-from .packing import NULL_ID
+
+#: Stands for a null doc_id inside Python tasks.
+NULL_ID = -(2**63)
 
 #: Tokens of a chunk, at least, unless its task ends; a chunk is at most this and one document.
 CHUNK_TOKENS = 600_000

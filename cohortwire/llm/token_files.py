@@ -1,7 +1,7 @@
 """Token ids in binary shard files of fixed-width bits.
 
 A shard holds, in this order: blocks of ids, each id in the fewest bits that hold the vocabulary's largest id, each
-block starting at a byte; the table of documents (id and number of tokens); the table of block offsets; a footer.
+block starting at a byte; the table of documents (id, number of tokens, 1 if the id is null); the table of block offsets; a footer.
 Any id is read by one look into the block table, and a whole block is unpacked by numpy at once.
 """
 
@@ -13,14 +13,14 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, texts, written
-from .packing import NULL_ID
-from .tokens import END_ID, chunk_ids
+from .common import dropped, new_path, texts, written
+from .tokens import chunk_ids
 
-MAGIC = b"BITIDS01"
+MAGIC = b"BITIDS02"
 FOOTER = struct.Struct("<QQQQQQ8s")  # bits, ids in a block, ids, documents, blocks, bytes of blocks, magic
 BLOCK_IDS = 8192
 #: A shard is closed when it holds this many ids, so no reader has to hold more.
@@ -56,11 +56,11 @@ class ShardWriter:
         self.stream, self.bits, self.block_ids = stream, bits, block_ids
         self.waiting: list[np.ndarray] = []
         self.waiting_ids = self.ids = self.at = 0
-        self.documents: list[tuple[int, int]] = []
+        self.documents: list[tuple[int, int, bool]] = []
         self.blocks: list[int] = []
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.documents.append((doc_id, len(ids)))
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.documents.append((doc_id or 0, len(ids), doc_id is None))
         self.ids += len(ids)
         self.waiting.append(ids)
         self.waiting_ids += len(ids)
@@ -79,7 +79,7 @@ class ShardWriter:
 
     def close(self) -> None:
         self._flush(last=True)
-        self.stream.write(np.array(self.documents, dtype="<i8").reshape(-1, 2).tobytes())
+        self.stream.write(np.array(self.documents, dtype="<i8").reshape(-1, 3).tobytes())
         self.stream.write(np.array(self.blocks, dtype="<u8").tobytes())
         self.stream.write(
             FOOTER.pack(self.bits, self.block_ids, self.ids, len(self.documents), len(self.blocks), self.at, MAGIC)
@@ -94,8 +94,8 @@ class Shard:
         self.bits, self.block_ids, self.ids, documents, blocks, end, magic = FOOTER.unpack(self.data[-FOOTER.size :])
         if magic != MAGIC:
             raise ValueError("not a shard of packed ids")
-        self.documents = np.frombuffer(self.data, "<i8", 2 * documents, end).reshape(-1, 2)
-        self.offsets = np.frombuffer(self.data, "<u8", blocks, end + 16 * documents)
+        self.documents = np.frombuffer(self.data, "<i8", 3 * documents, end).reshape(-1, 3)
+        self.offsets = np.frombuffer(self.data, "<u8", blocks, end + 24 * documents)
         self.starts = np.concatenate([[0], np.cumsum(self.documents[:, 1])]).astype(np.int64)
 
     def block(self, k: int) -> np.ndarray:
@@ -122,25 +122,45 @@ def open_stream(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+#: Ids in a task that writes shards, and the most tasks there are: beyond these, tasks write more shards each.
+PART_IDS, MOST_PARTS = 1 << 22, 20_000
+
+
+def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, n_ids, ids (little-endian, in 2 bytes each if the vocabulary's ids fit, else 4), the end id included."""
+
+    def encode(batches):
+        encoder = chunk_ids(vocabulary)
+        kind = "<u2" if id_bits(encoder.size) <= 16 else "<u4"
+        for batch in batches:
+            ids, bounds = encoder.documents(batch["text"])
+            raw, width = memoryview(ids.astype(kind).tobytes()), np.dtype(kind).itemsize
+            ends = (bounds * width).tolist()
+            each = pa.array([raw[a:b] for a, b in zip(ends, ends[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(bounds)), each], ["doc_id", "n_ids", "ids"])
+
+    return texts(docs).mapInArrow(encode, "doc_id long, n_ids long, ids binary")
+
+
 def write_token_files(docs: DataFrame, vocabulary: str, path: str) -> DataFrame:
     """Writes the documents' ids, end id included, to shards under `path`, in ascending doc_id.
 
     Returns the written manifest: part, seq, file, n_docs, n_ids; shards in order of (part, seq) ascend in doc_id,
-    null ids first.  Null text is the empty text, so the end id alone; rows that repeat a doc_id stand side by
-    side; an empty table writes no shard; other columns are ignored.  A shard gets its name when it is whole, so a
-    task that is run again replaces it.
+    null ids first.  Null text is the empty text, so the end id alone; rows that repeat a doc_id follow each other,
+    over several shards if they are many; an empty table writes no shard; other columns are ignored.  A shard gets
+    its name when it is whole, so a task that is run again replaces it.
     """
-    spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    encoded = written(token_ids(docs, vocabulary).withColumn("row", F.monotonically_increasing_id()), "token-ids")
+    total = encoded.agg(F.sum("n_ids")).first()[0] or 0
+    parts = max(1, min(MOST_PARTS, -(-total // PART_IDS)))
 
     def write(batches):
         from pyspark import TaskContext
 
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        encode = chunk_ids(vocabulary)
-        bits = id_bits(encode.size)
-        end = END_ID.to_bytes(4, "little")
+        bits = id_bits(chunk_ids(vocabulary).size)
+        kind = "<u2" if bits <= 16 else "<u4"
         system, folder = open_stream(path)
         system.create_dir(folder, recursive=True)
         done, writer, stream = [], None, None
@@ -153,22 +173,24 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str) -> DataFrame:
             done.append((part, len(done), name, len(writer.documents), writer.ids))
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), batch["ids"], strict=True):
                 if writer is None:
                     temporary = f"_{part}-{len(done)}-{attempt}"
                     stream = system.open_output_stream(f"{folder}/{temporary}")
                     writer = ShardWriter(stream, bits)
-                writer.add(doc_id, np.frombuffer(encode(text) + end, "<u4"))
+                writer.add(doc_id, np.frombuffer(ids.as_buffer(), kind))
                 if writer.ids >= SHARD_IDS:
                     close()
                     writer = None
         if writer is not None:
             close()
-        yield pd.DataFrame(done, columns=["part", "seq", "file", "n_docs", "n_ids"])
+        yield pa.RecordBatch.from_pandas(pd.DataFrame(done, columns=["part", "seq", "file", "n_docs", "n_ids"]).astype({"part": "int32", "seq": "int32"}))
 
-    rows = texts(docs).withColumn("doc_id", F.coalesce(F.col("doc_id"), F.lit(NULL_ID)))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    return written(ordered.mapInPandas(write, "part int, seq int, file string, n_docs long, n_ids long"), "manifest")
+    # The packed ids are shuffled, not the texts; rows of one doc_id may be dealt over several parts.
+    ordered = encoded.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    manifest = written(ordered.select("doc_id", "ids").mapInArrow(write, "part int, seq int, file string, n_docs long, n_ids long"), "manifest")
+    dropped(encoded)
+    return manifest
 
 
 def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
@@ -178,8 +200,8 @@ def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> Dat
 
     def decode(batches):
         for batch in batches:
-            for name, content in zip(batch["file"], batch["content"], strict=True):
-                shard = Shard(content)
+            for name, content in zip(batch["file"].to_pylist(), batch["content"], strict=True):
+                shard = Shard(content.as_buffer())
                 for at in range(0, len(shard.documents), 10_000):
                     stop = min(at + 10_000, len(shard.documents))
                     first = int(shard.starts[at])
@@ -187,15 +209,17 @@ def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> Dat
                     bounds = shard.starts[at : stop + 1] - first
                     raw = memoryview(ids.tobytes())
                     crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds, bounds[1:])]
-                    yield pd.DataFrame({"file": name, "doc_id": shard.documents[at:stop, 0], "within": bounds[:-1] + first, "n_tokens": shard.documents[at:stop, 1], "ids_crc32": crc})
+                    ids_of = pa.array(shard.documents[at:stop, 0], mask=shard.documents[at:stop, 2] == 1)
+                    columns = [pa.array([name] * (stop - at)), ids_of, pa.array(bounds[:-1] + first), pa.array(shard.documents[at:stop, 1]), pa.array(crc, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["file", "doc_id", "within", "n_tokens", "ids_crc32"])
 
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ids").load(path)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    rows = files.mapInPandas(decode, "file string, doc_id long, within long, n_tokens long, ids_crc32 long")
+    rows = files.mapInArrow(decode, "file string, doc_id long, within long, n_tokens long, ids_crc32 long")
     return rows.join(bases, "file").select(
-        F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"),
+        "doc_id",
         (F.col("base") + F.col("within")).alias("start"),
         "n_tokens",
         "ids_crc32",

@@ -1,52 +1,139 @@
 """Token ids of a vocabulary file, for the packing and the output operators.
 
-The tokenizer drops white space and never joins symbols across it, so a text's ids are the ids of its
-white-space chunks in order.  Each chunk is encoded once per worker by the library and kept in a bounded cache.
+The tokenizer drops white space and never joins symbols across it, so a text's ids are the ids of its white-space
+chunks in order.  A batch of texts is split, and its chunks are numbered and cut into a Latin word and the marks
+after it, by Arrow; each different word is encoded once, by the library; numpy gathers the ids of the texts.  Nothing
+is done in Python per word of the text.
 """
 
 from __future__ import annotations
 
-from array import array
+import json
 
-from .common import BoundedCache, per_worker, space_chunks
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-END_ID = 1
+from .common import per_worker
 
+END_ID = 1
+#: Units (words, marks, other chunks) whose ids a worker keeps between batches, and units joined in one library call.
+KEPT_UNITS, JOINED_UNITS = 800_000, 1_000
+#: A word of Latin letters (each of which has one lower-case letter), and marks: the tokenizer separates and
+#: lower-cases these anyway.
+_WORD = "^(?P<word>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<marks>[.,;:!?]*)$"
 
-class ChunkIds:
-    """bytes of little-endian unsigned 32-bit ids of a text."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat[starts[i] : starts[i] + sizes[i]] for each i of `chosen`, one after the other, and where each ends."""
+    n = sizes[chosen]
+    ends = np.cumsum(n)
+    at = np.repeat(starts[chosen] - (ends - n), n)
+    at += np.arange(len(at), dtype=np.int64)
+    return flat[at], ends
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        encode = tokenizer.encode
 
-        def encoded(chunk: str) -> bytes:
-            ids = array("I", encode(chunk, add_special_tokens=False).ids)
-            if ids.itemsize != 4:
-                raise RuntimeError("unsigned int is not 32 bits wide here")
-            return ids.tobytes()
-
-        words = BoundedCache(encoded)
-        marks = BoundedCache(encoded, 10_000)
+class ChunkIds:
+    """Ids of texts; the units that recur are kept between batches."""
 
-        def make(chunk: str) -> bytes:
-            # A Latin word and the marks after it are split and lower-cased by the tokenizer anyway.
-            word = chunk.rstrip(".,;:!?")
-            if word and word.isalpha() and max(word) < "\u0250":
-                low = word.lower()
-                if len(low) == len(word):
-                    return words[low] + marks[chunk[len(word) :]] if len(word) < len(chunk) else words[low]
-            return encoded(chunk)
+    def __init__(self, path: str, kept: int = KEPT_UNITS):
+        from tokenizers import Tokenizer
 
-        self.cache = BoundedCache(make)
-        self.size = tokenizer.get_vocab_size()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.size, self.kept = self.tokenizer.get_vocab_size(), kept
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        #: Whether an id ends a word; without such ids in the vocabulary words are encoded one by one.
+        self.ends = np.zeros(self.size, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        self.units = pa.array([], pa.large_string())
+        self.flat, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, units: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> list[np.ndarray]:
+        """The words' ids, from one call: of each word's ids the last, and no other, ends a word."""
+        ids = self._encoded([" ".join(words)])[0]
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._encoded(words)
+        return np.split(ids, ends[:-1])
+
+    def _learn(self, units: pa.Array, words: np.ndarray) -> None:
+        """Adds units; `words` says which are Latin words."""
+        for joined in (True, False):
+            some = units.filter(pa.array(words == joined))
+            flat, sizes = [np.zeros(0, "<u4")], []
+            for at in range(0, len(some), JOINED_UNITS):
+                part = some.slice(at, JOINED_UNITS).to_pylist()
+                each = self._joined(part) if joined else self._encoded(part)
+                sizes += map(len, each)
+                flat += each
+            sizes = np.array(sizes, np.int64)
+            self.units = pa.concat_arrays([self.units, some])
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, *flat])
+
+    def _places(self, units: pa.Array, words: np.ndarray) -> np.ndarray:
+        """Where each of the different units is among those known, once the others are learnt."""
+        new = pc.index_in(units, value_set=self.units).is_null()
+        if pc.any(new).as_py():
+            self._learn(units.filter(new), words[new.to_numpy(zero_copy_only=False)])
+        return pc.index_in(units, value_set=self.units).to_numpy().astype(np.int64)
+
+    def _forget(self, seen: np.ndarray) -> None:
+        """Beyond `kept` units, only those seen more than once in the last batch stay."""
+        if len(self.units) > self.kept:
+            stay = np.flatnonzero(seen > 1)[: self.kept]
+            self.units = self.units.take(pa.array(stay))
+            self.flat, ends = gathered(self.flat, self.starts, self.sizes, stay)
+            self.sizes = self.sizes[stay]
+            self.starts = ends - self.sizes
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the bounds of each text's ids (one more than there are texts)."""
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        pieces = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        bounds = pieces.offsets.to_numpy().astype(np.int64)
+        # White space at the ends of a text makes empty pieces, which have no ids.
+        numbered = pc.dictionary_encode(pieces.flatten())
+        order, chunks = numbered.indices.to_numpy(), numbered.dictionary
+        cut = pc.extract_regex(chunks, pattern=_WORD)
+        is_word = cut.is_valid()
+        word, marks = pc.struct_field(cut, "word"), pc.struct_field(cut, "marks")
+        first = pc.dictionary_encode(pc.if_else(is_word, pc.utf8_lower(word), chunks))
+        second = pc.dictionary_encode(pc.fill_null(marks, ""))
+        plain = np.zeros(len(first.dictionary), bool)
+        plain[first.indices.to_numpy()[is_word.to_numpy(zero_copy_only=False)]] = True
+        head = self._places(first.dictionary, plain)
+        tail = self._places(second.dictionary, np.zeros(len(second.dictionary), bool))
+        # Each chunk's ids are those of its two units; then each text's are those of its chunks.
+        pairs = np.stack([head[first.indices.to_numpy()], tail[second.indices.to_numpy()]], axis=1).reshape(-1)
+        chunk_flat, ends = gathered(self.flat, self.starts, self.sizes, pairs)
+        ends = ends[1::2]
+        sizes = np.diff(ends, prepend=0)
+        ids, at = gathered(chunk_flat, ends - sizes, sizes, order)
+        counts = np.bincount(order, minlength=len(chunks))
+        self._forget(np.bincount(pairs, weights=np.repeat(counts, 2), minlength=len(self.sizes)))
+        return ids, np.concatenate([[0], at])[bounds - bounds[0]]
+
+    def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As texts(), with the end id after each text's ids."""
+        ids, bounds = self.texts(texts)
+        n = len(bounds) - 1
+        out = np.full(len(ids) + n, END_ID, "<u4")
+        ours = np.ones(len(out), bool)
+        ours[bounds[1:] + np.arange(n)] = False
+        out[ours] = ids
+        return out, bounds + np.arange(n + 1)
 
     def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.cache.__getitem__, space_chunks(text)))
+        return self.texts(pa.array([text]))[0].tobytes()
 
 
 def chunk_ids(path: str) -> ChunkIds:
