@@ -52,7 +52,7 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bounded_batches(docs: DataFrame, limit_mb: int = 16) -> None:
+def bounded_batches(docs: DataFrame, limit_mb: int = 8) -> None:
     """Lowers the session's bound on the bytes of an Arrow batch, for texts of any length in little memory."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = docs.sparkSession.conf

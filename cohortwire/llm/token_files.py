@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, new_path, texts, written
+from .common import new_path, shuffle_files_dropped, texts, written
 from .tokens import chunk_ids
 
 MAGIC = b"BITIDS02"
@@ -122,24 +122,43 @@ def open_stream(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-#: Ids in a task that writes shards, and the most tasks there are: beyond these, tasks write more shards each.
-PART_IDS, MOST_PARTS = 1 << 22, 20_000
+#: Bytes of text of a task that writes shards, and the most tasks there are: beyond these, tasks write more shards.
+PART_BYTES, MOST_PARTS = 16 << 20, 20_000
 
 
-def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_ids, ids (little-endian, in 2 bytes each if the vocabulary's ids fit, else 4), the end id included."""
+def range_cuts(docs: DataFrame) -> list[int]:
+    """Cuts of doc_id into parts of about PART_BYTES of text each, at approximate percentiles; sorted, with repeats."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
+    parts = max(1, min(MOST_PARTS, -(-size // PART_BYTES)))
+    if parts == 1:
+        return []
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    return sorted(docs.agg(F.percentile_approx("doc_id", shares, F.lit(10 * parts)).alias("c")).first()["c"] or [])
+
+
+def token_ids(docs: DataFrame, vocabulary: str, cuts: list[int]) -> DataFrame:
+    """doc_id, part and ids (little-endian, in 2 bytes each if the vocabulary's ids fit, else 4), the end id included.
+
+    Parts are ranges of doc_id between the cuts, in order, null first.  A doc_id that is a cut may stand on both
+    sides of it, so one that very many rows share is dealt in turn over all parts between its first and its last cut.
+    """
 
     def encode(batches):
-        encoder = chunk_ids(vocabulary)
+        encoder, edges, row = chunk_ids(vocabulary), np.array(cuts, np.int64), 0
         kind = "<u2" if id_bits(encoder.size) <= 16 else "<u4"
         for batch in batches:
             ids, bounds = encoder.documents(batch["text"])
             raw, width = memoryview(ids.astype(kind).tobytes()), np.dtype(kind).itemsize
             ends = (bounds * width).tolist()
             each = pa.array([raw[a:b] for a, b in zip(ends, ends[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(bounds)), each], ["doc_id", "n_ids", "ids"])
+            doc_id = batch["doc_id"].fill_null(0).to_numpy()
+            low, high = np.searchsorted(edges, doc_id, "left"), np.searchsorted(edges, doc_id, "right")
+            part = low + (row + np.arange(len(doc_id))) % (high - low + 1)
+            part[batch["doc_id"].is_null().to_numpy(zero_copy_only=False)] = 0
+            row += len(doc_id)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(part.astype(np.int32)), each], ["doc_id", "part", "ids"])
 
-    return texts(docs).mapInArrow(encode, "doc_id long, n_ids long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, part int, ids binary")
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, path: str) -> DataFrame:
@@ -150,9 +169,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str) -> DataFrame:
     over several shards if they are many; an empty table writes no shard; other columns are ignored.  A shard gets
     its name when it is whole, so a task that is run again replaces it.
     """
-    encoded = written(token_ids(docs, vocabulary).withColumn("row", F.monotonically_increasing_id()), "token-ids")
-    total = encoded.agg(F.sum("n_ids")).first()[0] or 0
-    parts = max(1, min(MOST_PARTS, -(-total // PART_IDS)))
+    rows = texts(docs)
+    cuts = range_cuts(rows)
 
     def write(batches):
         from pyspark import TaskContext
@@ -186,11 +204,10 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str) -> DataFrame:
             close()
         yield pa.RecordBatch.from_pandas(pd.DataFrame(done, columns=["part", "seq", "file", "n_docs", "n_ids"]).astype({"part": "int32", "seq": "int32"}))
 
-    # The packed ids are shuffled, not the texts; rows of one doc_id may be dealt over several parts.
-    ordered = encoded.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row")
-    manifest = written(ordered.select("doc_id", "ids").mapInArrow(write, "part int, seq int, file string, n_docs long, n_ids long"), "manifest")
-    dropped(encoded)
-    return manifest
+    # The packed ids are shuffled, not the texts.
+    ordered = token_ids(rows, vocabulary, cuts).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("doc_id")
+    with shuffle_files_dropped(docs.sparkSession):
+        return written(ordered.select("doc_id", "ids").mapInArrow(write, "part int, seq int, file string, n_docs long, n_ids long"), "manifest")
 
 
 def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:

@@ -137,3 +137,18 @@ def test_most_pieces_follow_the_program(many):
     assert plan.by_program > 0.9 * sum(counts.values())
     assert plan.taken == counts
     assert plan.sequences <= packing.least_sequences(counts, 4096) * 1.005 + 1
+
+
+def test_shared_doc_ids_are_dealt_over_parts_in_order(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "PART_BYTES", 200)
+    rows = [(5, f"word number {n}") for n in range(60)] + [(n, "other words") for n in range(30)] + [(None, "no id")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    from cohortwire.llm.common import new_path
+
+    path = new_path(spark, "files")
+    manifest = token_files.write_token_files(docs, VOCABULARY, path)
+    assert manifest.count() > 5
+    got = sorted(token_files.read_token_files(spark, path, manifest).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in got]
+    assert ids[:3] == [None] * 3 and ids[3:] == sorted(ids[3:]) and ids.count(5) == 61
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
