@@ -9,8 +9,11 @@ DEFAULT_TZ = "Asia/Jerusalem"
 EARTH_KM = 6371.0088
 #: Texts that stand for a missing value.
 NULL_TEXTS = ["", "nan", "none", "null", "<na>", "nat"]
-#: Substrings of JSON keys whose values never reach an output.
-SENSITIVE = ["text", "name", "address", "ssid", "number", "trace", "imei", "serial", "password", "contact", "label"]
+#: Parts of JSON keys whose values never reach an output; `name` counts as a key or as its first or last word.
+SENSITIVE = [
+    "text", "current_text", "before_text", "message", "body", "phone", "number", "line_number", "subscriber", "imei",
+    "imei_meid_esn", "sim_serial", "contact", "email", "address", "ssid", "bssid", "^name$", "_name$", "^name_",
+]
 ALLOWED_KEYS = ["application_name"]
 REDACTED = "[REDACTED_SENSITIVE_FIELD]"
 

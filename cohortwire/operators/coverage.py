@@ -56,19 +56,47 @@ def early_late_groups(cov: DataFrame) -> DataFrame:
     return out.withColumn("data_group", F.when(e & lt, "early_and_late_data").when(e, "early_only").when(lt, "late_only").otherwise("none"))
 
 
-def subject_readiness(cov: DataFrame, early: int = 5, late: int = 2) -> DataFrame:
-    """ready with at least `early` tables in the early and `late` in the late window."""
-    s = coverage_by_subject(cov)
-    level = F.when((F.col("tables_early") >= early) & (F.col("tables_late") >= late), "ready").when(F.col("tables_any") > 0, "partial").otherwise("not_ready")
-    return s.select("subject_id", "tables_early", "tables_late", level.alias("readiness"))
+def _rows_in(rule: str):
+    return F.coalesce(F.sum(F.when(F.col("window_rule") == rule, F.col("n_rows"))), F.lit(0))
+
+
+def subject_readiness(cov: DataFrame) -> DataFrame:
+    """Rows and tables with data in the early and the late window, and what the subject may be used for."""
+    tables = lambda rule: F.count_distinct(F.when(_has(rule), F.col("table_name")))
+    has = lambda rule: F.coalesce(F.bool_or(_has(rule)), F.lit(False))
+    out = cov.groupBy("subject_id").agg(
+        F.count_distinct("device_id").alias("n_devices"), *[_rows_in(r).alias(f"{r}_rows") for r in ("early", "late")], *[tables(r).alias(f"{r}_tables_with_data") for r in ("early", "late")],
+        has("early").alias("baseline_ready"), (has("early") & has("late")).alias("change_ready"), has("late").alias("_late"),
+    )
+    use = F.when(F.col("change_ready"), "baseline_and_change").when(F.col("baseline_ready"), "baseline_only").when(F.col("_late"), "late_only_not_baseline").otherwise("exclude_current_poc_no_data")
+    return out.withColumn("recommended_use", use).drop("_late")
+
+
+#: Readiness of a table and what to do next.
+NEXT_ACTION = {
+    "high_priority_feature_candidate": "extract baseline + early_late change features first",
+    "baseline_only_candidate": "extract baseline features now; postpone change features",
+    "limited_candidate": "keep optional; use only if clinically motivated",
+    "not_useful_current_poc": "skip for current top10 poc",
+}
 
 
 def table_readiness(cov: DataFrame, early: int = 5, late: int = 2) -> DataFrame:
-    """ready with at least `early` subjects in the early and `late` in the late window; both: the subjects in the two."""
-    each = cov.groupBy("table_name", "subject_id").agg(F.coalesce(F.bool_or(_has("early")), F.lit(False)).alias("e"), F.coalesce(F.bool_or(_has("late")), F.lit(False)).alias("l"))
-    out = each.groupBy("table_name").agg(F.count_if("e").alias("subjects_early"), F.count_if("l").alias("subjects_late"), F.count_if(F.col("e") & F.col("l")).alias("subjects_both"))
-    level = F.when((F.col("subjects_early") >= early) & (F.col("subjects_late") >= late), "ready").when(F.col("subjects_early") + F.col("subjects_late") > 0, "partial").otherwise("not_ready")
-    return out.withColumn("readiness", level)
+    """Subjects, devices and rows of each table in the early and the late window, the subjects in both, its readiness
+    (enough subjects in both windows, in the early one, any row, none) and the next action."""
+    cov = cov.filter(F.col("window_rule").isin("early", "late"))
+    flag = lambda rule: F.coalesce(F.bool_or(_has(rule)), F.lit(False))
+    each = cov.groupBy("table_name", "subject_id").agg(flag("early").alias("e"), flag("late").alias("l"), *[_rows_in(r).alias(f"{r}_rows") for r in ("early", "late")])
+    out = each.groupBy("table_name").agg(
+        F.sum("early_rows").alias("early_rows"), F.sum("late_rows").alias("late_rows"), F.count_if("e").alias("subjects_early"), F.count_if("l").alias("subjects_late"), F.count_if(F.col("e") & F.col("l")).alias("subjects_both")
+    )
+    devices = cov.groupBy("table_name").agg(*[F.count_distinct(F.when(_has(r), F.col("device_id"))).alias(f"devices_{r}") for r in ("early", "late")])
+    enough = F.col("subjects_early") >= early
+    names = list(NEXT_ACTION)
+    status = F.when(enough & (F.col("subjects_late") >= late), names[0]).when(enough, names[1]).when(F.col("early_rows") + F.col("late_rows") > 0, names[2]).otherwise(names[3])
+    out = out.join(devices, "table_name").withColumn("readiness_status", status)
+    action = F.element_at(F.create_map(*[F.lit(x) for pair in NEXT_ACTION.items() for x in pair]), F.col("readiness_status"))
+    return out.withColumn("next_action", action)
 
 
 def coverage_matrix(cov: DataFrame) -> DataFrame:
@@ -179,11 +207,14 @@ def feature_availability(long: DataFrame) -> DataFrame:
     return out.withColumn("percent", 100.0 * F.col("calculated") / F.col("attempts"))
 
 
-def feature_roles(long: DataFrame, threshold: float = 10, primary: list[str] | None = None) -> DataFrame:
-    """Coverage percent and role of each feature; primary: tables whose features may be primary (all by default)."""
-    out = feature_availability(long)
-    is_primary = F.lit(True) if primary is None else F.col("table_name").isin(primary)
-    role = F.when(F.col("percent") < threshold, f"sensitivity_only_below_{threshold:g}pct").when(is_primary, f"primary_eligible_{threshold:g}pct").otherwise(f"support_eligible_{threshold:g}pct")
+def feature_roles(long: DataFrame, recommendations: DataFrame, threshold: float = 10) -> DataFrame:
+    """Coverage of each feature in percent of all subjects of `long`, and its role by that and by its recommendation
+    (feature, recommendation), which is empty where there is none."""
+    subjects = long.agg(F.count_distinct("subject_id").alias("all_subjects"))
+    seen = long.groupBy("feature").agg(F.count_distinct(F.when(F.col("value").isNotNull(), F.col("subject_id"))).alias("n_subjects"))
+    out = seen.join(F.broadcast(subjects)).join(recommendations.select("feature", "recommendation"), "feature", "left").fillna("", ["recommendation"])
+    out = out.withColumn("percent", 100.0 * F.col("n_subjects") / F.col("all_subjects")).withColumn("missing_percent", 100.0 - F.col("percent"))
+    role = F.when(F.col("percent") < threshold, f"sensitivity_only_below_{threshold:g}pct").when(F.col("recommendation") == "include_primary", f"primary_eligible_{threshold:g}pct").otherwise(f"support_eligible_{threshold:g}pct")
     return out.withColumn("role", role)
 
 

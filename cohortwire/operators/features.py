@@ -145,21 +145,20 @@ def features_keyboard(we: DataFrame, pause_s: float = 2, burst_s: float = 30) ->
 def features_keyboard_words(we: DataFrame, burst_s: float = 30) -> DataFrame:
     """Words completed and their median duration.
 
-    A segment ends with each event whose text ends in a space, and at each gap over burst_s.  Within a segment the
-    word starts at the last event whose text before ended in a space, else at the first that shows a letter; it is
-    complete if the segment's last event ends in a space and its text before did not.
+    A segment ends with each event that completes a word (its text ends in a space, the text before did not), and at
+    each gap over burst_s.  Within a segment the word starts at the last event whose text before ended in a space, else
+    at the first that shows a letter; without a start nothing is complete.
     """
     p = _keyboard(we).withColumn("current", F.coalesce("current", F.lit(""))).withColumn("before", F.coalesce("before", F.lit("")))
-    candidate = F.col("current").endswith(" ")
+    done = F.col("current").endswith(" ") & ~F.col("before").endswith(" ")
     w = _seq("device_id", "package")
-    cut = (F.coalesce(F.lag(candidate).over(w), F.lit(False)) | F.coalesce(F.col("gap_ms") > burst_s * 1000, F.lit(False))).cast("int")
-    p = p.withColumn("candidate", candidate).withColumn("cut", cut)
+    cut = (F.coalesce(F.lag(done).over(w), F.lit(False)) | F.coalesce(F.col("gap_ms") > burst_s * 1000, F.lit(False))).cast("int")
+    p = p.withColumn("done", done).withColumn("cut", cut)
     p = p.withColumn("segment", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    shows = ~F.col("candidate") & (F.trim("current") != "")
+    shows = ~F.col("current").endswith(" ") & (F.trim("current") != "")
     override = shows & F.col("before").endswith(" ")
-    done = F.col("candidate") & ~F.col("before").endswith(" ")
     words = p.groupBy(*KEY, "device_id", "package", "segment").agg(
-        F.max(F.when(override, F.col("timestamp"))).alias("o"), F.min(F.when(shows, F.col("timestamp"))).alias("s"), F.max(F.when(done, F.col("timestamp"))).alias("e")
+        F.max(F.when(override, F.col("timestamp"))).alias("o"), F.min(F.when(shows, F.col("timestamp"))).alias("s"), F.max(F.when(F.col("done"), F.col("timestamp"))).alias("e")
     )
     seconds = (F.col("e") - F.coalesce("o", "s")) / 1000.0
     out = words.groupBy(*KEY).agg(F.count(seconds).alias("key_words_completed"), S.percentile(seconds, 0.5).alias("key_word_median_s"))

@@ -12,15 +12,37 @@ def category(percent: Column, low: float = 33.3333, high: float = 66.6667) -> Co
     return F.when(percent <= low, "low").when(percent <= high, "medium").otherwise("high")
 
 
+#: Value ranges that one feature's different values are dealt over, so that no task holds them all.
+RANGES = 64
+
+
+def value_positions(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, value, ties, below: how many rows of the group have the value, and how many a smaller one.
+
+    Equal values are counted before anything is sorted, and a group's different values are summed by ranges between
+    approximate percentiles, then over the ranges, so a group may be as large as the table.
+    """
+    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(1000)).alias("_cuts"))
+    counts = counts.join(cuts, by) if by else counts.join(F.broadcast(cuts))
+    counts = counts.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    totals = counts.groupBy(*by, "_range").agg(F.sum("ties").alias("n"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
+    totals = totals.select(*by, "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_within", F.coalesce(F.sum("ties").over(within), F.lit(0)))
+    return counts.join(totals, [*by, "_range"]).select(*by, value, "ties", (F.col("_before") + F.col("_within")).alias("below"))
+
+
 def ranked_long(long: DataFrame, by: list[str] = ("feature",)) -> DataFrame:
     """Descending rank, average-tie percentile rank (%) and tertile of `value` within each feature; nulls stay out."""
+    by = list(by)
     rows = long.where("value is not null")
-    part = Window.partitionBy(*by)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, "value"))
-    up = F.rank().over(part.orderBy("value"))
-    n = F.count(F.lit(1)).over(part)
-    rows = rows.withColumn("rank_desc", F.rank().over(part.orderBy(F.desc("value"))).cast("long")).withColumn("percentile", 100.0 * (up + (ties - 1) / 2.0) / n)
-    return rows.withColumn("category", category(F.col("percentile")))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    places = value_positions(rows, "value", by).join(sizes, by)
+    n, below, ties = F.col("_n"), F.col("below"), F.col("ties")
+    places = places.select(*by, "value", (n - below - ties + 1).alias("rank_desc"), (100.0 * (below + 1 + (ties - 1) / 2.0) / n).alias("percentile"))
+    return rows.join(places, [*by, "value"]).select(*long.columns, "rank_desc", "percentile").withColumn("category", category(F.col("percentile")))
 
 
 def rank_percentile_category(df: DataFrame, cols: list[str], key: str = "subject_id") -> DataFrame:
@@ -64,15 +86,25 @@ def usability_flags(wide: DataFrame, phases: dict[str, tuple[str, str]]) -> Data
     return wide.withColumn("usable_baseline", baseline).withColumn("usable_change", change).withColumn("interpretation_scope", scope)
 
 
-def coverage_bands(df: DataFrame, cover: str = "coverage", key: str = "subject_id") -> DataFrame:
-    """Rank by coverage; bands of 25, 50 and 25 %; the cohorts top_10, top_20, top_30 and full."""
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    out = df.withColumn("coverage_rank", F.row_number().over(Window.orderBy(F.desc(cover), key)).cast("long")).join(F.broadcast(n))
-    share = lambda q: F.ceil(F.col("n") * q)
+def coverage_bands(df: DataFrame, missing: str = "missing_fraction", cover: str = "table_coverage", key: str = "subject_id") -> DataFrame:
+    """Rank by missing share, then table coverage (largest first), then key; bands of 25, 50 and 25 %, and the cohorts of
+    the first 10, 20 and 30.  A missing share that is NULL counts as 1, a coverage as 0.
+
+    Rows of equal coverage are counted first; ranks are sums over the different coverages and places within one.
+    """
+    rows = df.withColumn("_m", F.coalesce(missing, F.lit(1.0))).withColumn("_c", -F.coalesce(cover, F.lit(0.0)))
+    groups = rows.groupBy("_m", "_c").agg(F.count(F.lit(1)).alias("_ties"))
+    shares = value_positions(rows.select("_m"), "_m", []).withColumnRenamed("below", "_below").select("_m", "_below")
+    within = Window.partitionBy("_m").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("_first", F.coalesce(F.sum("_ties").over(within), F.lit(0))).join(shares, "_m").select("_m", "_c", (F.col("_below") + F.col("_first")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_m", "_c").orderBy(key))
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    out = rows.join(groups, ["_m", "_c"]).withColumn("coverage_rank", F.col("_before") + place).join(F.broadcast(n))
+    share = lambda q: F.greatest(F.lit(1), F.ceil(F.col("_n") * q))
     r = F.col("coverage_rank")
-    band = F.when(r <= share(0.25), "high").when(r <= share(0.75), "middle").otherwise("low")
-    cohort = F.when(r <= share(0.1), "top_10").when(r <= share(0.2), "top_20").when(r <= share(0.3), "top_30").otherwise("full")
-    return out.withColumn("band", band).withColumn("cohort", cohort).drop("n")
+    band = F.when(r <= share(0.25), "Highest coverage quartile").when(r <= share(0.75), "Middle coverage").otherwise("Lowest coverage quartile")
+    cohort = F.when(r <= 10, "top_10").when(r <= 20, "top_20").when(r <= 30, "top_30").otherwise("full")
+    return out.withColumn("coverage_band", band).withColumn("coverage_cohort", cohort).select(*df.columns, "coverage_rank", "coverage_band", "coverage_cohort")
 
 
 def quartile_label(df: DataFrame, col: str) -> DataFrame:

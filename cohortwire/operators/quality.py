@@ -9,7 +9,8 @@ from ..functions import scalars as S
 
 #: Codes that stand in a score's place.
 CODES = ["FP", "DI", "NA", "N/A"]
-MS_LOW, MS_HIGH = 1_704_067_200_000, 1_798_761_600_000
+#: The moments that a row may name, 2024 to 2027.
+MS_LOW, MS_HIGH = 1_704_067_200_000, 1_830_211_199_000
 
 
 def _long(df: DataFrame, columns: list[str], key: str) -> DataFrame:
@@ -77,15 +78,22 @@ def issues(df: DataFrame, key: list[str], rules: dict[str, Column]) -> DataFrame
     return df.select(*key, F.explode(found).alias("issue")).dropDuplicates([*key, "issue"])
 
 
+#: The moments of a subject's row.
+WINDOW_TIMES = ["T1_start_ms", "T1_end_ms", "T2_start_ms", "T2_end_ms", "early_window_start_ms", "early_window_end_ms", "late_window_start_ms", "late_window_end_ms"]
+
+
 def window_issues(subjects: DataFrame, low: int = MS_LOW, high: int = MS_HIGH) -> DataFrame:
+    """subject_id, issue: missing and out-of-range times, starts that are not before ends, a T2 that is not after T1, and
+    early and late windows that overlap (both ends included).  Rules on a missing time don't hold."""
     c = F.col
-    names = ["t1_ms", "t2_ms", "early_start_ms", "early_end_ms", "late_start_ms", "late_end_ms"]
-    rules = {f"{n}_missing": c(n).isNull() for n in names} | {f"{n}_out_of_range": ~c(n).between(low, high) for n in names}
+    rules = {f"missing:{n}": c(n).isNull() for n in WINDOW_TIMES} | {f"invalid_ms_range:{n}": ~c(n).between(low, high) for n in WINDOW_TIMES}
     rules |= {
-        "t2_not_after_t1": c("t2_ms") <= c("t1_ms"),
-        "early_end_not_after_start": c("early_end_ms") <= c("early_start_ms"),
-        "late_end_not_after_start": c("late_end_ms") <= c("late_start_ms"),
-        "early_late_overlap": c("early_end_ms") > c("late_start_ms"),
+        "T1_start_not_before_T1_end": c("T1_start_ms") >= c("T1_end_ms"),
+        "T2_start_not_before_T2_end": c("T2_start_ms") >= c("T2_end_ms"),
+        "T2_before_or_equal_T1": c("T1_start_ms") >= c("T2_start_ms"),
+        "early_window_start_not_before_end": c("early_window_start_ms") >= c("early_window_end_ms"),
+        "late_window_start_not_before_end": c("late_window_start_ms") >= c("late_window_end_ms"),
+        "early_late_window_overlap": (c("early_window_start_ms") <= c("late_window_end_ms")) & (c("late_window_start_ms") <= c("early_window_end_ms")),
     }
     return issues(subjects, ["subject_id"], rules)
 
@@ -127,10 +135,12 @@ def model_dataset(wide: DataFrame, status: DataFrame, features: list[str]) -> Da
 
 
 def recommend_features(dataset: DataFrame, features: list[str], adjusted: list[str] = ()) -> DataFrame:
+    """missing_pct (one decimal) and recommendation: nothing observed, else adjusted features stay for sensitivity, else
+    over half missing, else primary."""
     rows = dataset.select("subject_id", *[F.col(f).cast("double").alias(f) for f in features]).unpivot(["subject_id"], features, "feature", "value")
-    out = rows.groupBy("feature").agg((100.0 * F.count_if(F.col("value").isNull()) / F.count(F.lit(1))).alias("missing_pct"))
+    out = rows.groupBy("feature").agg(F.round(100.0 * F.count_if(F.col("value").isNull()) / F.count(F.lit(1)), 1).alias("missing_pct"))
     m = F.col("missing_pct")
-    advice = F.when(m >= 100, "exclude_no_observed_data").when(m > 50, "coverage_sensitivity").when(F.col("feature").isin(list(adjusted)), "adjusted_sensitivity").otherwise("include_primary")
+    advice = F.when(m >= 100, "exclude_no_observed_data").when(F.col("feature").isin(list(adjusted)), "adjusted_sensitivity").when(m > 50, "coverage_sensitivity").otherwise("include_primary")
     return out.withColumn("recommendation", advice)
 
 

@@ -15,8 +15,18 @@ from ..functions import numeric as N
 from ..functions import scalars as S
 from .features import KEY
 
-#: Frequency bands in Hz, low <= f < high.
-BANDS = {"b0_0_5": (0.0, 0.5), "b0_5_1": (0.5, 1.0), "b1_2": (1.0, 2.0), "b2_3": (2.0, 3.0), "b3_4": (3.0, 4.0), "b4_5": (4.0, 5.0)}
+#: Frequency bands in Hz, low <= f < high, cut at half the resampling rate.
+BANDS = {
+    "very_low_lt_0_3hz": (0.0, 0.3),
+    "handling_0_3_1hz": (0.3, 1.0),
+    "walking_like_1_3hz": (1.0, 3.0),
+    "vigorous_2_5_4hz": (2.5, 4.0),
+    "shaking_like_3_8hz": (3.0, 8.0),
+    "high_freq_8_12hz": (8.0, 12.0),
+}
+#: Thresholds of the dynamic magnitude and of a band's share of the power.
+STILL, HANDLING, HIGH_MOTION, BAND_SHARE = 0.10, 0.20, 0.75, 0.35
+RESAMPLE_HZ = 10.0
 CHUNK_KEY = ["subject_id", "device_id", "chunk_index"]
 
 
@@ -43,47 +53,56 @@ def chunk_grid(win: DataFrame, minutes: int = 5) -> DataFrame:
 
 
 def chunk_stats(chunks: DataFrame, win: DataFrame | None = None, minutes: int = 5, tz: str = S.DEFAULT_TZ) -> DataFrame:
-    """Statistics of each chunk; with win, chunks without rows are kept as `no_rows`."""
+    """Statistics of each chunk; with win, chunks without rows are kept as `no_rows`.
+
+    Intervals are the positive ones; gap_burden is the time in gaps of over a second as a share of the chunk's length.
+    """
     w = Window.partitionBy(*CHUNK_KEY).orderBy("timestamp", "_id")
-    rows = chunks.withColumn("gap_s", (F.col("timestamp") - F.lag("timestamp").over(w)) / 1000.0)
+    gap = (F.col("timestamp") - F.lag("timestamp").over(w)) / 1000.0
+    rows = chunks.withColumn("gap_s", F.when(gap > 0, gap))
     rows = rows.withColumn("base", F.percentile("magnitude", F.lit(0.5)).over(Window.partitionBy(*CHUNK_KEY)))
     rows = rows.withColumn("dynamic", F.abs(F.col("magnitude") - F.col("base")))
     gap, dyn = F.col("gap_s"), F.col("dynamic")
     out = rows.groupBy(*CHUNK_KEY).agg(
         F.min("start_ms").alias("start_ms"), F.count(F.lit(1)).alias("sample_count"), ((F.max("timestamp") - F.min("timestamp")) / 1000.0).alias("span_s"),
         S.percentile(gap, 0.5).alias("median_interval_s"), S.percentile(gap, 0.95).alias("p95_interval_s"), F.max(gap).alias("max_gap_s"), F.count_if(gap > 1).alias("gaps_over_1s"),
-        F.coalesce(F.sum(F.when(gap > 1, gap)), F.lit(0.0)).alias("gap_s"), F.min("base").alias("median_magnitude"), F.avg(dyn).alias("dynamic_mean"),
-        S.percentile(dyn, 0.5).alias("dynamic_median"), F.stddev_pop(dyn).alias("dynamic_sd"), (F.count_if(dyn >= 0.75) / F.count(F.lit(1))).alias("high_motion_fraction"),
+        (F.coalesce(F.sum(F.when(gap > 1, gap)), F.lit(0.0)) / (60.0 * minutes)).alias("gap_burden"), F.min("base").alias("median_magnitude"), F.avg(dyn).alias("dynamic_mean"),
+        S.percentile(dyn, 0.5).alias("dynamic_median"), F.stddev_pop(dyn).alias("dynamic_sd"), (F.count_if(dyn >= HIGH_MOTION) / F.count(F.lit(1))).alias("high_motion_fraction"),
     )
-    out = out.withColumn("gap_burden", F.when(F.col("span_s") > 0, F.col("gap_s") / F.col("span_s"))).drop("gap_s")
     if win is not None:
         out = chunk_grid(win, minutes).join(out.drop("start_ms"), CHUNK_KEY, "left").withColumn("sample_count", F.coalesce("sample_count", F.lit(0)))
-    status = F.when(F.col("sample_count") == 0, "no_rows").when(F.col("sample_count") < 100, "insufficient").otherwise("ok")
+    status = F.when(F.col("sample_count") == 0, "no_rows").when(F.col("sample_count") < 100, "too_few_samples").otherwise("ok")
     at = F.col("start_ms") + F.col("chunk_index").cast("long") * minutes * 60_000
     return out.withColumn("chunk_start_ms", at).withColumn("status", status).withColumn("night", S.is_night("chunk_start_ms", tz)).withColumn("local_hour", S.local_hour("chunk_start_ms", tz))
 
 
-def spectrum_of(ms: np.ndarray, magnitude: np.ndarray, hz: float = 10) -> dict[str, float] | None:
-    """Band powers of the rectified deviation from the median: hz-mean resampling, interpolation, detrending, Welch."""
+def spectrum_of(ms: np.ndarray, magnitude: np.ndarray, hz: float = RESAMPLE_HZ, minutes: int = 5) -> dict[str, float] | None:
+    """Band powers of the rectified deviation from the median: means of slots of 1 / hz that start at whole slots of the
+    clock, interpolated, detrended, Welch over segments of a minute.  None if a gate fails: 100 samples, 30 s from first
+    to last, gaps of over a second for half of the chunk at most, 30 s of slots."""
     if len(ms) < 100 or (ms.max() - ms.min()) < 30_000:
         return None
     gaps = np.diff(np.sort(ms)) / 1000.0
-    if gaps[gaps > 1].sum() > 0.5 * (ms.max() - ms.min()) / 1000.0:
+    if gaps[gaps > 1].sum() > 0.5 * 60 * minutes:
         return None
     dynamic = np.abs(magnitude - np.median(magnitude))
-    step = ((ms - ms.min()) // int(1000 / hz)).astype(np.int64)
+    slot = ms // int(1000 / hz)
+    step = (slot - slot.min()).astype(np.int64)
     n = int(step.max()) + 1
+    if n < int(30 * hz):
+        return None
     count = np.bincount(step, minlength=n)
     mean = np.bincount(step, weights=dynamic, minlength=n) / np.maximum(count, 1)
     there = np.flatnonzero(count)
     series = N.detrended(np.interp(np.arange(n), there, mean[there]))
     f, p = N.welch(series, hz, min(n, int(60 * hz)))
-    total = N.trapezoid(p, f)
-    out = {"total_power": total, "dominant_hz": float(f[1:][p[1:].argmax()]) if len(f) > 1 else 0.0}
+    total = N.trapezoid(p[1:], f[1:])
+    out = {"total_power": total, "dominant_hz": float(f[1:][p[1:].argmax()])}
     for name, (low, high) in BANDS.items():
-        inside = (f >= low) & (f < high)
-        out[f"power_{name}"] = N.trapezoid(p[inside], f[inside])
-        out[f"ratio_{name}"] = out[f"power_{name}"] / total if total > 0 else 0.0
+        inside = (f >= low) & (f < min(high, hz / 2))
+        power = N.trapezoid(p[inside], f[inside]) if low < hz / 2 and inside.any() else None
+        out[f"power_{name}"] = power
+        out[f"ratio_{name}"] = power / total if power is not None and total > 0 else None
     return out
 
 
@@ -101,37 +120,53 @@ def chunk_spectrum(chunks: DataFrame, hz: float = 10) -> DataFrame:
     return chunks.select(*CHUNK_KEY, "timestamp", "magnitude").groupBy(*CHUNK_KEY).applyInPandas(one, schema)
 
 
+STATES = {
+    "insufficient": "insufficient_signal", "fragmented": "fragmented_signal", "still": "still_phone_candidate", "walking": "walking_like_phone_motion_candidate",
+    "shaking": "shaking_like_phone_motion_candidate", "handling": "phone_handling_motion_candidate", "low_motion": "low_motion_phone_candidate",
+}
+
+
+def _ratio(stats: DataFrame, band: str):
+    return F.col(f"ratio_{band}") if f"ratio_{band}" in stats.columns else F.lit(None).cast("double")
+
+
 def chunk_state(stats: DataFrame) -> DataFrame:
-    """state: the first of insufficient, fragmented, still, walking, shaking, handling, low_motion that holds."""
-    d, high = F.col("dynamic_mean"), F.col("high_motion_fraction")
+    """state: the first of STATES, in that order, that holds.  Without a spectrum no chunk is walking or shaking."""
+    median = F.col("dynamic_median")
     dominant = F.col("dominant_hz") if "dominant_hz" in stats.columns else F.lit(None).cast("double")
+
+    def rhythm(band):
+        low, high = BANDS[band]
+        return (_ratio(stats, band) >= BAND_SHARE) & (dominant >= low) & (dominant < high)
+
     state = (
-        F.when(F.col("sample_count") < 100, "insufficient")
-        .when(F.col("gap_burden") > 0.5, "fragmented")
-        .when((d < 0.05) & (high < 0.01), "still")
-        .when((d >= 0.5) & dominant.between(1.0, 3.0), "walking")
-        .when((d >= 0.5) & (dominant > 3.0), "shaking")
-        .when((d >= 0.2) | (high >= 0.05), "handling")
-        .otherwise("low_motion")
+        F.when(F.col("sample_count") < 100, STATES["insufficient"])
+        .when(F.col("gap_burden") > 0.5, STATES["fragmented"])
+        .when(median <= STILL, STATES["still"])
+        .when(rhythm("walking_like_1_3hz"), STATES["walking"])
+        .when(rhythm("shaking_like_3_8hz"), STATES["shaking"])
+        .when(median >= HANDLING, STATES["handling"])
+        .otherwise(STATES["low_motion"])
     )
     return stats.withColumn("state", state)
 
 
-STATES = ["insufficient", "fragmented", "still", "walking", "shaking", "handling", "low_motion"]
-
-
 def movement_summary(stats: DataFrame, minutes: int = 5) -> DataFrame:
-    """Minutes per state, stillness share, day and night motion, hourly motion entropy; means are of chunk values."""
-    ok = F.col("status") == "ok"
-    moving = ok & (F.col("dynamic_mean") >= 0.2)
+    """Minutes per state, stillness share, day and night motion, hourly motion entropy and means, all over the chunks
+    whose status is ok; a chunk moves if its median dynamic magnitude reaches the handling threshold."""
+    ok = stats.filter(F.col("status") == "ok")
+    moving = F.col("dynamic_median") >= HANDLING
     day = minutes * F.count_if(moving & ~F.col("night"))
     night = minutes * F.count_if(moving & F.col("night"))
-    base = stats.groupBy("subject_id").agg(
-        F.count_if(ok).alias("chunk_count"), *[(minutes * F.count_if(F.col("state") == s)).alias(f"{s}_minutes") for s in STATES],
-        (F.count_if(F.col("state") == "still") / F.nullif(F.count_if(ok), F.lit(0))).alias("stillness_fraction"), day.alias("day_motion_minutes"), night.alias("night_motion_minutes"),
-        F.when(night > 0, day / night).alias("day_night_ratio"), F.avg(F.when(ok, F.col("dynamic_mean"))).alias("mean_dynamic"), F.avg(F.when(ok, F.col("dynamic_median"))).alias("mean_dynamic_median"),
+    in_state = lambda s: F.count_if(F.col("state") == STATES[s])
+    tremor = F.col("power_shaking_like_3_8hz") if "power_shaking_like_3_8hz" in stats.columns else F.lit(None).cast("double")
+    base = ok.groupBy("subject_id").agg(
+        F.count(F.lit(1)).alias("valid_chunks"), (minutes * F.count(F.lit(1))).alias("valid_minutes"), S.percentile("median_interval_s", 0.5).alias("median_interval_s"),
+        *[(minutes * in_state(s)).alias(f"{s}_minutes") for s in ("still", "handling", "walking", "shaking")], (in_state("still") / F.count(F.lit(1))).alias("stillness_fraction"),
+        F.avg("gap_burden").alias("gap_burden"), F.avg("dynamic_mean").alias("dynamic_mean"), F.avg("dynamic_sd").alias("dynamic_sd"), F.avg("high_motion_fraction").alias("high_motion_fraction"),
+        F.avg(tremor).alias("tremor_power_mean"), day.alias("day_motion_minutes"), night.alias("night_motion_minutes"), F.when(night > 0, day / night).alias("day_night_ratio"),
     )
-    hours = stats.filter(moving).groupBy("subject_id", "local_hour").agg(F.count(F.lit(1)).alias("n"))
+    hours = ok.filter(moving).groupBy("subject_id", "local_hour").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n")
     entropy = hours.groupBy("subject_id").agg((F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total).alias("hourly_motion_entropy"))
     return base.join(entropy, "subject_id", "left")
@@ -140,8 +175,8 @@ def movement_summary(stats: DataFrame, minutes: int = 5) -> DataFrame:
 def hourly_summary(stats: DataFrame, minutes: int = 5) -> DataFrame:
     ok = F.col("status") == "ok"
     return stats.groupBy("subject_id", "local_hour").agg(
-        F.count_if(ok).alias("valid_chunks"), S.percentile(F.when(ok, F.col("dynamic_mean")), 0.5).alias("median_dynamic"), F.avg(F.when(ok, F.col("dynamic_mean"))).alias("mean_dynamic"),
-        F.avg(F.when(ok, F.col("high_motion_fraction"))).alias("mean_high_motion"), *[(minutes * F.count_if(F.col("state") == s)).alias(f"{s}_minutes") for s in ("walking", "shaking")],
+        F.count_if(ok).alias("valid_chunks"), S.percentile(F.when(ok, F.col("dynamic_median")), 0.5).alias("median_dynamic"), F.avg(F.when(ok, F.col("dynamic_mean"))).alias("mean_dynamic"),
+        F.avg(F.when(ok, F.col("high_motion_fraction"))).alias("mean_high_motion"), *[(minutes * F.count_if(ok & (F.col("state") == STATES[s]))).alias(f"{s}_minutes") for s in ("walking", "shaking")],
     )
 
 
@@ -150,38 +185,50 @@ def state_summary(stats: DataFrame, minutes: int = 5) -> DataFrame:
 
 
 def threshold_sensitivity(stats: DataFrame, thresholds=(0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 0.75, 1.0), minutes: int = 5) -> DataFrame:
-    """Motion minutes by threshold, by chunk mean and median, day and night."""
+    """Active chunks, minutes and their share by threshold, by the chunks' median and mean, and day and night minutes by
+    the median."""
     rows = stats.where("status = 'ok'").withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    t, night = F.col("threshold"), F.col("night")
-    out = [(minutes * F.count_if((F.col(f"dynamic_{m}") >= t) & (night if part == "night" else ~night))).alias(f"{part}_minutes_by_{m}") for m in ("mean", "median") for part in ("day", "night")]
+    out = []
+    for m in ("median", "mean"):
+        active = F.count_if(F.col(f"dynamic_{m}") >= F.col("threshold"))
+        out += [active.alias(f"chunks_by_{m}"), (minutes * active).alias(f"minutes_by_{m}"), (active / F.count(F.lit(1))).alias(f"fraction_by_{m}")]
+    by_median = F.col("dynamic_median") >= F.col("threshold")
+    out += [(minutes * F.count_if(by_median & side)).alias(f"{name}_minutes_by_median") for name, side in (("day", ~F.col("night")), ("night", F.col("night")))]
     return rows.groupBy("subject_id", "threshold").agg(*out)
 
 
-def with_dominant_band(chunks: DataFrame) -> DataFrame:
-    """dominant_band: the first band of largest ratio; band_feasible: the sampling rate covers it; band_active: enough
-    motion (0.20) and enough of the power (0.35)."""
-    names = list(BANDS)
-    ratios = F.array(*[F.col(f"ratio_{b}") for b in names])
-    at = F.array_position(ratios, F.array_max(ratios))
-    band = F.element_at(F.array(*[F.lit(b) for b in names]), F.when(at > 0, at.cast("int")))
-    high = F.element_at(F.array(*[F.lit(BANDS[b][1]) for b in names]), F.when(at > 0, at.cast("int")))
-    feasible = F.coalesce(0.5 / F.col("median_interval_s") >= high, F.lit(False))
-    active = feasible & (F.col("dynamic_mean") >= 0.20) & (F.array_max(ratios) >= 0.35)
-    return chunks.withColumn("dominant_band", band).withColumn("band_feasible", feasible).withColumn("band_active", F.coalesce(active, F.lit(False)))
-
-
-def band_summary(chunks: DataFrame, by: list[str] | None = None, minutes: int = 5) -> DataFrame:
-    """Active minutes by dominant band, and by day and night (by=["local_hour"]: by hour)."""
-    rows = with_dominant_band(chunks.where("status = 'ok'")).where("dominant_band is not null")
-    active = F.col("band_active")
-    return rows.groupBy("subject_id", *(by or []), "dominant_band").agg(
-        F.count(F.lit(1)).alias("chunks"), F.count_if("band_feasible").alias("feasible_chunks"), (minutes * F.count_if(active)).alias("active_minutes"),
-        (minutes * F.count_if(active & ~F.col("night"))).alias("day_minutes"), (minutes * F.count_if(active & F.col("night"))).alias("night_minutes"),
+def with_band_gates(chunks: DataFrame) -> DataFrame:
+    """A row per ok chunk and band: power, ratio, feasible (the sampling, and the resampling, reach the band's end) and
+    selected (feasible, enough motion by the mean, and the band is the first of largest ratio, with enough of it)."""
+    ok = chunks.where("status = 'ok'")
+    top = F.greatest(*[F.col(f"ratio_{b}") for b in BANDS])
+    first = F.coalesce(*[F.when(F.col(f"ratio_{b}") == top, F.lit(b)) for b in BANDS])
+    rows = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(high).alias("high_hz"), F.col(f"power_{b}").alias("power"), F.col(f"ratio_{b}").alias("ratio")) for b, (_, high) in BANDS.items()])
+    rows = ok.withColumn("dominant_band", first).select("subject_id", "local_hour", "night", "median_interval_s", "dynamic_mean", "dynamic_median", "dominant_band", F.explode(rows).alias("b"))
+    rows = rows.select("subject_id", "local_hour", "night", "dynamic_mean", "dynamic_median", "dominant_band", "median_interval_s", "b.*")
+    feasible = F.col("dominant_band").isNotNull() & (0.5 / F.col("median_interval_s") >= F.col("high_hz")) & (F.lit(RESAMPLE_HZ / 2) >= F.col("high_hz"))
+    rows = rows.withColumn("feasible", F.coalesce(feasible, F.lit(False)))
+    selected = F.col("feasible") & (F.col("dynamic_mean") >= HANDLING) & (F.col("dominant_band") == F.col("band")) & (F.col("ratio") >= BAND_SHARE)
+    return rows.withColumn("selected", F.coalesce(selected, F.lit(False)))
+
+
+def band_summary(chunks: DataFrame, minutes: int = 5) -> DataFrame:
+    """By subject and band: feasible and selected chunks and minutes, by day and night, mean and median ratio, mean power."""
+    chosen = F.col("selected")
+    return with_band_gates(chunks).groupBy("subject_id", "band").agg(
+        F.count_if("feasible").alias("feasible_chunks"), (minutes * F.count_if("feasible")).alias("feasible_minutes"), F.avg("ratio").alias("mean_ratio"), S.percentile("ratio", 0.5).alias("median_ratio"),
+        F.avg("power").alias("mean_power"), F.count_if(chosen).alias("selected_chunks"), (minutes * F.count_if(chosen)).alias("selected_minutes"),
+        (minutes * F.count_if(chosen & ~F.col("night"))).alias("day_minutes"), (minutes * F.count_if(chosen & F.col("night"))).alias("night_minutes"),
     )
 
 
 def band_hourly(chunks: DataFrame, minutes: int = 5) -> DataFrame:
-    return band_summary(chunks, ["local_hour"], minutes)
+    """By subject, local hour and band: valid chunks and minutes, motion, selected minutes and mean ratio."""
+    return with_band_gates(chunks).groupBy("subject_id", "local_hour", "band").agg(
+        F.count(F.lit(1)).alias("valid_chunks"), (minutes * F.count(F.lit(1))).alias("valid_minutes"), F.avg("dynamic_mean").alias("mean_dynamic"), S.percentile("dynamic_median", 0.5).alias("median_dynamic"),
+        (minutes * F.count_if("selected")).alias("selected_minutes"), F.avg("ratio").alias("mean_ratio"),
+    )
+
 
 
 # -------------------------------------------------------------------------------------------------- whole days

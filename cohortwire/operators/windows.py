@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DEFAULT_TZ, local_midnight_ms, percentile
-from .rangejoin import range_join, small
+from .rangejoin import first_event_after, range_join, small
 
 HOUR, DAY = 3_600_000, 86_400_000
 
@@ -149,6 +149,13 @@ def first_raw_candidate(ev, ranked_subjects: DataFrame, devices, min_rows: int =
     return chosen.select("table_name", "subject_id", "device_id", "start_ms", (F.col("start_ms") + hours * HOUR).alias("end_ms"), "n_rows")
 
 
+def first_row_windows(ev: DataFrame, subjects: DataFrame, devices: DataFrame, days: int = 120, hours: int = 24) -> DataFrame:
+    """For each subject's device and table the `hours` from its first event in the `days` after T1."""
+    anchors = subjects.select("subject_id", F.col("t1_ms").alias("anchor_ms")).join(devices, "subject_id")
+    found = first_event_after(ev, anchors, days * DAY)
+    return found.select("subject_id", "device_id", *[c for c in ("table_name",) if c in found.columns], F.col("found_ms").alias("start_ms"), (F.col("found_ms") + hours * HOUR).alias("end_ms"))
+
+
 def hourly_density(ev: DataFrame, win: DataFrame, cap: int = 5000) -> DataFrame:
     """For each hour of each window: rows seen (up to cap), median interval (ms), estimated rows (from the interval
     where the cap is reached).  Hours without rows are kept with 0."""
@@ -179,14 +186,40 @@ def probe_hits(ev: DataFrame, probes: DataFrame) -> DataFrame:
     return tried.join(hits, ["subject_id", "device_id"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
 
-def window_status(subjects: DataFrame, qc: DataFrame, probes: DataFrame) -> DataFrame:
-    """One status and next action per subject from the QC rows (valid boolean) and the probe hits."""
-    q = qc.groupBy("subject_id").agg(F.bool_or("valid").alias("valid"))
-    p = probes.groupBy("subject_id").agg(F.sum("hits").alias("hits"))
-    rows = subjects.select("subject_id").join(q, "subject_id", "left").join(p, "subject_id", "left")
-    status = F.when(F.col("valid"), "valid_window").when(F.col("hits") > 0, "raw_rows_outside_anchor").when(F.col("hits") == 0, "no_raw_rows_found").when(F.col("valid").isNotNull(), "anchor_without_raw_rows").otherwise("not_checked")
-    action = F.when(status == "valid_window", "extract").when(status == "raw_rows_outside_anchor", "re_anchor").when(status == "no_raw_rows_found", "mark_missing").otherwise("probe")
-    return rows.select("subject_id", status.alias("status"), action.alias("next_action"))
+def window_status(subjects: DataFrame, anchored: DataFrame, pending: DataFrame, broad: DataFrame, weekly: DataFrame) -> DataFrame:
+    """One status and next action per subject (subject_id, has_metadata) from several validations.
+
+    anchored: subject_id, score, status of the first pilot, of which the subject's row of largest score counts; pending
+    and broad: subject_id, status of later probes; weekly: subject_id, hit of backward probes, all of which must miss.
+    """
+    pilot = anchored.groupBy("subject_id").agg(F.max_by("status", F.coalesce("score", F.lit(float("-inf")))).alias("_a"))
+    one = lambda df, name: df.groupBy("subject_id").agg(F.min("status").alias(name))
+    missed = weekly.groupBy("subject_id").agg((~F.bool_or("hit")).alias("_no_hit"))
+    rows = subjects.select("subject_id", "has_metadata")
+    for part in (pilot, one(pending, "_p"), one(broad, "_b"), missed):
+        rows = rows.join(part, "subject_id", "left")
+    a, p, b = (F.coalesce(F.trim(c), F.lit("")) for c in ("_a", "_p", "_b"))
+    found = a.isin("raw_window_found_from_sensor_anchor_probe", "raw_window_found_from_sensor_daily_jump_probe") | (p == "raw_window_found_from_pending_metadata_probe") | (b == "raw_window_found_from_weekly_t1_t2_probe")
+    daily = p == "missing_no_raw_rows_in_bounded_daily_probes"
+    status = (
+        F.when(found, "raw_24h_window_validated")
+        .when(F.coalesce("_no_hit", F.lit(False)), "likely_no_usable_raw_accelerometer")
+        .when(daily & (b == "missing_no_raw_rows_in_weekly_t1_t2_probes"), "no_raw_rows_in_broad_weekly_t1_t2_probe")
+        .when(daily, "no_raw_rows_in_validated_metadata_window")
+        .when(F.coalesce("has_metadata", F.lit(False)), "sensor_metadata_window_candidate_pending_raw_validation")
+        .otherwise("no_sensor_accelerometer_metadata_after_T1")
+    )
+    s = F.col("data_window_status")
+    action = (
+        F.when(s == "raw_24h_window_validated", "ready_for_raw_24h_feature_extraction")
+        .when(s == "sensor_metadata_window_candidate_pending_raw_validation", "run_raw_probe_validation_before_feature_extraction")
+        .when(s == "no_sensor_accelerometer_metadata_after_T1", "not_ready_for_raw_accelerometer_phase")
+        .otherwise("exclude_from_raw_accelerometer_phase_or_revisit_with_broader_manual_probe")
+    )
+    scope = F.when(F.col("_a").isNotNull(), "top10_pilot").when(F.col("_b").isNotNull(), "broad_weekly_t1_t2_validation").when(F.col("_p").isNotNull(), "pending_67_validation").otherwise("")
+    known = F.coalesce(*[F.nullif(x, F.lit("")) for x in (a, b, p)], F.lit(""))
+    out = rows.select("subject_id", scope.alias("raw_validation_scope"), known.alias("raw_validation_status"), status.alias("data_window_status"))
+    return out.withColumn("next_action", action)
 
 
 def first_valid_by_rank(long: DataFrame, subjects: DataFrame) -> DataFrame:

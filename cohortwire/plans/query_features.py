@@ -129,7 +129,7 @@ def features_keyboard(spark, sf_dir):
     return rounded(f, "key_gap_median_s", "key_gap_iqr_s")
 
 
-@query(f"""{_KEYS}, c AS (SELECT *, CASE WHEN coalesce(lag(cur) OVER w LIKE '% ', false) OR coalesce(gap_ms > 400000000, false) THEN 1 ELSE 0 END AS cut FROM q WINDOW w AS (PARTITION BY {KEY}, device_id ORDER BY timestamp, _id)),
+@query(f"""{_KEYS}, c AS (SELECT *, CASE WHEN coalesce(lag(cur LIKE '% ' AND bef NOT LIKE '% ') OVER w, false) OR coalesce(gap_ms > 400000000, false) THEN 1 ELSE 0 END AS cut FROM q WINDOW w AS (PARTITION BY {KEY}, device_id ORDER BY timestamp, _id)),
     s AS (SELECT *, sum(cut) OVER (PARTITION BY {KEY}, device_id ORDER BY timestamp, _id ROWS UNBOUNDED PRECEDING) AS seg FROM c),
     g AS (SELECT {KEY}, device_id, seg, max(CASE WHEN cur NOT LIKE '% ' AND trim(cur) <> '' AND bef LIKE '% ' THEN timestamp END) AS o, min(CASE WHEN cur NOT LIKE '% ' AND trim(cur) <> '' THEN timestamp END) AS st,
           max(CASE WHEN cur LIKE '% ' AND bef NOT LIKE '% ' THEN timestamp END) AS en FROM s GROUP BY ALL), d AS (SELECT {KEY}, (en - coalesce(o, st)) / 1000 AS sec FROM g)
@@ -305,46 +305,124 @@ def dedupe_signal(spark, sf_dir):
     return G.dedupe_signal(s.unionByName(s))
 
 
+_WEEK = 7 * 24 * 60
 _CHUNKS = f"""WITH {A.SIGNAL}, w AS (SELECT device_id, min(timestamp) // {DAY} * {DAY} AS start_ms FROM sig GROUP BY 1), c AS (SELECT s.*, sqrt(x * x + y * y + z * z) AS m, (timestamp - start_ms) // {7 * DAY} AS chunk_index, start_ms FROM sig s JOIN w USING (device_id)),
-    g AS (SELECT *, (timestamp - lag(timestamp) OVER (PARTITION BY device_id, chunk_index ORDER BY timestamp, _id)) / 1000 AS gap FROM c), b AS (SELECT device_id, chunk_index, quantile_cont(m, 0.5) AS base FROM c GROUP BY ALL),
+    g0 AS (SELECT *, (timestamp - lag(timestamp) OVER (PARTITION BY device_id, chunk_index ORDER BY timestamp, _id)) / 1000 AS gap0 FROM c), g AS (SELECT *, CASE WHEN gap0 > 0 THEN gap0 END AS gap FROM g0), b AS (SELECT device_id, chunk_index, quantile_cont(m, 0.5) AS base FROM c GROUP BY ALL),
     d AS (SELECT g.*, base, abs(m - base) AS dyn FROM g JOIN b USING (device_id, chunk_index)),
-    st AS (SELECT subject_id, device_id, CAST(chunk_index AS INTEGER) AS chunk_index, min(start_ms) AS start_ms, count(*) AS sample_count, (max(timestamp) - min(timestamp)) / 1000 AS span_s, quantile_cont(gap, 0.5) AS median_interval_s, quantile_cont(gap, 0.95) AS p95_interval_s, max(gap) AS max_gap_s,
-        coalesce(count_if(gap > 1), 0) AS gaps_over_1s, coalesce(sum(CASE WHEN gap > 1 THEN gap END), 0) AS gap_s, min(base) AS median_magnitude, avg(dyn) AS dynamic_mean, quantile_cont(dyn, 0.5) AS dynamic_median, stddev_pop(dyn) AS dynamic_sd, count_if(dyn >= 0.75) / count(*) AS high_motion_fraction FROM d GROUP BY ALL)"""
+    st0 AS (SELECT subject_id, device_id, CAST(chunk_index AS INTEGER) AS chunk_index, min(start_ms) AS start_ms, count(*) AS sample_count, quantile_cont(gap, 0.5) AS median_interval_s, quantile_cont(gap, 0.95) AS p95_interval_s, max(gap) AS max_gap_s,
+        coalesce(count_if(gap > 1), 0) AS gaps_over_1s, coalesce(sum(CASE WHEN gap > 1 THEN gap END), 0) / {60 * _WEEK} AS gap_burden, min(base) AS median_magnitude, avg(dyn) AS dynamic_mean, quantile_cont(dyn, 0.5) AS dynamic_median, stddev_pop(dyn) AS dynamic_sd, count_if(dyn >= 0.75) / count(*) AS high_motion_fraction FROM d GROUP BY ALL),
+    st AS (SELECT *, CASE WHEN sample_count < 100 THEN 'too_few_samples' ELSE 'ok' END AS status, hour(make_timestamp((start_ms + chunk_index::BIGINT * {7 * DAY} + {A.SHIFT}) * 1000)) AS local_hour FROM st0)"""
 
 
 def _stats(spark, sf_dir):
+    """Chunks of a week, as the samples are days apart, from the midnight before a device's first sample."""
     from pyspark.sql import Window
 
     s = A.signal(spark, sf_dir).withColumn("magnitude", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))
     first = F.min("timestamp").over(Window.partitionBy("device_id"))
     s = s.withColumn("start_ms", F.floor(first / DAY) * DAY)
-    return G.chunk_stats(G.assign_chunks(s, 7 * 24 * 60), minutes=7 * 24 * 60, tz=A.TZ)
+    return G.chunk_stats(G.assign_chunks(s, _WEEK), minutes=_WEEK, tz="GMT+02:00")
 
 
 @query(f"""{_CHUNKS} SELECT subject_id, device_id, chunk_index, sample_count, round(median_interval_s, 4) AS median_interval_s, round(p95_interval_s, 4) AS p95_interval_s, round(max_gap_s, 4) AS max_gap_s, gaps_over_1s, round(median_magnitude, 6) AS median_magnitude, round(dynamic_mean, 6) AS dynamic_mean,
-    round(dynamic_median, 6) AS dynamic_median, round(dynamic_sd, 6) AS dynamic_sd, round(high_motion_fraction, 6) AS high_motion_fraction, round(CASE WHEN span_s > 0 THEN gap_s / span_s END, 6) AS gap_burden, CASE WHEN sample_count < 100 THEN 'insufficient' ELSE 'ok' END AS status FROM st""")
+    round(dynamic_median, 6) AS dynamic_median, round(dynamic_sd, 6) AS dynamic_sd, round(high_motion_fraction, 6) AS high_motion_fraction, round(gap_burden, 9) AS gap_burden, status FROM st""")
 def chunk_stats(spark, sf_dir):
     f = _stats(spark, sf_dir).drop("start_ms", "span_s", "chunk_start_ms", "night", "local_hour")
     f = rounded(f, "median_interval_s", "p95_interval_s", "max_gap_s", digits=4)
-    return rounded(f, "median_magnitude", "dynamic_mean", "dynamic_median", "dynamic_sd", "high_motion_fraction", "gap_burden")
+    f = rounded(f, "gap_burden", digits=9)
+    return rounded(f, "median_magnitude", "dynamic_mean", "dynamic_median", "dynamic_sd", "high_motion_fraction")
 
 
-@query(f"""{_CHUNKS}, x AS (SELECT *, CASE WHEN sample_count < 100 THEN 'insufficient' WHEN CASE WHEN span_s > 0 THEN gap_s / span_s END > 0.5 THEN 'fragmented' WHEN dynamic_mean < 0.05 AND high_motion_fraction < 0.01 THEN 'still' WHEN dynamic_mean >= 0.2 OR high_motion_fraction >= 0.05 THEN 'handling' ELSE 'low_motion' END AS state FROM st)
-    SELECT subject_id, state, count(*) AS chunks, CAST(count(*) * 5 AS BIGINT) AS minutes FROM x GROUP BY ALL""")
+#: Stand-ins of a spectrum, which SQL can't compute: dominant frequency and band shares from a chunk's numbers.  Line
+#: items of one supplier are few a week, so their chunks count as large and as whole, and their motion as small.
+_SHARES = {"very_low_lt_0_3hz": 3, "handling_0_3_1hz": 5, "walking_like_1_3hz": 7, "vigorous_2_5_4hz": 11, "shaking_like_3_8hz": 13, "high_freq_8_12hz": 17}
+_MOTION = "(sample_count * 13 + chunk_index * 7) % 100"
+
+
+def _banded(spark, sf_dir):
+    s = _stats(spark, sf_dir)
+    n = (F.col("sample_count") * 13 + F.col("chunk_index") * 7) % 100
+    s = s.withColumns({f"ratio_{b}": (n * k % 50) / 100.0 for b, k in _SHARES.items()}).withColumns({f"power_{b}": F.col(f"ratio_{b}") * F.col("sample_count") for b in _SHARES})
+    s = s.withColumn("dominant_hz", n / 10.0).withColumn("dynamic_median", n / 200.0).withColumn("dynamic_mean", n / 150.0).withColumn("median_interval_s", F.when(n < 50, 0.1).otherwise(0.15))
+    s = s.withColumn("gap_burden", (F.col("sample_count") % 7) / 10.0).withColumn("sample_count", F.col("sample_count") * 40)
+    s = s.withColumn("status", F.when(F.col("sample_count") < 100, "too_few_samples").otherwise("ok")).withColumn("local_hour", (F.col("chunk_index") % 24)).withColumn("night", (F.col("local_hour") >= 22) | (F.col("local_hour") < 6))
+    return G.chunk_state(s)
+
+
+_BANDED = f"""{_CHUNKS}, bn AS (SELECT subject_id, device_id, chunk_index, sample_count * 40 AS sample_count, {_MOTION} AS n, dynamic_sd, high_motion_fraction, chunk_index % 24 AS local_hour, chunk_index % 24 >= 22 OR chunk_index % 24 < 6 AS night, (sample_count % 7) / 10 AS gap_burden, {", ".join(f"({_MOTION} * {k} % 50) / 100.0 AS ratio_{b}, ({_MOTION} * {k} % 50) / 100.0 * sample_count AS power_{b}" for b, k in _SHARES.items())} FROM st),
+    bs AS (SELECT *, n / 200 AS dynamic_median, n / 150 AS dynamic_mean, n / 10 AS dominant_hz, CASE WHEN n < 50 THEN 0.1::DOUBLE ELSE 0.15::DOUBLE END AS median_interval_s FROM bn),
+    bt AS (SELECT *, CASE WHEN sample_count < 100 THEN 'insufficient_signal' WHEN gap_burden > 0.5 THEN 'fragmented_signal' WHEN dynamic_median <= 0.1 THEN 'still_phone_candidate' WHEN ratio_walking_like_1_3hz >= 0.35 AND dominant_hz >= 1 AND dominant_hz < 3 THEN 'walking_like_phone_motion_candidate'
+        WHEN ratio_shaking_like_3_8hz >= 0.35 AND dominant_hz >= 3 AND dominant_hz < 8 THEN 'shaking_like_phone_motion_candidate' WHEN dynamic_median >= 0.2 THEN 'phone_handling_motion_candidate' ELSE 'low_motion_phone_candidate' END AS state FROM bs), ok AS (SELECT * FROM bt WHERE sample_count >= 100)"""
+
+
+@query(f"{_BANDED} SELECT subject_id, state, count(*) AS chunks, CAST(count(*) * 5 AS BIGINT) AS minutes FROM bt GROUP BY ALL")
 def state_summary(spark, sf_dir):
-    return G.state_summary(G.chunk_state(_stats(spark, sf_dir))).withColumn("minutes", F.col("minutes").cast("long"))
+    return G.state_summary(_banded(spark, sf_dir)).withColumn("minutes", F.col("minutes").cast("long"))
+
+
+@query(f"""{_BANDED}, h AS (SELECT subject_id, local_hour, count(*) AS k FROM ok WHERE dynamic_median >= 0.2 GROUP BY ALL), e AS (SELECT subject_id, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS v FROM h GROUP BY 1),
+    m AS (SELECT subject_id, count(*) AS valid_chunks, 5 * count(*) AS valid_minutes, quantile_cont(median_interval_s, 0.5) AS median_interval_s, {", ".join(f"5 * count_if(state = '{s}') AS {n}_minutes" for n, s in (("still", "still_phone_candidate"), ("handling", "phone_handling_motion_candidate"), ("walking", "walking_like_phone_motion_candidate"), ("shaking", "shaking_like_phone_motion_candidate")))},
+        count_if(state = 'still_phone_candidate') / count(*) AS stillness_fraction, avg(gap_burden) AS gap_burden, avg(dynamic_mean) AS dynamic_mean, avg(dynamic_sd) AS dynamic_sd, avg(high_motion_fraction) AS high_motion_fraction, avg(power_shaking_like_3_8hz) AS tremor_power_mean,
+        5 * count_if(dynamic_median >= 0.2 AND NOT night) AS day_motion_minutes, 5 * count_if(dynamic_median >= 0.2 AND night) AS night_motion_minutes FROM ok GROUP BY 1)
+    SELECT m.* REPLACE ({", ".join(f"round({c}, 6) AS {c}" for c in ("median_interval_s", "stillness_fraction", "gap_burden", "dynamic_mean", "dynamic_sd", "high_motion_fraction", "tremor_power_mean"))}), round(CASE WHEN night_motion_minutes > 0 THEN day_motion_minutes / night_motion_minutes END, 6) AS day_night_ratio, round(abs(e.v), 6) AS hourly_motion_entropy FROM m LEFT JOIN e USING (subject_id)""")
+def movement_summary(spark, sf_dir):
+    f = G.movement_summary(_banded(spark, sf_dir)).withColumn("hourly_motion_entropy", F.abs("hourly_motion_entropy"))
+    return rounded(f, "median_interval_s", "stillness_fraction", "gap_burden", "dynamic_mean", "dynamic_sd", "high_motion_fraction", "tremor_power_mean", "day_night_ratio", "hourly_motion_entropy")
+
+
+@query(f"""{_BANDED} SELECT subject_id, CAST(local_hour AS INTEGER) AS local_hour, count_if(sample_count >= 100) AS valid_chunks, round(quantile_cont(CASE WHEN sample_count >= 100 THEN dynamic_median END, 0.5), 6) AS median_dynamic, round(avg(CASE WHEN sample_count >= 100 THEN dynamic_mean END), 6) AS mean_dynamic,
+    round(avg(CASE WHEN sample_count >= 100 THEN high_motion_fraction END), 6) AS mean_high_motion, 5 * count_if(sample_count >= 100 AND state = 'walking_like_phone_motion_candidate') AS walking_minutes, 5 * count_if(sample_count >= 100 AND state = 'shaking_like_phone_motion_candidate') AS shaking_minutes FROM bt GROUP BY ALL""")
+def hourly_summary(spark, sf_dir):
+    return rounded(G.hourly_summary(_banded(spark, sf_dir)), "median_dynamic", "mean_dynamic", "mean_high_motion")
+
+
+@query(f"""{_BANDED}, t AS (SELECT CAST(unnest([0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 0.75, 1.0]) AS DOUBLE) AS threshold)
+    SELECT subject_id, threshold, count_if(dynamic_median >= threshold) AS chunks_by_median, 5 * count_if(dynamic_median >= threshold) AS minutes_by_median, round(count_if(dynamic_median >= threshold) / count(*), 6) AS fraction_by_median, count_if(dynamic_mean >= threshold) AS chunks_by_mean,
+        5 * count_if(dynamic_mean >= threshold) AS minutes_by_mean, round(count_if(dynamic_mean >= threshold) / count(*), 6) AS fraction_by_mean, 5 * count_if(dynamic_median >= threshold AND NOT night) AS day_minutes_by_median, 5 * count_if(dynamic_median >= threshold AND night) AS night_minutes_by_median FROM ok, t GROUP BY ALL""")
+def threshold_sensitivity(spark, sf_dir):
+    return rounded(G.threshold_sensitivity(_banded(spark, sf_dir)), "fraction_by_median", "fraction_by_mean")
+
+
+_TOP = "greatest(" + ", ".join(f"ratio_{b}" for b in _SHARES) + ")"
+_FIRST = "CASE " + " ".join(f"WHEN ratio_{b} = {_TOP} THEN '{b}'" for b in _SHARES) + " END"
+_GATES = f"""{_BANDED}, bb AS ({" UNION ALL ".join(f"SELECT subject_id, local_hour, night, dynamic_mean, dynamic_median, '{b}' AS band, power_{b} AS power, ratio_{b} AS ratio, 0.5 / median_interval_s >= {high} AND 5 >= {high} AS feasible, {_FIRST} AS top FROM ok" for b, (_, high) in G.BANDS.items())}),
+    bg AS (SELECT *, feasible AND dynamic_mean >= 0.2 AND top = band AND ratio >= 0.35 AS chosen FROM bb)"""
+
+
+@query(f"""{_GATES} SELECT subject_id, band, count_if(feasible) AS feasible_chunks, 5 * count_if(feasible) AS feasible_minutes, round(avg(ratio), 6) AS mean_ratio, round(CAST(quantile_cont(ratio, 0.5) AS DOUBLE), 6) AS median_ratio, round(avg(power), 6) AS mean_power, count_if(chosen) AS selected_chunks, 5 * count_if(chosen) AS selected_minutes,
+    5 * count_if(chosen AND NOT night) AS day_minutes, 5 * count_if(chosen AND night) AS night_minutes FROM bg GROUP BY ALL""")
+def band_summary(spark, sf_dir):
+    return rounded(G.band_summary(_banded(spark, sf_dir)), "mean_ratio", "median_ratio", "mean_power")
+
+
+@query(f"{_GATES} SELECT subject_id, CAST(local_hour AS INTEGER) AS local_hour, band, count(*) AS valid_chunks, 5 * count(*) AS valid_minutes, round(avg(dynamic_mean), 6) AS mean_dynamic, round(quantile_cont(dynamic_median, 0.5), 6) AS median_dynamic, 5 * count_if(chosen) AS selected_minutes, round(avg(ratio), 6) AS mean_ratio FROM bg GROUP BY ALL")
+def band_hourly(spark, sf_dir):
+    return rounded(G.band_hourly(_banded(spark, sf_dir)), "mean_dynamic", "median_dynamic", "mean_ratio")
 
 
 @query(f"""WITH {A.SIGNAL}, s AS (SELECT *, x * x + y * y + z * z AS sq, CAST({LOCAL} AS DATE) AS day FROM sig),
-    d AS (SELECT device_id, day, count(*) AS n_samples, (max(timestamp) - min(timestamp)) / 1000 AS span_s, avg(sq) AS mean_power, var_pop(sq) AS var_power FROM s WHERE device_id < 'D00030' AND timestamp >= 694224000000 GROUP BY ALL)
+    d AS (SELECT device_id, day, count(*) AS n_samples, avg(sq) AS mean_power, var_pop(sq) AS var_power FROM s GROUP BY ALL)
     SELECT device_id, day, n_samples, round(mean_power, 6) AS mean_power, round(var_power, 6) AS var_power, round(ln(1 + var_power), 6) AS log_noise, CASE WHEN n_samples < 2 THEN 'too_few_samples' ELSE 'ok' END AS status FROM d""")
 def daily_movement(spark, sf_dir):
-    """Devices below D00030: a subject group of the suppliers; days by the winter offset, as in the SQL."""
-    s = A.signal(spark, sf_dir).where("device_id < 'D00030' and timestamp >= 694224000000")
-    f = G.daily_movement(s, "GMT+02:00", 2).drop("span_s", "estimated_hz")
+    """Days by the winter offset, as in the SQL."""
+    f = G.daily_movement(A.signal(spark, sf_dir), "GMT+02:00", 2).drop("span_s", "estimated_hz")
     return rounded(f, "mean_power", "var_power", "log_noise")
 
 
+@query(f"""WITH {A.SIGNAL}, r AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY timestamp, _id) AS row_no, timestamp - lag(timestamp) OVER (PARTITION BY device_id ORDER BY timestamp, _id) AS delta_ms FROM sig)
+    SELECT device_id, CAST(row_no AS INTEGER) AS row_no, timestamp, delta_ms, round(sqrt(x * x + y * y + z * z), 6) AS magnitude FROM r WHERE row_no <= 5""")
+def density_probe(spark, sf_dir):
+    return rounded(G.density_probe(A.signal(spark, sf_dir), 5), "magnitude")
+
+
+@query(f"""{_CHUNKS}, f AS (SELECT subject_id, min(chunk_index) AS first_chunk FROM st WHERE sample_count >= 40 GROUP BY 1), a AS (SELECT DISTINCT subject_id FROM st)
+    SELECT subject_id, first_chunk, CASE WHEN coalesce(first_chunk, 12) >= 12 THEN 'missing_no_raw_rows_at_accelerometer_anchor' ELSE 'ok' END AS status FROM a LEFT JOIN f USING (subject_id)""")
+def initial_empty_status(spark, sf_dir):
+    """Chunks of fewer than 40 samples stand for empty ones."""
+    s = _stats(spark, sf_dir)
+    return G.initial_empty_status(s.withColumn("sample_count", F.when(F.col("sample_count") >= 40, F.col("sample_count")).otherwise(0)))
+
+
 @query(f"""WITH {A.SIGNAL} SELECT device_id, CAST({LOCAL} AS DATE) AS day, round(avg(x * x + y * y + z * z), 6) AS signal_power, count(*) AS n_samples FROM sig GROUP BY ALL""")
 def daily_signal_power(spark, sf_dir):
     return rounded(G.daily_signal_power(A.signal(spark, sf_dir), "GMT+02:00"), "signal_power")

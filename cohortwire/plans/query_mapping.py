@@ -42,14 +42,14 @@ def _label_map(e):
     """Each device is listed under its subject's number and, if even, also under a padded form of it."""
     no = F.floor(F.col("user_id") / 3)
     plain = e.select(no.cast("string").alias("label"), "device_id").distinct()
-    padded = e.where("user_id % 2 = 0").select(F.lpad(no.cast("string"), 3, "0").alias("label"), "device_id").distinct()
+    padded = e.where("user_id % 2 = 0").select(F.format_string("%03d", no.cast("long")).alias("label"), "device_id").distinct()
     both = plain.unionByName(padded).distinct()
     m = both.groupBy("label").agg(F.array_join(F.array_sort(F.collect_set("device_id")), ";").alias("device_ids"))
-    return m.withColumn("row_order", F.length("label") * 100_000 + F.col("label").cast("int"))
+    return m.withColumn("row_order", F.length("label").cast("long") * 100_000_000 + F.col("label").cast("long"))
 
 
-_LABELS = f"""{A.EVENTS}, lab AS (SELECT CAST(user_id // 3 AS VARCHAR) AS label, device_id FROM e UNION SELECT lpad(CAST(user_id // 3 AS VARCHAR), 3, '0'), device_id FROM e WHERE user_id % 2 = 0),
-    lm AS (SELECT label, string_agg(device_id, ';' ORDER BY device_id) AS device_ids, length(label) * 100000 + CAST(label AS INTEGER) AS row_order FROM lab GROUP BY label)"""
+_LABELS = f"""{A.EVENTS}, lab AS (SELECT CAST(user_id // 3 AS VARCHAR) AS label, device_id FROM e UNION SELECT printf('%03d', CAST(user_id // 3 AS BIGINT)), device_id FROM e WHERE user_id % 2 = 0),
+    lm AS (SELECT label, string_agg(device_id, ';' ORDER BY device_id) AS device_ids, length(label) * 100000000 + CAST(label AS BIGINT) AS row_order FROM lab GROUP BY label)"""
 
 
 @query(f"WITH {A.EVENTS} SELECT subject_id AS label, string_agg(DISTINCT device_id, ';' ORDER BY device_id) AS device_ids, count(DISTINCT device_id) AS n_devices FROM e GROUP BY 1")

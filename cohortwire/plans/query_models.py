@@ -15,7 +15,7 @@ REGISTER = query = Register()
 def _folded(spark, sf_dir):
     """Customers with orders; folds by number, so that the SQL has the same."""
     co = A.cohort(spark, sf_dir).dropna(subset=["y", "n_orders", "mean_price"])
-    return co.withColumn("repeat", F.lit(0)).withColumn("fold", (F.substring("subject_id", 2, 5).cast("int") % 5)).withColumn("mean_price", F.col("mean_price") / 1000).withColumn("max_price", F.col("max_price") / 1000)
+    return co.withColumn("repeat", F.lit(0)).withColumn("fold", (A.number("subject_id") % 5).cast("int")).withColumn("mean_price", F.col("mean_price") / 1000).withColumn("max_price", F.col("max_price") / 1000)
 
 
 _FOLDED = f"{A.COHORT}, fo AS (SELECT subject_id, y, n_orders, mean_price / 1000 AS mean_price, CAST(substr(subject_id, 2) AS INTEGER) % 5 AS fold FROM co WHERE y IS NOT NULL AND n_orders IS NOT NULL)"

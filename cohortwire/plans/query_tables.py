@@ -60,15 +60,23 @@ def early_late_groups(spark, sf_dir):
     return C.early_late_groups(_cov(spark, sf_dir))
 
 
-@query(f"""{_COV}, {_BY_SUBJECT}, x AS (SELECT table_name, subject_id, bool_or(n_rows > 0 AND window_rule = 'early') AS e, bool_or(n_rows > 0 AND window_rule = 'late') AS l FROM cov GROUP BY ALL),
-    t AS (SELECT table_name, count_if(e) AS a, count_if(l) AS b, count_if(e AND l) AS c FROM x GROUP BY 1)
-    SELECT 'subject' AS kind, subject_id AS name, tables_early AS early, tables_late AS late, CAST(NULL AS BIGINT) AS "both", CASE WHEN tables_early >= 3 AND tables_late >= 2 THEN 'ready' WHEN tables_any > 0 THEN 'partial' ELSE 'not_ready' END AS readiness FROM bs
-    UNION ALL SELECT 'table', table_name, a, b, c, CASE WHEN a >= 5 AND b >= 2 THEN 'ready' WHEN a + b > 0 THEN 'partial' ELSE 'not_ready' END FROM t""")
-def readiness(spark, sf_dir):
-    cov = _cov(spark, sf_dir)
-    s = C.subject_readiness(cov, 3, 2).select(F.lit("subject").alias("kind"), F.col("subject_id").alias("name"), F.col("tables_early").alias("early"), F.col("tables_late").alias("late"), F.lit(None).cast("long").alias("both"), "readiness")
-    t = C.table_readiness(cov).select(F.lit("table").alias("kind"), F.col("table_name").alias("name"), F.col("subjects_early").alias("early"), F.col("subjects_late").alias("late"), F.col("subjects_both").alias("both"), "readiness")
-    return s.unionByName(t)
+_ROWS = "CAST(coalesce(sum(CASE WHEN window_rule = '{0}' THEN n_rows END), 0) AS BIGINT) AS {0}_rows"
+_HAS = "coalesce(bool_or(n_rows > 0 AND window_rule = '{0}'), false)"
+
+
+@query(f"""{_COV}, x AS (SELECT subject_id, count(DISTINCT device_id) AS n_devices, {_ROWS.format("early")}, {_ROWS.format("late")}, {_TABLES.format("AND window_rule = 'early'")} AS early_tables_with_data, {_TABLES.format("AND window_rule = 'late'")} AS late_tables_with_data, {_HAS.format("early")} AS e, {_HAS.format("late")} AS l FROM cov GROUP BY 1)
+    SELECT * EXCLUDE (e, l), e AS baseline_ready, e AND l AS change_ready, CASE WHEN e AND l THEN 'baseline_and_change' WHEN e THEN 'baseline_only' WHEN l THEN 'late_only_not_baseline' ELSE 'exclude_current_poc_no_data' END AS recommended_use FROM x""")
+def subject_readiness(spark, sf_dir):
+    return C.subject_readiness(_cov(spark, sf_dir))
+
+
+@query(f"""{_COV}, x AS (SELECT table_name, subject_id, {_HAS.format("early")} AS e, {_HAS.format("late")} AS l, {_ROWS.format("early")}, {_ROWS.format("late")} FROM cov WHERE window_rule IN ('early', 'late') GROUP BY ALL),
+    d AS (SELECT table_name, count(DISTINCT CASE WHEN n_rows > 0 AND window_rule = 'early' THEN device_id END) AS devices_early, count(DISTINCT CASE WHEN n_rows > 0 AND window_rule = 'late' THEN device_id END) AS devices_late FROM cov WHERE window_rule IN ('early', 'late') GROUP BY 1),
+    t AS (SELECT table_name, CAST(sum(early_rows) AS BIGINT) AS early_rows, CAST(sum(late_rows) AS BIGINT) AS late_rows, count_if(e) AS subjects_early, count_if(l) AS subjects_late, count_if(e AND l) AS subjects_both FROM x GROUP BY 1),
+    r AS (SELECT *, CASE WHEN subjects_early >= 5 AND subjects_late >= 2 THEN 'high_priority_feature_candidate' WHEN subjects_early >= 5 THEN 'baseline_only_candidate' WHEN early_rows + late_rows > 0 THEN 'limited_candidate' ELSE 'not_useful_current_poc' END AS readiness_status FROM t JOIN d USING (table_name))
+    SELECT *, CASE readiness_status WHEN 'high_priority_feature_candidate' THEN 'extract baseline + early_late change features first' WHEN 'baseline_only_candidate' THEN 'extract baseline features now; postpone change features' WHEN 'limited_candidate' THEN 'keep optional; use only if clinically motivated' ELSE 'skip for current top10 poc' END AS next_action FROM r""")
+def table_readiness(spark, sf_dir):
+    return C.table_readiness(_cov(spark, sf_dir))
 
 
 @query(f"""{_COV}, x AS (SELECT subject_id, table_name, CAST(coalesce(sum(CASE WHEN window_rule = 'early' THEN n_rows END), 0) AS BIGINT) AS early_rows, CAST(coalesce(sum(CASE WHEN window_rule = 'late' THEN n_rows END), 0) AS BIGINT) AS late_rows FROM cov GROUP BY ALL)
@@ -161,10 +169,21 @@ def followup_summary(spark, sf_dir):
 NAMES = ["mean_value", "max_value", "n_events"]
 
 
-@query(f"""WITH {A.LONG} SELECT table_name, feature, count(value) AS calculated, count(DISTINCT CASE WHEN value IS NOT NULL THEN subject_id END) AS n_subjects, count(*) AS attempts, round(100.0 * count(value) / count(*), 6) AS percent,
-    CASE WHEN 100.0 * count(value) / count(*) < 82 THEN 'sensitivity_only_below_82pct' WHEN table_name IN ('click', 'view') THEN 'primary_eligible_82pct' ELSE 'support_eligible_82pct' END AS role FROM lng GROUP BY table_name, feature""")
+@query(f"""WITH {A.LONG}, v AS (SELECT subject_id, feature || '_' || table_name AS feature, CASE WHEN feature = 'max_value' AND table_name IN ('click', 'view') AND CAST(substr(subject_id, 2) AS BIGINT) % 17 <> 0 THEN NULL ELSE value END AS value, feature AS f FROM lng), n AS (SELECT count(DISTINCT subject_id) AS all_subjects FROM v),
+    c AS (SELECT feature, any_value(f) AS f, count(DISTINCT CASE WHEN value IS NOT NULL THEN subject_id END) AS n_subjects FROM v GROUP BY 1), r AS (SELECT feature, n_subjects, all_subjects, CASE f WHEN 'mean_value' THEN 'include_primary' WHEN 'n_events' THEN 'adjusted_sensitivity' ELSE '' END AS recommendation, 100.0 * n_subjects / all_subjects AS p FROM c, n)
+    SELECT feature, n_subjects, all_subjects, recommendation, round(p, 6) AS percent, round(100 - p, 6) AS missing_percent, CASE WHEN p < 10 THEN 'sensitivity_only_below_10pct' WHEN recommendation = 'include_primary' THEN 'primary_eligible_10pct' ELSE 'support_eligible_10pct' END AS role FROM r""")
 def feature_roles(spark, sf_dir):
-    return rounded(C.feature_roles(A.features_long(spark, sf_dir), 82, ["click", "view"]), "percent")
+    long = A.features_long(spark, sf_dir)
+    rare = (F.col("feature") == "max_value") & F.col("table_name").isin("click", "view") & (A.number("subject_id") % 17 != 0)
+    named = long.select("subject_id", F.concat_ws("_", "feature", "table_name").alias("name"), "feature", F.when(~rare, F.col("value")).alias("value"))
+    advice = F.when(F.col("feature") == "mean_value", "include_primary").when(F.col("feature") == "n_events", "adjusted_sensitivity")
+    advice = named.select(F.col("name").alias("feature"), advice.alias("recommendation")).where("recommendation is not null").distinct()
+    return rounded(C.feature_roles(named.select("subject_id", F.col("name").alias("feature"), "value"), advice), "percent", "missing_percent")
+
+
+@query(f"WITH {A.LONG} SELECT table_name, feature, count(value) AS calculated, count(DISTINCT CASE WHEN value IS NOT NULL THEN subject_id END) AS n_subjects, count(*) AS attempts, round(100.0 * count(value) / count(*), 6) AS percent FROM lng GROUP BY table_name, feature")
+def feature_availability(spark, sf_dir):
+    return rounded(C.feature_availability(A.features_long(spark, sf_dir)), "percent")
 
 
 @query(f"""WITH {A.LONG}, s AS (SELECT subject_id, table_name, CASE WHEN CAST(substr(subject_id, 2) AS INTEGER) % 3 = 0 THEN 'no_window' ELSE 'ok' END AS table_status FROM (SELECT DISTINCT subject_id FROM e) CROSS JOIN (SELECT DISTINCT table_name FROM e)),
@@ -174,7 +193,7 @@ def feature_roles(spark, sf_dir):
 def to_long(spark, sf_dir):
     e = A.events(spark, sf_dir)
     long = A.features_long(spark, sf_dir)
-    third = F.substring("subject_id", 2, 5).cast("int") % 3 == 0
+    third = A.number("subject_id") % 3 == 0
     wide = long.filter(~third).groupBy("subject_id", "table_name").pivot("feature", NAMES).agg(F.first("value", ignorenulls=True))
     tables = e.select("table_name").distinct()
     status = e.select("subject_id").distinct().join(tables).withColumn("table_status", F.when(third, "no_window").otherwise("ok"))
@@ -213,10 +232,10 @@ def keep_last(spark, sf_dir):
     return L.keep_last(A.events(spark, sf_dir), ["device_id", "table_name"], ["timestamp", "_id"]).select("device_id", "table_name", "_id", "value")
 
 
-@query(f"""WITH {A.EVENTS}, d AS (SELECT subject_id FROM e WHERE value < 90 GROUP BY 1 HAVING count(DISTINCT CASE WHEN value > 30 THEN table_name END) >= 5) SELECT subject_id FROM (SELECT DISTINCT subject_id FROM e) WHERE subject_id NOT IN (SELECT subject_id FROM d)""")
+@query(f"""WITH {A.EVENTS}, d AS (SELECT subject_id FROM e WHERE value > 60 GROUP BY 1 HAVING count(DISTINCT CASE WHEN value > 150 THEN table_name END) >= 5) SELECT subject_id FROM (SELECT DISTINCT subject_id FROM e) WHERE subject_id NOT IN (SELECT subject_id FROM d)""")
 def pending_subjects(spark, sf_dir):
     e = A.events(spark, sf_dir)
-    status = e.filter("value < 90").select("subject_id", "table_name", F.when(F.col("value") <= 30, "failed").alias("error"))
+    status = e.filter("value > 60").select("subject_id", "table_name", F.when(F.col("value") <= 150, "failed").alias("error"))
     return L.pending_subjects(e.select("subject_id").distinct(), status, 5)
 
 
@@ -231,11 +250,15 @@ def sample_rows(spark, sf_dir):
     return L.sample_rows(A.raw(A.events(spark, sf_dir)), 3, ["device_id", "table_name"], 50).select("device_id", "table_name", "_id", "sample_no")
 
 
-@query(f"""WITH {A.EVENTS} SELECT table_name, _id, timestamp, device_id, '{{"k":"' || (data->>'$.k') || '","device_name":"[REDACTED_SENSITIVE_FIELD]"}}' AS data FROM e QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY timestamp, _id) = 1""")
+_R = "[REDACTED_SENSITIVE_FIELD]"
+
+
+@query(f"""WITH {A.EVENTS} SELECT table_name, _id, timestamp, device_id, '{{"k":"' || (data->>'$.k') || '","device_name":"{_R}","email":"{_R}","message":"{_R}","phone":"{_R}","subscriber_id":"{_R}","application_name":"app","surname":"x","trace":"t"}}' AS data FROM e QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY timestamp, _id) = 1""")
 def first_rows_redacted(spark, sf_dir):
     from ..functions.scalars import redact_flat
 
-    e = A.events(spark, sf_dir).withColumn("data", A.payload(k=F.get_json_object("data", "$.k"), device_name=F.col("device_id")))
+    said = {k: F.col("device_id") for k in ("device_name", "email", "message", "phone", "subscriber_id")}
+    e = A.events(spark, sf_dir).withColumn("data", A.payload(k=F.get_json_object("data", "$.k"), **said, application_name=F.lit("app"), surname=F.lit("x"), trace=F.lit("t")))
     return L.first_rows(A.raw(e)).select("table_name", "_id", "timestamp", "device_id", redact_flat("data").alias("data"))
 
 
@@ -301,10 +324,13 @@ def variability(spark, sf_dir):
     return rounded(P.variability(C.unpivoted(A.cohort(spark, sf_dir), ["n_orders", "mean_price", "y"])), "sd", "iqr", digits=4)
 
 
-@query(f"""WITH {A.COHORT}, r AS (SELECT subject_id, y, row_number() OVER (ORDER BY y DESC, subject_id) AS r, count(*) OVER () AS n FROM co)
-    SELECT subject_id, y, r AS coverage_rank, CASE WHEN r <= ceil(n * 0.25) THEN 'high' WHEN r <= ceil(n * 0.75) THEN 'middle' ELSE 'low' END AS band, CASE WHEN r <= ceil(n * 0.1) THEN 'top_10' WHEN r <= ceil(n * 0.2) THEN 'top_20' WHEN r <= ceil(n * 0.3) THEN 'top_30' ELSE 'full' END AS cohort FROM r""")
+@query(f"""WITH {A.COHORT}, c AS (SELECT subject_id, CASE WHEN n_orders IS NOT NULL THEN c_nationkey / 25 END AS missing_fraction, CASE WHEN y > 0 THEN CAST(floor(y) AS BIGINT) % 10 / 10 END AS table_coverage FROM co),
+    r AS (SELECT *, row_number() OVER (ORDER BY coalesce(missing_fraction, 1), coalesce(table_coverage, 0) DESC, subject_id) AS coverage_rank, count(*) OVER () AS n FROM c)
+    SELECT subject_id, missing_fraction, table_coverage, coverage_rank, CASE WHEN coverage_rank <= greatest(1, ceil(n * 0.25)) THEN 'Highest coverage quartile' WHEN coverage_rank <= greatest(1, ceil(n * 0.75)) THEN 'Middle coverage' ELSE 'Lowest coverage quartile' END AS coverage_band,
+        CASE WHEN coverage_rank <= 10 THEN 'top_10' WHEN coverage_rank <= 20 THEN 'top_20' WHEN coverage_rank <= 30 THEN 'top_30' ELSE 'full' END AS coverage_cohort FROM r""")
 def coverage_bands(spark, sf_dir):
-    return P.coverage_bands(A.cohort(spark, sf_dir).select("subject_id", "y"), "y")
+    co = A.cohort(spark, sf_dir)
+    return P.coverage_bands(co.select("subject_id", F.when(F.col("n_orders").isNotNull(), F.col("c_nationkey") / 25.0).alias("missing_fraction"), F.when(F.col("y") > 0, F.floor("y") % 10 / 10.0).alias("table_coverage")))
 
 
 @query(f"""WITH {A.COHORT}, q AS (SELECT quantile_cont(mean_price, 0.25) AS a, quantile_cont(mean_price, 0.5) AS b, quantile_cont(mean_price, 0.75) AS c FROM co)
@@ -369,14 +395,24 @@ def row_completeness(spark, sf_dir):
     return rounded(Q.row_completeness(A.cohort(spark, sf_dir), ["n_orders", "mean_price", "y"]), "complete_pct")
 
 
-@query(f"""{A.ALL}, x AS (SELECT subject_id, CASE WHEN score > 10 THEN t1_ms END AS t1_ms, CASE WHEN score > 90 THEN t1_ms ELSE t2_ms END AS t2_ms, t1_ms AS es, t1_ms + {7 * DAY} AS ee, t2_ms - CASE WHEN score > 50 THEN {20 * DAY} ELSE {7 * DAY} END AS ls, t2_ms AS le FROM sub)
-    SELECT subject_id, 't1_ms_missing' AS issue FROM x WHERE t1_ms IS NULL UNION ALL SELECT subject_id, 't2_not_after_t1' FROM x WHERE t2_ms <= t1_ms UNION ALL SELECT subject_id, 'early_late_overlap' FROM x WHERE ee > ls""")
+_TIMES = f"""tm AS (SELECT subject_id, CASE WHEN score > 10 THEN t1_ms END AS T1_start_ms, CASE WHEN score > 80 THEN t1_ms ELSE t1_ms + {DAY} END AS T1_end_ms, CASE WHEN score > 90 THEN t1_ms ELSE t2_ms END AS T2_start_ms, CASE WHEN score > 95 THEN t2_ms + {4000 * DAY} ELSE t2_ms + {DAY} END AS T2_end_ms,
+    t1_ms AS early_window_start_ms, t1_ms + {7 * DAY} AS early_window_end_ms, CASE WHEN score > 70 THEN t1_ms + {7 * DAY} WHEN score > 50 THEN t1_ms - {20 * DAY} ELSE t2_ms - {7 * DAY} END AS late_window_start_ms, CASE WHEN score > 50 AND score <= 60 THEN t1_ms - {DAY} ELSE t2_ms END AS late_window_end_ms FROM sub)"""
+_TIME_NAMES = ["T1_start_ms", "T1_end_ms", "T2_start_ms", "T2_end_ms", "early_window_start_ms", "early_window_end_ms", "late_window_start_ms", "late_window_end_ms"]
+_TIME_RULES = (
+    {f"missing:{n}": f"{n} IS NULL" for n in _TIME_NAMES}
+    | {f"invalid_ms_range:{n}": f"{n} < 1704067200000 OR {n} > 1830211199000" for n in _TIME_NAMES}
+    | {"T1_start_not_before_T1_end": "NOT (T1_start_ms < T1_end_ms)", "T2_start_not_before_T2_end": "NOT (T2_start_ms < T2_end_ms)", "T2_before_or_equal_T1": "NOT (T1_start_ms < T2_start_ms)"}
+    | {"early_window_start_not_before_end": "NOT (early_window_start_ms < early_window_end_ms)", "late_window_start_not_before_end": "NOT (late_window_start_ms < late_window_end_ms)"}
+    | {"early_late_window_overlap": "early_window_start_ms <= late_window_end_ms AND late_window_start_ms <= early_window_end_ms"}
+)
+
+
+@query(f"{A.ALL}, {_TIMES} " + " UNION ALL ".join(f"SELECT subject_id, '{name}' AS issue FROM tm WHERE {rule}" for name, rule in _TIME_RULES.items()))
 def window_issues(spark, sf_dir):
-    s = A.subjects(A.events(spark, sf_dir))
-    c = F.col
-    x = s.select(
-        "subject_id", F.when(c("score") > 10, c("t1_ms")).alias("t1_ms"), F.when(c("score") > 90, c("t1_ms")).otherwise(c("t2_ms")).alias("t2_ms"), c("t1_ms").alias("early_start_ms"), (c("t1_ms") + 7 * DAY).alias("early_end_ms"),
-        (c("t2_ms") - F.when(c("score") > 50, 20 * DAY).otherwise(7 * DAY)).alias("late_start_ms"), c("t2_ms").alias("late_end_ms"),
+    c, t1, t2 = F.col("score"), F.col("t1_ms"), F.col("t2_ms")
+    x = A.subjects(A.events(spark, sf_dir)).select(
+        "subject_id", F.when(c > 10, t1).alias("T1_start_ms"), F.when(c > 80, t1).otherwise(t1 + DAY).alias("T1_end_ms"), F.when(c > 90, t1).otherwise(t2).alias("T2_start_ms"), F.when(c > 95, t2 + 4000 * DAY).otherwise(t2 + DAY).alias("T2_end_ms"),
+        t1.alias("early_window_start_ms"), (t1 + 7 * DAY).alias("early_window_end_ms"), F.when(c > 70, t1 + 7 * DAY).when(c > 50, t1 - 20 * DAY).otherwise(t2 - 7 * DAY).alias("late_window_start_ms"), F.when((c > 50) & (c <= 60), t1 - DAY).otherwise(t2).alias("late_window_end_ms"),
     )
     return Q.window_issues(x)
 
@@ -399,11 +435,12 @@ def model_dataset(spark, sf_dir):
     return rounded(Q.model_dataset(co, status, ["n_orders", "y"]), "missing_fraction")
 
 
-@query(f"""WITH {A.COHORT}, r AS (SELECT 'n_orders' AS feature, 100.0 * count_if(n_orders IS NULL) / count(*) AS m FROM co UNION ALL SELECT 'rare', 100.0 * count_if(NOT (y > 8000)) / count(*) FROM co UNION ALL SELECT 'nothing', 100.0 FROM co LIMIT 3)
-    SELECT feature, round(m, 6) AS missing_pct, CASE WHEN m >= 100 THEN 'exclude_no_observed_data' WHEN m > 50 THEN 'coverage_sensitivity' WHEN feature = 'n_orders' THEN 'adjusted_sensitivity' ELSE 'include_primary' END AS recommendation FROM r""")
+@query(f"""WITH {A.COHORT}, r AS (SELECT 'n_orders' AS feature, round(100.0 * count_if(n_orders IS NULL) / count(*), 1) AS m FROM co UNION ALL SELECT 'rare', round(100.0 * count_if(NOT (y > 8000)) / count(*), 1) FROM co UNION ALL SELECT 'rare_adjusted', round(100.0 * count_if(NOT (y > 8000)) / count(*), 1) FROM co UNION ALL SELECT 'nothing', 100.0)
+    SELECT feature, m AS missing_pct, CASE WHEN m >= 100 THEN 'exclude_no_observed_data' WHEN feature = 'rare_adjusted' THEN 'adjusted_sensitivity' WHEN m > 50 THEN 'coverage_sensitivity' ELSE 'include_primary' END AS recommendation FROM r""")
 def recommend_features(spark, sf_dir):
-    co = A.cohort(spark, sf_dir).select("subject_id", "n_orders", F.when(F.col("y") > 8000, F.col("y")).alias("rare"), F.lit(None).cast("double").alias("nothing"))
-    return rounded(Q.recommend_features(co, ["n_orders", "rare", "nothing"], ["n_orders"]), "missing_pct")
+    rare = F.when(F.col("y") > 8000, F.col("y"))
+    co = A.cohort(spark, sf_dir).select("subject_id", "n_orders", rare.alias("rare"), rare.alias("rare_adjusted"), F.lit(None).cast("double").alias("nothing"))
+    return Q.recommend_features(co, ["n_orders", "rare", "rare_adjusted", "nothing"], ["rare_adjusted", "nothing"])
 
 
 # ---------------------------------------------------------------------------------------------------- discovery
@@ -420,7 +457,7 @@ def json_key_inventory(spark, sf_dir):
 
 
 @query(f"""WITH {A.EVENTS}, d AS (SELECT DISTINCT table_name, CAST(CAST(data->>'$.k' AS INTEGER) AS VARCHAR) AS v FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY v) AS i FROM d)
-    SELECT table_name, 'k' AS key, string_agg(v, '|' ORDER BY v) FILTER (WHERE i <= 5) AS examples, 'integer' AS key_type, 'usable' AS privacy_status, 'other' AS family FROM r GROUP BY 1""")
+    SELECT table_name, 'k' AS key, string_agg(v, '|' ORDER BY v) FILTER (WHERE i <= 5) AS examples, 'number' AS key_type, 'privacy_safe_aggregate' AS privacy_status, 'unknown' AS family FROM r GROUP BY 1""")
 def key_examples(spark, sf_dir):
     return D.key_families(D.privacy_status(D.key_examples(A.raw(A.events(spark, sf_dir)), 5)))
 
@@ -432,8 +469,46 @@ def flatten_json(spark, sf_dir):
     return D.flatten_json(ev, ["role", "text"])
 
 
-@query(f"""{_COV}, c AS (SELECT table_name, count(DISTINCT CASE WHEN n_rows > 0 THEN subject_id END) AS n_subjects, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM cov GROUP BY 1), t AS (SELECT table_name, count(*) * 1000 AS estimated_rows FROM e GROUP BY 1)
-    SELECT table_name, estimated_rows, n_subjects, n_rows, CASE WHEN estimated_rows >= 100000000 THEN 'high_rate' WHEN estimated_rows >= 1000000 THEN 'medium' ELSE 'small' END AS size_class, CASE WHEN n_subjects = 0 THEN 'skip_no_data' WHEN estimated_rows >= 100000000 THEN 'extract_in_chunks' WHEN n_subjects < 3 THEN 'review' ELSE 'extract' END AS decision FROM t LEFT JOIN c USING (table_name)""")
+#: Event types as sensor tables, so that each rule of the catalogue meets one.
+_AS_TABLE = {"click": "screen", "view": "light", "purchase": "calls", "signup": "accelerometer", "error": "sensor_light"}
+
+
+def _as_table(column):
+    return F.element_at(F.create_map(*[F.lit(x) for pair in _AS_TABLE.items() for x in pair]), column)
+
+
+_NAMED = "CASE table_name " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _AS_TABLE.items()) + " END"
+
+
+@query(f"""{_COV}, c AS (SELECT {_NAMED} AS table_name, CAST(sum(n_rows) AS BIGINT) AS n_rows, count_if(n_rows > 0) AS windows_with_data FROM cov GROUP BY 1), k AS (SELECT table_name, true AS has_device_ts FROM c UNION ALL SELECT * FROM (VALUES ('aware_log', true), ('wifi', true), ('keyboard', false), ('plugin_x', true), ('barometer', true)) v(table_name, has_device_ts)),
+    t AS (SELECT table_name, has_device_ts, coalesce(n_rows, 0) AS n_rows, coalesce(windows_with_data, 0) AS windows_with_data FROM k LEFT JOIN c USING (table_name)),
+    r AS (SELECT * FROM (VALUES ('screen', 'include_now', 'already validated Phase 1 behavioral family', 'low_to_medium', 'high', 'phone_engagement_sleep_circadian', 'low'), ('light', 'include_now', 'contextual passive sensing candidate', 'medium', 'medium', 'ambient_context', 'low'),
+        ('calls', 'include_with_caution', 'potential contextual or communication metadata', 'medium', 'medium_to_low', 'communication_metadata', 'high'), ('accelerometer', 'phase2_later', 'raw high-frequency motion signal', 'high', 'requires separate signal-processing design', 'high_frequency_motion', 'low'),
+        ('sensor_light', 'exclude', 'operational ingestion metadata, not subject phenotype', 'avoid', 'low', 'operational', 'low'), ('aware_log', 'data_quality_only', 'logging or device metadata support', 'low', 'supportive only', 'data_quality', 'low'),
+        ('wifi', 'phase2_later', 'potential contextual or communication metadata', 'medium', 'medium_to_low; no top10 early/late coverage observed', 'connectivity_context', 'high'), ('keyboard', 'exclude', 'missing device_id/timestamp window keys', 'not_scanned', 'not usable for current top10 windows', 'unknown', 'low'),
+        ('plugin_x', 'exclude', 'unclassified table requiring manual review', 'unknown', 'unknown', 'unclassified', 'low'), ('barometer', 'phase2_later', 'contextual passive sensing candidate', 'medium', 'medium; no top10 early/late coverage observed', 'environment_context', 'low')) v(table_name, decision, behavioral_relevance, query_risk, interpretability, family, privacy_risk))
+    SELECT * FROM t JOIN r USING (table_name)""")
 def table_decisions(spark, sf_dir):
-    e = A.events(spark, sf_dir)
-    return D.table_decisions(_cov(spark, sf_dir), e.groupBy("table_name").agg((F.count(F.lit(1)) * 1000).alias("estimated_rows")))
+    """Every event type as a sensor table; tables without events are named beside them."""
+    cov = _cov(spark, sf_dir).withColumn("table_name", _as_table(F.col("table_name")))
+    more = spark.createDataFrame([("aware_log", True), ("wifi", True), ("keyboard", False), ("plugin_x", True), ("barometer", True)], "table_name string, has_device_ts boolean")
+    return D.table_decisions(cov, cov.select("table_name").distinct().withColumn("has_device_ts", F.lit(True)).unionByName(more))
+
+
+@query(f"""WITH {A.EVENTS} SELECT table_name, n_rows, category, operational, high_frequency, use_for_now FROM (SELECT {_NAMED} AS table_name, count(*) AS n_rows FROM e GROUP BY 1) JOIN
+    (VALUES ('screen', 'phone_usage', false, false, 'yes'), ('light', 'environment', false, false, 'yes'), ('calls', 'phone_usage', false, false, 'yes'), ('accelerometer', 'motion', false, true, 'later'), ('sensor_light', 'operational', true, false, 'ignore')) v(table_name, category, operational, high_frequency, use_for_now) USING (table_name)""")
+def table_class(spark, sf_dir):
+    e = A.events(spark, sf_dir).groupBy(_as_table(F.col("table_name")).alias("table_name")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return D.table_class(e)
+
+
+_KEY_NAMES = ["battery_level", "cid", "speed", "call_duration", "activity_name", "screen_status", "device_name", "k"]
+
+
+@query(f"""WITH {A.EVENTS}, k AS (SELECT {_NAMED} AS table_name, list_extract({_KEY_NAMES}, CAST(_id % 8 + 1 AS INTEGER)) AS key, count(*) AS n FROM e GROUP BY ALL)
+    SELECT table_name, key, n, CASE WHEN table_name = 'calls' AND key = 'cid' THEN 'high_sensitive_do_not_use_raw' WHEN table_name = 'calls' THEN 'privacy_sensitive_aggregate_only' WHEN key = 'cid' THEN 'sensitive_do_not_save_raw' ELSE 'privacy_safe_aggregate' END AS privacy_status,
+        CASE key WHEN 'battery_level' THEN 'phone_use_state' WHEN 'speed' THEN 'mobility' WHEN 'call_duration' THEN 'social_behavior' WHEN 'activity_name' THEN 'activity_pattern' WHEN 'screen_status' THEN 'sleep_circadian' ELSE 'unknown' END AS family FROM k""")
+def key_privacy_and_family(spark, sf_dir):
+    key = F.element_at(F.array(*[F.lit(k) for k in _KEY_NAMES]), (F.col("_id") % 8 + 1).cast("int"))
+    keys = A.events(spark, sf_dir).groupBy(_as_table(F.col("table_name")).alias("table_name"), key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return D.key_families(D.privacy_status(keys))

@@ -17,7 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def padded(number, letter: str):
-    return F.concat(F.lit(letter), F.lpad(number.cast("string"), 5, "0"))
+    """The letter and the number in five digits, more where it is longer."""
+    return F.format_string(letter + "%05d", number.cast("long"))
+
+
+def number(padded_id: str):
+    return F.expr(f"cast(substring({padded_id}, 2) as bigint)")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +34,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-EVENTS = """e AS (SELECT event_id AS _id, epoch_us(ts) // 1000 AS timestamp, 'D' || lpad(CAST(user_id AS VARCHAR), 5, '0') AS device_id,
-    'S' || lpad(CAST(user_id // 3 AS VARCHAR), 5, '0') AS subject_id, event_type AS table_name, props AS data, value, user_id FROM events)"""
+EVENTS = """e AS (SELECT event_id AS _id, epoch_us(ts) // 1000 AS timestamp, printf('D%05d', CAST(user_id AS BIGINT)) AS device_id,
+    printf('S%05d', CAST(user_id // 3 AS BIGINT)) AS subject_id, event_type AS table_name, props AS data, value, user_id FROM events)"""
 
 
 def raw(ev: DataFrame) -> DataFrame:
@@ -46,16 +51,16 @@ DEVICES = "dev AS (SELECT DISTINCT subject_id, device_id FROM e)"
 
 def subjects(ev: DataFrame) -> DataFrame:
     """T1 is 2 to 6 January and T2 24 to 27 January, by the subject's number."""
-    no = F.substring("subject_id", 2, 5).cast("int")
+    no = number("subject_id")
     s = ev.select("subject_id").distinct()
-    s = s.withColumn("t1_date", F.date_add(F.lit("2024-01-02").cast("date"), no % 5)).withColumn("t2_date", F.date_add(F.lit("2024-01-24").cast("date"), no % 4))
+    s = s.withColumn("t1_date", F.date_add(F.lit("2024-01-02").cast("date"), (no % 5).cast("int"))).withColumn("t2_date", F.date_add(F.lit("2024-01-24").cast("date"), (no % 4).cast("int")))
     ms = lambda c: F.unix_millis(F.to_utc_timestamp(F.col(c).cast("timestamp"), TZ))
     return s.withColumn("t1_ms", ms("t1_date")).withColumn("t2_ms", ms("t2_date")).withColumn("score", (no * 37 % 101).cast("double"))
 
 
 SUBJECTS = f"""sub AS (SELECT subject_id, t1_date, t2_date, epoch_ms(CAST(t1_date AS TIMESTAMP)) - {SHIFT} AS t1_ms, epoch_ms(CAST(t2_date AS TIMESTAMP)) - {SHIFT} AS t2_ms, score
     FROM (SELECT subject_id, DATE '2024-01-02' + CAST(no % 5 AS INTEGER) AS t1_date, DATE '2024-01-24' + CAST(no % 4 AS INTEGER) AS t2_date, CAST(no * 37 % 101 AS DOUBLE) AS score
-          FROM (SELECT DISTINCT subject_id, CAST(substr(subject_id, 2) AS INTEGER) AS no FROM e)))"""
+          FROM (SELECT DISTINCT subject_id, CAST(substr(subject_id, 2) AS BIGINT) AS no FROM e)))"""
 
 
 def windows(ev: DataFrame) -> DataFrame:
@@ -100,7 +105,7 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SIGNAL = """sig AS (SELECT l_orderkey * 10 + l_linenumber AS _id, epoch_ms(l_shipdate) + (l_orderkey * 7 + l_linenumber) % 432000 * 200 AS timestamp,
-    'D' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS device_id, 'S' || lpad(CAST(l_suppkey // 3 AS VARCHAR), 5, '0') AS subject_id, l_quantity / 10 AS x, l_discount * 10 AS y, l_tax * 10 AS z FROM lineitem)"""
+    printf('D%05d', CAST(l_suppkey AS BIGINT)) AS device_id, printf('S%05d', CAST(l_suppkey // 3 AS BIGINT)) AS subject_id, l_quantity / 10 AS x, l_discount * 10 AS y, l_tax * 10 AS z FROM lineitem)"""
 
 
 def features_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,5 +128,5 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left").select(padded(F.col("c_custkey"), "C").alias("subject_id"), F.col("c_acctbal").alias("y"), "n_orders", "mean_price", "max_price", "c_mktsegment", "c_nationkey")
 
 
-COHORT = """co AS (SELECT 'C' || lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS subject_id, c_acctbal AS y, n_orders, mean_price, max_price, c_mktsegment, c_nationkey FROM customer
+COHORT = """co AS (SELECT printf('C%05d', CAST(c_custkey AS BIGINT)) AS subject_id, c_acctbal AS y, n_orders, mean_price, max_price, c_mktsegment, c_nationkey FROM customer
     LEFT JOIN (SELECT o_custkey, CAST(count(*) AS DOUBLE) AS n_orders, round(avg(o_totalprice), 4) AS mean_price, max(o_totalprice) AS max_price FROM orders GROUP BY 1) ON c_custkey = o_custkey)"""
