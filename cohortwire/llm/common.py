@@ -114,6 +114,11 @@ def per_worker(key, build, keep: int = 3):
     return value
 
 
+def forget(key) -> None:
+    """Drops a per_worker() object that the tasks to come don't need."""
+    _WORKER.pop(key, None)
+
+
 #: Unicode white space, which differs from str.split() only in the controls 28 to 31.
 _UNICODE_SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 

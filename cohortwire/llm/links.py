@@ -1,13 +1,14 @@
 """Linking of like items that share a key, and connected components, without pairs of whole groups.
 
-Members of a key are dealt into blocks of bounded size by a hash.  A task compares one block, or two, and returns a
-spanning forest of the links it finds, never all pairs.  For a key of many blocks the first block is compared with
-all first; blocks whose members are then known to be connected with each other needn't be compared, so a group
-of copies costs in proportion to its size, and what is left is still compared in full.
+A key that more items share than one task should compare is replaced by several finer keys, of which like items
+still share one, again and again until each holds a bounded number.  A task compares the members of one key and
+returns a spanning forest of the links it finds, never all pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, written
 
+#: Members of a key that one task compares at most, where finer keys can be made.
 BLOCK = 256
 
 
@@ -38,15 +40,15 @@ class Forest:
 
 
 def _compare(like):
-    """mapInArrow function: rows (ids, payloads of one or two blocks) -> links."""
+    """mapInArrow function: rows (ids, payloads) of one key -> links."""
 
     def run(batches):
         for batch in batches:
             a, b = [], []
-            for ids, payloads, parts in zip(batch["ids"], batch["payloads"], batch["parts"], strict=True):
-                ids, payloads, parts = ids.as_py(), payloads.as_py(), np.array(parts.as_py())
+            for ids, payloads in zip(batch["ids"], batch["payloads"], strict=True):
+                ids, payloads = ids.as_py(), payloads.as_py()
                 forest = Forest(len(ids))
-                for i, j in like(payloads, parts, forest):
+                for i, j in like(payloads):
                     if forest.join(i, j):
                         a.append(min(ids[i], ids[j]))
                         b.append(max(ids[i], ids[j]))
@@ -56,66 +58,37 @@ def _compare(like):
     return run
 
 
-def links_within_keys(members: DataFrame, like, block: int = BLOCK) -> DataFrame:
-    """Links (a, b), a < b, that connect what `like` connects among members(key, id, payload binary) of one key.
+def links_within_keys(members: DataFrame, like, finer: list[Callable[[DataFrame], DataFrame]], block: int = BLOCK) -> DataFrame:
+    """Links (a, b), a < b, that connect what `like` connects among members(key, id, payload binary, ...) of one key.
 
-    like(payloads, parts, forest) yields index pairs of items that are alike: within the list where parts are all 0,
-    else between parts 0 and 1; it may leave out pairs that the forest connects.  id is a long and unique within a key.
+    like(payloads) yields index pairs of items that are alike.  The members of keys that more than `block` share go to
+    the keys that finer[0] makes of them, those of still too large ones to finer[1]'s and so on; each must keep any
+    two like items in a common key, and the last must leave groups that fit into a task.  id is a long and unique
+    within a key.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    blocks_of = F.ceil(F.col("size") / block).cast("int")
-    sizes = written(sizes.select("key", blocks_of.alias("blocks")), "key-sizes")
-    kept = members.join(sizes.hint("merge"), "key")
-    kept = kept.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
-    blocked = kept.groupBy("key", "block").agg(
-        F.first("blocks").alias("blocks"),
-        F.collect_list(F.struct("id", "payload")).alias("m"),
-    )
-    blocked = written(blocked.select("key", "block", "blocks", F.col("m.id").alias("ids"), F.col("m.payload").alias("payloads")), "blocks")
-    within = blocked.select("ids", "payloads", F.transform("ids", lambda _: F.lit(0)).alias("parts"))
-    first = _pairs(blocked.filter("blocks > 1"), F.array(F.lit(0)))
-    found = within.unionByName(first).mapInArrow(_compare(like), "a long, b long")
-    found = written(found.distinct(), "links")
-    large = blocked.filter("blocks > 2")
-    if large.isEmpty():
-        dropped(blocked)
-        return found
-    # The rest: only blocks that the links found so far don't connect with each other.
-    names = components(found, None)
-    item = large.select("key", "block", "blocks", F.explode(F.arrays_zip("ids", "payloads")).alias("m"))
-    item = item.select("key", "block", "blocks", F.col("m.ids").alias("id"), F.col("m.payloads").alias("payload"))
-    item = item.join(names, item["id"] == names["node"], "left").withColumn("name", F.coalesce("component", "id")).drop("node", "component")
-    again = item.groupBy("key", "block", "blocks").agg(
-        F.min("name").alias("low"), F.max("name").alias("high"), F.collect_list(F.struct("id", "payload")).alias("m")
-    )
-    again = again.select("key", "block", "blocks", "low", "high", F.col("m.id").alias("ids"), F.col("m.payload").alias("payloads"))
-    spread = again.groupBy("key").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most")
-    again = written(again.join(spread.select("key"), "key", "left_semi"), "blocks-left")
-    rest = _pairs(again, None).mapInArrow(_compare(like), "a long, b long")
-    out = written(found.unionByName(rest).distinct(), "links")
-    for x in (blocked, again, found):
+    ready, left = [], []
+    for level in range(len(finer) + 1):
+        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        sizes = written(sizes.select("key", (F.col("size") > block).alias("large")), "key-sizes")
+        large = F.col("large") if level < len(finer) else F.lit(False)
+        kept = members.join(sizes.hint("merge"), "key")
+        ready.append(kept.filter(~large).select("key", "id", "payload"))
+        left.append(sizes)
+        if level == len(finer) or sizes.filter("large").isEmpty():
+            break
+        members = written(finer[level](kept.filter(large).drop("large")), "finer-keys")
+        left.append(members)
+    found = None
+    for part in ready:
+        groups = part.groupBy("key").agg(F.collect_list(F.struct("id", "payload")).alias("m"))
+        links = groups.select(F.col("m.id").alias("ids"), F.col("m.payload").alias("payloads")).mapInArrow(_compare(like), "a long, b long")
+        found = links if found is None else found.unionByName(links)
+    out = written(found.distinct(), "links")
+    for x in left:
         dropped(x)
     return out
 
 
-def _pairs(blocks: DataFrame, with_blocks) -> DataFrame:
-    """Rows of two different blocks of a key: with the given blocks, or all that aren't yet compared or connected."""
-    side = blocks.withColumn("low", F.lit(None).cast("long")).withColumn("high", F.lit(None).cast("long")) if "low" not in blocks.columns else blocks
-    partner = with_blocks if with_blocks is not None else F.sequence(F.lit(1), F.col("blocks") - 1)
-    all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
-    # Block i goes to the pairs (i, j) in which it is the smaller and (j, i) in which it is the larger.
-    partners = F.when(F.col("block").isin(0), all_blocks).otherwise(partner) if with_blocks is not None else partner
-    sent = side if with_blocks is not None else side.filter("block > 0")
-    sent = sent.select("key", "block", "low", "high", "ids", "payloads", F.explode(partners).alias("other")).filter("block <> other")
-    sent = sent.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    both = sent.groupBy("key", "x", "y").agg(
-        F.collect_list(F.struct("block", "ids", "payloads")).alias("m"), F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("n")
-    )
-    both = both.filter("n = 2 and (low is null or low < high)")
-    part = F.transform("m", lambda z: F.transform(z["ids"], lambda _: F.when(z["block"] == F.col("x"), 0).otherwise(1)))
-    return both.select(F.flatten("m.ids").alias("ids"), F.flatten("m.payloads").alias("payloads"), F.flatten(part).alias("parts"))
-
-
 def components(links: DataFrame, nodes: DataFrame | None) -> DataFrame:
     """node, component: the smallest node reachable over links(a, b).  nodes adds those without a link.
 

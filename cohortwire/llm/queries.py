@@ -6,17 +6,11 @@ from . import bpe_count, decontaminate, exact_dedup, katz, language_id, packing,
 from .common import id_remainder
 from .tokens import default_vocabulary
 
-import uuid
-
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_index(spark) -> exact_dedup.DigestIndex:
-    return exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", exact_dedup.bucket_count(spark))
-
-
 def op1_secret_scan(spark, sf_dir):
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -34,7 +28,10 @@ def op4_pii(spark, sf_dir):
 
 
 def op5_exact_dedup(spark, sf_dir):
-    return new_index(spark).add(_table(spark, sf_dir, "documents"))
+    index = exact_dedup.temporary_index(spark)
+    out = index.add(_table(spark, sf_dir, "documents"))
+    index.drop()
+    return out
 
 
 def op6_simhash(spark, sf_dir):
@@ -58,10 +55,8 @@ def op10_decontamination(spark, sf_dir):
 
 
 def queries():
-    import corpus_pipeline
-
     ops = (op1_secret_scan, op2_language_id, op3_lm_scoring, op4_pii, op5_exact_dedup, op6_simhash, op7_token_counts, op8_packing, op9_token_files, op10_decontamination)
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql():

@@ -4,7 +4,7 @@ Fingerprints are 64-bit majorities of shingle hashes.  Each different fingerprin
 distances to fixed reference fingerprints (the pivots).  Two fingerprints within k bits differ by k at most in every
 coordinate of that table, so pairs of larger coordinate difference are discarded without looking at the fingerprints,
 and the survivors are verified.  Pairs are formed within keys only: fingerprints within 2 bits agree on two of four
-16-bit quarters, so six keys of 32 bits miss none.
+16-bit quarters, so six keys of 32 bits miss none; keys that many share are refined the same way.
 """
 
 from __future__ import annotations
@@ -17,11 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, shuffle_files_dropped, texts, written
-from .links import components, links_within_keys
+from .links import BLOCK, components, links_within_keys
 
 PIVOTS = 16
 QUARTERS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-#: Bits of the fingerprints and of their distances to the pivots: what a member of a key carries.
 _BIT_TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -66,34 +65,54 @@ def pivot_payload(fingerprints: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in rows]
 
 
-def surviving_pairs(table: np.ndarray, parts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows (fingerprint bytes, distances) within `bits`, by the pivots first, then verified."""
+def surviving_pairs(table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, of rows (fingerprint bytes, distances) within `bits`: by the pivots first, then verified."""
     prints = np.ascontiguousarray(table[:, :8]).view("<u8").reshape(-1)
     coordinates = table[:, 8 : 8 + PIVOTS].astype(np.int16)
-    left = np.flatnonzero(parts == 0)
-    right = np.flatnonzero(parts == 1)
-    crossed = len(right) > 0
-    right = right if crossed else left
-    near = np.ones((len(left), len(right)), bool)
+    near = np.triu(np.ones((len(table), len(table)), bool), 1)
     for k in range(coordinates.shape[1]):
-        near &= np.abs(coordinates[left, k][:, None] - coordinates[right, k][None, :]) <= bits
-    if not crossed:
-        near &= left[:, None] < right[None, :]
+        near &= np.abs(coordinates[:, k][:, None] - coordinates[:, k][None, :]) <= bits
     i, j = np.nonzero(near)
-    i, j = left[i], right[j]
     good = hamming(prints[i], prints[j]) <= bits
     return i[good], j[good]
 
 
 def _within_bits(bits: int):
-    def like(payloads, parts, forest):
+    def like(payloads):
         table = np.frombuffer(b"".join(payloads), np.uint8).reshape(len(payloads), -1)
-        i, j = surviving_pairs(table, parts, bits)
+        i, j = surviving_pairs(table, bits)
         return zip(i.tolist(), j.tolist(), strict=True)
 
     return like
 
 
+def _finer_keys(width: int):
+    """members(key, id, payload, rest) with keys of half of the `width` bits in rest: rest is cut into four pieces, of
+    which two fingerprints within 2 bits share at least two; the other two pieces are the new rest."""
+    size = width // 4
+    piece = lambda k: F.shiftrightunsigned("rest", size * k).bitwiseAND(F.lit((1 << size) - 1))
+
+    def split(members: DataFrame) -> DataFrame:
+        made = []
+        for n, (i, j) in enumerate(QUARTERS):
+            p, q = (k for k in range(4) if k not in (i, j))
+            rest = F.shiftleft(piece(q), size).bitwiseOR(piece(p))
+            made.append(F.struct(F.xxhash64("key", F.lit(n), piece(i), piece(j)).alias("key"), rest.alias("rest")))
+        return members.select("id", "payload", F.explode(F.array(*made)).alias("m")).select("m.key", "id", "payload", "m.rest")
+
+    return split
+
+
+def links_of_fingerprints(nodes: DataFrame, bits: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect all fingerprints (nodes: fp, payload; each once) within `bits`.
+
+    Keys are two of four quarters of the fingerprint; a key that many share is refined by the bits left, to 48 and then
+    56 equal bits, where at most 256 different fingerprints are left.
+    """
+    start = nodes.select(F.lit(0).alias("key"), F.col("fp").alias("id"), "payload", F.col("fp").alias("rest"))
+    return links_within_keys(_finer_keys(64)(start), _within_bits(bits), [_finer_keys(32), _finer_keys(16)], block)
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, a row per row of docs.
 
@@ -116,13 +135,14 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFram
     rows = written(texts(docs).select("doc_id", prints("text").alias("fp")), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     table = nodes.select("fp", payload("fp").alias("payload"))
-    quarter = lambda k: F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
-    keys = [F.xxhash64(F.lit(n), quarter(i), quarter(j)) for n, (i, j) in enumerate(QUARTERS)]
-    members = table.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("id"), "payload")
-    named = components(links_within_keys(members, _within_bits(bits)), None)
+    named = components(links_of_fingerprints(table, bits), None)
     of_node = _named_by_least(nodes, named, "fp")
     out = rows.join(of_node.hint("merge"), "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = written(out, "simhash-groups")
+    for x in (rows, nodes, of_node):
+        dropped(x)
+    return out
 
 
 def _named_by_least(nodes: DataFrame, named: DataFrame, node: str) -> DataFrame:
@@ -130,7 +150,10 @@ def _named_by_least(nodes: DataFrame, named: DataFrame, node: str) -> DataFrame:
     roots = nodes.join(named.hint("merge"), nodes[node] == named["node"], "left")
     roots = written(roots.select(node, "least", F.coalesce("component", node).alias("root")), "roots")
     least = written(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root-names")
-    return written(roots.join(least.hint("merge"), "root").select(node, "component_id"), "named")
+    out = written(roots.join(least.hint("merge"), "root").select(node, "component_id"), "named")
+    for x in (roots, least):
+        dropped(x)
+    return out
 
 
 # ------------------------------------------------------------------ near duplicates by similarity of shingles

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, shuffle_files_dropped, texts, written
-from .tokens import chunk_ids
+from .common import forget, new_path, shuffle_files_dropped, texts, written
+from .tokens import chunk_ids, vocabulary_size
 
 MAGIC = b"BITIDS02"
 FOOTER = struct.Struct("<QQQQQQ8s")  # bits, ids in a block, ids, documents, blocks, bytes of blocks, magic
@@ -177,7 +177,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str) -> DataFrame:
 
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        bits = id_bits(chunk_ids(vocabulary).size)
+        forget(("ids", vocabulary))  # the encoder's tables, which this stage has no use for
+        bits = id_bits(vocabulary_size(vocabulary))
         kind = "<u2" if bits <= 16 else "<u4"
         system, folder = open_stream(path)
         system.create_dir(folder, recursive=True)

@@ -18,7 +18,9 @@ from .common import per_worker
 
 END_ID = 1
 #: Units (words, marks, other chunks) whose ids a worker keeps between batches, and units joined in one library call.
-KEPT_UNITS, JOINED_UNITS = 800_000, 1_000
+KEPT_UNITS, JOINED_UNITS = 400_000, 1_000
+#: Bytes of text that are encoded at once, or one text.
+SLICE_BYTES = 4 << 20
 #: A word of Latin letters (each of which has one lower-case letter), and marks: the tokenizer separates and
 #: lower-cases these anyway.
 _WORD = "^(?P<word>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<marks>[.,;:!?]*)$"
@@ -55,29 +57,27 @@ class ChunkIds:
     def _encoded(self, units: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
-    def _joined(self, words: list[str]) -> list[np.ndarray]:
-        """The words' ids, from one call: of each word's ids the last, and no other, ends a word."""
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids and how many each has, from one call: of each word's ids the last, and no other, ends a word."""
         ids = self._encoded([" ".join(words)])[0]
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
-            return self._encoded(words)
-        return np.split(ids, ends[:-1])
+            return self._each(words)
+        return ids, np.diff(ends, prepend=0)
+
+    def _each(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._encoded(units)
+        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
 
     def _learn(self, units: pa.Array, words: np.ndarray) -> None:
         """Adds units; `words` says which are Latin words."""
-        for joined in (True, False):
-            some = units.filter(pa.array(words == joined))
-            flat, sizes = [np.zeros(0, "<u4")], []
-            for at in range(0, len(some), JOINED_UNITS):
-                part = some.slice(at, JOINED_UNITS).to_pylist()
-                each = self._joined(part) if joined else self._encoded(part)
-                sizes += map(len, each)
-                flat += each
-            sizes = np.array(sizes, np.int64)
+        for some, encode in ((units.filter(pa.array(words)), self._joined), (units.filter(pa.array(~words)), self._each)):
+            parts = [encode(some.slice(at, JOINED_UNITS).to_pylist()) for at in range(0, len(some), JOINED_UNITS)]
+            sizes = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
             self.units = pa.concat_arrays([self.units, some])
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, *flat])
+            self.flat = np.concatenate([self.flat, *(ids for ids, _ in parts)])
 
     def _places(self, units: pa.Array, words: np.ndarray) -> np.ndarray:
         """Where each of the different units is among those known, once the others are learnt."""
@@ -95,9 +95,8 @@ class ChunkIds:
             self.sizes = self.sizes[stay]
             self.starts = ends - self.sizes
 
-    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the bounds of each text's ids (one more than there are texts)."""
-        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """texts() of a slice."""
         pieces = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         bounds = pieces.offsets.to_numpy().astype(np.int64)
         # White space at the ends of a text makes empty pieces, which have no ids.
@@ -111,6 +110,7 @@ class ChunkIds:
         plain = np.zeros(len(first.dictionary), bool)
         plain[first.indices.to_numpy()[is_word.to_numpy(zero_copy_only=False)]] = True
         head = self._places(first.dictionary, plain)
+        # Learning adds at the end only, so places stay.
         tail = self._places(second.dictionary, np.zeros(len(second.dictionary), bool))
         # Each chunk's ids are those of its two units; then each text's are those of its chunks.
         pairs = np.stack([head[first.indices.to_numpy()], tail[second.indices.to_numpy()]], axis=1).reshape(-1)
@@ -122,6 +122,20 @@ class ChunkIds:
         self._forget(np.bincount(pairs, weights=np.repeat(counts, 2), minlength=len(self.sizes)))
         return ids, np.concatenate([[0], at])[bounds - bounds[0]]
 
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the bounds of each text's ids (one more than there are texts)."""
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        parts, bounds, at = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)], 0
+        while at < len(texts):
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            ids, edges = self._slice(texts.slice(at, stop - at))
+            parts.append(ids)
+            bounds.append(edges[1:] + bounds[-1][-1])
+            at = stop
+        return np.concatenate(parts), np.concatenate(bounds)
+
     def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As texts(), with the end id after each text's ids."""
         ids, bounds = self.texts(texts)
@@ -136,6 +150,17 @@ class ChunkIds:
         return self.texts(pa.array([text]))[0].tobytes()
 
 
+def vocabulary_size(path: str) -> int:
+    """How many ids there are, added tokens included; the vocabulary itself isn't kept."""
+
+    def size():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path).get_vocab_size()
+
+    return per_worker(("size", path), size)
+
+
 def chunk_ids(path: str) -> ChunkIds:
     return per_worker(("ids", path), lambda: ChunkIds(path))
 

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import defaultdict
 
@@ -21,7 +22,7 @@ def test_exact_dedup_is_the_sql(spark, documents):
 
 
 def test_index_persists_over_batches(spark):
-    index = queries.new_index(spark)
+    index = exact_dedup.temporary_index(spark)
     first = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "doc_id long, text string")
     second = spark.createDataFrame([(9, "a"), (8, ""), (7, "new"), (6, "new")], "doc_id long, text string")
     assert {r.doc_id: (r.keep_id, r.kept) for r in index.add(first).collect()} == {1: (2, False), 2: (2, True), 3: (3, True)}
@@ -31,13 +32,47 @@ def test_index_persists_over_batches(spark):
 
 
 def test_exact_dedup_odd_rows(spark, odd, empty):
-    got = queries.new_index(spark).add(odd).collect()
+    got = exact_dedup.temporary_index(spark).add(odd).collect()
     assert len(got) == odd.count()
     by = {r.doc_id: r for r in got}
     assert by[2].kept and not by[1].kept and by[1].keep_id == 2 and by[5].kept and by[None].keep_id == 5
-    assert queries.new_index(spark).add(empty).count() == 0
-    kept = exact_dedup.distinct_documents(odd, queries.new_index(spark))
-    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 4, 5]
+    assert exact_dedup.temporary_index(spark).add(empty).count() == 0
+    kept = exact_dedup.distinct_documents(odd, exact_dedup.temporary_index(spark))
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5]
+
+
+def slow_keepers(rows):
+    """doc ids that stay: for each text the largest, one row of it."""
+    best = {}
+    for d, t in rows:
+        best[t or ""] = max(best.get(t or "", -1), d)
+    return best
+
+
+def test_repeated_rows_and_shared_ids(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(12), rng.choice(["a", "b", "", None, "c", "d e"])) for _ in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_digest", F.lit("clash")).withColumn("n", F.lit(3))
+    want = slow_keepers(rows)
+    got = exact_dedup.temporary_index(spark).add(docs).collect()
+    assert sorted((r.doc_id, r.text_sha256) for r in got) == sorted((d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows)
+    kept = [(r.doc_id, r.text_sha256) for r in got if r.kept]
+    assert sorted(kept) == sorted((d, hashlib.sha256(t.encode()).hexdigest()) for t, d in want.items())
+    assert all(r.group_size == sum((t or "") == (u or "") for _, u in rows for t in [next(t for d, t in rows if hashlib.sha256((t or "").encode()).hexdigest() == r.text_sha256)]) for r in got)
+    stay = exact_dedup.distinct_documents(docs, exact_dedup.temporary_index(spark))
+    assert stay.columns == docs.columns and sorted((r.text or "", r.doc_id) for r in stay.collect()) == sorted(want.items())
+
+
+def test_a_batch_that_is_run_again_gives_the_same(spark):
+    index = exact_dedup.temporary_index(spark)
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    second = spark.createDataFrame([(3, "b"), (4, "c"), (4, "c")], "doc_id long, text string")
+    index.add(first, "one")
+    answers = [sorted(map(tuple, index.add(second, "two").collect())) for _ in range(3)]
+    assert answers[0] == answers[1] == answers[2] and sum(r[3] for r in answers[0]) == 1
+    assert index.table().count() == 3
+    assert sorted(r.doc_id for r in exact_dedup.distinct_documents(second, index, "two").collect()) == [4]
+    index.drop()
 
 
 def slow_fingerprint(text, size=3):
@@ -87,9 +122,9 @@ def test_links_in_a_hot_key(spark, block):
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 2**63, 3, dtype=np.int64)
     prints = sorted({int(c) ^ (1 << int(rng.integers(0, 12))) ^ (1 << int(rng.integers(0, 12))) for c in centres for _ in range(40)})
-    members = spark.createDataFrame([(7, p, bytes(x)) for p, x in zip(prints, simhash.pivot_payload(np.array(prints, np.int64).view(np.uint64)))], "key long, id long, payload binary")
-    found = links.links_within_keys(members, simhash._within_bits(2), block=block)
-    names = {r.node: r.component for r in links.components(found, members.select(F.col("id").alias("node"))).collect()}
+    nodes = spark.createDataFrame([(p, bytes(x)) for p, x in zip(prints, simhash.pivot_payload(np.array(prints, np.int64).view(np.uint64)))], "fp long, payload binary")
+    found = simhash.links_of_fingerprints(nodes, 2, block=block)
+    names = {r.node: r.component for r in links.components(found, nodes.select(F.col("fp").alias("node"))).collect()}
     assert names == slow_components({p: p for p in prints})
 
 
