@@ -87,28 +87,38 @@ class ShardWriter:
 
 
 class Shard:
-    """Reads a shard from its bytes."""
-
-    def __init__(self, data: bytes):
-        self.data = memoryview(data)
-        self.bits, self.block_ids, self.ids, documents, blocks, end, magic = FOOTER.unpack(self.data[-FOOTER.size :])
+    """Reads a shard, its tables at once and its ids block by block: from bytes, or from read(start, length) and a size."""
+
+    def __init__(self, data, size: int | None = None):
+        if size is None:
+            whole, size = memoryview(data), len(data)
+            data = lambda start, length: whole[start : start + length]
+        self.read = data
+        self.bits, self.block_ids, self.ids, documents, blocks, end, magic = FOOTER.unpack(data(size - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a shard of packed ids")
-        self.documents = np.frombuffer(self.data, "<i8", 3 * documents, end).reshape(-1, 3)
-        self.offsets = np.frombuffer(self.data, "<u8", blocks, end + 24 * documents)
+        tables = data(end, size - FOOTER.size - end)
+        self.documents = np.frombuffer(tables, "<i8", 3 * documents).reshape(-1, 3)
+        self.offsets = np.append(np.frombuffer(tables, "<u8", blocks, 24 * documents), np.uint64(end)).astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.documents[:, 1])]).astype(np.int64)
 
-    def block(self, k: int) -> np.ndarray:
-        n = min(self.block_ids, self.ids - k * self.block_ids)
-        at = int(self.offsets[k])
-        return unpack_ids(self.data[at : at + (n * self.bits + 7) // 8], n, self.bits)
+    def blocks(self, first: int, last: int) -> np.ndarray:
+        """Ids of blocks first to last, by one read."""
+        at = int(self.offsets[first])
+        data = self.read(at, int(self.offsets[last + 1]) - at)
+        parts = []
+        for k in range(first, last + 1):
+            n = min(self.block_ids, self.ids - k * self.block_ids)
+            begin = int(self.offsets[k]) - at
+            parts.append(unpack_ids(data[begin : begin + (n * self.bits + 7) // 8], n, self.bits))
+        return np.concatenate(parts)
 
     def slice(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of the shard, reading the blocks that hold them only."""
         if start >= stop:
             return np.zeros(0, "<u4")
         first, last = start // self.block_ids, (stop - 1) // self.block_ids
-        ids = np.concatenate([self.block(k) for k in range(first, last + 1)])
+        ids = self.blocks(first, last)
         return ids[start - first * self.block_ids : stop - first * self.block_ids]
 
     def document(self, i: int) -> np.ndarray:
@@ -211,37 +221,42 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str) -> DataFrame:
         return written(ordered.select("doc_id", "ids").mapInArrow(write, "part int, seq int, file string, n_docs long, n_ids long"), "manifest")
 
 
+#: Ids that a reader holds at once, or those of one document.
+READ_IDS = 1 << 20
+
+
 def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """A row per document in the shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """A row per document in the shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    Tasks take shards from the manifest and read them by ranges, so that no shard is in memory whole.
+    """
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard only
     bases = manifest.select("file", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
+    bases = bases.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file")
 
     def decode(batches):
+        system, folder = open_stream(path)
         for batch in batches:
-            for name, content in zip(batch["file"].to_pylist(), batch["content"], strict=True):
-                shard = Shard(content.as_buffer())
-                for at in range(0, len(shard.documents), 10_000):
-                    stop = min(at + 10_000, len(shard.documents))
-                    first = int(shard.starts[at])
-                    ids = shard.slice(first, int(shard.starts[stop]))
-                    bounds = shard.starts[at : stop + 1] - first
-                    raw = memoryview(ids.tobytes())
-                    crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds, bounds[1:])]
-                    ids_of = pa.array(shard.documents[at:stop, 0], mask=shard.documents[at:stop, 2] == 1)
-                    columns = [pa.array([name] * (stop - at)), ids_of, pa.array(bounds[:-1] + first), pa.array(shard.documents[at:stop, 1]), pa.array(crc, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["file", "doc_id", "within", "n_tokens", "ids_crc32"])
-
-    if manifest.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ids").load(path)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    rows = files.mapInArrow(decode, "file string, doc_id long, within long, n_tokens long, ids_crc32 long")
-    return rows.join(bases, "file").select(
-        "doc_id",
-        (F.col("base") + F.col("within")).alias("start"),
-        "n_tokens",
-        "ids_crc32",
-    )
+            for name, base in zip(batch["file"].to_pylist(), batch["base"].to_pylist(), strict=True):
+                with system.open_input_file(f"{folder}/{name}") as stream:
+                    shard = Shard(lambda at, n: stream.read_at(n, at), stream.size())  # noqa: B023
+                    yield from _documents(shard, base)
+
+    return bases.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _documents(shard: Shard, base: int):
+    at = 0
+    while at < len(shard.documents):
+        stop = max(at + 1, int(np.searchsorted(shard.starts, shard.starts[at] + READ_IDS, side="right")) - 1)
+        first = int(shard.starts[at])
+        raw = memoryview(shard.slice(first, int(shard.starts[stop])).tobytes())
+        bounds = shard.starts[at : stop + 1] - first
+        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+        doc_id = pa.array(shard.documents[at:stop, 0], mask=shard.documents[at:stop, 2] == 1)
+        columns = [doc_id, pa.array(base + first + bounds[:-1]), pa.array(shard.documents[at:stop, 1]), pa.array(crc, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
+        at = stop
 
 
 def shard_bytes(documents: list[tuple[int, np.ndarray]], bits: int, block_ids: int = BLOCK_IDS) -> bytes:
