@@ -2,7 +2,7 @@
 
 For one word, the pair of neighbours with the lowest rank is popped from a heap, merged in a doubly linked list,
 and the pairs it forms with its neighbours are pushed; the count is the initial symbols minus the merges.  No ids
-are made.  Counts of words are kept in bounded caches per worker.
+are made.  Each different unit of a batch is merged once; counts of units that recur are kept, boundedly, per worker.
 """
 
 from __future__ import annotations
@@ -11,11 +11,14 @@ import heapq
 import json
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, per_worker, space_chunks, texts
+from .common import per_worker, texts
+from .tokens import Units, slices
 
 
 def symbols_after_merging(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
@@ -55,12 +58,13 @@ def symbols_after_merging(symbols: list[str], ranks: dict[tuple[str, str], int])
     return n - merges
 
 
-class WordCounter:
-    """Tokens of a text under a vocabulary file of the tokenizers library, without ids."""
+class WordCounter(Units):
+    """Tokens of texts under a vocabulary file of the tokenizers library, without ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -71,23 +75,39 @@ class WordCounter:
         self.special_pattern = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.normalize = tokenizer.normalizer.normalize_str
         self.split = tokenizer.pre_tokenizer.pre_tokenize_str
-        self.pieces = BoundedCache(self._piece)
-        self.chunks = BoundedCache(self._chunk)
+        self.counts = np.zeros(0, np.int64)
 
     def _piece(self, piece: str) -> int:
         return symbols_after_merging([*piece[:-1], piece[-1] + self.suffix], self.ranks)
 
     def _plain(self, text: str) -> int:
-        return sum(self.pieces[piece] for piece, _ in self.split(self.normalize(text))) if text else 0
+        return sum(self._piece(piece) for piece, _ in self.split(self.normalize(text))) if text else 0
 
-    def _chunk(self, chunk: str) -> int:
-        if self.special_pattern and self.special_pattern.search(chunk):
-            parts = self.special_pattern.split(chunk)
+    def _unit(self, unit: str) -> int:
+        if self.special_pattern and self.special_pattern.search(unit):
+            parts = self.special_pattern.split(unit)
             return len(parts) - 1 + sum(map(self._plain, parts))
-        return self._plain(chunk)
+        return self._plain(unit)
+
+    def _learn(self, units: pa.Array, words: np.ndarray) -> None:
+        self.counts = np.concatenate([self.counts, np.fromiter(map(self._unit, units.to_pylist()), np.int64, len(units))])
+        self.units = pa.concat_arrays([self.units, units])
+
+    def _select(self, places: np.ndarray) -> None:
+        self.counts = self.counts[places]
+
+    def texts(self, texts: pa.Array) -> np.ndarray:
+        """How many tokens each text has: the sum over its chunks' units, each different one merged once."""
+        out = [np.zeros(0, np.int64)]
+        for part in slices(texts):
+            units, chunks, bounds = self.cut(part)
+            each = self.counts[units].reshape(-1, 2).sum(axis=1)
+            out.append(np.diff(np.concatenate([[0], np.cumsum(each[chunks])])[bounds]))
+            self.forget(units, chunks)
+        return np.concatenate(out)
 
     def __call__(self, text: str) -> int:
-        return sum(map(self.chunks.__getitem__, space_chunks(text)))
+        return int(self.texts(pa.array([text]))[0])
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
@@ -97,9 +117,11 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     Repeated rows are each counted; an empty table gives no rows; other columns are ignored.
     """
 
-    @F.pandas_udf("long")
-    def tokens(text: pd.Series) -> pd.Series:
-        return text.map(per_worker(("count", vocabulary), lambda: WordCounter(vocabulary)))
+    def count(batches):
+        counter = per_worker(("count", vocabulary), lambda: WordCounter(vocabulary))
+        for batch in batches:
+            n_bytes = pc.binary_length(batch["text"]).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], n_bytes, pa.array(counter.texts(batch["text"]))], ["doc_id", "n_bytes", "n_tokens"])
 
-    rows = texts(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), tokens("text").alias("n_tokens"))
+    rows = texts(docs).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import re
 import tempfile
 import uuid
 
@@ -117,14 +116,3 @@ def per_worker(key, build, keep: int = 3):
 def forget(key) -> None:
     """Drops a per_worker() object that the tasks to come don't need."""
     _WORKER.pop(key, None)
-
-
-#: Unicode white space, which differs from str.split() only in the controls 28 to 31.
-_UNICODE_SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
-
-
-def space_chunks(text: str) -> list[str]:
-    """The maximal runs without Unicode white space."""
-    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        return [x for x in _UNICODE_SPACE.split(text) if x]
-    return text.split()

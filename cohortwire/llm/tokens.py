@@ -35,23 +35,81 @@ def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chosen: np
     return flat[at], ends
 
 
-class ChunkIds:
-    """Ids of texts; the units that recur are kept between batches."""
+class Units:
+    """Cuts batches of texts into chunks and those into units, and keeps what a subclass knows of units that recur.
+
+    A subclass has _learn(units, words), which appends to self.units and to its own tables, and _select(places), which
+    keeps these places of its tables only.
+    """
+
+    def __init__(self, kept: int = KEPT_UNITS):
+        self.kept, self.units = kept, pa.array([], pa.large_string())
+
+    def _places(self, units: pa.Array, words: np.ndarray) -> np.ndarray:
+        """Where each of the different units is among those known, once the others are learnt."""
+        new = pc.index_in(units, value_set=self.units).is_null()
+        if pc.any(new).as_py():
+            self._learn(units.filter(new), words[new.to_numpy(zero_copy_only=False)])
+        return pc.index_in(units, value_set=self.units).to_numpy().astype(np.int64)
+
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(units, chunks, bounds): places of the two units of each different chunk, one after the other, the numbers
+        of the texts' chunks in order, and where each text's chunks begin and end."""
+        pieces = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        bounds = pieces.offsets.to_numpy().astype(np.int64)
+        # White space at the ends of a text makes empty pieces, which have no ids.
+        numbered = pc.dictionary_encode(pieces.flatten())
+        chunks = numbered.dictionary
+        found = pc.extract_regex(chunks, pattern=_WORD)
+        is_word = found.is_valid()
+        first = pc.dictionary_encode(pc.if_else(is_word, pc.utf8_lower(pc.struct_field(found, "word")), chunks))
+        second = pc.dictionary_encode(pc.fill_null(pc.struct_field(found, "marks"), ""))
+        plain = np.zeros(len(first.dictionary), bool)
+        plain[first.indices.to_numpy()[is_word.to_numpy(zero_copy_only=False)]] = True
+        head = self._places(first.dictionary, plain)
+        # Learning adds at the end only, so places stay.
+        tail = self._places(second.dictionary, np.zeros(len(second.dictionary), bool))
+        units = np.stack([head[first.indices.to_numpy()], tail[second.indices.to_numpy()]], axis=1).reshape(-1)
+        return units, numbered.indices.to_numpy(), bounds - bounds[0]
+
+    def forget(self, units: np.ndarray, chunks: np.ndarray) -> None:
+        """Beyond `kept` units, only those seen more than once in the last batch stay."""
+        if len(self.units) > self.kept:
+            counts = np.repeat(np.bincount(chunks, minlength=len(units) // 2), 2)
+            seen = np.bincount(units, weights=counts, minlength=len(self.units))
+            stay = np.flatnonzero(seen > 1)[: self.kept]
+            self.units = self.units.take(pa.array(stay))
+            self._select(stay)
+
+
+def slices(texts: pa.Array):
+    """Slices of about SLICE_BYTES, of one text at least."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
+class ChunkIds(Units):
+    """Ids of texts."""
 
     def __init__(self, path: str, kept: int = KEPT_UNITS):
         from tokenizers import Tokenizer
 
+        super().__init__(kept)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.size, self.kept = self.tokenizer.get_vocab_size(), kept
+        self.size = self.tokenizer.get_vocab_size()
         with open(path, encoding="utf-8") as f:
             suffix = json.load(f)["model"].get("end_of_word_suffix")
         #: Whether an id ends a word; without such ids in the vocabulary words are encoded one by one.
         self.ends = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
-        self.units = pa.array([], pa.large_string())
         self.flat, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encoded(self, units: list[str]) -> list[np.ndarray]:
@@ -70,7 +128,7 @@ class ChunkIds:
         return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
 
     def _learn(self, units: pa.Array, words: np.ndarray) -> None:
-        """Adds units; `words` says which are Latin words."""
+        """`words` says which units are Latin words."""
         for some, encode in ((units.filter(pa.array(words)), self._joined), (units.filter(pa.array(~words)), self._each)):
             parts = [encode(some.slice(at, JOINED_UNITS).to_pylist()) for at in range(0, len(some), JOINED_UNITS)]
             sizes = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
@@ -79,61 +137,28 @@ class ChunkIds:
             self.sizes = np.concatenate([self.sizes, sizes])
             self.flat = np.concatenate([self.flat, *(ids for ids, _ in parts)])
 
-    def _places(self, units: pa.Array, words: np.ndarray) -> np.ndarray:
-        """Where each of the different units is among those known, once the others are learnt."""
-        new = pc.index_in(units, value_set=self.units).is_null()
-        if pc.any(new).as_py():
-            self._learn(units.filter(new), words[new.to_numpy(zero_copy_only=False)])
-        return pc.index_in(units, value_set=self.units).to_numpy().astype(np.int64)
-
-    def _forget(self, seen: np.ndarray) -> None:
-        """Beyond `kept` units, only those seen more than once in the last batch stay."""
-        if len(self.units) > self.kept:
-            stay = np.flatnonzero(seen > 1)[: self.kept]
-            self.units = self.units.take(pa.array(stay))
-            self.flat, ends = gathered(self.flat, self.starts, self.sizes, stay)
-            self.sizes = self.sizes[stay]
-            self.starts = ends - self.sizes
+    def _select(self, places: np.ndarray) -> None:
+        self.flat, ends = gathered(self.flat, self.starts, self.sizes, places)
+        self.sizes = self.sizes[places]
+        self.starts = ends - self.sizes
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """texts() of a slice."""
-        pieces = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-        bounds = pieces.offsets.to_numpy().astype(np.int64)
-        # White space at the ends of a text makes empty pieces, which have no ids.
-        numbered = pc.dictionary_encode(pieces.flatten())
-        order, chunks = numbered.indices.to_numpy(), numbered.dictionary
-        cut = pc.extract_regex(chunks, pattern=_WORD)
-        is_word = cut.is_valid()
-        word, marks = pc.struct_field(cut, "word"), pc.struct_field(cut, "marks")
-        first = pc.dictionary_encode(pc.if_else(is_word, pc.utf8_lower(word), chunks))
-        second = pc.dictionary_encode(pc.fill_null(marks, ""))
-        plain = np.zeros(len(first.dictionary), bool)
-        plain[first.indices.to_numpy()[is_word.to_numpy(zero_copy_only=False)]] = True
-        head = self._places(first.dictionary, plain)
-        # Learning adds at the end only, so places stay.
-        tail = self._places(second.dictionary, np.zeros(len(second.dictionary), bool))
+        units, chunks, bounds = self.cut(texts)
         # Each chunk's ids are those of its two units; then each text's are those of its chunks.
-        pairs = np.stack([head[first.indices.to_numpy()], tail[second.indices.to_numpy()]], axis=1).reshape(-1)
-        chunk_flat, ends = gathered(self.flat, self.starts, self.sizes, pairs)
+        chunk_flat, ends = gathered(self.flat, self.starts, self.sizes, units)
         ends = ends[1::2]
         sizes = np.diff(ends, prepend=0)
-        ids, at = gathered(chunk_flat, ends - sizes, sizes, order)
-        counts = np.bincount(order, minlength=len(chunks))
-        self._forget(np.bincount(pairs, weights=np.repeat(counts, 2), minlength=len(self.sizes)))
-        return ids, np.concatenate([[0], at])[bounds - bounds[0]]
+        ids, at = gathered(chunk_flat, ends - sizes, sizes, chunks)
+        self.forget(units, chunks)
+        return ids, np.concatenate([[0], at])[bounds]
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the bounds of each text's ids (one more than there are texts)."""
-        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-        parts, bounds, at = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)], 0
-        while at < len(texts):
-            before = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
-            ids, edges = self._slice(texts.slice(at, stop - at))
+        parts, bounds = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)]
+        for part in slices(texts):
+            ids, edges = self._slice(part)
             parts.append(ids)
             bounds.append(edges[1:] + bounds[-1][-1])
-            at = stop
         return np.concatenate(parts), np.concatenate(bounds)
 
     def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
