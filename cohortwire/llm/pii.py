@@ -10,6 +10,7 @@ the combinations there are, reach the driver.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import uuid
@@ -24,21 +25,23 @@ from .common import dropped, per_worker, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: The base patterns of the contract.
+#: The base patterns of the contract.  An address can only start where a run of digits does, which is said
+#: here so that a long run is read once; emails are found from their @ in emails(), for the same reason.
 BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 #: Wider forms, each bounded so that it can't run into its neighbours.
 WIDE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]+)+", re.I),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]+)+", re.I),
     "ip": re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
     "card": re.compile(r"(?<![0-9-])(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9-])"),
     "phone": re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"),
 }
 _DIGIT = re.compile("[0-9]")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 #: What the gazetteer and context labelers know.
 TOP_DOMAINS = "com org net edu gov info io de fr es uk eu us ca au ch nl it".split()
@@ -76,6 +79,22 @@ def valid(kind: str, s: str) -> bool:
     return True
 
 
+def emails(text: str):
+    """(start, end) of the leftmost matches of [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+ that don't overlap.
+
+    The part before an @ holds none, so it is the whole run of its characters between the last @, or the last match,
+    and this one; each character of the text is looked at a bounded number of times.
+    """
+    free, at = 0, text.find("@")
+    while at >= 0:
+        run = _LOCAL.match(text[free:at][::-1]).end()
+        domain = _DOMAIN.match(text, at + 1) if run else None
+        if domain:
+            yield at - run, domain.end()
+        free = domain.end() if domain else at + 1
+        at = text.find("@", free)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost matches of each kind that don't overlap; matches that fail their test are dropped, not tried again."""
     out = []
@@ -83,7 +102,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     for kind in KINDS:
         if (kind == "email" and "@" not in text) or (kind == "phone" and "+" not in text) or (kind != "email" and not has_digit):
             continue
-        out += [(kind, m.start(), m.end()) for m in BASE[kind].finditer(text) if valid(kind, m[0])]
+        if kind == "email":
+            out += [(kind, a, b) for a, b in emails(text)]
+        else:
+            out += [(kind, m.start(), m.end()) for m in BASE[kind].finditer(text) if valid(kind, m[0])]
     return out
 
 
@@ -124,19 +146,40 @@ def features(kind: str, s: str, text: str, start: int, end: int, lost: bool) ->
     return sum(1 << i for i, x in enumerate(seen) if x)
 
 
+class Taken:
+    """The parts of a text that spans take, as sorted intervals that don't meet."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def add_if_free(self, a: int, b: int) -> bool:
+        k = bisect.bisect_right(self.starts, a)
+        if (k and self.ends[k - 1] > a) or (k < len(self.starts) and self.starts[k] < b):
+            return False
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+        return True
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int, int, bool]]:
     """(kind, start, end, votes as a number 0..26, features, in base) for base spans and for wider matches beside them."""
     found = [(kind, a, b, True) for kind, a, b in base]
-    taken = [(a, b) for _, a, b in base]
+    taken = Taken([(a, b) for _, a, b in base])
     low = text.lower() if "(" in text or "[" in text else ""
     has_digit = _DIGIT.search(text) is not None
     for kind in KINDS:
         if (kind == "email" and "(at)" not in low and "[at]" not in low) or (kind != "email" and not has_digit):
             continue
         for m in WIDE[kind].finditer(text):
-            if all(m.end() <= a or m.start() >= b for a, b in taken):
+            if taken.add_if_free(*m.span()):
                 found.append((kind, m.start(), m.end(), False))
-                taken.append(m.span())
     out = []
     for kind, a, b, is_base in found:
         s = text[a:b]
@@ -173,17 +216,19 @@ def labeler_reliability(counts: dict[int, float], rounds: int = 60) -> tuple[flo
     return share, table, dict(zip(patterns.tolist(), true.tolist(), strict=True))
 
 
-def feature_row(kind: str, bits: int) -> np.ndarray:
+def feature_row(kind: str, bits: int, vote: int) -> np.ndarray:
+    """Kind, form, and the labelers' votes (-1, 0, 1) for that kind."""
+    votes = [float(vote // 3**i % 3) - 1.0 for i in range(3)]
     x = [1.0, *(float(kind == k) for k in KINDS), *(float(bits >> i & 1) for i in range(len(FEATURES)))]
-    return np.array(x)
+    return np.array(x + [v * (kind == k) for k in KINDS for v in votes])
 
 
-def fit_classifier(rows: list[tuple[str, int, float, float]], ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Logistic regression by Newton steps on (kind, features, P(true), count)."""
+def fit_classifier(rows: list[tuple[str, int, int, float, float]], ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Logistic regression by Newton steps on (kind, features, votes, P(true), count)."""
     if not rows:
-        return np.zeros(1 + len(KINDS) + len(FEATURES))
-    x = np.stack([feature_row(kind, bits) for kind, bits, _, _ in rows])
-    y, w = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+        return np.zeros(len(feature_row(KINDS[0], 0, 0)))
+    x = np.stack([feature_row(kind, bits, vote) for kind, bits, vote, _, _ in rows])
+    y, w = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
     beta = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -195,7 +240,7 @@ def fit_classifier(rows: list[tuple[str, int, float, float]], ridge: float = 1.0
 
 
 def train(found: DataFrame, reliable: float = 0.5) -> set[tuple[str, int, int]]:
-    """The (kind, votes, features) that are accepted, from the candidates in the column `found`."""
+    """The (kind, votes, features) that the span classifier accepts, from the candidates in the column `found`."""
     each = found.select(F.explode("found").alias("c"))
     each = each.groupBy("c.kind", "c.votes", "c.features").agg(F.count(F.lit(1)).alias("n"))
     counts = [(r["kind"], r["votes"], r["features"], float(r["n"])) for r in each.collect()]
@@ -203,11 +248,11 @@ def train(found: DataFrame, reliable: float = 0.5) -> set[tuple[str, int, int]]:
     for kind, vote, _, n in counts:
         by_kind[kind][vote] += n
     truth = {kind: labeler_reliability(dict(patterns))[2] for kind, patterns in by_kind.items()}
-    beta = fit_classifier([(kind, bits, truth[kind][vote], n) for kind, vote, bits, n in counts])
+    beta = fit_classifier([(kind, bits, vote, truth[kind][vote], n) for kind, vote, bits, n in counts])
     return {
         (kind, vote, bits)
         for kind, vote, bits, _ in counts
-        if 1 / (1 + np.exp(-feature_row(kind, bits) @ beta)) >= reliable and truth[kind][vote] >= reliable
+        if 1 / (1 + np.exp(-feature_row(kind, bits, vote) @ beta)) >= reliable
     }
 
 
