@@ -46,35 +46,67 @@ def rolling(tokens: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def tile(document: np.ndarray, item: np.ndarray, pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (document start, item start, length), longest first, from the seeds' places (document, item)."""
-    by_diagonal = defaultdict(list)
-    for i, j in pairs:
-        by_diagonal[i - j].append((i, j))
-    heap = []
-    for run in by_diagonal.values():
-        run.sort()
-        start = previous = run[0]
-        for place in [*run[1:], None]:
-            if place is None or place[0] != previous[0] + 1:
-                heap.append((-(previous[0] - start[0] + size), start[0], start[1]))
-                start = place
-            previous = place
+#: Pairs of equal seeds that are looked at at once.
+PAIRS_AT_ONCE = 1 << 20
+
+
+def matching_runs(in_document: np.ndarray, in_item: np.ndarray, places: np.ndarray, n_places: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(-length, document start, item start) of the maximal runs of matches.
+
+    in_document: places of seeds in the document, ascending; the k-th stands at n_places[k] places of the item, which
+    follow one another in in_item from places[k] on.  Pairs are made PAIRS_AT_ONCE at a time, or those of one seed, so
+    memory follows the runs, of which a text with repeats has far fewer than pairs.
+    """
+    runs: list[tuple[int, int, int]] = []
+    open_runs = np.zeros((0, 3), np.int64)  # diagonal, first and last place in the document
+    done, total = 0, np.cumsum(n_places)
+    while done < len(in_document):
+        stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + PAIRS_AT_ONCE, side="right")))
+        n = n_places[done:stop]
+        i = np.repeat(in_document[done:stop], n)
+        j = in_item[np.repeat(places[done:stop] - (np.cumsum(n) - n), n) + np.arange(len(i))]
+        diagonal = np.concatenate([open_runs[:, 0], i - j])
+        first = np.concatenate([open_runs[:, 1], i])
+        last = np.concatenate([open_runs[:, 2], i])
+        order = np.lexsort((first, diagonal))
+        diagonal, first, last = diagonal[order], first[order], last[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (diagonal[1:] != diagonal[:-1]) | (first[1:] != last[:-1] + 1)
+        begin = np.flatnonzero(new)
+        open_runs = np.stack([diagonal[begin], first[begin], last[np.append(begin[1:], len(order)) - 1]], axis=1)
+        closed = open_runs[:, 2] < in_document[stop - 1] - 1 if stop < len(in_document) else np.ones(len(open_runs), bool)
+        runs += [(-(b - a + size), a, a - d) for d, a, b in open_runs[closed].tolist()]
+        open_runs = open_runs[~closed]
+        done = stop
+    return runs
+
+
+def _longest_free(taken: np.ndarray) -> int:
+    edges = np.flatnonzero(np.concatenate([[True], taken, [True]]))
+    return int(np.diff(edges).max()) - 1
+
+
+def tile(document: np.ndarray, item: np.ndarray, runs: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (document start, item start, length), longest first, of `size` tokens at least, from maximal runs of
+    matches (-length, document start, item start)."""
+    heap = list(runs)
     heapq.heapify(heap)
-    in_document: set[int] = set()
-    in_item = np.zeros(len(item), bool)
+    in_document, in_item = np.zeros(len(document), bool), np.zeros(len(item), bool)
     tiles = []
     while heap:
         length, i, j = heapq.heappop(heap)
         length = -length
-        free = [k for k in range(length) if not in_item[j + k] and i + k not in in_document]
-        if len(free) == length:
+        taken = in_item[j : j + length] | in_document[i : i + length]
+        if not taken.any():
             if np.array_equal(document[i : i + length], item[j : j + length]):
                 tiles.append((i, j, length))
                 in_item[j : j + length] = True
-                in_document.update(range(i, i + length))
+                in_document[i : i + length] = True
+                if _longest_free(in_item) < size:
+                    break  # no further tile fits into the item
             continue
-        for part in np.split(np.array(free, dtype=np.int64), np.flatnonzero(np.diff(free) > 1) + 1 if free else []):
+        free = np.flatnonzero(~taken)
+        for part in np.split(free, np.flatnonzero(np.diff(free) > 1) + 1):
             if len(part) >= size:
                 heapq.heappush(heap, (-len(part), i + int(part[0]), j + int(part[0])))
     return tiles
@@ -85,41 +117,73 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, str]], seed: int):
         self.seed = seed
-        self.items = {}
-        self.by_size: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for key, (item_id, text) in enumerate(items):
-            tokens = token_hashes(text)
-            if not len(tokens):
-                continue
-            self.items[key] = (item_id, tokens)
-            size = min(seed, len(tokens))
-            for j, h in enumerate(rolling(tokens, size).tolist()):
-                self.by_size[size][h].append((key, j))
-        self.filters = {}
-        for size, places in self.by_size.items():
-            bits = np.zeros(1 << 22, bool)
-            bits[(np.fromiter(places, np.uint64) >> np.uint64(42)).astype(np.int64)] = True
-            self.filters[size] = bits
+        self.set_items([(item_id, token_hashes(text)) for item_id, text in items])
+
+    def set_items(self, items: list[tuple[int, np.ndarray]]) -> None:
+        seed, self.items = self.seed, {}
+        self.short: dict[bytes, list[int]] = defaultdict(list)
+        hashes, keys, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for key, (item_id, tokens) in enumerate(items):
+            if 0 < len(tokens) < seed:
+                self.short[tokens.tobytes()].append(item_id)
+            elif len(tokens):
+                self.items[key] = (item_id, tokens)
+                hashes.append(rolling(tokens, seed))
+                keys.append(np.full(len(hashes[-1]), key))
+                at.append(np.arange(len(hashes[-1])))
+        hashes, keys, at = map(np.concatenate, (hashes, keys, at))
+        # Sorted by hash, item and place: the places of one seed in one item stand together.
+        order = np.lexsort((at, keys, hashes))
+        hashes, keys, self.at = hashes[order], keys[order], at[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1])
+        self.first = np.flatnonzero(new)
+        self.n = np.diff(np.append(self.first, len(order)))
+        self.group_key, group_hash = keys[self.first], hashes[self.first]
+        self.hashes, self.group = np.unique(group_hash, return_index=True)
+        self.groups = np.diff(np.append(self.group, len(group_hash)))
+        self.filter = np.zeros(1 << 22, bool)
+        self.filter[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
 
     def coverage(self, text: str) -> list[tuple[int, float]]:
-        """(item id, share of its tokens under tiles) for the items that share a seed with the text."""
-        document = token_hashes(text)
-        found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for size, places in self.by_size.items():
-            hashes = rolling(document, size)
-            likely = np.flatnonzero(self.filters[size][(hashes >> np.uint64(42)).astype(np.int64)])
-            for i, h in zip(likely.tolist(), hashes[likely].tolist(), strict=True):
-                for key, j in places.get(h, ()):
-                    found[key, size].append((i, j))
+        """(item id, share of its tokens under tiles) for the items that share a seed with the text; an item of fewer
+        tokens than a seed is covered by a text of just these tokens."""
+        return self.coverage_by_tokens(token_hashes(text))
+
+    def coverage_by_tokens(self, document: np.ndarray) -> list[tuple[int, float]]:
+        if len(document) < self.seed:
+            return [(item_id, 1.0) for item_id in self.short.get(document.tobytes(), ())]
+        if not len(self.hashes):
+            return []
+        seeds = rolling(document, self.seed)
+        likely = np.flatnonzero(self.filter[(seeds >> np.uint64(42)).astype(np.int64)])
+        where = np.minimum(np.searchsorted(self.hashes, seeds[likely]), len(self.hashes) - 1)
+        hit = self.hashes[where] == seeds[likely]
+        likely, where = likely[hit], where[hit]
+        # A row for each place in the document and item that share a seed.
+        n = self.groups[where]
+        i = np.repeat(likely, n)
+        group = np.repeat(self.group[where] - (np.cumsum(n) - n), n) + np.arange(len(i))
+        key = self.group_key[group]
+        order = np.argsort(key, kind="stable")
         out = []
-        for (key, size), pairs in found.items():
-            item_id, item = self.items[key]
-            covered = sum(length for _, _, length in tile(document, item, pairs, size))
-            if covered:
-                out.append((item_id, covered / len(item)))
+        for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            if len(rows):
+                item_id, item = self.items[int(key[rows[0]])]
+                runs = matching_runs(i[rows], self.at, self.first[group[rows]], self.n[group[rows]], self.seed)
+                covered = sum(length for _, _, length in tile(document, item, runs, self.seed))
+                if covered:
+                    out.append((item_id, covered / len(item)))
         return out
 
 
+def coverage_of(document: np.ndarray, item: np.ndarray, seed: int) -> float:
+    """Share of an item's tokens that tiles of a document cover, both as token hashes."""
+    known = Benchmark([], seed)
+    known.set_items([(0, item)])
+    return sum(c for _, c in known.coverage_by_tokens(document))
+
+
 def benchmark_blocks(benchmark: DataFrame, block_chars: int):
     """The benchmark in blocks of about block_chars characters: lists of (item_id, text), one at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -160,7 +224,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshol
 
     The benchmark is a query set taken against all documents in blocks: each block, of block_chars characters plus
     one item at most, is broadcast, and the documents are scanned once per block.  Null or empty texts, and items
-    without a token, match nothing; an item shorter than `seed` tokens is its own seed; repeated items each count;
+    without a token, match nothing; an item shorter than
+    `seed` tokens is matched by a document of just its tokens; repeated items each count;
     an item without id takes part in coverage and is left out of item_ids; all columns of docs are kept.
     """
     spark = docs.sparkSession

@@ -261,14 +261,47 @@ def test_tiling_covers_as_much_as_brute_force():
     for _ in range(60):
         vocabulary = rng.integers(1, 2**60, 6, dtype=np.uint64)
         a, b = vocabulary[rng.integers(0, 6, 40)], vocabulary[rng.integers(0, 6, 25)]
-        places = defaultdict(list)
-        for j, h in enumerate(decontaminate.rolling(b, 3).tolist()):
-            places[h].append(j)
-        pairs = [(i, j) for i, h in enumerate(decontaminate.rolling(a, 3).tolist()) for j in places[h]]
-        got = sum(n for _, _, n in decontaminate.tile(a, b, pairs, 3))
+        got = round(decontaminate.coverage_of(a, b, 3) * len(b))
         assert abs(got - slow_tiles(a.tolist(), b.tolist(), 3)) <= 3  # ties may be broken otherwise
 
 
+def test_repeated_words_and_short_items():
+    known = decontaminate.Benchmark([(1, "ha " * 200), (2, "yes"), (3, "one two three four five six seven")], 5)
+    assert known.coverage("ha " * 20_000) == [(1, 1.0)]
+    assert known.coverage("yes") == [(2, 1.0)] and known.coverage("yes we can do it all " * 3) == []
+    assert known.coverage("five six seven one two three four five x") == [(3, pytest.approx(5 / 7))]
+
+
+def test_runs_are_the_same_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    item, text = (" ".join(f"w{x}" for x in rng.integers(0, 4, n)) for n in (60, 300))
+    whole = decontaminate.Benchmark([(1, item)], 4).coverage(text)
+    monkeypatch.setattr(decontaminate, "PAIRS_AT_ONCE", 5)
+    assert decontaminate.Benchmark([(1, item)], 4).coverage(text) == whole
+
+
+def test_long_runs_and_many_addresses_take_little_time():
+    import time
+
+    begin = time.process_time()
+    assert pii.base_spans("a" * 1_000_000) == [] and pii.base_spans("1" * 300_000 + "@" + "x" * 1_000_000) == []
+    many = " ".join(f"user{i}@mail{i % 7}.org" for i in range(50_000))
+    assert len(pii.candidates(many, pii.base_spans(many))) == 50_000
+    assert pii.base_spans("a" * 500_000 + "(at)" + "b" * 500_000) == []
+    assert time.process_time() - begin < 30
+
+
+def test_emails_are_the_patterns_matches():
+    pattern, rng = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), random.Random(4)
+    for _ in range(4000):
+        text = "".join(rng.choice("ab@@..- _") for _ in range(rng.randrange(24)))
+        assert list(pii.emails(text)) == [m.span() for m in pattern.finditer(text)], text
+    address = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(4000):
+        text = "".join(rng.choice("12..x") for _ in range(rng.randrange(24)))
+        assert [m.span() for m in pii.BASE["ip"].finditer(text)] == [m.span() for m in address.finditer(text)], text
+
+
 def test_leaks_go_and_columns_stay(spark, odd, empty):
     bench = spark.createDataFrame([(1, "the cat and the dog")], "item_id long, text string")
     kept = decontaminate.without_leaks(odd, bench)
