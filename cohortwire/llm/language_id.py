@@ -7,16 +7,15 @@ letters is the text's.
 
 from __future__ import annotations
 
-import bisect
 import uuid
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, per_worker
+from .common import bounded_batches, dropped, per_worker, written
 
 #: First and last code points of scripts, in order of the first.
 SCRIPTS = [
@@ -39,27 +38,37 @@ SCRIPTS = [
 ]
 _STARTS = [first for first, _, _ in SCRIPTS]
 
-#: Rows that training may read for each language; the sample is those of smallest hash, so it is the same every time.
-TRAINING_ROWS = 1_500
-#: How many (language, trigram) counts a model keeps: the most frequent of each language, the same number of each,
-#: which is never under LEAST_NGRAMS.
-KEPT_NGRAMS, LEAST_NGRAMS = 100_000, 300
+#: Different labelled rows that training reads, about: of one language, and of all; those of smallest hash.
+TRAINING_ROWS, ALL_TRAINING_ROWS = 1_500, 60_000
 SWITCH_PENALTY = 12.0
 #: A word's log-likelihood ratio counts at most this much, so that one odd word doesn't make a span.
 WORD_BOUND = 6.0
 UNKNOWN = "und"
-#: Words whose scores a worker keeps.
-CACHED_WORDS = 200_000
+#: Words whose scores a worker keeps, and scores: with many languages fewer words.
+CACHED_WORDS, CACHED_SCORES = 200_000, 8_000_000
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def script_of(letter: str) -> str:
-    code = ord(letter)
-    k = bisect.bisect_right(_STARTS, code) - 1
-    return SCRIPTS[k][2] if k >= 0 and code <= SCRIPTS[k][1] else "other"
+_NAMES = sorted({name for _, _, name in SCRIPTS}) + ["other"]
+_RANGE_ENDS = np.array([last for _, last, _ in SCRIPTS], np.int64)
+_RANGE_NAMES = np.array([_NAMES.index(name) for _, _, name in SCRIPTS])
+
+
+def scripts_of(words: list[str]) -> list[str]:
+    """The script of most letters of each word, the first in order of names if several."""
+    codes = _codes("".join(words)).astype(np.int64)
+    k = np.searchsorted(_STARTS, codes, side="right") - 1
+    script = np.where((k >= 0) & (codes <= _RANGE_ENDS[k]), _RANGE_NAMES[k], len(_NAMES) - 1)
+    word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    counts = np.bincount(word * len(_NAMES) + script, minlength=len(words) * len(_NAMES)).reshape(len(words), len(_NAMES))
+    return [_NAMES[i] for i in counts.argmax(axis=1)]
+
+
+def script_of(word: str) -> str:
+    return scripts_of([word])[0]
 
 
 def letters_of(chunk: str) -> str:
@@ -82,11 +91,11 @@ def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Dat
                 words: dict[str, int] = defaultdict(int)
                 for chunk in t.split():
                     words[chunk] += 1
-                for chunk, n in words.items():
-                    if word := letters_of(chunk):
-                        sums[language, "=" + script_of(word[0])] += n
-                        for gram in ngrams(word):
-                            sums[language, gram] += n
+                lettered = [(word, n) for chunk, n in words.items() if (word := letters_of(chunk))]
+                for (word, n), script in zip(lettered, scripts_of([w for w, _ in lettered]), strict=True):
+                    sums[language, "=" + script] += n
+                    for gram in ngrams(word):
+                        sums[language, gram] += n
         rows = [(language, gram, n) for (language, gram), n in sums.items()]
         yield pd.DataFrame(rows, columns=["lang", "gram", "n"])
 
@@ -103,16 +112,26 @@ class LanguageModel:
         index = {lang: k for k, lang in enumerate(self.languages)}
         n = len(self.languages)
         self.scripts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
-        grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
+        grams, langs, ns = [], [], []
         for lang, gram, count in counts:
-            (self.scripts if gram[0] == "=" and len(gram) > 3 else grams)[gram][index[lang]] += count
-        totals = sum(grams.values(), np.zeros(n))
+            if gram[0] == "=" and len(gram) > 3:
+                self.scripts[gram][index[lang]] += count
+            else:
+                grams.append(gram)
+                langs.append(index[lang])
+                ns.append(count)
+        code = _codes("".join(grams)).reshape(-1, 3)
+        key = code[:, 0] << np.uint64(42) | code[:, 1] << np.uint64(21) | code[:, 2]
+        langs, ns = np.array(langs, np.int64), np.array(ns, float)
+        order = np.lexsort((langs, key))
+        #: The known trigrams in order; of each its languages and how much more than an unknown one it scores there.
+        self.keys, first = np.unique(key[order], return_index=True)
+        self.first = np.append(first, len(order))
+        totals = np.bincount(langs, weights=ns, minlength=n)
         smooth = 0.5
-        log = lambda c: np.log((c + smooth) / (totals + smooth * (len(grams) + 1)))
-        coded = sorted((int(_codes(g)[0]) << 42 | int(_codes(g)[1]) << 21 | int(_codes(g)[2]), g) for g in grams)
-        self.keys = np.array([k for k, _ in coded], np.uint64)
-        #: Scores of the trigrams in the order of their keys, and of a trigram that isn't known.
-        self.scores = np.array([log(grams[g]) for _, g in coded] + [log(np.zeros(n))]).reshape(len(coded) + 1, n)
+        self.unknown = np.log(smooth / (totals + smooth * (len(self.keys) + 1)))
+        self.gram_langs = langs[order]
+        self.gram_scores = np.log((ns[order] + smooth) / smooth)
         words = sum(self.scripts.values(), np.zeros(n))
         #: A language is a candidate for a script that at least a hundredth of its words are in.
         self.candidates = {s[1:]: c >= 0.01 * np.maximum(words, 1) for s, c in self.scripts.items()}
@@ -120,6 +139,7 @@ class LanguageModel:
         self.index: dict[str, int] = {}
         self.table = np.zeros((1024, n + 2), np.float32)
         self.filled = 0
+        self.cached = max(1_000, min(CACHED_WORDS, CACHED_SCORES // (n + 2)))
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Scores of the candidates, the best 0, none under -WORD_BOUND; all 0 if no candidate has the script."""
@@ -127,22 +147,27 @@ class LanguageModel:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.cumsum(lengths + 2) - lengths - 2
         key = codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:]
+        word = np.repeat(np.arange(len(words)), lengths + 2)[: len(key)]
+        own = np.arange(len(key)) - starts[word] < lengths[word]  # not those over two words
+        key, word = key[own], word[own]
         at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
         known = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
-        each = self.scores[np.where(known, at, len(self.keys))]
-        within = np.arange(len(key)) - np.repeat(starts, lengths + 2)[: len(key)]
-        each[within >= np.repeat(lengths, lengths + 2)[: len(key)]] = 0  # trigrams over two words
-        score = np.add.reduceat(each, starts, axis=0)
-        none = np.ones(len(self.languages), bool)
-        allowed = np.array([self.candidates.get(script_of(w[0]), ~none) for w in words])
+        at, word = at[known], word[known]
+        n = self.first[at + 1] - self.first[at]
+        entry = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        size = len(self.languages)
+        score = np.bincount(np.repeat(word, n) * size + self.gram_langs[entry], weights=self.gram_scores[entry], minlength=len(words) * size)
+        score = score.reshape(len(words), size) + lengths[:, None] * self.unknown
+        none = np.zeros(size, bool)
+        allowed = np.array([self.candidates.get(s, none) for s in scripts_of(words)])
         unknown = ~allowed.any(axis=1)
         score[~allowed] = -np.inf
         score[unknown] = 0
         return np.maximum(score - score.max(axis=1, keepdims=True), -WORD_BOUND)
 
     def _learn(self, chunks: list[str]) -> None:
-        """Adds chunks to the cache, which is emptied first if it would hold more than CACHED_WORDS."""
-        if len(self.index) + len(chunks) > CACHED_WORDS:
+        """Adds chunks to the cache, which is emptied first if it would hold too many."""
+        if len(self.index) + len(chunks) > self.cached:
             self.index.clear()
             self.filled = 0
         words = [letters_of(c) for c in chunks]
@@ -155,23 +180,23 @@ class LanguageModel:
             self.table = np.concatenate([self.table, np.zeros((max(end, 2 * len(self.table)) - len(self.table), self.table.shape[1]), np.float32)])
         self.table[self.filled : end, :-2] = self.word_scores(words)
         self.table[self.filled : end, -2] = [len(w) for w in words]
-        self.table[self.filled : end, -1] = [len(w) * self.scripted(w) for w in words]
+        self.table[self.filled : end, -1] = [len(w) * self.scripted(s) for w, s in zip(words, scripts_of(words), strict=True)]
         self.index.update(zip(chunks, range(self.filled, end), strict=True))
         self.filled = end
 
-    def scripted(self, word: str) -> bool:
-        """Whether some language is a candidate for the word's script."""
-        candidates = self.candidates.get(script_of(word[0]))
+    def scripted(self, script: str) -> bool:
+        """Whether some language is a candidate for the script."""
+        candidates = self.candidates.get(script)
         return candidates is not None and bool(candidates.any())
 
     def _rows(self, text: str) -> np.ndarray:
         """The table's rows of the words with a letter."""
         chunks, parts = text.split(), []
-        for at in range(0, len(chunks), CACHED_WORDS):  # a text may have more words than the cache holds
-            part = chunks[at : at + CACHED_WORDS]
+        for at in range(0, len(chunks), self.cached):  # a text may have more words than the cache holds
+            part = chunks[at : at + self.cached]
             new = [c for c in dict.fromkeys(part) if c not in self.index]
             if new:
-                self._learn(new if len(self.index) + len(new) <= CACHED_WORDS else list(dict.fromkeys(part)))
+                self._learn(new if len(self.index) + len(new) <= self.cached else list(dict.fromkeys(part)))
             rows = np.fromiter(map(self.index.__getitem__, part), np.int64, len(part))
             parts.append(self.table[rows[rows >= 0]])
         return np.concatenate(parts) if parts else self.table[:0]
@@ -233,25 +258,23 @@ class LanguageModel:
         return self.languages[k], float(min(1.0, by_language[k] / by_language.sum()))
 
 
-def train(docs: DataFrame, training: Column, rows: int = TRAINING_ROWS, kept: int = KEPT_NGRAMS) -> list[tuple[str, str, int]]:
-    """N-gram counts of each language, from about `rows` rows of it, those of smallest hash, where `training` holds.
+def train(docs: DataFrame, training: Column, rows: int = TRAINING_ROWS, all_rows: int = ALL_TRAINING_ROWS) -> list[tuple[str, str, int]]:
+    """N-gram counts of each language, all that there are in the labelled rows read, where `training` holds.
 
-    At most 1,000 languages, the most frequent, are learnt.  Each keeps its most frequent trigrams, an equal share of
-    `kept` but LEAST_NGRAMS at least, and all its script rows, so no language is lost to larger ones.
+    Read are about `rows` different rows of a language, fewer if all languages would come to more than all_rows: those
+    of smallest hash of id and text, and rows that repeat these once.
     """
     usable = docs.filter(training & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("there"))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.join(F.broadcast(sizes.orderBy(F.desc("there")).limit(1_000)), "lang").filter(share * F.col("there") < rows)
-    counts = ngram_counts(sample)
-    # The same test of a script row as the model's: "=" and a name of more than two letters.
-    script = F.col("gram").startswith("=") & (F.length("gram") > 3)
-    place = F.row_number().over(Window.partitionBy("lang", script).orderBy(F.desc("n"), "gram"))
-    each = F.greatest(F.lit(LEAST_NGRAMS), F.floor(F.lit(kept) / F.col("languages")))
-    languages = F.broadcast(sizes.agg(F.least(F.count(F.lit(1)), F.lit(1_000)).alias("languages")))
-    most = counts.withColumn("place", place).crossJoin(languages).filter(script | (F.col("place") <= each))
-    most = most.orderBy(F.desc("n"), "lang", "gram")
-    return [(r["lang"], r["gram"], r["n"]) for r in most.collect()]
+    sizes = written(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("there")), "language-sizes")
+    languages = sizes.count()
+    each = min(rows, all_rows / max(languages, 1))
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    sample = usable.join(sizes, "lang").filter(share * F.col("there") < each)
+    # Rows that repeat one another are in the sample together or not at all, and count once.
+    counts = ngram_counts(sample.select("doc_id", "lang", "text").dropDuplicates())
+    found = [(r["lang"], r["gram"], r["n"]) for r in counts.orderBy("lang", "gram").collect()]  # bounded by the rows read
+    dropped(sizes)
+    return found
 
 
 def predictor(docs: DataFrame, counts: list[tuple[str, str, int]], penalty: float = SWITCH_PENALTY):

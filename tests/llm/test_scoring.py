@@ -122,7 +122,7 @@ def small_model():
     counts = Counter()
     for lang, words in {"en": "the cat sat with that thing here", "de": "der hund und die schule nicht über", "ru": "это кот и дом"}.items():
         for w in words.split() * 20:
-            counts[lang, "=" + language_id.script_of(w[0])] += 1
+            counts[lang, "=" + language_id.script_of(w)] += 1
             for g in language_id.ngrams(w):
                 counts[lang, g] += 1
     return language_id.LanguageModel([(a, b, n) for (a, b), n in counts.items()], switch_penalty=4.0)
@@ -346,10 +346,58 @@ def test_small_languages_keep_their_trigrams_and_scripts(spark):
     rows = [(i, " ".join(word("abcdefgh") for _ in range(200)), "big") for i in range(40)]
     rows.append((100, "ижк ижк лмн опр", "small"))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    counts = language_id.train(docs, F.lit(True), kept=400)
+    counts = language_id.train(docs, F.lit(True), rows=10)
     assert {g for lang, g, _ in counts if lang == "small"} == {"=cyrillic", "^иж", "ижк", "жк$", "^лм", "лмн", "мн$", "^оп", "опр", "пр$"}
-    assert sum(g != "=latin" for lang, g, _ in counts if lang == "big") == language_id.LEAST_NGRAMS
     assert language_id.LanguageModel(counts).predict("ижк опр")[0] == "small"
+    # Rows that repeat one text and a null id are read once.
+    same = spark.createDataFrame([(None, "one two three", "en")] * 5000, "doc_id long, text string, lang string")
+    assert max(n for _, _, n in language_id.train(same, F.lit(True), rows=6000)) <= 3
+
+
+def slow_prediction(counts, text, penalty):
+    """Language and score by sums over dictionaries and the whole Viterbi table."""
+    by, scripts, grams = defaultdict(Counter), defaultdict(Counter), set()
+    for lang, gram, n in counts:
+        (scripts if gram[0] == "=" and len(gram) > 3 else by)[lang][gram] += n
+        if not (gram[0] == "=" and len(gram) > 3):
+            grams.add(gram)
+    langs = sorted({lang for lang, _, _ in counts})
+    rows, letters = [], []
+    for chunk in text.split():
+        w = "".join(c for c in chunk if c.isalpha()).lower()
+        if not w:
+            continue
+        votes = Counter(next((s for a, b, s in language_id.SCRIPTS if a <= ord(c) <= b), "other") for c in w)
+        script = "=" + max(sorted(votes, key=lambda s: (s == "other", s)), key=votes.get)
+        allowed = [x for x in langs if scripts[x][script] >= 0.01 * max(1, sum(scripts[x].values())) and any(scripts[y][script] for y in langs)]
+        score = {x: sum(math.log((by[x][f"^{w}$"[i : i + 3]] + 0.5) / (sum(by[x].values()) + 0.5 * (len(grams) + 1))) for i in range(len(w))) for x in langs}
+        top = max((score[x] for x in allowed), default=0)
+        rows.append([max(score[x] - top, -language_id.WORD_BOUND) if x in allowed else -language_id.WORD_BOUND if allowed else 0.0 for x in langs])
+        letters.append(len(w))
+    if not rows:
+        return "und", 0.0
+    best, back = rows[0], []
+    for row in rows[1:]:
+        k = best.index(max(best))
+        back.append([j if best[j] >= best[k] - penalty else k for j in range(len(langs))])
+        best = [max(best[j], best[k] - penalty) + row[j] for j in range(len(langs))]
+    path = [best.index(max(best))]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    share = Counter()
+    for k, n in zip(reversed(path), letters, strict=True):
+        share[k] += n
+    k = max(sorted(share), key=share.get)
+    return langs[k], share[k] / sum(letters)
+
+
+def test_predictions_are_brute_force(spark, documents):
+    docs = documents.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(9001, "это кот the cat und der Hund", None), (9002, "ab日本 日本ab", None), (9003, "12 !", None)], "doc_id long, text string, lang string"))
+    counts = language_id.train(docs, id_remainder(5) != 0)
+    got = {r.doc_id: r for r in language_id.identify(docs, id_remainder(5) == 0).collect()}
+    for r in docs.where("length(text) < 3000").collect():
+        lang, score = slow_prediction(counts, r.text, language_id.SWITCH_PENALTY)
+        assert got[r.doc_id].lang_pred == lang and got[r.doc_id].score == pytest.approx(score, abs=1e-4), r.doc_id
 
 
 def test_texts_of_an_unknown_script_go(spark):
