@@ -20,88 +20,122 @@ def _get(name: str) -> Column:
     return F.col("payload")[name]
 
 
-def _parsed(we: DataFrame, skip_bad: bool) -> DataFrame:
-    p = S.parse_json(we)
-    return p.filter("not parse_error") if skip_bad else p
-
-
 def _seq(*more: str) -> Window:
     return Window.partitionBy(*KEY, *more).orderBy(*ORDER)
 
 
-def _counted(we: DataFrame, features: DataFrame) -> DataFrame:
-    """Adds rows_in_window, json_parse_errors and feature_status to a table's features."""
-    rows = S.parse_json(we).groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows_in_window"), F.count_if("parse_error").alias("json_parse_errors"))
-    status = F.when(F.col("rows_in_window") == F.col("json_parse_errors"), "no_valid_rows").otherwise("computed")
-    return rows.join(features, KEY, "left").withColumn("feature_status", status)
-
-
-def _entropy(df: DataFrame, value: Column, name: str, distinct: str | None = None) -> DataFrame:
-    """Entropy of a value's counts by group in two levels of aggregation; nulls don't count."""
-    counts = df.select(*KEY, value.alias("v")).where("v is not null").groupBy(*KEY, "v").agg(F.count(F.lit(1)).alias("n"))
-    # sum(p * -log2 p) with p = n / N equals log2 N - sum(n log2 n) / N: one pass over the counts.
-    total = F.sum("n")
-    bits = F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total
-    out = [F.abs(F.round(bits, 12)).alias(name)] + ([F.count(F.lit(1)).alias(distinct)] if distinct else [])
-    return counts.groupBy(*KEY).agg(*out)
-
-
-def _transitions(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """Changes between consecutive non-null values."""
-    seq = df.select(*KEY, *ORDER, value.alias("v")).where("v is not null").withColumn("before", F.lag("v").over(_seq()))
-    return seq.groupBy(*KEY).agg(F.count_if(F.col("v") != F.col("before")).alias(name))
+class _Pass:
+    """One pass over a table's windowed events: payloads are parsed once, everything that needs an order or a count is a
+    window within KEY, and one aggregate by KEY follows, so the events are shuffled once.
 
+    `ok` says which rows count: with skip_bad not those that are no JSON object, and of rows that agree in KEY and in
+    the columns `once` the first only.
+    """
 
-def _join(*parts: DataFrame) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, KEY, "left")
-    return out
+    def __init__(self, we: DataFrame, values: dict[str, Column], skip_bad: bool, once: list[str] | None = None):
+        self.rows = S.parse_json(we).select(*KEY, *ORDER, "parse_error", *[v.alias(k) for k, v in values.items()])
+        ok = ~F.col("parse_error") if skip_bad else F.lit(True)
+        if once:
+            first = Window.partitionBy(*KEY, "parse_error", *once).orderBy(*ORDER)
+            ok = ok & (F.row_number().over(first) == 1)
+        self.rows = self.rows.withColumn("ok", ok)
+        self.outputs: list[Column] = []
+
+    def only(self, condition: Column) -> _Pass:
+        """Rows where the condition doesn't hold, or is NULL, don't count either."""
+        self.rows = self.rows.withColumn("ok", F.col("ok") & F.coalesce(condition, F.lit(False)))
+        return self
+
+    def add(self, **columns: Column) -> _Pass:
+        self.rows = self.rows.withColumns(columns)
+        return self
+
+    def where_ok(self, value: Column) -> Column:
+        return F.when(F.col("ok"), value)
+
+    def previous(self, column: str, *within: str) -> Column:
+        """The last value before a row that isn't NULL, of rows that count."""
+        return F.last(F.when(F.col("ok"), F.col(column)), ignorenulls=True).over(_seq(*within).rowsBetween(Window.unboundedPreceding, -1))
+
+    def entropy(self, column: str, name: str, distinct: str | None = None) -> _Pass:
+        """Bits of the counts of a column's values: log2 N less the mean over the rows of log2 of their value's count."""
+        value = F.when(F.col("ok"), F.col(column))
+        self.rows = self.rows.withColumn(f"_{name}_v", value)
+        self.rows = self.rows.withColumn(f"_{name}_n", F.count(f"_{name}_v").over(Window.partitionBy(*KEY, f"_{name}_v")))
+        n = F.count(f"_{name}_v")
+        bits = F.log2(n) - F.avg(F.when(F.col(f"_{name}_v").isNotNull(), F.log2(f"_{name}_n")))
+        self.outputs.append(F.when(n > 0, F.abs(F.round(bits, 12))).alias(name))
+        if distinct:
+            self.outputs.append(F.when(n > 0, F.count_distinct(f"_{name}_v")).alias(distinct))
+        return self
+
+    def transitions(self, column: str, name: str) -> _Pass:
+        """Changes between consecutive non-null values; NULL without any."""
+        self.rows = self.rows.withColumn(f"_{name}", F.when(F.col("ok") & F.col(column).isNotNull(), F.col(column) != self.previous(column)))
+        there = F.count(F.when(F.col("ok"), F.col(column)))
+        self.outputs.append(F.when(there > 0, F.count_if(f"_{name}")).alias(name))
+        return self
+
+    def out(self, **columns: Column) -> DataFrame:
+        """A row per group: the columns (aggregates over the rows that count; NULL if there is none), those added before,
+        rows_in_window, json_parse_errors and feature_status."""
+        there = F.count_if("ok")
+        base = [F.count(F.lit(1)).alias("rows_in_window"), F.count_if("parse_error").alias("json_parse_errors")]
+        out = self.rows.groupBy(*KEY).agg(*base, *[F.when(there > 0, v).alias(k) for k, v in columns.items()], *self.outputs)
+        status = F.when(F.col("rows_in_window") == F.col("json_parse_errors"), "no_valid_rows").otherwise("computed")
+        return out.withColumn("feature_status", status)
+
+
+def _n(condition: Column | None = None) -> Column:
+    ok = F.col("ok")
+    return F.count_if(ok if condition is None else ok & F.coalesce(condition, F.lit(False)))
+
+
+def _distinct(value: Column) -> Column:
+    return F.count_distinct(F.when(F.col("ok"), value))
+
+
+def _active_hours(tz: str) -> Column:
+    return _distinct(S.local_hour_bucket("timestamp", tz))
 
 
 # --------------------------------------------------------------------------------------------------- by table
 
 
 def features_app(we: DataFrame) -> DataFrame:
-    p = _parsed(we, skip_bad=False)
-    app = S.first_text(_get("package_name"), _get("application_name"))
-    base = p.groupBy(*KEY).agg(F.count(F.lit(1)).alias("app_event_count"))
-    return _counted(we, _join(base, _entropy(p, app, "app_entropy", "app_unique_count")))
+    p = _Pass(we, {"app": S.first_text(_get("package_name"), _get("application_name"))}, skip_bad=False)
+    return p.entropy("app", "app_entropy", "app_unique_count").out(app_event_count=_n())
 
 
 def features_battery(we: DataFrame) -> DataFrame:
-    p = _parsed(we, skip_bad=False)
-    p = p.withColumn("percent", S.battery_percent(_get("battery_level"), _get("battery_scale"))).withColumn("plugged", S.charging_flag(_get("battery_adaptor"), _get("battery_status")))
+    p = _Pass(we, {"percent": S.battery_percent(_get("battery_level"), _get("battery_scale")), "plugged": S.charging_flag(_get("battery_adaptor"), _get("battery_status"))}, skip_bad=False)
     n_level, n_plug = F.count("percent"), F.count("plugged")
-    return _counted(we, p.groupBy(*KEY).agg(
-        F.when(n_level > 0, F.count_if(F.col("percent") <= 20)).alias("battery_low_count"),
-        F.when(n_plug > 0, F.count_if("plugged")).alias("battery_charging_count"),
-        n_level.alias("battery_level_rows"), n_plug.alias("battery_charging_rows"),
-    ))
+    return p.out(
+        battery_low_count=F.when(n_level > 0, F.count_if(F.col("percent") <= 20)), battery_charging_count=F.when(n_plug > 0, F.count_if("plugged")),
+        battery_level_rows=n_level, battery_charging_rows=n_plug,
+    )
 
 
 def features_bluetooth(we: DataFrame) -> DataFrame:
     """A missing address is missing, not a device of its own."""
-    p = _parsed(we, skip_bad=True).select(*KEY, *ORDER, F.nullif(F.trim(_get("bt_address")), F.lit("")).alias("address"), _get("bt_rssi").alias("rssi"))
-    p = p.dropDuplicates([*KEY, "timestamp", "device_id", "address", "rssi"])
-    n = F.count(F.lit(1))
-    unique = F.count_distinct("address")
-    return _counted(we, p.groupBy(*KEY).agg(n.alias("bt_observations"), unique.alias("bt_unique_devices"), (unique / n).alias("bt_unique_ratio")))
+    p = _Pass(we, {"address": F.nullif(F.trim(_get("bt_address")), F.lit("")), "rssi": _get("bt_rssi")}, True, ["timestamp", "device_id", "address", "rssi"])
+    unique = _distinct(F.col("address"))
+    return p.out(bt_observations=_n(), bt_unique_devices=unique, bt_unique_ratio=unique / _n())
 
 
 def features_calls(we: DataFrame) -> DataFrame:
-    p = _parsed(we, skip_bad=False).withColumn("kind", S.to_number(_get("call_type")).cast("int")).withColumn("seconds", S.to_number(_get("call_duration")))
-    return _counted(we, p.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("call_count"), F.count_if(F.col("kind") == 1).alias("call_incoming"), F.count_if(F.col("kind") == 2).alias("call_outgoing"),
-        F.count_if(F.col("kind").isin(3, 5, 6)).alias("call_missed"), F.sum("seconds").alias("call_total_seconds"), F.count("seconds").alias("call_duration_rows"),
-    ))
+    p = _Pass(we, {"kind": S.to_number(_get("call_type")).cast("int"), "seconds": S.to_number(_get("call_duration"))}, skip_bad=False)
+    kind = F.col("kind")
+    return p.out(
+        call_count=_n(), call_incoming=_n(kind == 1), call_outgoing=_n(kind == 2), call_missed=_n(kind.isin(3, 5, 6)), call_total_seconds=F.sum("seconds"), call_duration_rows=F.count("seconds")
+    )
 
 
-def _cells(p: DataFrame, prefix: str, cid: Column, lac: Column) -> DataFrame:
-    rows = p.select(*KEY, *ORDER, cid.alias("cid"), lac.alias("lac"))
-    unique = rows.groupBy(*KEY).agg(F.count_distinct("cid").alias("c"), F.count_distinct("lac").alias("l"), F.count("cid").alias("n"))
-    unique = unique.select(*KEY, F.when(F.col("n") > 0, F.col("c")).alias(f"{prefix}_unique_cells"), F.when(F.col("n") > 0, F.col("l")).alias(f"{prefix}_unique_areas"))
-    return _join(unique, _transitions(rows, F.col("cid"), f"{prefix}_cell_transitions"))
+def _cells(p: _Pass, prefix: str) -> DataFrame:
+    n = _n(F.col("cell").isNotNull())
+    return p.transitions("cell", f"{prefix}_cell_transitions").out(
+        **{f"{prefix}_unique_cells": F.when(n > 0, _distinct(F.col("cell"))), f"{prefix}_unique_areas": F.when(n > 0, _distinct(F.col("area")))}
+    )
 
 
 def _cell_text(name: str) -> Column:
@@ -110,36 +144,36 @@ def _cell_text(name: str) -> Column:
 
 
 def features_gsm(we: DataFrame) -> DataFrame:
-    return _counted(we, _cells(_parsed(we, skip_bad=False), "gsm", _cell_text("cid"), _cell_text("lac")))
+    return _cells(_Pass(we, {"cell": _cell_text("cid"), "area": _cell_text("lac")}, skip_bad=False), "gsm")
 
 
 def features_gsm_neighbor(we: DataFrame) -> DataFrame:
     names = ("cid", "lac", "psc", "signal_strength")
-    p = _parsed(we, skip_bad=True).select(*KEY, *ORDER, *[_get(n).alias(n) for n in names]).dropDuplicates([*KEY, "timestamp", *names])
     # Order within a millisecond is that of the cells, not of the rows.
-    p = p.withColumn("_id", F.concat_ws("|", *[F.coalesce(F.col(n), F.lit("")) for n in names[:3]])).withColumn("device_id", F.lit(""))
-    return _counted(we, _cells(p, "gsm_neighbor", S.valid_cell("cid"), S.valid_cell("lac")))
+    of_cells = F.concat_ws("|", *[F.coalesce(F.get_json_object("data", f"$.{n}"), F.lit("")) for n in names[:3]])
+    we = we.withColumn("_id", of_cells).withColumn("device_id", F.lit(""))
+    p = _Pass(we, {n: _get(n) for n in names} | {"cell": S.valid_cell(_get("cid")), "area": S.valid_cell(_get("lac"))}, True, ["timestamp", *names])
+    return _cells(p, "gsm_neighbor")
 
 
-def _keyboard(we: DataFrame) -> DataFrame:
+def _keyboard(we: DataFrame) -> _Pass:
     names = {"before_text": "before", "current_text": "current", "package_name": "package", "is_password": "password"}
-    p = _parsed(we, skip_bad=True).select(*KEY, *ORDER, *[S.strip_brackets(_get(k)).alias(v) if k.endswith("text") else _get(k).alias(v) for k, v in names.items()])
-    p = p.dropDuplicates([*KEY, "timestamp", "device_id", *names.values()])
-    w = _seq("device_id", "package")
-    return p.withColumn("gap_ms", F.col("timestamp") - F.lag("timestamp").over(w)).withColumn("previous", F.lag("current").over(w))
+    values = {v: S.strip_brackets(_get(k)) if k.endswith("text") else _get(k) for k, v in names.items()}
+    p = _Pass(we, values, True, ["timestamp", "device_id", *names.values()])
+    # What comes before is of the same device and package, and of rows that count.
+    within = Window.partitionBy(*KEY, "device_id", "package", "ok").orderBy(*ORDER)
+    return p.add(gap_ms=F.col("timestamp") - F.lag("timestamp").over(within), previous=F.lag("current").over(within))
 
 
 def features_keyboard(we: DataFrame, pause_s: float = 2, burst_s: float = 30) -> DataFrame:
     p = _keyboard(we)
-    gap = F.col("gap_ms") / 1000.0
+    gap = F.when(F.col("ok"), F.col("gap_ms") / 1000.0)
     used = F.when((gap > 0) & (gap <= burst_s), gap)
     shorter = (F.length("current") < F.length("before")) | (F.length("current") < F.length("previous"))
-    out = p.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("key_event_count"), S.percentile(used, 0.5).alias("key_gap_median_s"),
-        (S.percentile(used, 0.75) - S.percentile(used, 0.25)).alias("key_gap_iqr_s"), F.count_if(gap > pause_s).alias("key_long_pauses"),
-        F.count_if(F.col("gap_ms").isNull() | (gap > burst_s)).alias("key_bursts"), F.count_if(F.coalesce(shorter, F.lit(False))).alias("key_deletions"),
+    return p.out(
+        key_event_count=_n(), key_gap_median_s=S.percentile(used, 0.5), key_gap_iqr_s=S.percentile(used, 0.75) - S.percentile(used, 0.25), key_long_pauses=F.count_if(gap > pause_s),
+        key_bursts=_n(F.col("gap_ms").isNull() | (gap > burst_s)), key_deletions=_n(shorter),
     )
-    return _counted(we, out)
 
 
 def features_keyboard_words(we: DataFrame, burst_s: float = 30) -> DataFrame:
@@ -149,119 +183,103 @@ def features_keyboard_words(we: DataFrame, burst_s: float = 30) -> DataFrame:
     each gap over burst_s.  Within a segment the word starts at the last event whose text before ended in a space, else
     at the first that shows a letter; without a start nothing is complete.
     """
-    p = _keyboard(we).withColumn("current", F.coalesce("current", F.lit(""))).withColumn("before", F.coalesce("before", F.lit("")))
+    p = _keyboard(we)
+    p.rows = p.rows.withColumn("current", F.coalesce("current", F.lit(""))).withColumn("before", F.coalesce("before", F.lit("")))
+    within = Window.partitionBy(*KEY, "device_id", "package", "ok").orderBy(*ORDER)
     done = F.col("current").endswith(" ") & ~F.col("before").endswith(" ")
-    w = _seq("device_id", "package")
-    cut = (F.coalesce(F.lag(done).over(w), F.lit(False)) | F.coalesce(F.col("gap_ms") > burst_s * 1000, F.lit(False))).cast("int")
-    p = p.withColumn("done", done).withColumn("cut", cut)
-    p = p.withColumn("segment", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     shows = ~F.col("current").endswith(" ") & (F.trim("current") != "")
-    override = shows & F.col("before").endswith(" ")
-    words = p.groupBy(*KEY, "device_id", "package", "segment").agg(
-        F.max(F.when(override, F.col("timestamp"))).alias("o"), F.min(F.when(shows, F.col("timestamp"))).alias("s"), F.max(F.when(F.col("done"), F.col("timestamp"))).alias("e")
-    )
-    seconds = (F.col("e") - F.coalesce("o", "s")) / 1000.0
-    out = words.groupBy(*KEY).agg(F.count(seconds).alias("key_words_completed"), S.percentile(seconds, 0.5).alias("key_word_median_s"))
-    return _counted(we, out)
+    p.add(done=done, cut=(F.coalesce(F.lag(done).over(within), F.lit(False)) | F.coalesce(F.col("gap_ms") > burst_s * 1000, F.lit(False))).cast("int"))
+    p.add(segment=F.sum("cut").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*KEY, "device_id", "package", "ok", "segment")
+    at = F.col("timestamp")
+    start = F.coalesce(F.max(F.when(shows & F.col("before").endswith(" "), at)).over(whole), F.min(F.when(shows, at)).over(whole))
+    # The event that completes the word is the segment's last, so each word counts once.
+    p.add(seconds=F.when(F.col("ok") & F.col("done"), (at - start) / 1000.0))
+    return p.out(key_words_completed=F.count("seconds"), key_word_median_s=S.percentile("seconds", 0.5))
 
 
 def features_light(we: DataFrame, dark: float = 10, tz: str = S.DEFAULT_TZ) -> DataFrame:
-    p = we.withColumn("lux", S.json_field("data", "$.double_light_lux", "decimal(18,6)").cast("double")).where("lux is not null and timestamp is not null")
-    lux = F.col("lux")
-    out = p.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("light_samples"), S.percentile(lux, 0.5).alias("light_median_lux"), (100.0 * F.count_if(lux < dark) / F.count(F.lit(1))).alias("light_dark_percent"),
-        F.avg(F.when(S.is_night("timestamp", tz), lux)).alias("light_night_mean_lux"), (S.percentile(lux, 0.75) - S.percentile(lux, 0.25)).alias("light_iqr_lux"),
+    p = _Pass(we, {"lux": S.json_field("data", "$.double_light_lux", "decimal(18,6)").cast("double")}, skip_bad=False).only(F.col("lux").isNotNull() & F.col("timestamp").isNotNull())
+    lux = F.when(F.col("ok"), F.col("lux"))
+    return p.out(
+        light_samples=_n(), light_median_lux=S.percentile(lux, 0.5), light_dark_percent=100.0 * F.count_if(lux < dark) / _n(),
+        light_night_mean_lux=F.avg(F.when(S.is_night("timestamp", tz), lux)), light_iqr_lux=S.percentile(lux, 0.75) - S.percentile(lux, 0.25),
     )
-    return _counted(we, out)
 
 
 def features_locations(we: DataFrame) -> DataFrame:
-    p = _parsed(we, skip_bad=True).select(*KEY, *ORDER, _get("double_latitude").alias("raw_lat"), _get("double_longitude").alias("raw_lon"), _get("provider").alias("provider"), _get("accuracy").alias("accuracy"))
-    p = p.dropDuplicates([*KEY, "timestamp", "raw_lat", "raw_lon", "provider", "accuracy"])
-    p = p.withColumn("lat", S.to_number("raw_lat")).withColumn("lon", S.to_number("raw_lon"))
-    valid = p.filter(S.valid_position("lat", "lon"))
-    w = _seq()
-    step = valid.withColumn("km", S.haversine_km(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")))
-    path = step.groupBy(*KEY).agg(F.sum("km").alias("location_path_km"), F.count(F.lit(1)).alias("location_valid_points"))
-    return _counted(we, _join(p.groupBy(*KEY).agg(F.count(F.lit(1)).alias("location_observations")), path))
+    names = {"double_latitude": "raw_lat", "double_longitude": "raw_lon", "provider": "provider", "accuracy": "accuracy"}
+    p = _Pass(we, {v: _get(k) for k, v in names.items()}, True, ["timestamp", *names.values()])
+    p.add(lat=S.to_number("raw_lat"), lon=S.to_number("raw_lon"))
+    p.add(place=F.when(F.col("ok") & S.valid_position("lat", "lon"), F.struct("lat", "lon")))
+    p.add(last=p.previous("place"))
+    p.add(km=F.when(F.col("place").isNotNull(), S.haversine_km(F.col("last.lat"), F.col("last.lon"), F.col("lat"), F.col("lon"))))
+    n = F.count("place")
+    return p.out(location_observations=_n(), location_path_km=F.sum("km"), location_valid_points=F.when(n > 0, n))
 
 
 def features_messages(we: DataFrame) -> DataFrame:
-    p = _parsed(we, skip_bad=True).select(*KEY, *ORDER, _get("trace").alias("trace"), F.trim(_get("message_type")).alias("kind")).dropDuplicates([*KEY, "timestamp", "trace", "kind"])
-    return _counted(we, p.groupBy(*KEY).agg(F.count(F.lit(1)).alias("message_count"), F.count_if(F.col("kind") == "2").alias("message_outgoing")))
+    p = _Pass(we, {"trace": _get("trace"), "kind": F.trim(_get("message_type"))}, True, ["timestamp", "trace", "kind"])
+    return p.out(message_count=_n(), message_outgoing=_n(F.col("kind") == "2"))
 
 
 def features_activity(we: DataFrame, tz: str = S.DEFAULT_TZ) -> DataFrame:
-    p = _parsed(we, skip_bad=True).withColumn("activity", F.lower(S.best_activity("data")["label"])).where("activity is not null")
-    n = F.count(F.lit(1))
-    base = p.groupBy(*KEY).agg(
-        n.alias("activity_events"), (F.count_if(F.col("activity") == "still") / n).alias("activity_still_fraction"),
-        (F.count_if(F.col("activity") == "unknown") / n).alias("activity_unknown_fraction"), F.count_distinct(S.local_hour_bucket("timestamp", tz)).alias("activity_active_hours"),
-    )
-    return _counted(we, _join(base, _entropy(p, F.col("activity"), "activity_entropy"), _transitions(p, F.col("activity"), "activity_transitions")))
+    p = _Pass(we, {"activity": F.lower(S.best_activity("data")["label"])}, skip_bad=True).only(F.col("activity").isNotNull())
+    p.entropy("activity", "activity_entropy").transitions("activity", "activity_transitions")
+    of = lambda label: _n(F.col("activity") == label) / _n()
+    return p.out(activity_events=_n(), activity_still_fraction=of("still"), activity_unknown_fraction=of("unknown"), activity_active_hours=_active_hours(tz))
 
 
-def _screen(we: DataFrame) -> DataFrame:
-    return _parsed(we, skip_bad=True).withColumn("status", S.to_number(_get("screen_status")).cast("int")).where("status is not null")
+def _screen(we: DataFrame) -> _Pass:
+    return _Pass(we, {"status": S.to_number(_get("screen_status")).cast("int")}, skip_bad=True).only(F.col("status").isNotNull())
 
 
 def features_screen(we: DataFrame, tz: str = S.DEFAULT_TZ) -> DataFrame:
-    p = _screen(we)
-    base = p.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("screen_events"), *[F.count_if(F.col("status") == k).alias(f"screen_{n}_count") for k, n in ((0, "off"), (1, "on"), (3, "unlock"))],
-        F.count_distinct(S.local_hour_bucket("timestamp", tz)).alias("screen_active_hours"), F.count_if(S.is_night("timestamp", tz)).alias("screen_night_events"),
-    )
-    return _counted(we, _join(base, _transitions(p, F.col("status"), "screen_transitions")))
+    p = _screen(we).transitions("status", "screen_transitions")
+    counts = {f"screen_{name}_count": _n(F.col("status") == k) for k, name in ((0, "off"), (1, "on"), (3, "unlock"))}
+    return p.out(screen_events=_n(), **counts, screen_active_hours=_active_hours(tz), screen_night_events=_n(S.is_night("timestamp", tz)))
 
 
 def features_screen_sessions(we: DataFrame) -> DataFrame:
     """Sessions from the last unlock (3) since the last close to the next close (0 or 2)."""
     p = _screen(we)
-    closes = F.col("status").isin(0, 2).cast("int")
-    before = F.coalesce(F.sum(closes).over(_seq().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = p.withColumn("session", before).groupBy(*KEY, "session").agg(
-        F.max(F.when(F.col("status") == 3, F.col("timestamp"))).alias("s"), F.max(F.when(F.col("status").isin(0, 2), F.col("timestamp"))).alias("e")
-    )
-    seconds = (F.col("e") - F.col("s")) / 1000.0
-    return _counted(we, part.groupBy(*KEY).agg(F.count(seconds).alias("screen_sessions"), S.percentile(seconds, 0.5).alias("screen_session_median_s")))
+    closes = F.col("ok") & F.col("status").isin(0, 2)
+    p.add(session=F.coalesce(F.sum(closes.cast("int")).over(_seq().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    unlocked = F.max(F.when(F.col("ok") & (F.col("status") == 3), F.col("timestamp"))).over(Window.partitionBy(*KEY, "session"))
+    # A session has one close, its last event.
+    p.add(seconds=F.when(closes, (F.col("timestamp") - unlocked) / 1000.0))
+    return p.out(screen_sessions=F.count("seconds"), screen_session_median_s=S.percentile("seconds", 0.5))
 
 
 def features_telephony(we: DataFrame) -> DataFrame:
-    p = _parsed(we, skip_bad=True).withColumn("enabled", S.data_enabled(_get("data_enabled")))
-    base = p.groupBy(*KEY).agg(F.count(F.lit(1)).alias("telephony_events"), (F.count_if("enabled") / F.nullif(F.count("enabled"), F.lit(0))).alias("telephony_data_fraction"))
-    return _counted(we, _join(base, _entropy(p, F.nullif(F.trim(_get("network_type")), F.lit("")), "telephony_network_entropy")))
+    p = _Pass(we, {"enabled": S.data_enabled(_get("data_enabled")), "network": F.nullif(F.trim(_get("network_type")), F.lit(""))}, skip_bad=True)
+    p.entropy("network", "telephony_network_entropy")
+    return p.out(telephony_events=_n(), telephony_data_fraction=_n(F.col("enabled")) / F.nullif(_n(F.col("enabled").isNotNull()), F.lit(0)))
 
 
 def features_touch(we: DataFrame, tz: str = S.DEFAULT_TZ) -> DataFrame:
-    names = {"touch_app": "app", "touch_action": "action", "touch_action_text": "said", "scroll_items": "items", "scroll_from_index": "from_i", "scroll_to_index": "to_i"}
-    p = _parsed(we, skip_bad=True).select(*KEY, *ORDER, *[_get(k).alias(v) for k, v in names.items()]).dropDuplicates([*KEY, "timestamp", "device_id", *names.values()])
-    p = p.withColumn("app", F.nullif(F.trim("app"), F.lit(""))).withColumn("upper_action", F.upper(F.coalesce("action", F.lit(""))))
+    names = {"touch_app": "raw_app", "touch_action": "action", "touch_action_text": "said", "scroll_items": "items", "scroll_from_index": "from_i", "scroll_to_index": "to_i"}
+    p = _Pass(we, {v: _get(k) for k, v in names.items()}, True, ["timestamp", "device_id", *names.values()])
+    p.add(app=F.nullif(F.trim("raw_app"), F.lit("")), upper_action=F.upper(F.coalesce("action", F.lit(""))), direction=S.scroll_direction("action"))
+    p.entropy("app", "touch_app_entropy").transitions("direction", "touch_direction_changes")
     start, stop = S.to_number("from_i"), S.to_number("to_i")
-    distance = F.when((start >= 0) & (stop >= 0), F.abs(stop - start))
-    base = p.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("touch_events"), F.count_if(F.col("upper_action") == "ACTION_AWARE_TOUCH_CLICKED").alias("touch_clicks"),
-        F.count_if(F.col("upper_action").contains("SCROLLED")).alias("touch_scrolls"), F.count_distinct("app").alias("touch_unique_apps"),
-        F.count_distinct(S.local_hour_bucket("timestamp", tz)).alias("touch_active_hours"), S.percentile(distance, 0.5).alias("touch_scroll_median"),
+    distance = F.when(F.col("ok") & (start >= 0) & (stop >= 0), F.abs(stop - start))
+    return p.out(
+        touch_events=_n(), touch_clicks=_n(F.col("upper_action") == "ACTION_AWARE_TOUCH_CLICKED"), touch_scrolls=_n(F.col("upper_action").contains("SCROLLED")),
+        touch_unique_apps=_distinct(F.col("app")), touch_active_hours=_active_hours(tz), touch_scroll_median=S.percentile(distance, 0.5),
     )
-    return _counted(we, _join(base, _entropy(p, F.col("app"), "touch_app_entropy"), _transitions(p, S.scroll_direction("action"), "touch_direction_changes")))
 
 
 def features_significant(we: DataFrame, tz: str = S.DEFAULT_TZ) -> DataFrame:
-    p = _parsed(we, skip_bad=False).withColumn("moving", S.is_moving(_get("is_moving")))
-    base = p.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("significant_events"), F.count_if("moving").alias("significant_moving"), (F.count_if("moving") / F.nullif(F.count("moving"), F.lit(0))).alias("significant_moving_fraction"),
-        F.count_distinct(S.local_hour_bucket("timestamp", tz)).alias("significant_active_hours"),
-    )
-    return _counted(we, _join(base, _transitions(p, F.col("moving"), "significant_transitions")))
+    p = _Pass(we, {"moving": S.is_moving(_get("is_moving"))}, skip_bad=False).transitions("moving", "significant_transitions")
+    known = F.nullif(F.count("moving"), F.lit(0))
+    return p.out(significant_events=_n(), significant_moving=F.count_if("moving"), significant_moving_fraction=F.count_if("moving") / known, significant_active_hours=_active_hours(tz))
 
 
 def features_sensor_meta(we: DataFrame, tz: str = S.DEFAULT_TZ) -> DataFrame:
     names = {"double_sensor_resolution": "resolution", "double_sensor_maximum_range": "range", "double_sensor_power_ma": "power", "double_sensor_minimum_delay": "min_delay"}
-    p = _parsed(we, skip_bad=True)
-    return _counted(we, p.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("sensor_events"), F.count_distinct(S.local_hour_bucket("timestamp", tz)).alias("sensor_active_hours"),
-        *[S.percentile(S.to_number(_get(k)), 0.5).alias(f"sensor_median_{v}") for k, v in names.items()],
-    ))
+    p = _Pass(we, {v: S.to_number(_get(k)) for k, v in names.items()}, skip_bad=True)
+    return p.out(sensor_events=_n(), sensor_active_hours=_active_hours(tz), **{f"sensor_median_{v}": S.percentile(F.when(F.col("ok"), F.col(v)), 0.5) for v in names.values()})
 
 
 # ---------------------------------------------------------------------------------------- first-phase counts
@@ -270,8 +288,13 @@ def features_sensor_meta(we: DataFrame, tz: str = S.DEFAULT_TZ) -> DataFrame:
 def features_window_counts(we: DataFrame, tz: str = S.DEFAULT_TZ, value: Column | None = None) -> DataFrame:
     """Events, active local days, night events, events per active day, and the entropy of a value if one is named."""
     n, days = F.count(F.lit(1)), F.count_distinct(S.local_day("timestamp", tz))
-    base = we.groupBy(*KEY).agg(n.alias("event_count"), days.alias("active_days"), F.count_if(S.is_night("timestamp", tz)).alias("night_events"), (n / days).alias("events_per_active_day"))
-    return base if value is None else _join(base, _entropy(we, value, "value_entropy"))
+    out = [n.alias("event_count"), days.alias("active_days"), F.count_if(S.is_night("timestamp", tz)).alias("night_events"), (n / days).alias("events_per_active_day")]
+    rows = we.select(*KEY, "timestamp", *([] if value is None else [value.alias("_v")]))
+    if value is not None:
+        rows = rows.withColumn("_n", F.count("_v").over(Window.partitionBy(*KEY, "_v")))
+        bits = F.log2(F.count("_v")) - F.avg(F.when(F.col("_v").isNotNull(), F.log2("_n")))
+        out.append(F.when(F.count("_v") > 0, F.abs(F.round(bits, 12))).alias("value_entropy"))
+    return rows.groupBy(*KEY).agg(*out)
 
 
 def features_activity_counts(we: DataFrame, confident: float = 50) -> DataFrame:

@@ -47,10 +47,10 @@ def last_event_before(ev: DataFrame, anchors: DataFrame, horizon_ms: int) -> Dat
 
 
 def has_rows(ev: DataFrame, win: DataFrame, by_table: bool = False) -> DataFrame:
-    """The windows in which their device has any event."""
-    keys = ["device_id"] + (["table_name"] if by_table else [])
-    rows = ev.select(*[F.col(k).alias(f"e_{k}") for k in keys], F.col("timestamp").alias("e_ms"))
-    inside = (F.col("e_ms") >= F.col("start_ms")) & (F.col("e_ms") < F.col("end_ms"))
-    for k in keys:
-        inside = inside & (F.col(f"e_{k}") == F.col(k))
-    return win.join(rows, inside, "left_semi")
+    """The windows in which their device has any event.
+
+    The events are reduced to the different windows that they fall into before anything is joined back.
+    """
+    key = [c for c in ("device_id", "table_name", "start_ms", "end_ms") if c in win.columns and (c != "table_name" or by_table)]
+    hit = range_join(ev.select("device_id", *(["table_name"] if by_table else []), "timestamp"), win.select(*key).distinct(), by_table=by_table)
+    return win.join(hit.select(*key).distinct(), key, "left_semi")

@@ -15,7 +15,7 @@ from .rangejoin import first_event_after, range_join, small
 HOUR, DAY = 3_600_000, 86_400_000
 
 
-def early_late_windows(subjects: DataFrame, days: int = 7, tz: str = DEFAULT_TZ) -> DataFrame:
+def early_late_windows(subjects: DataFrame, days: int = 7, tz: str = DEFAULT_TZ, keep: list[str] = ()) -> DataFrame:
     """Calendar windows: early [T1, T1+days), late [T2-days, T2), t1_day [T1 00:00, next 00:00 - 1 ms], at local
     midnights, so 23 or 25 hours a day where summer time changes."""
 
@@ -27,7 +27,7 @@ def early_late_windows(subjects: DataFrame, days: int = 7, tz: str = DEFAULT_TZ)
         window("late", F.date_sub("t2_date", days), F.col("t2_date")),
         window("t1_day", F.col("t1_date"), F.date_add("t1_date", 1), 1),
     )
-    return subjects.select("subject_id", F.explode(rows).alias("w")).select("subject_id", "w.*")
+    return subjects.select("subject_id", *keep, F.explode(rows).alias("w")).select("subject_id", *keep, "w.*")
 
 
 def absolute_window(start, hours: int = 24):

@@ -49,15 +49,18 @@ def devices(ev: DataFrame) -> DataFrame:
 DEVICES = "dev AS (SELECT DISTINCT subject_id, device_id FROM e)"
 
 
-def subjects(ev: DataFrame) -> DataFrame:
+def _dated(s: DataFrame) -> DataFrame:
     """T1 is 2 to 6 January and T2 24 to 27 January, by the subject's number."""
     no = number("subject_id")
-    s = ev.select("subject_id").distinct()
     s = s.withColumn("t1_date", F.date_add(F.lit("2024-01-02").cast("date"), (no % 5).cast("int"))).withColumn("t2_date", F.date_add(F.lit("2024-01-24").cast("date"), (no % 4).cast("int")))
     ms = lambda c: F.unix_millis(F.to_utc_timestamp(F.col(c).cast("timestamp"), TZ))
     return s.withColumn("t1_ms", ms("t1_date")).withColumn("t2_ms", ms("t2_date")).withColumn("score", (no * 37 % 101).cast("double"))
 
 
+def subjects(ev: DataFrame) -> DataFrame:
+    return _dated(ev.select("subject_id").distinct())
+
+
 SUBJECTS = f"""sub AS (SELECT subject_id, t1_date, t2_date, epoch_ms(CAST(t1_date AS TIMESTAMP)) - {SHIFT} AS t1_ms, epoch_ms(CAST(t2_date AS TIMESTAMP)) - {SHIFT} AS t2_ms, score
     FROM (SELECT subject_id, DATE '2024-01-02' + CAST(no % 5 AS INTEGER) AS t1_date, DATE '2024-01-24' + CAST(no % 4 AS INTEGER) AS t2_date, CAST(no * 37 % 101 AS DOUBLE) AS score
           FROM (SELECT DISTINCT subject_id, CAST(substr(subject_id, 2) AS BIGINT) AS no FROM e)))"""
@@ -67,8 +70,11 @@ def windows(ev: DataFrame) -> DataFrame:
     """Early and late windows of seven days for every device and table of each subject."""
     from ..operators.windows import early_late_windows
 
-    w = early_late_windows(subjects(ev), 7, TZ).filter(F.col("window_rule").isin(*RULES))
-    return w.join(devices(ev), "subject_id").join(ev.select("table_name").distinct())
+    # From one distinct of the events: subject, device and the tables there are for any.
+    each = _dated(ev.select("subject_id", "device_id").distinct())
+    w = early_late_windows(each, 7, TZ, keep=["device_id"]).filter(F.col("window_rule").isin(*RULES))
+    tables = ev.agg(F.collect_set("table_name").alias("tables"))  # one row
+    return w.join(F.broadcast(tables)).withColumn("table_name", F.explode("tables")).drop("tables")
 
 
 WINDOWS = """win AS (SELECT s.subject_id, d.device_id, t.table_name, w.window_rule, w.start_ms, w.end_ms FROM sub s JOIN dev d USING (subject_id) CROSS JOIN (SELECT DISTINCT table_name FROM e) t

@@ -120,7 +120,7 @@ def chunk_rows(spark, n, f, step=100):
     return spark.createDataFrame([(int(i), int(t), "D1", "S1", 0, float(v)) for i, (t, v) in enumerate(zip(ms, x))], "_id long, timestamp long, device_id string, subject_id string, start_ms long, magnitude double")
 
 
-@pytest.mark.parametrize(("n", "status"), [(99, "insufficient"), (100, "ok")])
+@pytest.mark.parametrize(("n", "status"), [(99, "too_few_samples"), (100, "ok")])
 def test_chunk_gate(spark, n, status):
     assert G.chunk_stats(G.assign_chunks(chunk_rows(spark, n, lambda t: 1 + 0 * t))).first().status == status
 
