@@ -137,11 +137,12 @@ class LanguageModel:
         self.candidates = {s[1:]: c >= 0.01 * np.maximum(words, 1) for s, c in self.scripts.items()}
         #: For each chunk a row of scores, letters and letters in a script of any candidate; -1 for one without a letter.
         self.index: dict[str, int] = {}
+        self.row_of_word: dict[str, int] = {}
         self.table = np.zeros((1024, n + 2), np.float32)
         self.filled = 0
         self.cached = max(1_000, min(CACHED_WORDS, CACHED_SCORES // (n + 2)))
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
+    def word_scores(self, words: list[str], scripts: list[str]) -> np.ndarray:
         """Scores of the candidates, the best 0, none under -WORD_BOUND; all 0 if no candidate has the script."""
         codes = _codes("".join(f"^{w}$" for w in words))
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -159,7 +160,7 @@ class LanguageModel:
         score = np.bincount(np.repeat(word, n) * size + self.gram_langs[entry], weights=self.gram_scores[entry], minlength=len(words) * size)
         score = score.reshape(len(words), size) + lengths[:, None] * self.unknown
         none = np.zeros(size, bool)
-        allowed = np.array([self.candidates.get(s, none) for s in scripts_of(words)])
+        allowed = np.array([self.candidates.get(s, none) for s in scripts])
         unknown = ~allowed.any(axis=1)
         score[~allowed] = -np.inf
         score[unknown] = 0
@@ -169,19 +170,23 @@ class LanguageModel:
         """Adds chunks to the cache, which is emptied first if it would hold too many."""
         if len(self.index) + len(chunks) > self.cached:
             self.index.clear()
+            self.row_of_word.clear()
             self.filled = 0
         words = [letters_of(c) for c in chunks]
         self.index.update((c, -1) for c, w in zip(chunks, words, strict=True) if not w)
-        chunks, words = [c for c, w in zip(chunks, words, strict=True) if w], [w for w in words if w]
+        lettered = [(c, w) for c, w in zip(chunks, words, strict=True) if w]
+        words = [w for w in dict.fromkeys(w for _, w in lettered) if w not in self.row_of_word]
+        end = self.filled + len(words)
+        self.row_of_word.update(zip(words, range(self.filled, end), strict=True))
+        self.index.update((c, self.row_of_word[w]) for c, w in lettered)
         if not words:
             return
-        end = self.filled + len(words)
+        scripts = scripts_of(words)
         if end > len(self.table):
             self.table = np.concatenate([self.table, np.zeros((max(end, 2 * len(self.table)) - len(self.table), self.table.shape[1]), np.float32)])
-        self.table[self.filled : end, :-2] = self.word_scores(words)
+        self.table[self.filled : end, :-2] = self.word_scores(words, scripts)
         self.table[self.filled : end, -2] = [len(w) for w in words]
-        self.table[self.filled : end, -1] = [len(w) * self.scripted(s) for w, s in zip(words, scripts_of(words), strict=True)]
-        self.index.update(zip(chunks, range(self.filled, end), strict=True))
+        self.table[self.filled : end, -1] = [len(w) * self.scripted(s) for w, s in zip(words, scripts, strict=True)]
         self.filled = end
 
     def scripted(self, script: str) -> bool:
