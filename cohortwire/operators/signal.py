@@ -275,35 +275,67 @@ def daily_band_power(ev: DataFrame, low: float = 0.5, high: float = 5.0, tz: str
     return parts.groupBy("device_id", "day").agg((F.sum(F.col("power") * F.col("n")) / F.sum("n")).alias("band_power"), F.sum("n").alias("n_samples"))
 
 
-def sliding_power(ev: DataFrame, win_s: float = 5, overlap: float = 0.5, low: float = 0.5, high: float = 5.0, tz: str = S.DEFAULT_TZ) -> DataFrame:
-    """Power in [low, high] of windows of win_s that overlap, by device and window."""
-    width = int(win_s * 1000)
-    step = int(width * (1 - overlap))
-    last = F.floor(F.col("timestamp") / step)
-    numbers = F.sequence(F.floor((F.col("timestamp") - width) / step) + 1, last)
-    rows = ev.select("device_id", "timestamp", "magnitude", F.explode(numbers).alias("window_no"))
+#: Bands of the sliding windows in Hz, both ends included.
+SLIDING_BANDS = {"0.5-5Hz": (0.5, 5.0), "0.5-1Hz": (0.5, 1.0), "1-2Hz": (1.0, 2.0), "2-3Hz": (2.0, 3.0), "3-5Hz": (3.0, 5.0)}
+
+
+def window_powers(ms: np.ndarray, x: np.ndarray, bands: dict[str, tuple[float, float]], win_s: float = 5.0, overlap: float = 0.5) -> pd.DataFrame:
+    """first_ms and the power in each band of windows of win_s that overlap, counted in samples at the median rate, of a
+    series band-passed at 0.3 to 8 Hz, or to 0.4 of the rate if that is less.  Empty without a rate, or for windows of
+    fewer than eight samples."""
+    order = np.argsort(ms, kind="stable")
+    ms, x = ms[order], x[order]
+    steps = np.diff(ms) / 1000.0
+    steps = steps[steps > 0]
+    empty = pd.DataFrame({"first_ms": np.zeros(0, np.int64), **{b: np.zeros(0) for b in bands}})
+    if not len(steps):
+        return empty
+    fs = 1.0 / float(np.median(steps))
+    size = int(round(win_s * fs))
+    if size < 8 or len(x) < size:
+        return empty
+    high = min(8.0, 0.4 * fs)
+    if high > 0.3:
+        x = N.zero_phase(N.butterworth(4, (0.3, high), fs), x)
+    starts = np.arange(0, len(x) - size + 1, max(1, int(round(size * (1 - overlap)))))
+    rows = []
+    for at in starts:
+        f, p = N.welch(x[at : at + size], fs, size)
+        rows.append([float(p[(f >= low) & (f <= high)].sum()) for low, high in bands.values()])
+    return pd.DataFrame({"first_ms": ms[starts], **{b: [r[i] for r in rows] for i, b in enumerate(bands)}})
+
+
+def sliding_power(ev: DataFrame, win_s: float = 5, overlap: float = 0.5, bands: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """device_id, day (1 or 2), first_ms, band, power: windows of the first two days of each device.
+
+    A device's two days are filtered as one series, whose length its sampling rate bounds.
+    """
+    bands = SLIDING_BANDS if bands is None else bands
+    first = ev.groupBy("device_id").agg(F.min("timestamp").alias("t0"))
+    rows = ev.select("device_id", "timestamp", "magnitude").join(first, "device_id").filter(F.col("timestamp") < F.col("t0") + 2 * 86_400_000)
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ms, x = pdf["timestamp"].to_numpy(), pdf["magnitude"].to_numpy()
-        order = np.argsort(ms, kind="stable")
-        steps = np.diff(ms[order])
-        steps = steps[steps > 0]
-        if len(x) < 8 or not len(steps):
-            return pd.DataFrame([], columns=["device_id", "window_no", "band_power", "n"])
-        f, p = N.welch(x[order], 1000.0 / np.median(steps), len(x))
-        inside = (f >= low) & (f <= high)
-        return pd.DataFrame([(key[0], key[1], float(p[inside].sum()), len(x))], columns=["device_id", "window_no", "band_power", "n"])
+        found = window_powers(pdf["timestamp"].to_numpy(), pdf["magnitude"].to_numpy(), bands, win_s, overlap)
+        found["day"] = 1 + (found["first_ms"] - int(pdf["t0"].iloc[0])) // 86_400_000
+        found["device_id"] = key[0]
+        long = found.melt(["device_id", "day", "first_ms"], list(bands), "band", "power")
+        return long.astype({"day": "int32", "power": float})
 
-    out = rows.groupBy("device_id", "window_no").applyInPandas(one, "device_id string, window_no long, band_power double, n long")
-    return out.withColumn("start_ms", F.col("window_no") * step).withColumn("day", S.local_day("start_ms", tz))
+    return rows.groupBy("device_id").applyInPandas(one, "device_id string, day int, first_ms long, band string, power double")
 
 
 def sliding_day_stats(windows: DataFrame) -> DataFrame:
-    """Median, third quartile and IQR of window powers by device and day, and change from the device's first day."""
-    p = F.col("band_power")
-    days = windows.groupBy("device_id", "day").agg(S.percentile(p, 0.5).alias("median_power"), S.percentile(p, 0.75).alias("p75_power"), (S.percentile(p, 0.75) - S.percentile(p, 0.25)).alias("iqr_power"))
-    first = F.first("median_power").over(Window.partitionBy("device_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
-    return days.withColumn("delta_first_day", F.col("median_power") - first).withColumn("ratio_first_day", F.col("median_power") / F.nullif(first, F.lit(0.0)))
+    """Median, third quartile and IQR of window powers by device, band and day."""
+    p = F.col("power")
+    return windows.groupBy("device_id", "band", "day").agg(S.percentile(p, 0.5).alias("median"), S.percentile(p, 0.75).alias("p75"), (S.percentile(p, 0.75) - S.percentile(p, 0.25)).alias("iqr"), F.count(F.lit(1)).alias("n_windows"))
+
+
+def sliding_day_change(days: DataFrame) -> DataFrame:
+    """Of each device and band the medians of both days, their difference and, for a positive first, their ratio."""
+    day = lambda d: F.max(F.when(F.col("day") == d, F.col("median")))
+    out = days.groupBy("device_id", "band").agg(day(1).alias("day1_median"), day(2).alias("day2_median"))
+    a, b = F.col("day1_median"), F.col("day2_median")
+    return out.withColumn("delta_day2_minus_day1", b - a).withColumn("ratio_day2_div_day1", F.when(a > 0, b / a))
 
 
 def initial_empty_status(chunks: DataFrame, n: int = 12) -> DataFrame:

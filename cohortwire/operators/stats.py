@@ -15,7 +15,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .profiles import ranked_long
+from .profiles import ranked_long, value_positions
 
 
 # ------------------------------------------------------------------------------------------- folds and baselines
@@ -101,46 +101,68 @@ def _squared_error(gram: np.ndarray, intercept: float, beta: np.ndarray) -> floa
     return float(v @ gram @ v)
 
 
-def ridge_cv(df: DataFrame, cols: list[str], y: str = "y", alphas=(0.1, 1.0, 10.0, 100.0), signs: dict[str, int] | None = None) -> tuple[DataFrame, list[dict]]:
+def imputed_by_fold(df: DataFrame, cols: list[str]) -> DataFrame:
+    """df once for every fold that may be held out (`held`), with its NULLs replaced by the medians of the other folds'
+    rows, 0 for a column that has none, and with missing__ indicators."""
+    folds = df.select("repeat", F.col("fold").alias("held")).distinct()
+    rows = df.join(F.broadcast(folds), "repeat")  # as many rows as folds for each repeat
+    medians = rows.filter("fold <> held").groupBy("repeat", "held").agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in cols])
+    rows = rows.join(F.broadcast(medians), ["repeat", "held"], "left")
+    made = {f"missing__{c}": F.col(c).isNull().cast("double") for c in cols}
+    made |= {c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}"), F.lit(0.0)) for c in cols}
+    return rows.withColumns(made).drop(*[f"_m_{c}" for c in cols])
+
+
+def ridge_cv(df: DataFrame, cols: list[str], y: str = "y", alphas=(0.1, 1.0, 10.0, 100.0), signs: dict[str, int] | None = None, impute: bool = False) -> tuple[DataFrame, list[dict]]:
     """Out-of-fold predictions and coefficients.  Alpha is the one of least summed error over the training folds, each
-    held out in turn; every model comes from sums of the other folds' sums.  df has repeat and fold."""
-    sign = np.array([signs.get(c, 0) for c in cols], float) if signs else None
-    folds = gram_by_fold(df, cols, y)
+    held out in turn; every model comes from sums of the other folds' sums.  df has repeat and fold.
+
+    With impute, NULLs become the training folds' medians, beside indicators of where they were; without, rows with a
+    NULL take no part in the sums.
+    """
+    rows = imputed_by_fold(df, cols) if impute else df.withColumn("held", F.lit(-1))
+    used = [*cols, *(f"missing__{c}" for c in cols)] if impute else cols
+    sign = np.array([signs.get(c, 0) for c in used], float) if signs else None
+    sums = gram_by_fold(rows, used, y, ["repeat", "fold", "held"])
     coefs = []
-    for f in folds:
-        repeat, fold = f["key"]
-        others = [g for g in folds if g["key"][0] == repeat and g["key"][1] != fold]
+    for repeat, fold in sorted({f["key"][:2] for f in sums}):
+        others = [g for g in sums if g["key"][0] == repeat and g["key"][1] != fold and g["key"][2] in (-1, fold)]
         if not others:
             continue
         total = sum(g["gram"] for g in others)
 
         def error(alpha):
-            parts = [(g["gram"], total - g["gram"]) for g in others if len(others) > 1]
-            return sum(_squared_error(test, *solve_ridge(train, alpha, sign)) for test, train in parts)  # noqa: B023
+            parts = [(g["gram"], total - g["gram"]) for g in others if len(others) > 1]  # noqa: B023
+            return sum(_squared_error(test, *solve_ridge(train, alpha, sign)) for test, train in parts)
 
         alpha = min(alphas, key=error)
         intercept, beta = solve_ridge(total, alpha, sign)
         coefs.append({"repeat": repeat, "fold": fold, "alpha": float(alpha), "intercept": intercept, "beta": [float(b) for b in beta]})
     spark = df.sparkSession
     table = spark.createDataFrame(coefs, "repeat int, fold int, alpha double, intercept double, beta array<double>")
-    rows = df.join(F.broadcast(table), ["repeat", "fold"])
+    out = (rows.filter("fold = held") if impute else rows).drop("held").join(F.broadcast(table), ["repeat", "fold"])
     dot = F.col("intercept")
-    for i, c in enumerate(cols):
+    for i, c in enumerate(used):
         dot = dot + F.col("beta")[i] * F.col(c)
-    return rows.withColumn("prediction", dot).drop("intercept", "beta"), coefs
+    return out.withColumn("prediction", dot).drop("intercept", "beta"), coefs
 
 
 def signed_ridge_cv(df: DataFrame, cols: list[str], signs: dict[str, int], y: str = "y", alphas=(0.1, 1.0, 10.0, 100.0)):
     return ridge_cv(df, cols, y, alphas, signs)
 
 
-def domain_models(df: DataFrame, domains: dict[str, list[str]], y: str = "y", alphas=(1.0, 10.0, 100.0)) -> DataFrame:
-    """Out-of-fold predictions of one ridge per domain of features: rows are not repeated, predictions are."""
+def domain_models(df: DataFrame, domains: dict[str, list[str]], y: str = "y", alphas=(1.0, 10.0, 100.0), cohorts: dict[str, int | None] | None = None, rank: str = "coverage_rank") -> DataFrame:
+    """Out-of-fold predictions, with medians for NULLs, of a ridge per domain of features, of one of all features and of
+    the mean, in each cohort: the subjects whose `rank` is up to a number, all for None."""
+    every = list(dict.fromkeys(c for cols in domains.values() for c in cols))
     out = None
-    for name, cols in domains.items():
-        pred, _ = ridge_cv(df, cols, y, alphas)
-        one = pred.select("subject_id", "repeat", "fold", F.col(y).alias("y"), "prediction", F.lit(name).alias("model"))
-        out = one if out is None else out.unionByName(one)
+    for cohort, most in (cohorts or {"full": None}).items():
+        part = df if most is None else df.filter(F.col(rank) <= most)
+        found = [(name, ridge_cv(part, cols, y, alphas, impute=True)[0]) for name, cols in {**domains, "all": every}.items()]
+        found.append(("mean", mean_baseline_oof(part, y)))
+        for name, pred in found:
+            one = pred.select("subject_id", "repeat", "fold", F.col(y).alias("y"), "prediction", F.lit(name).alias("model"), F.lit(cohort).alias("cohort"))
+            out = one if out is None else out.unionByName(one)
     return out
 
 
@@ -211,15 +233,15 @@ def spearman_weights(long: DataFrame, y: str = "y") -> DataFrame:
 
 def standardised_trend(long: DataFrame, y: str = "y") -> DataFrame:
     """Median of each feature's z-values over the quartiles of y."""
-    w = Window.partitionBy("feature")
-    rows = long.where("value is not null").withColumn("z", (F.col("value") - F.avg("value").over(w)) / F.nullif(F.stddev_pop("value").over(w), F.lit(0.0)))
-    return quartile_bins(rows, y).groupBy("feature", "bin").agg(F.percentile("z", F.lit(0.5)).alias("median_z"), F.count(F.lit(1)).alias("n"))
+    return quartile_bins(_scaled(long.where("value is not null")), y).groupBy("feature", "bin").agg(F.percentile("z", F.lit(0.5)).alias("median_z"), F.count(F.lit(1)).alias("n"))
 
 
 def rank_trend(long: DataFrame, score: str = "y") -> DataFrame:
-    """Slope of each feature over the subjects' rank by score."""
-    order = Window.partitionBy("feature").orderBy(F.desc(score), "subject_id")
-    rows = long.where(F.col("value").isNotNull() & F.col(score).isNotNull()).withColumn("rank_no", F.row_number().over(order))
+    """Slope of each feature over the subjects' rank by score, largest first, ties by id."""
+    rows = long.where(F.col("value").isNotNull() & F.col(score).isNotNull()).withColumn("_s", -F.col(score))
+    places = value_positions(rows, "_s", ["feature"]).select("feature", "_s", "below")
+    tie = F.row_number().over(Window.partitionBy("feature", "_s").orderBy("subject_id"))
+    rows = rows.join(places, ["feature", "_s"]).withColumn("rank_no", F.col("below") + tie)
     return rows.groupBy("feature").agg(F.regr_slope("value", "rank_no").alias("slope"), F.regr_r2("value", "rank_no").alias("r2"), F.count(F.lit(1)).alias("n"))
 
 
@@ -254,20 +276,34 @@ def tree_models(df: DataFrame, cols: list[str], y: str = "y", depth: int = 2, se
     return forest.fit(v), boosted.fit(v)
 
 
+#: Rows among which a column's values are dealt out anew, about.
+DEALT_ROWS = 10_000
+
+
 def perm_importance(df: DataFrame, model, cols: list[str], y: str = "y", shuffles: int = 3, key: str = "subject_id") -> DataFrame:
-    """Rise of the RMSE when one column is dealt out anew, by a hash order that is the same on every run."""
-    spark = df.sparkSession
-    rmse = lambda d: RegressionEvaluator(labelCol=y, metricName="rmse").evaluate(model.transform(_vectors(d, cols)))
-    base, out = rmse(df), []
-    numbered = df.withColumn("_n", F.row_number().over(Window.orderBy(F.xxhash64(key), key)))
+    """Rise of the RMSE when one column is dealt out anew, by hash orders that are the same on every run.
+
+    Values are dealt out within random groups of about DEALT_ROWS rows, so no task orders all rows, and all shuffles of
+    all columns are scored in one job.
+    """
+    n = df.count()
+    rows = df.select(key, y, *cols).withColumn("_group", F.pmod(F.xxhash64(key, F.lit(7)), F.lit(max(1, n // DEALT_ROWS))))
+    place = lambda s: F.row_number().over(Window.partitionBy("_group").orderBy(F.xxhash64(key, F.lit(s)), key))
+    rows = rows.withColumn("_n", place(0))
+    frames = [rows.drop("_n").withColumn("feature", F.lit(None).cast("string")).withColumn("shuffle", F.lit(0))]
     for c in cols:
-        rises = []
-        for s in range(shuffles):
-            order = F.row_number().over(Window.orderBy(F.xxhash64(key, F.lit(s + 1)), key))
-            dealt = df.select(order.alias("_n"), F.col(c).alias("_dealt"))
-            rises.append(rmse(numbered.join(dealt, "_n").withColumn(c, F.col("_dealt"))) - base)
-        out.append((c, float(np.mean(rises)), float(np.std(rises))))
-    return spark.createDataFrame(out, "feature string, rmse_rise double, rmse_rise_sd double")
+        for s in range(1, shuffles + 1):
+            dealt = rows.select("_group", place(s).alias("_n"), F.col(c).alias("_dealt"))
+            one = rows.join(dealt, ["_group", "_n"]).withColumn(c, F.col("_dealt")).drop("_dealt", "_n")
+            frames.append(one.withColumn("feature", F.lit(c)).withColumn("shuffle", F.lit(s)))
+    whole = frames[0]
+    for frame in frames[1:]:
+        whole = whole.unionByName(frame)
+    error = F.col(y) - F.col("prediction")
+    rmse = model.transform(_vectors(whole, cols)).groupBy("feature", "shuffle").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
+    base = rmse.filter("feature is null").select(F.col("rmse").alias("base"))
+    rises = rmse.filter("feature is not null").join(F.broadcast(base)).withColumn("rise", F.col("rmse") - F.col("base"))
+    return rises.groupBy("feature").agg(F.avg("rise").alias("rmse_rise"), F.stddev_pop("rise").alias("rmse_rise_sd"))
 
 
 def pca(df: DataFrame, cols: list[str], k: int = 10):
@@ -290,36 +326,59 @@ def adjusted_rand(pairs: DataFrame, a: str, b: str) -> float:
     return 1.0 if top == 0 else (both - expected) / top
 
 
+def pairwise_rand(labels: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b, rand: the adjusted Rand index of every two columns of labels, all from one count of label pairs."""
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    counts = labels.select(F.explode(F.array(*pairs)).alias("p")).groupBy("p.a", "p.b", "p.x", "p.y").agg(F.count(F.lit(1)).alias("n"))
+    c2 = lambda n: n * (n - 1) / 2.0
+    one, two = Window.partitionBy("a", "b", "x"), Window.partitionBy("a", "b", "y")  # as many rows as labels
+    counts = counts.withColumn("nx", F.sum("n").over(one)).withColumn("ny", F.sum("n").over(two))
+    sums = counts.groupBy("a", "b").agg(
+        F.sum(c2(F.col("n"))).alias("both"), F.sum(c2(F.col("nx")) * F.col("n") / F.col("nx")).alias("one"), F.sum(c2(F.col("ny")) * F.col("n") / F.col("ny")).alias("two"), F.sum("n").alias("all")
+    )
+    expected = F.when(F.col("all") > 1, F.col("one") * F.col("two") / c2(F.col("all"))).otherwise(0.0)
+    top = (F.col("one") + F.col("two")) / 2 - expected
+    return sums.select("a", "b", F.when(top == 0, 1.0).otherwise((F.col("both") - expected) / top).alias("rand"))
+
+
 def kmeans_stability(df: DataFrame, features: str, ks=(2, 3, 4, 5), seeds: int = 20, key: str = "subject_id") -> DataFrame:
-    """Per k: silhouette mean, SD, min and max over seeds, and the mean adjusted Rand between consecutive seeds."""
+    """Per k: silhouette mean, SD, min and max over seeds, the mean, least and largest adjusted Rand index over all pairs
+    of seeds, and whether it is the best: largest mean silhouette, then largest mean index."""
     evaluator = ClusteringEvaluator(featuresCol=features)
-    out = []
-    for k in ks:
-        found, scores = None, []
-        for seed in range(seeds):
-            labelled = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="prediction").fit(df).transform(df)
-            scores.append(evaluator.evaluate(labelled))
-            one = labelled.select(key, F.col("prediction").alias(f"c{seed}"))
-            found = one if found is None else found.join(one, key)
-        rand = [adjusted_rand(found, f"c{i}", f"c{i + 1}") for i in range(seeds - 1)]
-        out.append((k, float(np.mean(scores)), float(np.std(scores)), float(min(scores)), float(max(scores)), float(np.mean(rand)) if rand else 1.0))
-    spark = df.sparkSession
-    table = spark.createDataFrame(out, "k int, silhouette_mean double, silhouette_sd double, silhouette_min double, silhouette_max double, rand_mean double")
-    return table.withColumn("best", F.row_number().over(Window.orderBy(F.desc("silhouette_mean"), "k")) == 1)
+    names, out = [f"c{seed}" for seed in range(seeds)], []
+    df = df.persist()
+    try:
+        for k in ks:
+            found, scores = df, []
+            for seed, name in enumerate(names):
+                model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="prediction").fit(df)
+                scores.append(evaluator.evaluate(model.transform(df)))
+                found = model.setPredictionCol(name).transform(found)  # a label more for every row, no join
+            rand = pairwise_rand(found.select(*names), names).agg(F.avg("rand"), F.min("rand"), F.max("rand")).first() if seeds > 1 else (1.0, 1.0, 1.0)
+            out.append((k, seeds, float(np.mean(scores)), float(np.std(scores)), float(min(scores)), float(max(scores)), *map(float, rand)))
+    finally:
+        df.unpersist()
+    best = max(out, key=lambda r: (r[2], r[6]))[0]
+    schema = "k int, n_seeds int, silhouette_mean double, silhouette_sd double, silhouette_min double, silhouette_max double, rand_mean double, rand_min double, rand_max double, best boolean"
+    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in out], schema)
+
+
+def _scaled(long: DataFrame) -> DataFrame:
+    """long with z: the value less its feature's mean by its population SD, from one aggregate and a join."""
+    stats = long.groupBy("feature").agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"))
+    return long.join(F.broadcast(stats), "feature").withColumn("z", (F.col("value") - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))).drop("_mean", "_sd")
 
 
 def cluster_profile(long: DataFrame, least_observed: float = 0.0) -> DataFrame:
     """Per cluster and feature: mean z, percent missing, mean and median, and the feature's rank by the spread of its
     z-means.  long: subject_id, cluster, feature, value."""
-    w = Window.partitionBy("feature")
     if least_observed > 0:
-        seen = Window.partitionBy("subject_id")
-        long = long.withColumn("_o", F.count("value").over(seen) / F.count(F.lit(1)).over(seen)).filter(F.col("_o") >= least_observed).drop("_o")
+        seen = long.groupBy("subject_id").agg((F.count("value") / F.count(F.lit(1))).alias("_o"))
+        long = long.join(seen.filter(F.col("_o") >= least_observed).select("subject_id"), "subject_id", "left_semi")
     v: Column = F.col("value")
-    z = (v - F.avg(v).over(w)) / F.nullif(F.stddev_pop(v).over(w), F.lit(0.0))
-    rows = long.withColumn("z", z).groupBy("cluster", "feature").agg(
+    rows = _scaled(long).groupBy("cluster", "feature").agg(
         F.avg("z").alias("z_mean"), (100.0 * F.count_if(v.isNull()) / F.count(F.lit(1))).alias("missing_pct"), F.avg(v).alias("mean"), F.percentile("value", F.lit(0.5)).alias("median")
     )
-    spread = F.max("z_mean").over(w) - F.min("z_mean").over(w)
-    rows = rows.withColumn("z_spread", spread)
+    w = Window.partitionBy("feature")  # as many rows as clusters
+    rows = rows.withColumn("z_spread", F.max("z_mean").over(w) - F.min("z_mean").over(w))
     return rows.withColumn("spread_rank", F.dense_rank().over(Window.orderBy(F.desc_nulls_last("z_spread"))).cast("long"))

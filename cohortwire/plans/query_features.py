@@ -448,3 +448,23 @@ def barometer_transitions(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("device_id").orderBy("timestamp", "_id"))
     we = e.withColumn("timestamp", n.cast("long") * 1000).withColumn("table_name", F.lit("barometer")).withColumn("window_rule", F.lit("all"))
     return G.transition_summary(G.barometer_signal(we))
+
+
+def _dense(spark, sf_dir):
+    """The suppliers' samples as 20 Hz signals: a device's samples in order, 50 ms apart."""
+    from pyspark.sql import Window
+
+    s = A.signal(spark, sf_dir)
+    n = F.row_number().over(Window.partitionBy("device_id").orderBy("timestamp", "_id")) - 1
+    s = s.withColumn("timestamp", n.cast("long") * 50)
+    return s.withColumn("magnitude", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))
+
+
+@query()
+def sliding_power_change(spark, sf_dir):
+    return G.sliding_day_change(G.sliding_day_stats(G.sliding_power(_dense(spark, sf_dir))))
+
+
+@query()
+def daily_band_power(spark, sf_dir):
+    return G.daily_band_power(_dense(spark, sf_dir), tz="UTC")

@@ -239,3 +239,56 @@ def hourly_density(spark, sf_dir):
     SELECT table_name, subject_id, score FROM (SELECT DISTINCT table_name, subject_id FROM lng WHERE value IS NOT NULL) JOIN s USING (subject_id) QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY score DESC, subject_id) = 1""")
 def first_valid_by_rank(spark, sf_dir):
     return W.first_valid_by_rank(A.features_long(spark, sf_dir), A.subjects(A.events(spark, sf_dir)))
+
+
+@query(f"""{A.ALL}, {_OF_SUBJECT}, f AS (SELECT subject_id, table_name, device_id, t1_ms, min(timestamp) AS start_ms FROM es GROUP BY ALL),
+    c AS (SELECT f.*, count(*) AS n_rows FROM f JOIN e USING (subject_id, table_name, device_id) WHERE timestamp >= f.start_ms AND timestamp < f.start_ms + {7 * DAY} GROUP BY ALL HAVING count(*) >= 5)
+    SELECT subject_id, table_name, device_id, 'first_available' AS window_rule, start_ms, start_ms + {7 * DAY} AS end_ms, n_rows, CAST(floor((start_ms - t1_ms) / {DAY}) AS BIGINT) AS days_after_t1
+    FROM c QUALIFY row_number() OVER (PARTITION BY subject_id, table_name ORDER BY start_ms, device_id) = 1""")
+def first_available_ever(spark, sf_dir):
+    e = A.events(spark, sf_dir)
+    return W.first_available_after(A.raw(e), A.subjects(e), A.devices(e), 7, 5, bounded=False)
+
+
+@query(f"{A.ALL} SELECT subject_id, 't1_plus_1d' AS window_rule, t1_ms AS start_ms, t1_ms + {DAY} AS end_ms FROM sub UNION ALL SELECT subject_id, 't2_minus_1d', t2_ms - {DAY}, t2_ms FROM sub")
+def day_boundary_windows(spark, sf_dir):
+    return W.day_boundary_windows(A.subjects(A.events(spark, sf_dir)))
+
+
+@query(f"{A.ALL}, q AS (SELECT subject_id, device_id, min(CASE WHEN table_name = 'signup' AND value > 60 THEN timestamp END) AS f FROM e GROUP BY ALL) SELECT subject_id, device_id, 'metadata_anchor' AS window_rule, f AS start_ms, f + {DAY} AS end_ms FROM q WHERE f IS NOT NULL")
+def metadata_anchor_windows(spark, sf_dir):
+    e = A.events(spark, sf_dir)
+    qc = e.groupBy("subject_id", "device_id").agg(F.min(F.when((F.col("table_name") == "signup") & (F.col("value") > 60), F.col("timestamp"))).alias("first_ms"))
+    return W.metadata_anchor_windows(qc)
+
+
+@query(f"{A.ALL}, {_ANCHORS} SELECT anc.subject_id, e.device_id, table_name, min(timestamp) AS start_ms, min(timestamp) + {DAY} AS end_ms FROM e JOIN anc ON e.device_id = anc.device_id AND timestamp BETWEEN t1_ms AND t1_ms + 120::BIGINT * {DAY} GROUP BY ALL")
+def first_row_windows(spark, sf_dir):
+    e = A.events(spark, sf_dir)
+    return W.first_row_windows(A.raw(e), A.subjects(e), A.devices(e))
+
+
+_PROBES = ["raw_window_found_from_sensor_anchor_probe", "missing_no_raw_rows_at_anchor", "raw_window_found_from_sensor_daily_jump_probe"]
+
+
+@query(f"""{A.ALL}, n AS (SELECT subject_id, CAST(substr(subject_id, 2) AS BIGINT) AS no FROM sub), p AS (SELECT subject_id, no, no % 3 <> 0 AS has_metadata, CASE WHEN no % 5 = 0 THEN list_extract({_PROBES}, CAST(no % 3 + 1 AS INTEGER)) END AS a,
+        CASE WHEN no % 4 = 1 THEN 'missing_no_raw_rows_in_bounded_daily_probes' WHEN no % 4 = 2 THEN 'raw_window_found_from_pending_metadata_probe' END AS p, CASE WHEN no % 8 = 1 THEN 'missing_no_raw_rows_in_weekly_t1_t2_probes' WHEN no % 8 = 3 THEN 'raw_window_found_from_weekly_t1_t2_probe' END AS b, no % 7 = 0 AS missed FROM n),
+    s AS (SELECT *, CASE WHEN coalesce(a LIKE 'raw_window%', false) OR coalesce(p LIKE 'raw_window%', false) OR coalesce(b LIKE 'raw_window%', false) THEN 'raw_24h_window_validated' WHEN missed THEN 'likely_no_usable_raw_accelerometer' WHEN p LIKE 'missing%' AND b LIKE 'missing%' THEN 'no_raw_rows_in_broad_weekly_t1_t2_probe' WHEN p LIKE 'missing%' THEN 'no_raw_rows_in_validated_metadata_window'
+        WHEN has_metadata THEN 'sensor_metadata_window_candidate_pending_raw_validation' ELSE 'no_sensor_accelerometer_metadata_after_T1' END AS data_window_status FROM p)
+    SELECT subject_id, CASE WHEN a IS NOT NULL THEN 'top10_pilot' WHEN b IS NOT NULL THEN 'broad_weekly_t1_t2_validation' WHEN p IS NOT NULL THEN 'pending_67_validation' ELSE '' END AS raw_validation_scope, coalesce(a, b, p, '') AS raw_validation_status, data_window_status,
+        CASE data_window_status WHEN 'raw_24h_window_validated' THEN 'ready_for_raw_24h_feature_extraction' WHEN 'sensor_metadata_window_candidate_pending_raw_validation' THEN 'run_raw_probe_validation_before_feature_extraction' WHEN 'no_sensor_accelerometer_metadata_after_T1' THEN 'not_ready_for_raw_accelerometer_phase' ELSE 'exclude_from_raw_accelerometer_phase_or_revisit_with_broader_manual_probe' END AS next_action FROM s""")
+def window_status(spark, sf_dir):
+    """Validation results made from the subjects' numbers."""
+    no = A.number("subject_id")
+    s = A.subjects(A.events(spark, sf_dir)).select("subject_id", no.alias("no"))
+    anchored = s.where("no % 5 = 0").select("subject_id", F.col("no").cast("double").alias("score"), F.element_at(F.array(*[F.lit(p) for p in _PROBES]), (F.col("no") % 3 + 1).cast("int")).alias("status"))
+    pending = s.select("subject_id", F.when(F.col("no") % 4 == 1, "missing_no_raw_rows_in_bounded_daily_probes").when(F.col("no") % 4 == 2, "raw_window_found_from_pending_metadata_probe").alias("status")).where("status is not null")
+    broad = s.select("subject_id", F.when(F.col("no") % 8 == 1, "missing_no_raw_rows_in_weekly_t1_t2_probes").when(F.col("no") % 8 == 3, "raw_window_found_from_weekly_t1_t2_probe").alias("status")).where("status is not null")
+    weekly = s.select("subject_id", (F.col("no") % 7 != 0).alias("hit"))
+    return W.window_status(s.withColumn("has_metadata", F.col("no") % 3 != 0), anchored, pending, broad, weekly)
+
+
+@query(f"WITH {A.COHORT} SELECT a.subject_id, y, mean_price FROM (SELECT subject_id, y FROM co) a LEFT JOIN (SELECT subject_id, mean_price FROM co WHERE n_orders > 5) b USING (subject_id)")
+def attach_features(spark, sf_dir):
+    co = A.cohort(spark, sf_dir)
+    return M.attach_features(co.select("subject_id", "y"), co.where("n_orders > 5").select("subject_id", "mean_price"))

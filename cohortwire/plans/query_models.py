@@ -93,7 +93,31 @@ def cluster_profile(spark, sf_dir):
 @query()
 def ridge_cv(spark, sf_dir):
     df = _folded(spark, sf_dir)
-    return M.ridge_cv(df, ["n_orders", "mean_price", "max_price"])[0].select("subject_id", "fold", "y", "alpha", "prediction")
+    return M.ridge_cv(df, ["n_orders", "mean_price", "max_price"], impute=True)[0].select("subject_id", "fold", "y", "alpha", "prediction")
+
+
+def _customers(spark, sf_dir):
+    """All customers with a score; folds by number, and every seventh customer's mean price as missing."""
+    co = A.cohort(spark, sf_dir).dropna(subset=["y"])
+    return co.withColumn("repeat", F.lit(0)).withColumn("fold", (A.number("subject_id") % 5).cast("int")).withColumn("mean_price", F.when(A.number("subject_id") % 7 != 0, F.col("mean_price") / 1000))
+
+
+@query(f"""WITH {A.COHORT}, al AS (SELECT subject_id, y, CASE WHEN CAST(substr(subject_id, 2) AS BIGINT) % 7 <> 0 THEN mean_price / 1000 END AS x, CAST(substr(subject_id, 2) AS BIGINT) % 5 AS fold FROM co WHERE y IS NOT NULL), h AS (SELECT unnest(range(0, 5)) AS held), m AS (SELECT held, quantile_cont(x, 0.5) AS med FROM al, h WHERE fold <> held GROUP BY 1),
+    r AS (SELECT al.*, held, coalesce(x, med) AS a, CAST(x IS NULL AS INTEGER)::DOUBLE AS b FROM al, h JOIN m USING (held)), t AS (SELECT held, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, count(*) AS n, covar_pop(a, b) AS cab, covar_pop(a, y) AS cay, covar_pop(b, y) AS cby FROM r WHERE fold <> held GROUP BY 1),
+    g AS (SELECT *, n + 10.0 AS d, n * cab / (sa * sb) AS o, n * cay / sa AS ra, n * cby / sb AS rb FROM t), w AS (SELECT *, (d * ra - o * rb) / (d * d - o * o) / sa AS wa, (d * rb - o * ra) / (d * d - o * o) / sb AS wb FROM g)
+    SELECT subject_id, CAST(fold AS INTEGER) AS fold, y, 10.0::DOUBLE AS alpha, round(my + wa * (a - ma) + wb * (b - mb), 4) AS prediction FROM r JOIN w USING (held) WHERE fold = held""")
+def ridge_imputed(spark, sf_dir):
+    """One feature, its NULLs as medians, its indicator, one alpha: the two-by-two system in closed form."""
+    out = M.ridge_cv(_customers(spark, sf_dir), ["mean_price"], alphas=(10.0,), impute=True)[0]
+    return rounded(out.select("subject_id", "fold", "y", "alpha", "prediction"), "prediction", digits=4)
+
+
+@query(f"""WITH {_FOLDED}, h AS (SELECT unnest(range(0, 5)) AS held), t AS (SELECT held, count(*) AS n, avg(n_orders) AS mx, avg(y) AS my, stddev_pop(n_orders) AS s, covar_pop(n_orders, y) AS c FROM fo, h WHERE fold <> held GROUP BY 1), w AS (SELECT *, n * c / s / (n + 10.0) / s AS b FROM t)
+    SELECT subject_id, CAST(fold AS INTEGER) AS fold, y, 10.0::DOUBLE AS alpha, round(my + CASE WHEN b > 0 THEN 0 ELSE b END * (n_orders - mx), 4) AS prediction FROM fo JOIN w ON fold = held""")
+def signed_ridge_one(spark, sf_dir):
+    """One feature that may only lower the score, one alpha."""
+    out = M.signed_ridge_cv(_folded(spark, sf_dir), ["n_orders"], {"n_orders": -1}, alphas=(10.0,))[0]
+    return rounded(out.select("subject_id", "fold", "y", "alpha", "prediction"), "prediction", digits=4)
 
 
 @query()
@@ -104,22 +128,36 @@ def signed_ridge_cv(spark, sf_dir):
 
 @query()
 def domain_model_metrics(spark, sf_dir):
-    return M.metrics(M.domain_models(_folded(spark, sf_dir), {"volume": ["n_orders"], "price": ["mean_price", "max_price"]}))
+    """Per domain, for all features and for the mean, in the cohorts of the first 300, 600 and of all customers by rank of
+    their number."""
+    df = _customers(spark, sf_dir).withColumn("coverage_rank", A.number("subject_id"))
+    pred = M.domain_models(df, {"volume": ["n_orders"], "price": ["mean_price", "max_price"]}, cohorts={"top_300": 300, "top_600": 600, "full": None})
+    return M.metrics(pred, by=["cohort", "model", "repeat"])
+
+
+@query(f"""WITH {A.COHORT}, al AS (SELECT subject_id, y, CAST(substr(subject_id, 2) AS BIGINT) AS no, CAST(substr(subject_id, 2) AS BIGINT) % 5 AS fold FROM co WHERE y IS NOT NULL), c AS (SELECT * FROM (VALUES ('top_300', 300), ('full', 1000000000000)) v(cohort, most)), p AS (SELECT cohort, al.* FROM al JOIN c ON no <= most),
+    s AS (SELECT cohort, fold, sum(y) AS s, count(y) AS n FROM p GROUP BY ALL), t AS (SELECT cohort, sum(s) AS s, sum(n) AS n FROM s GROUP BY 1), q AS (SELECT p.cohort, y, (t.s - s.s) / (t.n - s.n) AS q FROM p JOIN s USING (cohort, fold) JOIN t USING (cohort))
+    SELECT cohort, 'mean' AS model, count(*) AS n, round(sqrt(avg((y - q) * (y - q))), 4) AS rmse, round(avg(abs(y - q)), 4) AS mae FROM q GROUP BY 1""")
+def cohort_baseline(spark, sf_dir):
+    """The mean's part of the domain models, in two cohorts."""
+    df = _customers(spark, sf_dir).withColumn("coverage_rank", A.number("subject_id"))
+    pred = M.domain_models(df, {"volume": ["n_orders"]}, cohorts={"top_300": 300, "full": None}).filter("model = 'mean'")
+    out = M.metrics(pred, by=["cohort", "model"]).where("model is not null").select("cohort", "model", "n", "rmse", "mae")
+    return rounded(out, "rmse", "mae", digits=4)
 
 
 @query()
 def elastic_net_predictions(spark, sf_dir):
-    df = _folded(spark, sf_dir)
-    cols = ["n_orders", "mean_price", "max_price"]
-    model = M.elastic_net_cv(df, cols, ratios=(0.5,), alphas=(0.1, 1.0), k=3)
-    return model.transform(M._vectors(df, cols)).select("subject_id", "y", "prediction")
+    """The default grid over five folds; predictions of the rows that the chosen model was not fitted on."""
+    df, cols = _folded(spark, sf_dir), ["n_orders", "mean_price", "max_price"]
+    fitted = M.elastic_net_cv(df.filter("fold <> 0"), cols)
+    return fitted.transform(M._vectors(df.filter("fold = 0"), cols)).select("subject_id", "y", "prediction")
 
 
 @query()
 def permutation_importance(spark, sf_dir):
-    df = _folded(spark, sf_dir)
-    cols = ["n_orders", "mean_price", "max_price"]
-    return M.perm_importance(df, M.tree_models(df, cols)[1], cols, shuffles=2)
+    df, cols = _folded(spark, sf_dir), ["n_orders", "mean_price", "max_price"]
+    return M.perm_importance(df, M.tree_models(df, cols)[1], cols)
 
 
 def _embedded(spark, sf_dir):
@@ -131,12 +169,46 @@ def _embedded(spark, sf_dir):
 
 @query()
 def kmeans_stability(spark, sf_dir):
-    return M.kmeans_stability(_embedded(spark, sf_dir).persist(), "features", ks=(2, 3), seeds=2)
+    return M.kmeans_stability(_embedded(spark, sf_dir).select("subject_id", "features"), "features")
 
 
 @query()
 def pca_scores(spark, sf_dir):
+    """The first ten components of whole embeddings."""
     e = A.table(spark, sf_dir, "embeddings").where("embedding is not null")
-    cols = [f"e{i}" for i in range(16)]
+    n = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    cols = [f"e{i}" for i in range(n)]
     wide = e.select(F.col("vec_id").cast("string").alias("subject_id"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
-    return M.pca(wide, cols, 4)[0].select("subject_id", "pcs")
+    return M.pca(wide, cols)[0].select("subject_id", "pcs")
+
+
+@query(f"""WITH {A.COHORT}, al AS (SELECT subject_id, n_orders, CAST(substr(subject_id, 2) AS BIGINT) % 5 AS fold FROM (SELECT subject_id, y, CASE WHEN CAST(substr(subject_id, 2) AS BIGINT) % 7 <> 0 THEN mean_price / 1000 END AS n_orders FROM co) WHERE y IS NOT NULL), m AS (SELECT quantile_cont(n_orders, 0.5) AS med FROM al WHERE fold <> 0), i AS (SELECT al.*, coalesce(n_orders, med) AS v FROM al, m), s AS (SELECT avg(v) AS a, stddev_pop(v) AS d FROM i WHERE fold <> 0)
+    SELECT subject_id, CAST(n_orders IS NULL AS INTEGER) AS missing__mean_price, round((v - a) / d, 6) AS mean_price__z FROM i, s""")
+def fit_preprocess(spark, sf_dir):
+    out = M.fit_preprocess(_customers(spark, sf_dir), ["mean_price"], test_fold=0)
+    return rounded(out.select("subject_id", "missing__mean_price", "mean_price__z"), "mean_price__z")
+
+
+@query(f"""WITH {A.COHORT}, c AS (SELECT 'nation_' || (c_nationkey % 5) AS feature, y / 1000 AS coefficient FROM co WHERE y IS NOT NULL)
+    SELECT feature, round(avg(coefficient), 6) AS mean, round(stddev_samp(coefficient), 6) AS sd, round(quantile_cont(coefficient, 0.5), 6) AS median, round(avg(CAST(coefficient > 0 AS INTEGER)), 6) AS positive_fraction, count(*) AS n FROM c GROUP BY 1""")
+def coef_stability(spark, sf_dir):
+    """Scores by group of nations stand for coefficients over fits."""
+    co = A.cohort(spark, sf_dir).dropna(subset=["y"])
+    c = co.select(F.concat(F.lit("nation_"), (F.col("c_nationkey") % 5).cast("string")).alias("feature"), (F.col("y") / 1000).alias("coefficient"))
+    return rounded(M.coef_stability(c), "mean", "sd", "median", "positive_fraction")
+
+
+@query(f"""WITH {A.COHORT}, o AS (SELECT subject_id, y FROM co WHERE y IS NOT NULL), b AS (SELECT o.subject_id, o.y, mean_price / 1000 - n_orders AS p FROM o JOIN co USING (subject_id) WHERE n_orders IS NOT NULL)
+    SELECT subject_id, y, round(p, 8) AS prediction, 'independent' AS model FROM b UNION ALL SELECT subject_id, y, round((SELECT avg(y) FROM o), 8), 'mean_change' FROM o""")
+def change_estimates(spark, sf_dir):
+    co = A.cohort(spark, sf_dir)
+    there = co.where("n_orders is not null")
+    t1, t2 = there.select("subject_id", F.col("n_orders").alias("prediction")), there.select("subject_id", (F.col("mean_price") / 1000).alias("prediction"))
+    return rounded(M.change_estimates(t1, t2, co.dropna(subset=["y"]).select("subject_id", "y")), "prediction", digits=8)
+
+
+@query(f"""WITH {A.COHORT}, l AS (SELECT 'a' AS a, 'b' AS b, c_nationkey % 3 AS x, CAST(floor(c_nationkey / 3) AS BIGINT) % 2 AS y FROM co), n AS (SELECT x, y, count(*) AS n FROM l GROUP BY ALL), s AS (SELECT sum(n * (n - 1) / 2) AS o FROM n), r AS (SELECT sum(k * (k - 1) / 2) AS u FROM (SELECT sum(n) AS k FROM n GROUP BY x)), c AS (SELECT sum(k * (k - 1) / 2) AS v FROM (SELECT sum(n) AS k FROM n GROUP BY y)), t AS (SELECT sum(n) * (sum(n) - 1) / 2 AS w FROM n)
+    SELECT 'x' AS a, 'y' AS b, round((o - u * v / w) / ((u + v) / 2 - u * v / w), 9) AS rand FROM s, r, c, t""")
+def adjusted_rand(spark, sf_dir):
+    co = A.cohort(spark, sf_dir).select((F.col("c_nationkey") % 3).alias("x"), (F.floor(F.col("c_nationkey") / 3) % 2).alias("y"))
+    return rounded(M.pairwise_rand(co, ["x", "y"]), "rand", digits=9)

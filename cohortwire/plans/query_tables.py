@@ -512,3 +512,36 @@ def key_privacy_and_family(spark, sf_dir):
     key = F.element_at(F.array(*[F.lit(k) for k in _KEY_NAMES]), (F.col("_id") % 8 + 1).cast("int"))
     keys = A.events(spark, sf_dir).groupBy(_as_table(F.col("table_name")).alias("table_name"), key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
     return D.key_families(D.privacy_status(keys))
+
+
+@query(f"WITH {A.LONG}, {_WIDE} SELECT subject_id, CAST(click_mean IS NOT NULL AS INTEGER) AS click_mean, CAST(view_mean IS NOT NULL AS INTEGER) AS view_mean, CAST(click_max IS NOT NULL AS INTEGER) AS click_max, 0 AS nothing FROM wd")
+def presence_matrix(spark, sf_dir):
+    return C.presence_matrix(_wide(spark, sf_dir))
+
+
+@query(f"WITH {A.COHORT} SELECT subject_id, CASE WHEN n_orders > 5 THEN y / 2 END AS half, y AS whole FROM co WHERE y IS NOT NULL")
+def predictions_wide(spark, sf_dir):
+    co = A.cohort(spark, sf_dir).where("y is not null")
+    half = co.where("n_orders > 5").select("subject_id", F.lit("half").alias("model"), (F.col("y") / 2).alias("prediction"))
+    return P.predictions_wide(half.unionByName(co.select("subject_id", F.lit("whole").alias("model"), F.col("y").alias("prediction"))), ["half", "whole"])
+
+
+@query(f"WITH {A.COHORT} SELECT 'clean' AS part, subject_id, y FROM co WHERE y > 0 AND c_nationkey <> 3 UNION ALL SELECT 'unlabelled', NULL, y FROM co WHERE y > 0 AND c_nationkey = 3")
+def drop_artifacts(spark, sf_dir):
+    """A sheet with an empty column, rows without values and rows without an id."""
+    co = A.cohort(spark, sf_dir)
+    sheet = co.select(F.when(F.col("c_nationkey") != 3, F.col("subject_id")).alias("subject_id"), F.when(F.col("y") > 0, F.col("y")).alias("y"), F.lit(None).cast("string").alias("empty"))
+    clean, loose = Q.drop_artifacts(sheet)
+    return clean.select(F.lit("clean").alias("part"), "subject_id", "y").unionByName(loose.select(F.lit("unlabelled").alias("part"), "subject_id", "y"))
+
+
+@query(f"""{_COV}, x0 AS (SELECT subject_id, table_name, window_rule, CAST(sum(n_rows) AS BIGINT) AS s, CAST(max(n_days) AS BIGINT) AS d FROM cov GROUP BY ALL), x AS (SELECT *, s - CASE WHEN table_name = 'error' THEN 1 ELSE 0 END AS n_rows, d + CASE WHEN table_name = 'view' THEN 4 ELSE 0 END AS active_days, CASE WHEN s > 4 THEN 'ok_has_data' ELSE 'ok_no_data' END AS status FROM x0)
+    SELECT subject_id, table_name, window_rule, 'n_rows_negative' AS issue FROM x WHERE n_rows < 0 UNION ALL SELECT subject_id, table_name, window_rule, 'too_many_active_days' FROM x WHERE active_days > 7 UNION ALL SELECT subject_id, table_name, window_rule, 'status_mismatch' FROM x WHERE (status = 'ok_no_data' AND n_rows > 0) OR (status = 'ok_has_data' AND n_rows = 0)
+    UNION ALL SELECT subject_id, table_name, window_rule, 'delta_without_both_windows' FROM x WHERE table_name = 'click' UNION ALL SELECT subject_id, table_name, window_rule, 'infinite_percent' FROM x WHERE n_rows = 0""")
+def feature_issues(spark, sf_dir):
+    """Coverage rows with some faults put in."""
+    total = F.sum("n_rows")
+    x = _cov(spark, sf_dir).groupBy("subject_id", "table_name", "window_rule").agg((total - F.when(F.col("table_name") == "error", 1).otherwise(0)).alias("n_rows"), (F.max("n_days") + F.when(F.col("table_name") == "view", 4).otherwise(0)).alias("active_days"), F.when(total > 4, "ok_has_data").otherwise("ok_no_data").alias("status"))
+    none = F.lit(None).cast("double")
+    x = x.withColumn("delta_value", F.when(F.col("table_name") == "click", 1.0)).withColumn("early_value", none).withColumn("late_value", none).withColumn("pct_change", F.when(F.col("n_rows") == 0, F.lit(float("inf"))))
+    return Q.feature_issues(x, ["n_rows"])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import query_features, query_mapping, query_models, query_tables
+from . import query_features, query_mapping, query_models, query_streaming, query_tables
 
-_PARTS = (query_mapping, query_features, query_tables, query_models)
+_PARTS = (query_mapping, query_features, query_tables, query_models, query_streaming)
 
 
 def queries():

@@ -27,7 +27,10 @@ def number(padded_id: str):
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as sensor rows: a user is a device, the event type a table, three devices a subject."""
-    e = table(spark, sf_dir, "events")
+    return as_events(table(spark, sf_dir, "events"))
+
+
+def as_events(e: DataFrame) -> DataFrame:
     return e.select(
         F.col("event_id").alias("_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), padded(F.col("user_id"), "D").alias("device_id"),
         padded(F.floor(F.col("user_id") / 3), "S").alias("subject_id"), F.col("event_type").alias("table_name"), F.col("props").alias("data"), "value", "user_id",

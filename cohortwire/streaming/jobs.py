@@ -17,11 +17,33 @@ def with_event_time(sdf: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     return sdf.withColumn("ts", F.timestamp_millis("timestamp")).withWatermark("ts", watermark)
 
 
-def stream_chunk_stats(sdf: DataFrame, watermark: str = "10 minutes", chunk: str = "5 minutes") -> DataFrame:
-    """Count, mean and population SD of value in tumbling chunks by device; rows later than the watermark are dropped."""
-    w = with_event_time(sdf, watermark).groupBy("device_id", F.window("ts", chunk).alias("w"))
-    out = w.agg(F.count(F.lit(1)).alias("sample_count"), F.avg("value").alias("mean_value"), F.stddev_pop("value").alias("sd_value"), F.min("timestamp").alias("first_ms"), F.max("timestamp").alias("last_ms"))
-    return out.select("device_id", F.unix_millis("w.start").alias("chunk_start_ms"), "sample_count", "mean_value", "sd_value", "first_ms", "last_ms")
+def _middle(ordered):
+    """Median of an ascending array without nulls; NULL if it is empty."""
+    n = F.size(ordered)
+    return F.when(n > 0, (F.element_at(ordered, ((n + 1) / 2).cast("int")) + F.element_at(ordered, (n / 2).cast("int") + 1)) / 2.0)
+
+
+def stream_chunk_stats(sdf: DataFrame, watermark: str = "10 minutes", chunk: str = "5 minutes", anchor: str = "0 seconds", high_motion: float = 0.75) -> DataFrame:
+    """Statistics of value in tumbling chunks by device, as for whole windows: intervals, gaps of over a second, and the
+    deviation from the chunk's median.  Chunks start `anchor` after whole ones of the epoch; rows later than the
+    watermark are dropped.  The state holds a chunk's samples, whose number a sensor's rate bounds.
+    """
+    w = with_event_time(sdf, watermark).groupBy("device_id", F.window("ts", chunk, None, anchor).alias("w"))
+    out = w.agg(F.count(F.lit(1)).alias("sample_count"), F.avg("value").alias("mean_value"), F.stddev_pop("value").alias("sd_value"), F.array_sort(F.collect_list(F.struct("timestamp", "value"))).alias("s"))
+    ms, x = F.col("s.timestamp"), F.array_sort(F.filter("s.value", lambda v: v.isNotNull()))
+    steps = F.zip_with(F.slice(ms, 2, F.greatest(F.size(ms) - 1, F.lit(0))), F.slice(ms, 1, F.greatest(F.size(ms) - 1, F.lit(0))), lambda a, b: (a - b) / 1000.0)
+    out = out.withColumn("median_value", _middle(x)).withColumn("gaps", F.filter(steps, lambda g: g > 0))
+    dynamic = F.array_sort(F.transform(x, lambda v: F.abs(v - F.col("median_value"))))
+    out = out.withColumn("dynamic", dynamic)
+    total = lambda array: F.aggregate(array, F.lit(0.0), lambda a, g: a + g)
+    large = F.filter("gaps", lambda g: g > 1)
+    seconds = (F.unix_millis("w.end") - F.unix_millis("w.start")) / 1000.0
+    n = F.size("dynamic")
+    return out.select(
+        "device_id", F.unix_millis("w.start").alias("chunk_start_ms"), "sample_count", "mean_value", "sd_value", "median_value", F.element_at(ms, 1).alias("first_ms"), F.element_at(ms, -1).alias("last_ms"),
+        _middle(F.array_sort("gaps")).alias("median_interval_s"), F.array_max("gaps").alias("max_gap_s"), F.size(large).alias("gaps_over_1s"), (total(large) / seconds).alias("gap_burden"),
+        F.when(n > 0, total(F.col("dynamic")) / n).alias("dynamic_mean"), _middle(F.col("dynamic")).alias("dynamic_median"), F.when(n > 0, F.size(F.filter("dynamic", lambda d: d >= high_motion)) / n).alias("high_motion_fraction"),
+    )
 
 
 def stream_dedupe(sdf: DataFrame, watermark: str = "10 minutes", keys: list[str] = ("device_id", "timestamp", "data")) -> DataFrame:
@@ -63,7 +85,8 @@ def _unlock_sessions(key: tuple, frames: Iterator[pd.DataFrame], state: GroupSta
     else:
         state.update((unlocked,))
         state.setTimeoutTimestamp(max(unlocked + 24 * 3_600_000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(done, columns=["device_id", "start_ms", "end_ms", "seconds"])
+    if done:
+        yield pd.DataFrame(done, columns=["device_id", "start_ms", "end_ms", "seconds"])
 
 
 def stream_unlock_sessions(sdf: DataFrame, watermark: str = "10 minutes") -> DataFrame:
@@ -84,14 +107,14 @@ def stream_enrich(sdf: DataFrame, device_map: DataFrame, win: DataFrame | None =
     return out.join(w, inside).drop("w_subject_id")
 
 
-def stream_upsert(sdf: DataFrame, path: str, checkpoint: str, keys: list[str], trigger: dict | None = None):
+def stream_upsert(sdf: DataFrame, path: str, checkpoint: str, keys: list[str], trigger: dict | None = None, output: str = "append"):
     """Appends each micro-batch to `path` under its batch number, so a batch that is run again replaces itself; the
     files are read back, the last batch of each key winning, by read_upserted()."""
 
     def save(batch: DataFrame, number: int) -> None:
         batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
 
-    return sdf.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return sdf.writeStream.foreachBatch(save).outputMode(output).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_upserted(spark, path: str, keys: list[str]) -> DataFrame:

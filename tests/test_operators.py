@@ -143,9 +143,13 @@ def test_pressure_step_is_one_transition_down(spark):
 
 
 def test_sliding_windows_overlap(spark):
-    ev = chunk_rows(spark, 600, lambda t: np.sin(2 * np.pi * t), step=50)
-    got = G.sliding_power(ev).where("n = 100").orderBy("window_no").collect()
-    assert len(got) >= 10 and all(r.band_power > 0 for r in got)
+    ev = chunk_rows(spark, 600, lambda t: np.sin(2 * np.pi * 1.5 * t), step=50)
+    got = G.sliding_power(ev)
+    assert {r.band: r.n for r in got.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()} == dict.fromkeys(G.SLIDING_BANDS, 11)
+    days = {r.band: r for r in G.sliding_day_stats(got).collect()}
+    assert days["1-2Hz"]["median"] > 100 * days["3-5Hz"]["median"] and days["1-2Hz"].n_windows == 11
+    change = G.sliding_day_change(G.sliding_day_stats(got)).collect()
+    assert all(r.day2_median is None and r.delta_day2_minus_day1 is None for r in change)
 
 
 def test_delta_consistency_tolerance(spark):
