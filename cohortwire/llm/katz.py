@@ -21,13 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import BoundedCache, new_path, per_worker, shuffle_files_dropped, texts
 
-#: Stands for a null doc_id inside Python tasks.
-NULL_ID = -(2**63)
-
 #: Tokens of a chunk, at least, unless its task ends; a chunk is at most this and one document.
 CHUNK_TOKENS = 600_000
 #: Distinct n-grams summed in one group, about.
 BUCKET_KEYS = 2_000_000
+#: Bytes of text of a bucket of the corpus table, beyond the session's number of shuffle partitions, and most buckets.
+PARTITION_BYTES, MOST_PARTITIONS = 256 << 20, 50_000
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 
@@ -65,13 +64,15 @@ class Level:
 
 
 class Chunk:
-    """Documents of a chunk: ids, whether each trains, tokens (numbers into words), and their n-grams by level."""
+    """Documents of a chunk: ids (0 for null), what each is (flags), tokens (numbers into words), and their n-grams by
+    level.  The flags: 1 for one that trains, 2 for a null id."""
 
-    def __init__(self, ids: np.ndarray, trains: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, words: np.ndarray):
-        self.ids, self.trains, self.lengths, self.tokens, self.words = ids, trains, lengths, tokens, words
+    def __init__(self, ids: np.ndarray, flags: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, words: np.ndarray):
+        self.ids, self.flags, self.lengths, self.tokens, self.words = ids, flags, lengths, tokens, words
+        self.trains, self.no_id = (flags & 1) == 1, (flags & 2) == 2
 
     @classmethod
-    def of_texts(cls, rows: list[tuple[int, bool, np.ndarray]]) -> Chunk:
+    def of_texts(cls, rows: list[tuple[int | None, bool, np.ndarray]]) -> Chunk:
         """rows: doc id, whether it trains, its word keys without the end."""
         end = np.array([END], np.uint64)
         keys = np.concatenate([part for _, _, words in rows for part in (words, end)])
@@ -80,7 +81,8 @@ class Chunk:
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         lengths = np.array([len(words) + 1 for _, _, words in rows], np.int32)
-        return cls(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.uint8), lengths, place[tokens], words[order])
+        flags = np.array([bool(r[1]) | 2 * (r[0] is None) for r in rows], np.uint8)
+        return cls(np.array([r[0] or 0 for r in rows], np.int64), flags, lengths, place[tokens], words[order])
 
     def levels(self, order: int) -> dict[int, Level]:
         """Levels 1 to order.  Each document has order - 1 begin marks before its tokens."""
@@ -94,7 +96,7 @@ class Chunk:
         self.first_at = starts[:-1] + np.arange(len(self.lengths)) * pads
         offset = np.arange(len(stream)) - np.repeat(self.first_at, self.lengths + pads)
         counted = offset >= pads - 1 if pads else np.ones(len(stream), bool)
-        self.counted = counted & np.repeat(self.trains.astype(bool), self.lengths + pads)
+        self.counted = counted & np.repeat(self.trains, self.lengths + pads)
         out = {1: Level(np.append(self.words, np.uint64(BEGIN)) if pads else self.words, stream, None, None, None)}
         for level in range(2, order + 1):
             below = out[level - 1]
@@ -198,7 +200,9 @@ class KatzJob:
 
     def __init__(self, docs: DataFrame, trains: Column, order: int):
         self.spark, self.order = docs.sparkSession, order
-        self.partitions = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        least = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        self.partitions = max(least, min(MOST_PARTITIONS, -(-size // PARTITION_BYTES)))
         self.corpus_name = f"katz_corpus_{uuid.uuid4().hex}"
         self.tables = new_path(self.spark, "katz")
         self._encode(docs, trains)
@@ -216,7 +220,7 @@ class KatzJob:
             def chunk():
                 c = Chunk.of_texts(rows)
                 return _binary(
-                    chunk=[(part << 32) | number], n_tokens=[len(c.tokens)], ids=[c.ids.tobytes()], trains=[c.trains.tobytes()],
+                    chunk=[(part << 32) | number], n_tokens=[len(c.tokens)], ids=[c.ids.tobytes()], flags=[c.flags.tobytes()],
                     lengths=[c.lengths.tobytes()], tokens=[c.tokens.tobytes()], words=[c.words.tobytes()],
                 )
 
@@ -232,8 +236,8 @@ class KatzJob:
                 yield chunk()
 
         rows = texts(docs.withColumn("_trains", trains), "_trains")
-        rows = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text", F.col("_trains").alias("trains"))
-        schema = "chunk long, n_tokens long, ids binary, trains binary, lengths binary, tokens binary, words binary"
+        rows = rows.select("doc_id", "text", F.col("_trains").alias("trains"))
+        schema = "chunk long, n_tokens long, ids binary, flags binary, lengths binary, tokens binary, words binary"
         chunks = rows.mapInArrow(encode, schema)
         chunks.write.format("parquet").option("compression", "zstd").bucketBy(self.partitions, "chunk").saveAsTable(self.corpus_name)
 
@@ -301,7 +305,8 @@ class KatzJob:
             rows = rows.filter("chunk >= 0").withColumn("what", F.lit(what))
             stored = rows if stored is None else stored.unionByName(rows)
         sums = stored.groupBy("chunk").agg(F.collect_list(F.struct("what", "bucket", "values")).alias("sums"))
-        return self.corpus().join(sums.hint("shuffle_hash"), "chunk")
+        # Sorted and merged, so that a partition of any size can be spilled.
+        return self.corpus().join(sums.hint("merge"), "chunk")
 
     def _weigh(self, level: int, factors, unigrams) -> None:
         """Backoff weights of the histories of length level - 1."""
@@ -361,7 +366,7 @@ class KatzJob:
                 logs = np.log10(p[levels[order].at[c.token_at]])
                 add = lambda x: np.add.reduceat(x, starts)
                 yield _binary(
-                    doc_id=c.ids, held_out=c.trains == 0, n_tokens=c.lengths.astype(np.int64), n_known=add((seen > 0).astype(np.int64)),
+                    doc_id=pa.array(c.ids, mask=c.no_id), held_out=~c.trains, n_tokens=c.lengths.astype(np.int64), n_known=add((seen > 0).astype(np.int64)),
                     train_tokens=np.full(len(c.ids), tokens, np.int64), base_score=add(base), score=add(logs),
                 )
 
@@ -370,8 +375,7 @@ class KatzJob:
         path = new_path(self.spark, "katz-scores")
         self._with_sums(wanted).mapInArrow(score, schema).write.parquet(path)
         self._drop()
-        out = self.spark.read.schema(schema).parquet(path)
-        return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+        return self.spark.read.schema(schema).parquet(path)
 
     def _drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.corpus_name}")
@@ -384,7 +388,7 @@ def chunks_of(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             get = lambda name, kind: np.frombuffer(batch[name][i].as_py(), kind)  # noqa: B023, E731
-            c = Chunk(get("ids", np.int64), get("trains", np.uint8), get("lengths", np.int32), get("tokens", np.int32), get("words", np.uint64))
+            c = Chunk(get("ids", np.int64), get("flags", np.uint8), get("lengths", np.int32), get("tokens", np.int32), get("words", np.uint64))
             sums: dict[str, list[tuple[int, bytes]]] = defaultdict(list)
             if "sums" in batch.schema.names:
                 for row in batch["sums"][i].as_py():
@@ -409,7 +413,9 @@ def katz_scores(docs: DataFrame, trains: Column, order: int = 2) -> DataFrame:
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, a row per row of docs.  A text's
     tokens are its words, A-Z lower-cased, and one end; null is the empty text, which is the end alone.  base_score
     is the additive unigram score, score the model's log10 probability.  All words that the training rows lack are
-    one unknown type.  With no training row every token has probability 1 for the model (there is one type).
+    one unknown type.  Words and n-grams stand as 64-bit hashes: two that collide, of which one in a corpus of 2**32
+    different n-grams is to be expected, count as one.  A document is scored in one piece, so memory of a task follows
+    its longest document (about 200 bytes a token).  With no training row every token has probability 1 for the model (there is one type).
     Repeated rows each count; an empty table gives no rows; null doc_ids stay null; other columns are ignored.
     """
     if docs.isEmpty():

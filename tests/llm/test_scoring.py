@@ -99,6 +99,8 @@ def test_katz_odd_rows(spark, odd, empty):
     none = katz.katz_scores(odd, F.lit(False)).collect()
     assert {(r.train_tokens, r.score) for r in none} == {(0, 0.0)}
     assert katz.katz_scores(empty, F.lit(True)).count() == 0
+    least = odd.limit(1).withColumn("doc_id", F.lit(-(2**63)).cast("long"))
+    assert {r.doc_id for r in katz.katz_scores(odd.unionByName(least), F.lit(True)).collect()} == {None, 1, 2, 3, 4, 5, -(2**63)}
 
 
 def test_discounts_fall_back():
