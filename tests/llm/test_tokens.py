@@ -127,16 +127,25 @@ def test_packing_odd_rows(spark, odd, empty):
     assert packing.pack(empty, VOCABULARY).count() == 0
 
 
-@pytest.mark.parametrize("many", [1, 50])
-def test_most_pieces_follow_the_program(many):
+@pytest.mark.parametrize("many", [1, 50, 5_000, 1_000_000])
+def test_most_tokens_follow_the_program(many):
     rng = np.random.default_rng(3)
     counts = defaultdict(int)
-    for length in np.minimum(rng.lognormal(5.5, 1.0, 6000).astype(int) + 1, 4095).tolist():
+    for length in np.minimum(rng.lognormal(5.5, 1.0, 6000).astype(int) + 1, 4096).tolist():
         counts[length] += many
     plan = packing.plan_packing(dict(counts), 4096)
-    assert plan.by_program > 0.9 * sum(counts.values())
+    assert plan.tokens_by_program > 0.9 and plan.by_program > 0.9 * sum(counts.values())
     assert plan.taken == counts
-    assert plan.sequences <= packing.least_sequences(counts, 4096) * 1.005 + 1
+    assert packing.least_sequences(counts, 4096) <= plan.bound <= plan.sequences and plan.gap < 0.01
+
+
+def test_the_dual_bounds_lengths_that_fill_no_sequence():
+    counts = {40: 1000, 70: 10}  # two of 40 and nothing beside them, one of 70 alone
+    demand = np.zeros(101)
+    demand[[40, 70]] = 1000, 10
+    assert packing.dual_bound(demand, np.arange(101) / 100.0, 100) == pytest.approx((400 + 7) / 0.8)
+    plan = packing.plan_packing(counts, 100)
+    assert plan.sequences == 510 and plan.bound >= 508
 
 
 def test_shared_doc_ids_are_dealt_over_parts_in_order(spark, monkeypatch):
