@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Runs of `seed` tokens are hashed by a Karp-Rabin rolling hash.  Documents are matched with the benchmark, taken in
+Runs of `seed` tokens are hashed by a Karp-Rabin rolling hash.  Documents are matched with the benchmark, read in
 blocks of bounded size, by shared seeds; for a pair that shares one, the longest match of unmarked tokens is marked
 again and again until none of `seed` tokens is left.  A document is contaminated if the marked tiles cover enough
 of an item, in whatever order the passages stand.
@@ -10,16 +10,17 @@ from __future__ import annotations
 
 import heapq
 import re
-import uuid
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, bounded_batches, per_worker
+from .common import BoundedCache, bounded_batches, open_stream, per_worker, written
 
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -184,63 +185,59 @@ def coverage_of(document: np.ndarray, item: np.ndarray, seed: int) -> float:
     return sum(c for _, c in known.coverage_by_tokens(document))
 
 
-def benchmark_blocks(benchmark: DataFrame, block_chars: int):
-    """The benchmark in blocks of about block_chars characters: lists of (item_id, text), one at a time."""
+def benchmark_blocks(benchmark: DataFrame, block_chars: int) -> tuple[str, int]:
+    """(folder, n): the benchmark in the shared folder, dealt by hash over n blocks of about block_chars characters."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    block, size = [], 0
-    for row in rows.toLocalIterator():
-        block.append((row["item_id"], row["text"]))
-        size += len(row["text"])
-        if size >= block_chars:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+    size = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    n = max(1, -(-size // block_chars))
+    block = F.pmod(F.xxhash64("item_id", "text", F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    return written(rows.withColumn("block", block), "benchmark", ["block"])._written_path, n
 
 
-_FOUND = "coverage double, item_ids array<long>"
-
-
-def _matcher(shared, seed: int, threshold: float):
-    """A column function: text -> coverage of the most covered item of the block, and the items over the threshold."""
-    tag = uuid.uuid4().hex
+def load_block(folder: str, number: int, seed: int) -> Benchmark:
+    """One block of the benchmark, read by a task."""
+    system, path = open_stream(f"{folder}/block={number}")
+    items = []
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        for file in system.get_file_info(fs.FileSelector(path)):
+            if file.path.endswith(".parquet"):
+                table = pq.read_table(file.path, filesystem=system, columns=["item_id", "text"], partitioning=None)
+                items += zip(table["item_id"].to_pylist(), table["text"].to_pylist(), strict=True)
+    return Benchmark(items, seed)
 
-    @F.pandas_udf(_FOUND)
-    def matches(text: pd.Series) -> pd.DataFrame:
-        known = per_worker(("benchmark", tag), lambda: Benchmark(shared.value, seed))
-        most, ids = [], []
-        for t in text:
-            found = known.coverage(t) if t else []
-            most.append(max((c for _, c in found), default=0.0))
-            ids.append(sorted({i for i, c in found if c >= threshold and i is not None}))
-        return pd.DataFrame({"coverage": most, "item_ids": ids})
 
-    return matches
+_FOUND = "coverage double, item_ids array<long>"
+#: Blocks that a worker keeps.
+KEPT_BLOCKS = 2
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshold: float = 0.5, block_chars: int = 8_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshold: float = 0.5, block_chars: int = 4_000_000) -> DataFrame:
     """docs with the struct column `leak`: coverage (of the most covered item, 0 if none), item_ids (array of the
     items covered by `threshold` or more), contaminated.
 
-    The benchmark is a query set taken against all documents in blocks: each block, of block_chars characters plus
-    one item at most, is broadcast, and the documents are scanned once per block.  Null or empty texts, and items
-    without a token, match nothing; an item shorter than
-    `seed` tokens is matched by a document of just its tokens; repeated items each count;
-    an item without id takes part in coverage and is left out of item_ids; all columns of docs are kept.
+    The benchmark is a query set taken against all documents in blocks: a task reads a block of about block_chars
+    characters at a time and matches a batch of documents with it, so neither the driver nor a broadcast holds the
+    benchmark.  Null or empty texts, and items without a token, match nothing; an item shorter than `seed` tokens is
+    matched by a document of just its tokens; repeated items each count; an item without id takes part in coverage
+    and is left out of item_ids; all columns of docs are kept, but one named leak, which is replaced.
     """
-    spark = docs.sparkSession
     bounded_batches(docs)
-    out, names = docs, []
-    for number, block in enumerate(benchmark_blocks(benchmark, block_chars)):
-        matches = _matcher(spark.sparkContext.broadcast(block), seed, threshold)
-        names.append(f"_leak_{number}_of_block")
-        out = out.withColumn(names[-1], matches("text"))
-    none = F.from_json(F.lit('{"coverage":0,"item_ids":[]}'), _FOUND)
-    found = F.array(none, *[F.col(n) for n in names])
-    most = F.array_max(F.transform(found, lambda x: x["coverage"]))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda x: x["item_ids"]))))
-    leak = F.struct(most.alias("coverage"), ids.alias("item_ids"), (most >= threshold).alias("contaminated"))
-    return out.withColumn("leak", leak).drop(*names)
+    folder, n = benchmark_blocks(benchmark, block_chars)
+
+    @F.pandas_udf(_FOUND)
+    def matches(text: pd.Series) -> pd.DataFrame:
+        most, ids = np.zeros(len(text)), [set() for _ in range(len(text))]
+        for number in range(n):
+            known = per_worker((folder, number), lambda: load_block(folder, number, seed), KEPT_BLOCKS)  # noqa: B023
+            for i, t in enumerate(text):
+                for item_id, covered in known.coverage(t) if t else ():
+                    most[i] = max(most[i], covered)
+                    if covered >= threshold and item_id is not None:
+                        ids[i].add(item_id)
+        return pd.DataFrame({"coverage": most, "item_ids": [sorted(x) for x in ids]})
+
+    found = docs.withColumn("leak", matches("text"))
+    return found.withColumn("leak", F.struct("leak.coverage", "leak.item_ids", (F.col("leak.coverage") >= threshold).alias("contaminated")))
 
 
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import forget, new_path, shuffle_files_dropped, texts, written
+from .common import forget, new_path, open_stream, shuffle_files_dropped, texts, written
 from .tokens import chunk_ids, vocabulary_size
 
 MAGIC = b"BITIDS02"
@@ -125,13 +125,6 @@ class Shard:
         return self.slice(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-def open_stream(path: str):
-    """A file system and the path in it, for any address that pyarrow knows."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 #: Bytes of text of a task that writes shards, and the most tasks there are: beyond these, tasks write more shards.
 PART_BYTES, MOST_PARTS = 16 << 20, 20_000
 
