@@ -200,3 +200,42 @@ def test_repeated_passages_do_not_hide_near_copies(spark):
     assert all(_jaccard(rows[2 * n][1], rows[2 * n + 1][1]) >= 0.8 for n in range(12))
     got = {r.doc_id: r.keep_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: d - d % 2 for d, _ in rows}
+
+
+def test_near_groups_are_those_of_all_pairs(spark):
+    """Recall and precision against every pair of texts that share a shingle: both are 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    rng = random.Random(8)
+    for n, (_, text) in enumerate([r for r in rows if 60 < len(r[1].split()) < 400][:60]):  # copies with more and more edits
+        words = text.split()
+        for _ in range(n // 4):
+            words[rng.randrange(len(words))] = f"edit{n}"
+        rows.append((50_000 + n, " ".join(words)))
+    sets, where = {}, defaultdict(list)
+    for d, t in rows:
+        words = t.lower().split()
+        sets[d] = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        for shingle in sets[d]:
+            where[shingle].append(d)
+    name = {d: d for d in sets}
+
+    def root(d):
+        while name[d] != d:
+            d = name[d]
+        return d
+
+    common = defaultdict(int)
+    for members in where.values():
+        for i, a in enumerate(members):
+            for b in members[:i]:
+                common[a, b] += 1
+    links = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9]
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        name[y] = x
+    empty = [d for d in sets if not sets[d]]
+    for d in empty:
+        name[d] = min(empty)
+    got = {r.doc_id: r.keep_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(links) > 40 and got == {d: root(d) for d in sets}
