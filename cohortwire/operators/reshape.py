@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .coverage import best_devices
+from .rangejoin import small
 
 
 def to_long(features: DataFrame, selected: DataFrame, status: DataFrame, names: list[str]) -> DataFrame:
@@ -16,7 +17,7 @@ def to_long(features: DataFrame, selected: DataFrame, status: DataFrame, names:
     """
     pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])
     values = features.select("subject_id", "table_name", F.explode(pairs).alias("p")).select("subject_id", "table_name", "p.*")
-    grid = status.join(F.broadcast(selected.select("table_name", "feature")), "table_name")
+    grid = status.join(small(selected.select("table_name", "feature")), "table_name")
     out = grid.join(values, ["subject_id", "table_name", "feature"], "left")
     state = F.when(F.col("value").isNotNull(), "computed").when(F.col("table_status") != "ok", F.col("table_status")).otherwise("feature_missing")
     return out.select("subject_id", "table_name", "feature", "value", state.alias("feature_status"))
