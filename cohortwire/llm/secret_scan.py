@@ -160,7 +160,7 @@ def planted_findings(docs: DataFrame, words: DataFrame, kinds: dict | None = Non
     planted = written(planted, "planted")
     found = candidates(planted.withColumnRenamed("h", "doc_id")).withColumnRenamed("doc_id", "h").join(planted.drop("text"), "h")
     found = found.filter((F.col("start") == F.col("at")) & (F.col("candidate") == F.col("planted")))
-    return with_features(found.drop("planted", "at"), words)
+    return with_features(written(found.drop("planted", "at"), "planted-candidates"), words)
 
 
 def train(labelled: DataFrame, rows: int = TRAINING_ROWS, trees: int = 40, depth: int = 8):
@@ -198,13 +198,14 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     themselves aren't returned.
     """
     words = written(dictionary(docs), "secret-words")
-    found = written(with_features(candidates(docs), words), "secret-candidates")
+    raw = written(candidates(docs), "raw-candidates")  # features read the candidates twice, the texts once
+    found = written(with_features(raw, words), "secret-candidates")
     known = written(planted_findings(docs, words) if labelled is None else with_features(labelled, words), "labelled-findings")
     out = scored(found, train(known), threshold).select(
         "doc_id", "start", F.length("candidate").cast("long").alias("n_chars"),
         F.sha2(F.col("candidate").cast("binary"), 256).alias("secret_sha256"), "score", "is_secret",
     )
     out = written(out, "secrets")
-    for x in (words, found, known):
+    for x in (words, raw, found, known):
         dropped(x)
     return out
