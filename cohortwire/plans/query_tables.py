@@ -545,3 +545,45 @@ def feature_issues(spark, sf_dir):
     none = F.lit(None).cast("double")
     x = x.withColumn("delta_value", F.when(F.col("table_name") == "click", 1.0)).withColumn("early_value", none).withColumn("late_value", none).withColumn("pct_change", F.when(F.col("n_rows") == 0, F.lit(float("inf"))))
     return Q.feature_issues(x, ["n_rows"])
+
+
+@query(f"WITH {A.COHORT}, {_CO_LONG}, {_AXIS} SELECT subject_id, axis, round(score, 6) AS score, round(percentile, 6) AS percentile, level FROM al")
+def axis_scores(spark, sf_dir):
+    return rounded(P.axis_scores(A.cohort(spark, sf_dir), {"trade": ["n_orders", "mean_price"]}), "score", "percentile")
+
+
+_EXTRACTED = f"""{A.ALL}, ew AS (SELECT * FROM win WHERE window_rule = 'early' AND table_name IN ('view', 'click') AND NOT (table_name = 'click' AND CAST(substr(subject_id, 2) AS BIGINT) % 6 = 0)), x AS (SELECT ew.subject_id, ew.table_name, e.value, e._id FROM e JOIN ew ON e.device_id = ew.device_id AND e.table_name = ew.table_name AND timestamp >= start_ms AND timestamp < end_ms),
+    lf AS (SELECT subject_id, quantile_cont(value, 0.5) AS m, count(*) AS n FROM x WHERE table_name = 'view' AND subject_id NOT LIKE '%3' GROUP BY 1), sf AS (SELECT subject_id, count(*) AS n FROM x WHERE table_name = 'click' GROUP BY 1), g AS (SELECT s.subject_id, t.table_name, t.feature FROM sub s, (VALUES ('view', 'light_median_lux'), ('view', 'light_samples'), ('view', 'light_night_mean_lux'), ('click', 'event_count')) t(table_name, feature)),
+    st AS (SELECT DISTINCT g.subject_id, g.table_name, CASE WHEN g.table_name = 'view' AND lf.n IS NOT NULL OR g.table_name = 'click' AND sf.n IS NOT NULL THEN 'calculated' WHEN ew.subject_id IS NULL THEN 'no_window' WHEN xx.subject_id IS NOT NULL THEN 'no_valid_rows' ELSE 'no_rows_in_window' END AS table_status
+        FROM g LEFT JOIN lf USING (subject_id) LEFT JOIN sf USING (subject_id) LEFT JOIN (SELECT DISTINCT subject_id, table_name FROM ew) ew ON ew.subject_id = g.subject_id AND ew.table_name = g.table_name LEFT JOIN (SELECT DISTINCT subject_id, table_name FROM x) xx ON xx.subject_id = g.subject_id AND xx.table_name = g.table_name),
+    lg AS (SELECT g.*, table_status, CASE g.feature WHEN 'light_median_lux' THEN lf.m WHEN 'light_samples' THEN lf.n WHEN 'event_count' THEN sf.n END AS value FROM g JOIN st USING (subject_id, table_name) LEFT JOIN lf ON lf.subject_id = g.subject_id LEFT JOIN sf ON sf.subject_id = g.subject_id)"""
+
+
+def _extracted(spark, sf_dir):
+    """Light and event counts of the early window; some subjects have no window for clicks, some no readable light, and the
+    light of nights is left out."""
+    from ..operators import extract as E
+    from ..operators import features as X
+
+    e = A.events(spark, sf_dir)
+    win = A.windows(e).filter((F.col("window_rule") == "early") & ~((F.col("table_name") == "click") & (A.number("subject_id") % 6 == 0)))
+    bad = F.col("subject_id").endswith("3")
+    ev = A.raw(e.withColumn("data", F.when(~bad, A.payload(double_light_lux=F.col("value"))).otherwise("{bad")))
+    day = lambda we: X.features_light(we, tz=A.TZ).withColumn("light_night_mean_lux", F.lit(None).cast("double"))
+    jobs = {"view": E.Job(day, ["light_median_lux", "light_samples", "light_night_mean_lux"]), "click": E.Job(lambda we: X.features_window_counts(we, A.TZ), ["event_count"])}
+    return E.extract(ev, win, A.subjects(e), jobs)
+
+
+@query(f"{_EXTRACTED} SELECT subject_id, table_name, feature, round(value, 6) AS value, table_status, CASE WHEN value IS NOT NULL THEN 'calculated' WHEN table_status = 'calculated' THEN 'feature_missing' ELSE table_status END AS feature_status FROM lg")
+def extract_long(spark, sf_dir):
+    return rounded(_extracted(spark, sf_dir).long, "value")
+
+
+@query(f"""{_EXTRACTED} SELECT subject_id, round(max(CASE WHEN feature = 'light_median_lux' THEN value END), 6) AS view__light_median_lux, max(CASE WHEN feature = 'light_samples' THEN value END) AS view__light_samples, max(CASE WHEN feature = 'light_night_mean_lux' THEN value END) AS view__light_night_mean_lux, max(CASE WHEN feature = 'event_count' THEN value END) AS click__event_count FROM lg GROUP BY 1""")
+def extract_wide(spark, sf_dir):
+    return rounded(_extracted(spark, sf_dir).wide, "view__light_median_lux")
+
+
+@query(f"""{_EXTRACTED} SELECT table_name, count_if(table_status = 'calculated') AS calculated, count_if(table_status = 'no_valid_rows') AS no_valid_rows, count_if(table_status = 'no_rows_in_window') AS no_rows_in_window, count_if(table_status = 'no_window') AS no_window, count(*) AS attempts, round(100.0 * count_if(table_status = 'calculated') / count(*), 6) AS first_status_pct FROM st GROUP BY 1""")
+def extract_coverage(spark, sf_dir):
+    return rounded(_extracted(spark, sf_dir).coverage, "first_status_pct")
