@@ -207,8 +207,9 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
     return found[order], (len(found) - np.arange(len(found)))[order]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least_similarity: float) -> DataFrame:
-    """Those of the different pairs (a, b) whose full sets of hashes have the similarity."""
+def _verified(pairs: DataFrame, sets_of, least_similarity: float) -> DataFrame:
+    """Those of the different pairs (a, b) whose full sets of hashes have the similarity.  sets_of(nodes) gives (node,
+    hashes) of the nodes that are in a pair; sets are made for these alone."""
 
     def run(batches):
         for batch in batches:
@@ -220,8 +221,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least_similarity: float) -> Dat
 
     pairs = written(pairs, "candidate-pairs")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidate-nodes")
-    of_node = sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
-    of_node = written(of_node, "candidate-sets")
+    of_node = written(sets_of(wanted), "candidate-sets")
     both = pairs.join(of_node.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = both.join(of_node.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     found = written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar-pairs")
@@ -230,8 +230,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, least_similarity: float) -> Dat
     return found
 
 
-def similar_links(nodes: DataFrame, sets: DataFrame, least_similarity: float) -> DataFrame:
-    """Links (a, b) that connect all nodes of the similarity.  nodes: node, n, keys; sets: node, hashes.
+def similar_links(nodes: DataFrame, sets_of, least_similarity: float) -> DataFrame:
+    """Links (a, b) that connect all nodes of the similarity.  nodes: node, n, keys; sets_of as in _verified().
 
     All members of a key are compared with its smallest and largest node first; after that only those that aren't
     yet connected, so a group of copies costs in proportion to its size.
@@ -239,8 +239,11 @@ def similar_links(nodes: DataFrame, sets: DataFrame, least_similarity: float) ->
     members = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "n")
     several = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key"), "key-sizes")
     kept = written(members.join(several, "key", "left_semi").select("key", F.struct("id", "n").alias("m")), "key-members")
+    dropped(several)
     hubs = written(kept.groupBy("key").agg(F.min("m").alias("low"), F.max("m").alias("high")), "key-hubs")
     shared = written(kept.join(hubs, "key"), "shared-keys")
+    dropped(kept)
+    dropped(hubs)
     alike = lambda x, y: F.least(x, y) >= F.lit(least_similarity) * F.greatest(x, y) - F.lit(TINY)
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     with_hub = shared.select("m", F.explode(F.array("low", "high")).alias("hub")).filter("m.id <> hub.id").filter(alike(F.col("m.n"), F.col("hub.n")))
@@ -248,20 +251,21 @@ def similar_links(nodes: DataFrame, sets: DataFrame, least_similarity: float) ->
     enough = F.least(F.lit(SHARED_KEYS), F.ceil(F.lit(least_similarity) * F.col("larger") - F.lit(TINY)))
     with_hub = with_hub.select(*pair(F.col("m.id"), F.col("hub.id")), F.greatest("m.n", "hub.n").alias("larger"))
     met = with_hub.groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"), F.first("larger").alias("larger"))
-    first = _verified(met.filter(F.col("keys") >= enough).select("a", "b"), sets, least_similarity)
+    first = _verified(met.filter(F.col("keys") >= enough).select("a", "b"), sets_of, least_similarity)
     named = components(first, None)
     member = shared.select("key", F.col("m.id").alias("id"), F.col("m.n").alias("n"))
     member = member.join(named, member["id"] == named["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("name"))
-    member = written(member, "named-members")
+    of_names = member = written(member, "named-members")
+    dropped(shared)
     split = member.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most")).filter("least < most")
     member = written(member.join(split.select("key"), "key", "left_semi"), "members-left")
+    dropped(of_names)
     other = member.select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("name").alias("other_name"))
     rest = member.join(other, "key").filter("name < other_name").filter(alike(F.col("n"), F.col("other_n")))
     rest = rest.select(*pair(F.col("id"), F.col("other")), F.greatest("n", "other_n").alias("larger"))
     rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"), F.first("larger").alias("larger"))
-    rest = _verified(rest.filter(F.col("keys") >= enough).select("a", "b"), sets, least_similarity)
-    for x in (several, kept, hubs, shared, member):
-        dropped(x)
+    rest = _verified(rest.filter(F.col("keys") >= enough).select("a", "b"), sets_of, least_similarity)
+    dropped(member)
     return first.unionByName(rest)
 
 
@@ -281,25 +285,43 @@ def _similar_groups(docs: DataFrame, shingle: int, least_similarity: float) -> D
     common, rank = common_shingles(docs, shingle)
     shared = docs.sparkSession.sparkContext.broadcast((common, rank))
 
-    @F.pandas_udf("node long, n long, keys array<long>, hashes binary")
+    @F.pandas_udf("node long, n long, keys array<long>")
     def features(text: pd.Series) -> pd.DataFrame:
-        nodes, counts, keys, sets = [], [], [], []
+        nodes, counts, keys = [], [], []
         for t in text:
             h = np.unique(shingle_hashes(t, shingle))
             nodes.append(xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split()), 5))
             counts.append(len(h))
             keys.append(prefix_keys(h, *shared.value, least_similarity).view(np.int64))
-            sets.append(h.tobytes())
-        return pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "n": np.array(counts, np.int64), "keys": keys, "hashes": sets})
+        return pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "n": np.array(counts, np.int64), "keys": keys})
 
-    rows = written(texts(docs).select("doc_id", features("text").alias("f")).select("doc_id", "f.*"), "shingle-sets")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    @F.pandas_udf("binary")
+    def hashes(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: np.unique(shingle_hashes(t, shingle)).tobytes())
+
+    text_hash = F.xxhash64("text").alias("text_hash")
+    found = texts(docs).select("doc_id", text_hash, features("text").alias("f")).select("doc_id", "text_hash", "f.*")
+    found = written(found, "shingle-keys")
+    rows = written(found.select("doc_id", "node"), "shingle-rows")
+    nodes = found.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("text_hash").alias("text_hash"), F.first("keys").alias("keys"))
     nodes = written(nodes, "shingle-nodes")
-    named = components(similar_links(nodes, rows.select("node", "hashes"), least_similarity), None)
+    dropped(found)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Sets are made again from the texts of these nodes, so that those of all texts are never stored."""
+        of_text = nodes.join(wanted, "node", "left_semi").select("node", "text_hash")
+        one = texts(docs).select(text_hash, "text").join(of_text, "text_hash").groupBy("node").agg(F.first("text").alias("text"))
+        return one.select("node", hashes("text").alias("hashes"))
+
+    named = components(similar_links(nodes, sets_of, least_similarity), None)
     by_node = nodes.select("node", "least").withColumnRenamed("node", "id")
     of_node = _named_by_least(by_node, named, "id").withColumnRenamed("id", "node")
-    out = rows.select("doc_id", "node").join(of_node.hint("merge"), "node")
-    return out.select("doc_id", F.col("component_id").alias("keep_id"))
+    dropped(nodes)
+    out = rows.join(of_node.hint("merge"), "node").select("doc_id", F.col("component_id").alias("keep_id"))
+    out = written(out, "similar-groups")
+    for x in (rows, of_node):
+        dropped(x)
+    return out
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
