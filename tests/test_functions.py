@@ -126,3 +126,13 @@ def test_elevation_anchor_moves_and_rests():
     assert [i for i, _ in N.elevation_hits(s, e)] == [20, 60]
     quick = np.where(s < 20, 0.0, np.where(s < 35, 4.0, 8.0))
     assert [i for i, _ in N.elevation_hits(s, quick)] == [20, 50]
+
+
+def test_no_personal_key_gets_through(spark):
+    keys = ["email", "phone", "message", "body", "subscriber_id", "sim_serial", "bssid", "name", "device_name", "name_first", "Line_Number"]
+    data = json.dumps({**{k: "private" for k in keys}, "application_name": "app", "is_system_app": "1", "inner": {"email": "private", "list": [{"imei": "private"}], "text_in": json.dumps({"address": "private"})}})
+    df = spark.createDataFrame([(data,)], "data string")
+    deep = redact_json(df).first().data
+    assert "private" not in deep and json.loads(deep)["application_name"] == "app" and json.loads(deep)["is_system_app"] == "1"
+    flat = json.loads(df.select(S.redact_flat("data").alias("d")).first().d)
+    assert all(flat[k] == S.REDACTED for k in keys) and flat["application_name"] == "app"

@@ -185,3 +185,65 @@ def test_folds_are_the_same_every_time(spark):
     df = spark.createDataFrame([(f"s{i}",) for i in range(50)], "subject_id string")
     a, b = (sorted(map(tuple, T.assign_folds(df.repartition(n), 5, 2).collect())) for n in (1, 3))
     assert a == b
+
+
+def test_states_follow_the_spectrum_and_the_median(spark):
+    names = "sample_count long, gap_burden double, dynamic_median double, dominant_hz double, ratio_walking_like_1_3hz double, ratio_shaking_like_3_8hz double"
+    rows = [(99, 0.0, 1.0, 2.0, 1.0, 0.0), (100, 0.51, 1.0, 2.0, 1.0, 0.0), (100, 0.5, 0.1, 2.0, 1.0, 0.0), (100, 0.0, 0.11, 1.0, 0.35, 0.0), (100, 0.0, 0.5, 3.0, 0.9, 0.34), (100, 0.0, 0.5, 3.0, 0.9, 0.35), (100, None, 0.19, None, None, None), (100, 0.0, 0.2, None, None, None)]
+    got = [r.state for r in G.chunk_state(spark.createDataFrame(rows, names).coalesce(1)).collect()]
+    want = ["insufficient", "fragmented", "still", "walking", "handling", "shaking", "low_motion", "handling"]
+    assert got == [G.STATES[w] for w in want]
+
+
+def test_bands_stop_at_half_the_resampling_rate():
+    ms = np.arange(0, 120_000, 100)
+    found = G.spectrum_of(ms, 1 + np.sin(2 * np.pi * 0.8 * ms / 1000))
+    assert found["power_high_freq_8_12hz"] is None and found["ratio_high_freq_8_12hz"] is None
+    assert found["dominant_hz"] == pytest.approx(1.6, abs=0.05) and found["ratio_walking_like_1_3hz"] > 0.35
+    assert G.spectrum_of(ms[:250], np.ones(250)) is None and G.spectrum_of(np.arange(0, 400_000, 2_000), np.ones(200)) is None
+
+
+def test_early_and_late_windows_that_touch_overlap(spark):
+    base = {"T1_start_ms": 0, "T1_end_ms": 1, "T2_start_ms": 5, "T2_end_ms": 6, "early_window_start_ms": 0, "early_window_end_ms": 3, "late_window_start_ms": 3, "late_window_end_ms": 5}
+    base = {k: 1_710_000_000_000 + v for k, v in base.items()}
+    rows = [("touch", *base.values()), ("apart", *(base | {"late_window_start_ms": base["late_window_start_ms"] + 1}).values()), ("before", *(base | {"late_window_start_ms": base["early_window_start_ms"] - 9, "late_window_end_ms": base["early_window_start_ms"] - 1}).values())]
+    df = spark.createDataFrame(rows, "subject_id string, " + ", ".join(f"{k} long" for k in base))
+    assert {(r.subject_id, r.issue) for r in Q.window_issues(df).collect()} == {("touch", "early_late_window_overlap")}
+
+
+def test_types_of_keys_come_from_their_own_values(spark):
+    from cohortwire.operators import discovery as D
+
+    payloads = ['{"a": 5, "b": {"a": "x"}}', '{"a": 5.5, "b": [1], "c": null}', '{"a": "7", "c": true}', "[1]", "{bad", None]
+    ev = spark.createDataFrame([(i, i, "t", p) for i, p in enumerate(payloads)], "_id long, timestamp long, table_name string, data string")
+    got = {(r["_id"], r.key): (r.type, r.value) for r in D.exploded_keys(ev).collect()}
+    assert got == {(0, "a"): ("integer", "5"), (0, "b"): ("object", '{"a":"x"}'), (1, "a"): ("number", "5.5"), (1, "b"): ("array", "[1]"), (1, "c"): ("null", None), (2, "a"): ("string", "7"), (2, "c"): ("boolean", "true")}
+    kinds = {r.key: r.key_type for r in D.key_examples(ev).collect()}
+    assert kinds == {"a": "mixed", "b": "mixed", "c": "boolean"}
+
+
+def test_positions_of_tied_values(spark):
+    from cohortwire.operators import profiles as P
+
+    rng = np.random.default_rng(2)
+    values = [float(v) for v in [*rng.integers(0, 9, 300), *rng.normal(size=400)]]
+    df = spark.createDataFrame([("f", f"s{i}", v) for i, v in enumerate(values)], "feature string, subject_id string, value double")
+    got = {r.value: (r.ties, r.below) for r in P.value_positions(df, "value", ["feature"]).collect()}
+    assert got == {v: (values.count(v), sum(x < v for x in values)) for v in set(values)}
+
+
+def test_pairwise_rand_is_the_single_one(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([tuple(map(int, r)) for r in rng.integers(0, 3, (200, 3))], "x int, y int, z int")
+    for r in T.pairwise_rand(df, ["x", "y", "z"]).collect():
+        assert r.rand == pytest.approx(T.adjusted_rand(df, r.a, r.b))
+
+
+def test_imputed_ridge_uses_the_other_folds_medians(spark):
+    rows = [(f"s{i}", 0, i % 4, float(i) if i % 5 else None, 2.0 * i) for i in range(60)]
+    df = spark.createDataFrame(rows, "subject_id string, repeat int, fold int, a double, y double")
+    pred, coefs = T.ridge_cv(df, ["a"], alphas=(0.001,), impute=True)
+    assert pred.count() == 60 and pred.where("prediction is null").count() == 0 and len(coefs) == 4
+    med = {f: float(np.median([r[3] for r in rows if r[2] != f and r[3] is not None])) for f in range(4)}
+    got = {(r.subject_id): r.a for r in pred.collect()}
+    assert all(got[r[0]] == med[r[2]] for r in rows if r[3] is None)
