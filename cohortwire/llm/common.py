@@ -46,9 +46,13 @@ def dropped(df: DataFrame) -> None:
     """Removes what written() stored for df, once no later plan reads it."""
     path = getattr(df, "_written_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        drop_path(df.sparkSession, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder of ours and all that is in it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def open_stream(path: str):
@@ -77,6 +81,19 @@ def id_remainder(n: int, doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Within it, the session has these settings; then it has its own again."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 @contextlib.contextmanager
 def shuffle_files_dropped(spark: SparkSession):
     """Within it, a query's shuffle files go when the query ends, not when the driver happens to collect garbage.

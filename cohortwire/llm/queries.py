@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_count, decontaminate, exact_dedup, katz, language_id, packing, pii, secret_scan, simhash, token_files
+from . import bpe_count, decontaminate, exact_dedup, filter_audit, katz, language_id, packing, pii, secret_scan, simhash, token_files
 from .common import id_remainder
 from .tokens import default_vocabulary
 
@@ -54,13 +54,49 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.contaminated_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit_filters(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels"))
+
+
 def queries():
-    ops = (op1_secret_scan, op2_language_id, op3_lm_scoring, op4_pii, op5_exact_dedup, op6_simhash, op7_token_counts, op8_packing, op9_token_files, op10_decontamination)
+    ops = (op1_secret_scan, op2_language_id, op3_lm_scoring, op4_pii, op5_exact_dedup, op6_simhash, op7_token_counts, op8_packing, op9_token_files, op10_decontamination, op11_filter_audit)
     return {f.__name__: f for f in ops}
 
 
+#: Filters by letter: a text's failures as bits, A first, then every order of the five letters step by step.
+FILTER_AUDIT = r"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+         w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+         l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+         m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                      CASE WHEN len(words) < 100 THEN 'A' ELSE '' END
+                      || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+                      || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+                      || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                      || CASE WHEN min(w.doc_id) OVER (PARTITION BY t) < w.doc_id THEN 'E' ELSE '' END AS failed
+               FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+         c AS (SELECT part, failed, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM m GROUP BY ALL),
+         f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+         o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+               WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+         s AS (SELECT filter_order, step, filter_order[step] AS letter, filter_order[:step - 1] AS earlier FROM o, range(1, 6) r(step)),
+         e AS (SELECT c.*, s.*, contains(failed, letter) AS fails,
+                      earlier <> '' AND regexp_matches(failed, '[' || CASE WHEN earlier = '' THEN '-' ELSE earlier END || ']') AS gone
+               FROM c, s),
+         r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, letter,
+                      CAST(sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS kept,
+                      CAST(sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+                      CAST(sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+                      CAST(sum(CASE WHEN failed = letter THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+                      CAST(sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+                      CAST(sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+               FROM e GROUP BY ALL)
+    SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r"""
+
+
 def oracle_sql():
     return {
+        "op11_filter_audit": FILTER_AUDIT,
         "op5_exact_dedup": """
             WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents),
                  g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
