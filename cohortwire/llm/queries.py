@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_count, decontaminate, exact_dedup, filter_audit, katz, language_id, packing, pii, secret_scan, simhash, token_files
+from . import bpe_count, decontaminate, exact_dedup, filter_audit, katz, language_id, packing, pii, secret_scan, simhash, token_files, vector_codes, warc
 from .common import id_remainder
 from .tokens import default_vocabulary
 
@@ -58,8 +58,16 @@ def op11_filter_audit(spark, sf_dir):
     return filter_audit.audit_filters(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels"))
 
 
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_warc(spark, sf_dir):
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def queries():
-    ops = (op1_secret_scan, op2_language_id, op3_lm_scoring, op4_pii, op5_exact_dedup, op6_simhash, op7_token_counts, op8_packing, op9_token_files, op10_decontamination, op11_filter_audit)
+    ops = (op1_secret_scan, op2_language_id, op3_lm_scoring, op4_pii, op5_exact_dedup, op6_simhash, op7_token_counts, op8_packing, op9_token_files, op10_decontamination, op11_filter_audit, op12_vector_codes, op13_warc)
     return {f.__name__: f for f in ops}
 
 
@@ -94,9 +102,37 @@ FILTER_AUDIT = r"""
     SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r"""
 
 
+def _vector_codes_sql() -> str:
+    """Four rounds of assignment and means, then a last assignment; d * 256 + entry orders by distance, then by entry."""
+    steps = ["""k AS MATERIALIZED (SELECT vec_id, label, [CAST(floor(x::DOUBLE * 1024) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+        WHERE len(embedding) > 0 AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+        "v AS MATERIALIZED (SELECT vec_id, p, q[len(q) // 4 * p + 1 : len(q) // 4 * (p + 1)]::DOUBLE[] AS x FROM k, range(4) t(p))",
+        "b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM v QUALIFY e < 256)"]
+    for i in range(5):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x, CAST(min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)) * 256 + e) AS BIGINT) AS m
+            FROM v JOIN b{i} USING (p) GROUP BY vec_id, p)""")
+        if i < 4:
+            steps.append(f"s{i} AS (SELECT p, m % 256 AS e, unnest(x) AS y, generate_subscripts(x, 1) AS j FROM a{i})")
+            steps.append(f"f{i} AS (SELECT p, e, j, floor(sum(y) / count(*)) AS y FROM s{i} GROUP BY ALL)")
+            steps.append(f"u{i} AS (SELECT p, e, list(y ORDER BY j) AS c FROM f{i} GROUP BY ALL)")
+            steps.append(f"b{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(u.c, b.c) AS c FROM b{i} b LEFT JOIN u{i} u USING (p, e))")
+    steps.append("h AS (SELECT sha256(string_agg(array_to_string(c::BIGINT[], ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b4)")
+    steps.append("r AS (SELECT vec_id, string_agg(printf('%02x', m % 256), '' ORDER BY p) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a4 GROUP BY vec_id)")
+    return "WITH " + ", ".join(steps) + """
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN k USING (vec_id), h"""
+
+
 def oracle_sql():
     return {
         "op11_filter_audit": FILTER_AUDIT,
+        "op12_vector_codes": _vector_codes_sql(),
+        "op13_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+                 g AS (SELECT h, max(page_id) AS response FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+            SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+                   CASE WHEN response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN response <> page_id THEN response END AS refers_to
+            FROM p LEFT JOIN g USING (h)""",
         "op5_exact_dedup": """
             WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents),
                  g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
