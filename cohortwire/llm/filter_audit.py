@@ -3,7 +3,8 @@
 The files are read as micro-batches until none is left.  State keyed by text holds the smallest id seen and whose it
 is; a smaller id that arrives later takes its place, and what was counted for the earlier one is retracted: one less
 under its old mask of failed filters, one more under the mask of a copy.  Each micro-batch adds its changes to the
-counters by part and mask, which say all that any order of the filters does.
+counters by part and mask, which say all that any order of the filters does.  The state is a table to which each
+micro-batch adds the texts that it changes, as Python's state functions take milliseconds for each text.
 """
 
 from __future__ import annotations
@@ -12,24 +13,20 @@ import itertools
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_path, new_path, settings, written
+from .common import drop_path, dropped, new_path, written
 
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
-#: Bytes of files in a micro-batch, for each core of the session.
-BATCH_BYTES = 16 << 20
-#: Groups of rows that a task holds back to add later rows to.
-HELD = 100_000
+#: Bytes of files in a micro-batch for each core of the session, or more where there would be more micro-batches than
+#: this: each reads the state that there is.
+BATCH_BYTES, MOST_BATCHES = 16 << 20, 16
 
-CHANGES = "part string, mask int, good boolean, toxic boolean, change long"
-STATE = "least long, parts array<string>, good array<boolean>, toxic array<boolean>, n array<long>"
-ROWS = "digest binary, part string, mask int, good boolean, toxic boolean, known boolean, least long, n_least long, n long"
-NAMES = ["digest", "part", "mask", "good", "toxic", "known", "least", "n_least", "n"]
-TYPES = [pa.binary(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+COUNTS = "part string, mask int, good boolean, toxic boolean, change long"
+HOLDER = "part: string, good: boolean, toxic: boolean, n: long"
+STATE = f"digest binary, least long, holders array<struct<{HOLDER}>>"
 
 
 def failed_by_text(text: Column) -> Column:
@@ -44,132 +41,91 @@ def failed_by_text(text: Column) -> Column:
     return bits
 
 
-def _combined(batches):
-    """A task's rows of one text, part and labels made one: the smallest id, how many rows have it, how many there are.
+def _marks(labels: DataFrame) -> DataFrame:
+    """A row per labelled id: whether one of its labels says good, or toxic."""
+    said = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False)))
+    return labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("label_id")).agg(said("quality").alias("good"), said("toxic").alias("toxic"))
 
-    Groups of several rows are held back to take in later ones, so that a text of very many copies leaves a task as few
-    rows; when too many are held they are let go, and the state adds up the rest.
+
+def _by_text(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """digest, mask, groups: what a micro-batch holds of each text, by part and labels.
+
+    A group has its smallest id (least), the rows of that id (n_least), all rows (n) and those without an id (n_null).
+    Rows are counted before each shuffle, so a text of very many copies is a few rows by the time it meets.
     """
-    keys = NAMES[:6]
-    held: dict[tuple, list[int]] = {}
-
-    def let_go():
-        columns = zip(*[(*key, *value) for key, value in held.items()], strict=True)
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], NAMES)
-        held.clear()
-        return out
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = batch["doc_id"].fill_null(0).to_numpy()
-        rows = pd.DataFrame({c: batch[c].to_pylist() for c in keys[:5]})
-        rows["known"] = batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)
-        group = rows.groupby(keys, sort=False).ngroup().to_numpy()
-        n = np.bincount(group)
-        least = np.full(len(n), np.iinfo(np.int64).max)
-        np.minimum.at(least, group, ids)
-        n_least = np.bincount(group, weights=ids == least[group], minlength=len(n)).astype(np.int64)
-        _, first = np.unique(group, return_index=True)
-        alone = []
-        for key, *new in zip(rows.iloc[first].itertuples(index=False, name=None), least.tolist(), n_least.tolist(), n.tolist(), strict=True):
-            old = held.get(key)
-            if old is not None:
-                both = min(old[0], new[0])
-                held[key] = [both, old[1] * (old[0] == both) + new[1] * (new[0] == both), old[2] + new[2]]
-            elif new[2] > 1:
-                held[key] = new
-            else:
-                alone.append((*key, *new))
-        if alone:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*alone, strict=True), TYPES, strict=True)], NAMES)
-        if len(held) > HELD:
-            yield let_go()
-    if held:
-        yield let_go()
-
-
-def _update(key, frames, state):
-    """Changes of the counters that the new rows of one text make, and the text's new state."""
-    before, holders = None, {}
-    if state.exists:
-        before, *whose, n = state.get
-        holders = dict(zip(zip(*whose, strict=True), n, strict=True))
-    rows = [row for frame in frames for row in zip(*[frame[c].tolist() for c in NAMES[1:]], strict=True)]
-    ids = [least for *_, known, least, _, _ in rows if known]
-    after = min(ids + ([] if before is None else [before]), default=None)
-    mask = rows[0][1]  # of the text, so the same for all
-    changes: dict[tuple, int] = {}
-
-    def change(whose, failed, n):
-        changes[(*whose, failed)] = changes.get((*whose, failed), 0) + n
-
-    if before is not None and after < before:
-        for whose, n in holders.items():
-            change(whose, mask, -n)
-            change(whose, mask | COPY, n)
-        holders = {}
-    for part, _, good, toxic, known, least, n_least, n in rows:
-        whose = (part, good, toxic)
-        if not known:
-            change(whose, mask, n)
-            continue
-        first = n_least if least == after else 0
-        if first:
-            change(whose, mask, first)
-            holders[whose] = holders.get(whose, 0) + first
-        if n > first:
-            change(whose, mask | COPY, n - first)
-    if ids:
-        parts, good, toxic = (list(x) for x in zip(*holders, strict=True))
-        state.update((after, parts, good, toxic, list(holders.values())))
-    yield pd.DataFrame([(p, m, g, t, n) for (p, g, t, m), n in changes.items()], columns=["part", "mask", "good", "toxic", "change"])
-
-
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with good and toxic: whether a row of labels for the id says so; null ids have no label."""
-    marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("label_id"))
-    marks = marks.agg(*[F.max(F.coalesce(F.col(c) == 1, F.lit(False))).alias(a) for c, a in (("quality", "good"), ("toxic", "toxic"))])
-    # Null ids match nothing; dealt by their texts, they don't meet in one task.
-    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("digest")).otherwise(F.lit(0).cast("long"))
-    marks = marks.withColumn("label_spread", F.lit(0).cast("long"))
-    out = docs.join(marks, (F.col("doc_id") == F.col("label_id")) & (spread == F.col("label_spread")), "left")
-    return out.select(*docs.columns, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")])
+    ids = rows.groupBy("digest", "mask", "part", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    known = ids.filter("doc_id is not null").join(marks, F.col("doc_id") == F.col("label_id"), "left")
+    known = known.select(*ids.columns, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")])
+    unknown = ids.filter("doc_id is null").select("*", F.lit(False).alias("good"), F.lit(False).alias("toxic"))
+    groups = known.unionByName(unknown).groupBy("digest", "mask", "part", "good", "toxic").agg(
+        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n"))).alias("first"), F.sum("n").alias("n"),
+        F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(0)).alias("n_null"),
+    )
+    group = F.struct("part", "good", "toxic", F.col("first.doc_id").alias("least"), F.col("first.n").alias("n_least"), "n", "n_null")
+    return groups.groupBy("digest", "mask").agg(F.collect_list(group).alias("groups"))
+
+
+def _merged(texts: DataFrame, state: DataFrame) -> DataFrame:
+    """texts with their new state (least, holders) and the changes of the counters that it makes."""
+    latest = state.groupBy("digest").agg(F.max_by(F.struct("least", "holders"), "batch").alias("old"))
+    both = texts.join(latest, "digest", "left")
+    none = F.array().cast(f"array<struct<{HOLDER}>>")
+    both = both.withColumn("least", F.least(F.array_min(F.col("groups.least")), F.col("old.least")))
+    held = F.coalesce(F.col("old.holders"), none)
+    beaten = F.when(F.col("old.least") > F.col("least"), held).otherwise(none)
+    at_least = lambda g: F.when(g["least"] == F.col("least"), g["n_least"]).otherwise(F.lit(0))
+
+    def change(x: Column, mask: Column, n: Column) -> Column:
+        return F.struct(x["part"].alias("part"), mask.alias("mask"), x["good"].alias("good"), x["toxic"].alias("toxic"), n.cast("long").alias("change"))
+
+    mask, copy = F.col("mask"), F.col("mask").bitwiseOR(F.lit(COPY))
+    changes = F.flatten(F.array(
+        F.transform(beaten, lambda h: change(h, mask, -h["n"])), F.transform(beaten, lambda h: change(h, copy, h["n"])),
+        F.transform("groups", lambda g: change(g, mask, at_least(g) + g["n_null"])), F.transform("groups", lambda g: change(g, copy, g["n"] - g["n_null"] - at_least(g))),
+    ))
+    new = F.transform(F.filter("groups", lambda g: g["least"] == F.col("least")), lambda g: F.struct(g["part"].alias("part"), g["good"].alias("good"), g["toxic"].alias("toxic"), g["n_least"].alias("n")))
+    holders = F.concat(F.when(F.col("old.least") == F.col("least"), held).otherwise(none), new)
+    return both.select("digest", "least", holders.alias("holders"), F.filter(changes, lambda c: c["change"] != 0).alias("changes"))
 
 
 def mask_counts(spark: SparkSession, path: str, labels: DataFrame, folder: str, bytes_per_batch: int | None = None) -> DataFrame:
     """part, mask, good, toxic, n: rows of documents by their failed filters (bits, A first) and labels.
 
-    Streams the parquet files under `path`, of documents (doc_id, text, lang, ...), with its checkpoint and counters
-    under `folder`.  Called again with the same folder, it goes on where a broken run ended, or takes in files that are
-    new: a micro-batch's counters replace those of its first try.
+    Streams the parquet files under `path`, of documents (doc_id, text, lang, ...), with its checkpoint, state and
+    counters under `folder`.  Called again with the same folder, it goes on where a broken run ended, or takes in files
+    that are new: what a micro-batch writes replaces that of its first try.  State is a table by text, to which each
+    micro-batch adds the texts that it has changed.
     """
-    schema = spark.read.parquet(path).schema
-    bytes_per_batch = bytes_per_batch or BATCH_BYTES * spark.sparkContext.defaultParallelism
-    source = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).option("maxFileAge", "36500d")
+    given = spark.read.parquet(path)
+    if bytes_per_batch is None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+        bytes_per_batch = max(BATCH_BYTES * spark.sparkContext.defaultParallelism, -(-size // MOST_BATCHES))
+    source = spark.readStream.schema(given.schema).option("maxBytesPerTrigger", bytes_per_batch).option("maxFileAge", "36500d")
     files = source.parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern, which may name a file as well as a folder
-    bounded_batches(files)
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = files.select(
-        F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.coalesce(F.col("lang"), F.lit("")).alias("part"),
-        failed_by_text(text).alias("mask"), "doc_id",
+        F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), failed_by_text(text).alias("mask"),
+        F.coalesce(F.col("lang"), F.lit("")).alias("part"), "doc_id",
     )
-    rows = _labelled(docs, labels).select("digest", "part", "mask", "good", "toxic", "doc_id").mapInArrow(_combined, ROWS)
-    changes = rows.groupBy("digest").applyInPandasWithState(_update, CHANGES, STATE, "update", "NoTimeout")
-    counters = f"{folder}/counters"
-    spark.createDataFrame([], CHANGES).write.mode("overwrite").parquet(f"{counters}/batch=-1")
-
-    def add_up(batch: DataFrame, number: int) -> None:
-        sums = batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("change").alias("change"))
+    marks = written(_marks(labels), "audit-marks")
+    state, counters = f"{folder}/state", f"{folder}/counters"
+    spark.createDataFrame([], STATE).write.mode("overwrite").parquet(f"{state}/batch=-1")
+    spark.createDataFrame([], COUNTS).write.mode("overwrite").parquet(f"{counters}/batch=-1")
+
+    def add(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        before = own.read.schema(f"{STATE}, batch int").parquet(state).filter(F.col("batch") < number)
+        merged = _merged(_by_text(batch, marks), before)
+        merged.write.mode("overwrite").parquet(f"{state}/batch={number}")
+        changes = own.read.schema(merged.schema).parquet(f"{state}/batch={number}").select(F.explode("changes").alias("c")).select("c.*")
+        sums = changes.groupBy("part", "mask", "good", "toxic").agg(F.sum("change").alias("change"))
         sums.write.mode("overwrite").parquet(f"{counters}/batch={number}")
 
-    store = "spark.sql.streaming.stateStore"
-    rocks = {f"{store}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-    rocks |= {f"{store}.rocksdb.{k}": "true" for k in ("changelogCheckpointing.enabled", "boundedMemoryUsage")}
-    with settings(spark, rocks):
-        writer = changes.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint")
-        writer.foreachBatch(add_up).trigger(availableNow=True).start().awaitTermination()
-    sums = spark.read.schema(CHANGES).parquet(counters).groupBy("part", "mask", "good", "toxic")
+    writer = docs.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(add)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    dropped(marks)
+    sums = spark.read.schema(COUNTS).parquet(counters).groupBy("part", "mask", "good", "toxic")
     return sums.agg(F.sum("change").alias("n"))
 
 

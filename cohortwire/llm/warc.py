@@ -37,7 +37,9 @@ INDEX = "file string, offset long, length long, url string, digest string, recor
 
 def record_id(page_id: int | None, digest: bytes) -> str:
     """The same for the same page and content, so that a revisit can name a record that another task writes."""
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{page_id}'.encode() + b' ' + digest).digest()[:16], version=8)}>"
+    bits = int.from_bytes(hashlib.sha256(f"{page_id} ".encode() + digest).digest()[:16])
+    bits = bits & ~(0xF << 76 | 0x3 << 62) | 0x8 << 76 | 0x2 << 62  # version 8, of one's own making
+    return f"<urn:uuid:{uuid.UUID(int=bits)}>"
 
 
 def _new_id() -> str:
