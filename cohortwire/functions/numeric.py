@@ -57,46 +57,77 @@ def butterworth(order: int, edges: tuple[float, ...], fs: float) -> list[tuple[n
     return sections
 
 
-def _run(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """One section from the steady state of the first value."""
+#: Samples of a block, within which a section is one matrix product.
+BLOCK = 64
+
+
+def _states(step: np.ndarray, first: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """s[0] = first, s[k + 1] = step s[k] + given[k], for all k at once: sums over stretches that double in length."""
+    s = np.concatenate([first[None, :], given[:-1]])
+    reach, power = 1, step
+    while reach < len(s):
+        s[reach:] = s[reach:] + s[:-reach] @ power.T
+        power, reach = power @ power, 2 * reach
+    return s
+
+
+def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """One section from the steady state of the first value.
+
+    Blocks of samples are filtered by the matrix of the impulse response; what a block inherits is its state, and the
+    states of all blocks follow from each other by a linear recursion, so no step goes sample by sample.
+    """
     n = max(len(a), len(b))
     b, a = np.pad(b, (0, n - len(b))), np.pad(a, (0, n - len(a)))
-    steady = x[0] * b.sum() / a.sum()
-    state = np.zeros(n - 1)
-    for k in range(n - 2, -1, -1):
-        state[k] = b[k + 1] * x[0] - a[k + 1] * steady + (state[k + 1] if k + 1 < n - 1 else 0)
-    out = np.empty_like(x)
-    for i, v in enumerate(x):
-        y = b[0] * v + state[0]
-        for k in range(n - 2):
-            state[k] = b[k + 1] * v - a[k + 1] * y + state[k + 1]
-        state[n - 2] = b[n - 1] * v - a[n - 1] * y
-        out[i] = y
-    return out
-
-
-def zero_phase(sections, x: np.ndarray) -> np.ndarray:
-    """Forward and backward filtering, with odd extension at both ends."""
+    step = np.eye(n - 1, k=1) - np.outer(a[1:], np.eye(1, n - 1))  # of the state, without input
+    enter = b[1:] - a[1:] * b[0]  # what a sample adds to it
+    gain = b.sum() / a.sum()
+    first = np.array([(b[k + 1 :].sum() - a[k + 1 :].sum() * gain) * x[0] for k in range(n - 1)])
+    powers = [np.eye(n - 1)]
+    for _ in range(BLOCK):
+        powers.append(step @ powers[-1])
+    seen = np.stack([p[0] for p in powers[:BLOCK]])  # what the state at a block's start adds to each of its samples
+    response = np.concatenate([[b[0]], seen[: BLOCK - 1] @ enter])
+    inside = np.array([[response[i - j] if i >= j else 0.0 for j in range(BLOCK)] for i in range(BLOCK)])
+    leave = np.stack([powers[BLOCK - 1 - j] @ enter for j in range(BLOCK)])
+    blocks = np.zeros((-(-len(x) // BLOCK), BLOCK))
+    blocks.reshape(-1)[: len(x)] = x
+    states = _states(powers[BLOCK], first, blocks @ leave)
+    return (blocks @ inside.T + states @ seen.T).reshape(-1)[: len(x)]
+
+
+def zero_phase(sections, x: np.ndarray, starts: bool = True, ends: bool = True) -> np.ndarray:
+    """Forward and backward filtering, with odd extension at both ends; at neither where x is a piece of a longer series
+    that goes on there: the result then holds beyond memory_of() samples from that end."""
     pad = min(3 * (2 * len(sections) + 1), len(x) - 1)
-    left, right = 2 * x[0] - x[pad:0:-1], 2 * x[-1] - x[-2 : -pad - 2 : -1]
-    y = np.concatenate([left, x, right])
+    left, right = pad if starts else 0, pad if ends else 0
+    y = np.concatenate([2 * x[0] - x[left:0:-1], x, 2 * x[-1] - x[-2 : -right - 2 : -1]])
     for _ in range(2):
         for b, a in sections:
-            y = _run(b, a, y)
+            y = filtered(b, a, y)
         y = y[::-1]
-    return y[pad : len(y) - pad]
+    return y[left : len(y) - right]
+
+
+def memory_of(sections, left: float = 1e-15) -> int:
+    """Samples after which the filter has forgotten all but the share `left` of what came before."""
+    slowest = max(max(abs(np.roots(a))) for _, a in sections)
+    return int(np.ceil(np.log(left) / np.log(slowest)))
 
 
 def elevation_hits(seconds: np.ndarray, elevation: np.ndarray, metres: float = 3.0, least_s: float = 10.0, rest_s: float = 30.0):
     """(index, change) whenever the elevation is `metres` from the anchor for at least least_s since it was set and
     rest_s since the last hit; the anchor moves to each hit."""
-    hits = []
-    if not len(seconds):
-        return hits
-    anchor, last = 0, None
-    for i in range(1, len(seconds)):
-        change = elevation[i] - elevation[anchor]
-        if abs(change) >= metres and seconds[i] - seconds[anchor] >= least_s and (last is None or seconds[i] - last >= rest_s):
-            hits.append((i, float(change)))
-            anchor, last = i, seconds[i]
+    hits, at, anchor, last = [], 1, 0, -np.inf
+    while at < len(seconds):
+        # The anchor stays until the next hit, so a stretch is tested at once.
+        stop = min(len(seconds), at + 4096)
+        now, change = seconds[at:stop], elevation[at:stop] - elevation[anchor]
+        hit = np.flatnonzero((np.abs(change) >= metres) & (now - seconds[anchor] >= least_s) & (now - last >= rest_s))
+        if not len(hit):
+            at = stop
+            continue
+        i = at + int(hit[0])
+        hits.append((i, float(change[hit[0]])))
+        anchor, last, at = i, seconds[i], i + 1
     return hits

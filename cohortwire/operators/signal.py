@@ -279,49 +279,114 @@ def daily_band_power(ev: DataFrame, low: float = 0.5, high: float = 5.0, tz: str
 SLIDING_BANDS = {"0.5-5Hz": (0.5, 5.0), "0.5-1Hz": (0.5, 1.0), "1-2Hz": (1.0, 2.0), "2-3Hz": (2.0, 3.0), "3-5Hz": (3.0, 5.0)}
 
 
+def _window_plan(fs: float, win_s: float, overlap: float) -> tuple[int, int, list]:
+    """Samples of a window and of a step, and the sections of the band-pass at 0.3 to 8 Hz, or to 0.4 of the rate if that
+    is less; none where nothing would be left."""
+    size = int(round(win_s * fs))
+    high = min(8.0, 0.4 * fs)
+    return size, max(1, int(round(size * (1 - overlap)))), N.butterworth(4, (0.3, high), fs) if high > 0.3 else []
+
+
+def _powers(y: np.ndarray, starts: np.ndarray, size: int, fs: float, bands: dict[str, tuple[float, float]]) -> dict[str, np.ndarray]:
+    """Power in each band of the windows of `size` samples at starts, each less its mean, under a Hann window."""
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    seen = np.lib.stride_tricks.sliding_window_view(y, size)
+    f, out = np.fft.rfftfreq(size, 1 / fs), {b: [np.zeros(0)] for b in bands}
+    for at in range(0, len(starts), 4096):
+        rows = seen[starts[at : at + 4096]]
+        power = np.abs(np.fft.rfft((rows - rows.mean(1, keepdims=True)) * hann, axis=1)) ** 2 / (fs * (hann**2).sum())
+        power[:, 1 : (None if size % 2 else -1)] *= 2
+        for b, (low, high) in bands.items():
+            out[b].append(power[:, (f >= low) & (f <= high)].sum(1))
+    return {b: np.concatenate(v) for b, v in out.items()}
+
+
 def window_powers(ms: np.ndarray, x: np.ndarray, bands: dict[str, tuple[float, float]], win_s: float = 5.0, overlap: float = 0.5) -> pd.DataFrame:
     """first_ms and the power in each band of windows of win_s that overlap, counted in samples at the median rate, of a
-    series band-passed at 0.3 to 8 Hz, or to 0.4 of the rate if that is less.  Empty without a rate, or for windows of
-    fewer than eight samples."""
-    order = np.argsort(ms, kind="stable")
+    band-passed series.  Empty without a rate, or for windows of fewer than eight samples."""
+    order = np.lexsort([x, ms])
     ms, x = ms[order], x[order]
-    steps = np.diff(ms) / 1000.0
+    steps = np.diff(ms)
     steps = steps[steps > 0]
-    empty = pd.DataFrame({"first_ms": np.zeros(0, np.int64), **{b: np.zeros(0) for b in bands}})
-    if not len(steps):
-        return empty
-    fs = 1.0 / float(np.median(steps))
-    size = int(round(win_s * fs))
+    fs = 1000.0 / float(np.median(steps)) if len(steps) else 0.0
+    size, step, sections = _window_plan(fs, win_s, overlap)
     if size < 8 or len(x) < size:
-        return empty
-    high = min(8.0, 0.4 * fs)
-    if high > 0.3:
-        x = N.zero_phase(N.butterworth(4, (0.3, high), fs), x)
-    starts = np.arange(0, len(x) - size + 1, max(1, int(round(size * (1 - overlap)))))
-    rows = []
-    for at in starts:
-        f, p = N.welch(x[at : at + size], fs, size)
-        rows.append([float(p[(f >= low) & (f <= high)].sum()) for low, high in bands.values()])
-    return pd.DataFrame({"first_ms": ms[starts], **{b: [r[i] for r in rows] for i, b in enumerate(bands)}})
+        return pd.DataFrame({"first_ms": np.zeros(0, np.int64), **{b: np.zeros(0) for b in bands}})
+    y = N.zero_phase(sections, x) if sections else x
+    starts = np.arange(0, len(y) - size + 1, step)
+    return pd.DataFrame({"first_ms": ms[starts], **_powers(y, starts, size, fs, bands)})
+
 
+#: Samples of a piece of a device's series, and the stretch of time within which samples are numbered.
+PIECE, NUMBERED_MS = 200_000, 600_000
 
-def sliding_power(ev: DataFrame, win_s: float = 5, overlap: float = 0.5, bands: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    """device_id, day (1 or 2), first_ms, band, power: windows of the first two days of each device.
 
-    A device's two days are filtered as one series, whose length its sampling rate bounds.
+def numbered_samples(rows: DataFrame) -> DataFrame:
+    """rows (device_id, timestamp, magnitude, t0) with place (0, 1, ... by device in order of time, then value), step_ms
+    (since the sample before) and n (of the device).
+
+    Samples are numbered within stretches of time, and the stretches' sizes summed up: no task sorts a whole device.
+    """
+    key = ["device_id", "stretch"]
+    rows = rows.withColumn("stretch", F.floor((F.col("timestamp") - F.col("t0")) / NUMBERED_MS))
+    sums = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("here"), F.max("timestamp").alias("last_ms"))
+    by_time = Window.partitionBy("device_id").orderBy("stretch")  # of stretches, not samples
+    before = sums.select(
+        *key, F.coalesce(F.sum("here").over(by_time.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
+        F.lag("last_ms").over(by_time).alias("before_ms"), F.sum("here").over(Window.partitionBy("device_id")).alias("n"),
+    )
+    order = Window.partitionBy(*key).orderBy("timestamp", "magnitude")
+    own = rows.withColumn("no", F.row_number().over(order) - 1).withColumn("own_before_ms", F.lag("timestamp").over(order))
+    out = own.join(before, key)
+    step = F.col("timestamp") - F.coalesce("own_before_ms", "before_ms")
+    return out.select("device_id", "t0", "timestamp", "magnitude", (F.col("base") + F.col("no")).alias("place"), step.alias("step_ms"), "n")
+
+
+def sliding_power(ev: DataFrame, win_s: float = 5, overlap: float = 0.5, bands: dict[str, tuple[float, float]] | None = None, piece: int = PIECE) -> DataFrame:
+    """device_id, day (1 or 2), first_ms, band, power: windows of the first two days of each device, as window_powers()
+    of the whole series.
+
+    A device's series is cut into pieces, dealt over tasks.  Each has at both sides as many samples more as the filter
+    remembers, and to the right a window's; the rate is the median of the steps, from their counts.  Samples without a
+    value are left out.
     """
     bands = SLIDING_BANDS if bands is None else bands
+    ev = ev.select("device_id", "timestamp", "magnitude").where("magnitude is not null and timestamp is not null and device_id is not null")
     first = ev.groupBy("device_id").agg(F.min("timestamp").alias("t0"))
-    rows = ev.select("device_id", "timestamp", "magnitude").join(first, "device_id").filter(F.col("timestamp") < F.col("t0") + 2 * 86_400_000)
+    samples = numbered_samples(ev.join(first, "device_id").filter(F.col("timestamp") < F.col("t0") + 2 * 86_400_000))
+    steps = samples.filter("step_ms > 0").groupBy("device_id", "step_ms").agg(F.count(F.lit(1)).alias("times"))
+    rates = steps.groupBy("device_id").agg((1000.0 / F.expr("percentile(step_ms, 0.5, times)")).alias("fs"))
+
+    @F.pandas_udf("size int, halo int")
+    def plan(fs: pd.Series) -> pd.DataFrame:
+        """Of each device's rate."""
+        plans = [_window_plan(x, win_s, overlap) for x in fs]
+        return pd.DataFrame({"size": [p[0] for p in plans], "halo": [N.memory_of(p[2]) if p[2] else 0 for p in plans]}).astype("int32")
+
+    rates = rates.withColumn("p", plan("fs")).select("device_id", "fs", "p.*").filter("size >= 8")
+    length = F.greatest(F.lit(piece), F.col("size") + F.col("halo"))
+    near = samples.join(rates, "device_id").filter(F.col("n") >= F.col("size")).withColumn("length", length)
+    low = F.floor((F.col("place") - F.col("size") - F.col("halo")) / F.col("length"))
+    high = F.floor((F.col("place") + F.col("halo")) / F.col("length"))
+    last = F.floor((F.col("n") - 1) / F.col("length"))
+    near = near.withColumn("piece", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, last))))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = window_powers(pdf["timestamp"].to_numpy(), pdf["magnitude"].to_numpy(), bands, win_s, overlap)
-        found["day"] = 1 + (found["first_ms"] - int(pdf["t0"].iloc[0])) // 86_400_000
-        found["device_id"] = key[0]
-        long = found.melt(["device_id", "day", "first_ms"], list(bands), "band", "power")
+        pdf = pdf.sort_values("place")
+        fs, n, length, t0 = pdf["fs"].iloc[0], int(pdf["n"].iloc[0]), int(pdf["length"].iloc[0]), int(pdf["t0"].iloc[0])
+        size, step, sections = _window_plan(fs, win_s, overlap)
+        x, at = pdf["magnitude"].to_numpy(), int(pdf["place"].iloc[0])
+        y = N.zero_phase(sections, x, at == 0, at + len(x) == n) if sections else x
+        begin, stop = -(-key[1] * length // step) * step, min((key[1] + 1) * length, n - size + 1)
+        starts = np.arange(begin, stop, step) - at
+        out = pd.DataFrame({"first_ms": pdf["timestamp"].to_numpy()[starts], **_powers(y, starts, size, fs, bands)})
+        out["day"] = 1 + (out["first_ms"] - t0) // 86_400_000
+        out["device_id"] = key[0]
+        long = out.melt(["device_id", "day", "first_ms"], list(bands), "band", "power")
         return long.astype({"day": "int32", "power": float})
 
-    return rows.groupBy("device_id").applyInPandas(one, "device_id string, day int, first_ms long, band string, power double")
+    near = near.select("device_id", "piece", "place", "timestamp", "magnitude", "fs", "n", "length", "t0")
+    return near.groupBy("device_id", "piece").applyInPandas(one, "device_id string, day int, first_ms long, band string, power double")
 
 
 def sliding_day_stats(windows: DataFrame) -> DataFrame:
@@ -368,12 +433,9 @@ def barometer_simple(we: DataFrame) -> DataFrame:
     )
 
 
-def smoothed_pressure(ms: np.ndarray, pressure: np.ndarray, max_gap_s: int = 5, least_s: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """(second, pressure): one-second medians, gaps of up to max_gap_s interpolated, ten-second medians, and a 0.05 Hz
-    zero-phase low-pass on each stretch of least_s seconds."""
-    frame = pd.Series(pressure).groupby(ms).mean()
-    seconds = frame.groupby(frame.index // 1000).median()
-    at, value = seconds.index.to_numpy(), seconds.to_numpy()
+def smoothed_pressure(at: np.ndarray, value: np.ndarray, max_gap_s: int = 5, least_s: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """(second, pressure) from one-second medians in order of time: gaps of up to max_gap_s interpolated, ten-second
+    medians, and a 0.05 Hz zero-phase low-pass on each stretch of least_s seconds."""
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0)
     full = np.arange(at[0], at[-1] + 1)
@@ -396,17 +458,23 @@ _SIGNAL = "subject_id string, table_name string, window_rule string, device_id s
 
 
 def barometer_signal(we: DataFrame) -> DataFrame:
-    """The smoothed pressure and the elevation relative to its start, a row per second of each window's device."""
+    """The smoothed pressure and the elevation relative to its start, a row per second of each window's device.
+
+    Means of a time and medians of a second are taken before rows meet, so a task holds a value for each second.
+    """
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        at, p = smoothed_pressure(pdf["timestamp"].to_numpy(), pdf["pressure"].to_numpy())
+        pdf = pdf.sort_values("second")
+        at, p = smoothed_pressure(pdf["second"].to_numpy(), pdf["pressure"].to_numpy())
         out = pd.DataFrame({"second": at, "pressure": p, "elevation_m": -8.3 * (p - p[0]) if len(p) else p})
         for name, value in zip([*KEY, "device_id"], key, strict=True):
             out[name] = value
         return out[[*KEY, "device_id", "second", "pressure", "elevation_m"]]
 
     rows = _pressure(we).where("pressure is not null").select(*KEY, "device_id", "timestamp", "pressure")
-    return rows.groupBy(*KEY, "device_id").applyInPandas(one, _SIGNAL)
+    rows = rows.groupBy(*KEY, "device_id", "timestamp").agg(F.avg("pressure").alias("pressure"))
+    seconds = rows.groupBy(*KEY, "device_id", F.floor(F.col("timestamp") / 1000).alias("second")).agg(S.percentile("pressure", 0.5).alias("pressure"))
+    return seconds.groupBy(*KEY, "device_id").applyInPandas(one, _SIGNAL)
 
 
 def elevation_transitions(signal: DataFrame) -> DataFrame:
