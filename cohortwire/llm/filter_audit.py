@@ -54,10 +54,11 @@ def _by_text(rows: DataFrame, marks: DataFrame) -> DataFrame:
     Rows are counted before each shuffle, so a text of very many copies is a few rows by the time it meets.
     """
     ids = rows.groupBy("digest", "mask", "part", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    known = ids.filter("doc_id is not null").join(marks, F.col("doc_id") == F.col("label_id"), "left")
-    known = known.select(*ids.columns, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")])
-    unknown = ids.filter("doc_id is null").select("*", F.lit(False).alias("good"), F.lit(False).alias("toxic"))
-    groups = known.unionByName(unknown).groupBy("digest", "mask", "part", "good", "toxic").agg(
+    # A null id matches no label; with the text's hash for a key, such rows don't meet in one task.
+    key, known = F.coalesce("doc_id", F.xxhash64("digest")), F.col("doc_id").isNotNull()
+    marked = ids.join(marks.withColumn("known", F.lit(True)), (key == F.col("label_id")) & (known == F.col("known")), "left")
+    marked = marked.select(*ids.columns, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")])
+    groups = marked.groupBy("digest", "mask", "part", "good", "toxic").agg(
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n"))).alias("first"), F.sum("n").alias("n"),
         F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(0)).alias("n_null"),
     )
