@@ -10,12 +10,13 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .profiles import ranked_long, value_positions
+from .ridge import ALPHAS
 
 
 # ------------------------------------------------------------------------------------------- folds and baselines
@@ -113,7 +114,7 @@ def imputed_by_fold(df: DataFrame, cols: list[str]) -> DataFrame:
     return rows.withColumns(made).drop(*[f"_m_{c}" for c in cols])
 
 
-def ridge_cv(df: DataFrame, cols: list[str], y: str = "y", alphas=(0.1, 1.0, 10.0, 100.0), signs: dict[str, int] | None = None, impute: bool = False) -> tuple[DataFrame, list[dict]]:
+def ridge_cv(df: DataFrame, cols: list[str], y: str = "y", alphas=ALPHAS, signs: dict[str, int] | None = None, impute: bool = False) -> tuple[DataFrame, list[dict]]:
     """Out-of-fold predictions and coefficients.  Alpha is the one of least summed error over the training folds, each
     held out in turn; every model comes from sums of the other folds' sums.  df has repeat and fold.
 
@@ -147,25 +148,10 @@ def ridge_cv(df: DataFrame, cols: list[str], y: str = "y", alphas=(0.1, 1.0, 10.
     return out.withColumn("prediction", dot).drop("intercept", "beta"), coefs
 
 
-def signed_ridge_cv(df: DataFrame, cols: list[str], signs: dict[str, int], y: str = "y", alphas=(0.1, 1.0, 10.0, 100.0)):
+def signed_ridge_cv(df: DataFrame, cols: list[str], signs: dict[str, int], y: str = "y", alphas=ALPHAS):
     return ridge_cv(df, cols, y, alphas, signs)
 
 
-def domain_models(df: DataFrame, domains: dict[str, list[str]], y: str = "y", alphas=(1.0, 10.0, 100.0), cohorts: dict[str, int | None] | None = None, rank: str = "coverage_rank") -> DataFrame:
-    """Out-of-fold predictions, with medians for NULLs, of a ridge per domain of features, of one of all features and of
-    the mean, in each cohort: the subjects whose `rank` is up to a number, all for None."""
-    every = list(dict.fromkeys(c for cols in domains.values() for c in cols))
-    out = None
-    for cohort, most in (cohorts or {"full": None}).items():
-        part = df if most is None else df.filter(F.col(rank) <= most)
-        found = [(name, ridge_cv(part, cols, y, alphas, impute=True)[0]) for name, cols in {**domains, "all": every}.items()]
-        found.append(("mean", mean_baseline_oof(part, y)))
-        for name, pred in found:
-            one = pred.select("subject_id", "repeat", "fold", F.col(y).alias("y"), "prediction", F.lit(name).alias("model"), F.lit(cohort).alias("cohort"))
-            out = one if out is None else out.unionByName(one)
-    return out
-
-
 # ---------------------------------------------------------------------------------------------------- evaluation
 
 
@@ -261,55 +247,37 @@ def _vectors(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="skip").transform(df)
 
 
-def elastic_net_cv(df: DataFrame, cols: list[str], y: str = "y", ratios=(0.2, 0.5, 0.8), alphas=(0.01, 0.1, 1.0), k: int = 5):
-    model = LinearRegression(labelCol=y, featuresCol="features", maxIter=100)
-    grid = ParamGridBuilder().addGrid(model.elasticNetParam, list(ratios)).addGrid(model.regParam, list(alphas)).build()
-    cv = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=y, metricName="rmse"), numFolds=k, seed=7)
-    return cv.fit(_vectors(df, cols))
-
-
-def tree_models(df: DataFrame, cols: list[str], y: str = "y", depth: int = 2, seed: int = 7):
-    """(random forest, boosted trees) fitted on df."""
-    v = _vectors(df, cols)
-    forest = RandomForestRegressor(labelCol=y, featuresCol="features", numTrees=50, maxDepth=depth + 3, seed=seed)
-    boosted = GBTRegressor(labelCol=y, featuresCol="features", maxDepth=depth, maxIter=30, seed=seed)
-    return forest.fit(v), boosted.fit(v)
-
+#: The grid of the elastic net.
+ELASTIC_RATIOS = (0.05, 0.2, 0.5, 0.8, 0.95, 1.0)
+ELASTIC_ALPHAS = tuple(float(a) for a in np.logspace(-1, 4, 14))
 
-#: Rows among which a column's values are dealt out anew, about.
-DEALT_ROWS = 10_000
 
+def elastic_net_cv(df: DataFrame, cols: list[str], y: str = "y", ratios=ELASTIC_RATIOS, alphas=ELASTIC_ALPHAS, k: int = 4, parallel: int = 4):
+    """The elastic net of least RMSE over k folds of df, fitted on all of it; columns are standardised by the solver."""
+    model = LinearRegression(labelCol=y, featuresCol="features", maxIter=100)
+    grid = ParamGridBuilder().addGrid(model.elasticNetParam, list(ratios)).addGrid(model.regParam, list(alphas)).build()
+    cv = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=y, metricName="rmse"), numFolds=k, seed=7, parallelism=parallel)
+    rows = _vectors(df, cols).persist()
+    try:
+        return cv.fit(rows)
+    finally:
+        rows.unpersist()
 
-def perm_importance(df: DataFrame, model, cols: list[str], y: str = "y", shuffles: int = 3, key: str = "subject_id") -> DataFrame:
-    """Rise of the RMSE when one column is dealt out anew, by hash orders that are the same on every run.
 
-    Values are dealt out within random groups of about DEALT_ROWS rows, so no task orders all rows, and all shuffles of
-    all columns are scored in one job.
-    """
-    n = df.count()
-    rows = df.select(key, y, *cols).withColumn("_group", F.pmod(F.xxhash64(key, F.lit(7)), F.lit(max(1, n // DEALT_ROWS))))
-    place = lambda s: F.row_number().over(Window.partitionBy("_group").orderBy(F.xxhash64(key, F.lit(s)), key))
-    rows = rows.withColumn("_n", place(0))
-    frames = [rows.drop("_n").withColumn("feature", F.lit(None).cast("string")).withColumn("shuffle", F.lit(0))]
-    for c in cols:
-        for s in range(1, shuffles + 1):
-            dealt = rows.select("_group", place(s).alias("_n"), F.col(c).alias("_dealt"))
-            one = rows.join(dealt, ["_group", "_n"]).withColumn(c, F.col("_dealt")).drop("_dealt", "_n")
-            frames.append(one.withColumn("feature", F.lit(c)).withColumn("shuffle", F.lit(s)))
-    whole = frames[0]
-    for frame in frames[1:]:
-        whole = whole.unionByName(frame)
-    error = F.col(y) - F.col("prediction")
-    rmse = model.transform(_vectors(whole, cols)).groupBy("feature", "shuffle").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
-    base = rmse.filter("feature is null").select(F.col("rmse").alias("base"))
-    rises = rmse.filter("feature is not null").join(F.broadcast(base)).withColumn("rise", F.col("rmse") - F.col("base"))
-    return rises.groupBy("feature").agg(F.avg("rise").alias("rmse_rise"), F.stddev_pop("rise").alias("rmse_rise_sd"))
+def imputed(df: DataFrame, cols: list[str]) -> DataFrame:
+    """df with NULL and NaN in cols replaced by the column's median, 0 where there is none."""
+    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
+    medians = df.agg(*[F.percentile(value(c), F.lit(0.5)).alias(c) for c in cols]).first()
+    return df.withColumns({c: F.coalesce(value(c), F.lit(float(medians[c] or 0.0))) for c in cols})
 
 
 def pca(df: DataFrame, cols: list[str], k: int = 10):
-    """(scores as array column pcs, loadings, explained variance); signs are not defined."""
-    scaled = StandardScaler(inputCol="features", outputCol="z", withMean=True).fit(v := _vectors(df, cols)).transform(v)
-    model = PCA(k=min(k, len(cols)), inputCol="z", outputCol="pc").fit(scaled)
+    """(scores as array column pcs, loadings, explained variance) of the columns, median-imputed and standardised: at most
+    k components, and fewer than there are rows; signs are not defined."""
+    ready = _vectors(imputed(df, cols), cols)
+    k = max(1, min(k, len(cols), df.count() - 1))
+    scaled = StandardScaler(inputCol="features", outputCol="z", withMean=True).fit(ready).transform(ready)
+    model = PCA(k=k, inputCol="z", outputCol="pc").fit(scaled)
     return model.transform(scaled).withColumn("pcs", vector_to_array("pc")), model.pc.toArray(), model.explainedVariance.toArray()
 
 

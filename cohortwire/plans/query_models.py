@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import coverage as C
+from ..operators import ridge as R
 from ..operators import stats as M
+from ..operators import trees as T
 from . import stand_ins as A
 from .register import Register, rounded
 
@@ -92,8 +94,10 @@ def cluster_profile(spark, sf_dir):
 
 @query()
 def ridge_cv(spark, sf_dir):
-    df = _folded(spark, sf_dir)
-    return M.ridge_cv(df, ["n_orders", "mean_price", "max_price"], impute=True)[0].select("subject_id", "fold", "y", "alpha", "prediction")
+    """The whole grid of penalties, NULLs as medians with indicators."""
+    cols = ["n_orders", "mean_price", "max_price"]
+    found = R.target_models(_folded(spark, sf_dir), {"score": ("y", cols)}).filter("model = 'ridge'")
+    return found.select("subject_id", "fold", "y", "alpha", "prediction")
 
 
 def _customers(spark, sf_dir):
@@ -126,60 +130,101 @@ def signed_ridge_cv(spark, sf_dir):
     return M.signed_ridge_cv(df, ["n_orders", "mean_price"], {"n_orders": 1, "mean_price": -1})[0].select("subject_id", "fold", "y", "alpha", "prediction")
 
 
+_DOMAINS = {"balance": ("y", ["mean_price", "max_price"]), "volume": ("n_orders", ["mean_price"])}
+
+
 @query()
 def domain_model_metrics(spark, sf_dir):
-    """Per domain, for all features and for the mean, in the cohorts of the first 300, 600 and of all customers by rank of
-    their number."""
+    """Two domains with targets of their own, in the cohorts of the first 300, 600 and of all customers by number: the
+    domain's features, those of both, and the mean."""
     df = _customers(spark, sf_dir).withColumn("coverage_rank", A.number("subject_id"))
-    pred = M.domain_models(df, {"volume": ["n_orders"], "price": ["mean_price", "max_price"]}, cohorts={"top_300": 300, "top_600": 600, "full": None})
-    return M.metrics(pred, by=["cohort", "model", "repeat"])
-
-
-@query(f"""WITH {A.COHORT}, al AS (SELECT subject_id, y, CAST(substr(subject_id, 2) AS BIGINT) AS no, CAST(substr(subject_id, 2) AS BIGINT) % 5 AS fold FROM co WHERE y IS NOT NULL), c AS (SELECT * FROM (VALUES ('top_300', 300), ('full', 1000000000000)) v(cohort, most)), p AS (SELECT cohort, al.* FROM al JOIN c ON no <= most),
-    s AS (SELECT cohort, fold, sum(y) AS s, count(y) AS n FROM p GROUP BY ALL), t AS (SELECT cohort, sum(s) AS s, sum(n) AS n FROM s GROUP BY 1), q AS (SELECT p.cohort, y, (t.s - s.s) / (t.n - s.n) AS q FROM p JOIN s USING (cohort, fold) JOIN t USING (cohort))
-    SELECT cohort, 'mean' AS model, count(*) AS n, round(sqrt(avg((y - q) * (y - q))), 4) AS rmse, round(avg(abs(y - q)), 4) AS mae FROM q GROUP BY 1""")
+    return R.domain_metrics(R.target_models(df, _DOMAINS, {"top_300": 300, "top_600": 600, "full": None}))
+
+
+@query(f"""WITH {A.COHORT},
+    c AS (SELECT * FROM (VALUES ('top_300', 300), ('full', 1000000000000)) v(cohort, most)),
+    al AS (SELECT subject_id, y, n_orders, CASE WHEN no % 7 <> 0 THEN mean_price / 1000 END AS x, no, no % 5 AS fold
+           FROM (SELECT *, CAST(substr(subject_id, 2) AS BIGINT) AS no FROM co) WHERE y IS NOT NULL),
+    p AS (SELECT cohort, domain, target, subject_id, fold, x, CASE target WHEN 'y' THEN y ELSE n_orders END AS t
+          FROM al JOIN c ON no <= most CROSS JOIN (VALUES ('balance', 'y'), ('volume', 'n_orders')) d(domain, target)
+          WHERE CASE target WHEN 'y' THEN y ELSE n_orders END IS NOT NULL),
+    h AS (SELECT unnest(range(0, 5)) AS held),
+    m AS (SELECT cohort, domain, held, quantile_cont(x, 0.5) AS med FROM p, h WHERE fold <> held GROUP BY ALL),
+    r AS (SELECT p.*, held, coalesce(x, med) AS a, CAST(x IS NULL AS INTEGER)::DOUBLE AS b FROM p CROSS JOIN h JOIN m USING (cohort, domain, held)),
+    t AS (SELECT cohort, domain, held, avg(a) AS ma, avg(b) AS mb, avg(t) AS mt, stddev_pop(a) AS sa, stddev_pop(b) AS sb, count(*) AS n,
+                 covar_pop(a, b) AS cab, covar_pop(a, t) AS cat, covar_pop(b, t) AS cbt FROM r WHERE fold <> held GROUP BY ALL),
+    g AS (SELECT *, n + 10.0 AS d, n * cab / (sa * sb) AS o, n * cat / sa AS ra, n * cbt / sb AS rb FROM t),
+    w AS (SELECT *, (d * ra - o * rb) / (d * d - o * o) / sa AS wa, (d * rb - o * ra) / (d * d - o * o) / sb AS wb FROM g),
+    f AS (SELECT r.*, mt, mt + wa * (a - ma) + wb * (b - mb) AS q FROM r JOIN w USING (cohort, domain, held) WHERE fold = held)
+    SELECT cohort, domain, target, 'domain_group_ridge' AS model, subject_id, CAST(fold AS INTEGER) AS fold, CAST(t AS DOUBLE) AS y, round(q, 4) AS prediction FROM f
+    UNION ALL SELECT cohort, domain, target, 'mean_baseline', subject_id, CAST(fold AS INTEGER), CAST(t AS DOUBLE), round(mt, 4) FROM f""")
+def domain_targets(spark, sf_dir):
+    """Each domain's own target from one feature with NULLs, one penalty, in two cohorts: two-by-two systems in closed form."""
+    df = _customers(spark, sf_dir).withColumn("coverage_rank", A.number("subject_id"))
+    domains = {"balance": ("y", ["mean_price"]), "volume": ("n_orders", ["mean_price"])}
+    found = R.target_models(df, domains, {"top_300": 300, "full": None}, alphas=(10.0,)).filter("model <> 'ridge'")
+    return rounded(found.select("cohort", "domain", "target", "model", "subject_id", "fold", "y", "prediction"), "prediction", digits=4)
+
+
+@query(f"""WITH {A.COHORT},
+    al AS (SELECT subject_id, y, CAST(substr(subject_id, 2) AS BIGINT) AS no, CAST(substr(subject_id, 2) AS BIGINT) % 5 AS fold FROM co WHERE y IS NOT NULL),
+    c AS (SELECT * FROM (VALUES ('top_300', 300), ('full', 1000000000000)) v(cohort, most)),
+    p AS (SELECT cohort, al.* FROM al JOIN c ON no <= most),
+    s AS (SELECT cohort, fold, sum(y) AS s, count(y) AS n FROM p GROUP BY ALL),
+    t AS (SELECT cohort, sum(s) AS s, sum(n) AS n FROM s GROUP BY 1),
+    q AS (SELECT p.cohort, y, (t.s - s.s) / (t.n - s.n) AS q FROM p JOIN s USING (cohort, fold) JOIN t USING (cohort))
+    SELECT cohort, 'balance' AS domain, 'mean_baseline' AS model, count(*) AS n, round(sqrt(avg((y - q) * (y - q))), 4) AS rmse, round(avg(abs(y - q)), 4) AS mae,
+           round(1 - sum((y - q) * (y - q)) / (var_pop(y) * count(*)), 6) AS r2
+    FROM q GROUP BY 1""")
 def cohort_baseline(spark, sf_dir):
     """The mean's part of the domain models, in two cohorts."""
     df = _customers(spark, sf_dir).withColumn("coverage_rank", A.number("subject_id"))
-    pred = M.domain_models(df, {"volume": ["n_orders"]}, cohorts={"top_300": 300, "full": None}).filter("model = 'mean'")
-    out = M.metrics(pred, by=["cohort", "model"]).where("model is not null").select("cohort", "model", "n", "rmse", "mae")
-    return rounded(out, "rmse", "mae", digits=4)
+    found = R.target_models(df, {"balance": ("y", ["n_orders"])}, {"top_300": 300, "full": None}).filter("model = 'mean_baseline'")
+    return rounded(rounded(R.domain_metrics(found).where("repeat is null").drop("repeat"), "rmse", "mae", digits=4), "r2")
 
 
 @query()
 def elastic_net_predictions(spark, sf_dir):
-    """The default grid over five folds; predictions of the rows that the chosen model was not fitted on."""
+    """The default grid over four folds; predictions of the rows that the chosen model was not fitted on."""
     df, cols = _folded(spark, sf_dir), ["n_orders", "mean_price", "max_price"]
     fitted = M.elastic_net_cv(df.filter("fold <> 0"), cols)
     return fitted.transform(M._vectors(df.filter("fold = 0"), cols)).select("subject_id", "y", "prediction")
 
 
+_FEATURES = ["n_orders", "mean_price", "max_price"]
+
+
 @query()
-def permutation_importance(spark, sf_dir):
-    df, cols = _folded(spark, sf_dir), ["n_orders", "mean_price", "max_price"]
-    return M.perm_importance(df, M.tree_models(df, cols)[1], cols)
+def tree_predictions(spark, sf_dir):
+    """Both tree models, each fold's from the others."""
+    return T.tree_cv(_customers(spark, sf_dir), _FEATURES)[0]
 
 
-def _embedded(spark, sf_dir):
-    from pyspark.ml.functions import array_to_vector
+@query()
+def permutation_importance(spark, sf_dir):
+    """What each feature adds on the rows that the forest has not seen."""
+    forest = {"random_forest": T.estimators("y")["random_forest"]}
+    return T.tree_cv(_customers(spark, sf_dir), _FEATURES, models=forest)[1]
+
 
+def _components(spark, sf_dir):
+    """The first ten components of whole embeddings."""
     e = A.table(spark, sf_dir, "embeddings").where("embedding is not null")
-    return e.select(F.col("vec_id").cast("string").alias("subject_id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), "label")
+    n = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    cols = [f"e{i}" for i in range(n)]
+    wide = e.select(F.col("vec_id").cast("string").alias("subject_id"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)])
+    return M.pca(wide, cols)[0]
 
 
 @query()
 def kmeans_stability(spark, sf_dir):
-    return M.kmeans_stability(_embedded(spark, sf_dir).select("subject_id", "features"), "features")
+    """On the components."""
+    return M.kmeans_stability(_components(spark, sf_dir).select("subject_id", "pc"), "pc")
 
 
 @query()
 def pca_scores(spark, sf_dir):
-    """The first ten components of whole embeddings."""
-    e = A.table(spark, sf_dir, "embeddings").where("embedding is not null")
-    n = e.agg(F.max(F.size("embedding"))).first()[0] or 0
-    cols = [f"e{i}" for i in range(n)]
-    wide = e.select(F.col("vec_id").cast("string").alias("subject_id"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
-    return M.pca(wide, cols)[0].select("subject_id", "pcs")
+    return _components(spark, sf_dir).select("subject_id", "pcs")
 
 
 @query(f"""WITH {A.COHORT}, al AS (SELECT subject_id, n_orders, CAST(substr(subject_id, 2) AS BIGINT) % 5 AS fold FROM (SELECT subject_id, y, CASE WHEN CAST(substr(subject_id, 2) AS BIGINT) % 7 <> 0 THEN mean_price / 1000 END AS n_orders FROM co) WHERE y IS NOT NULL), m AS (SELECT quantile_cont(n_orders, 0.5) AS med FROM al WHERE fold <> 0), i AS (SELECT al.*, coalesce(n_orders, med) AS v FROM al, m), s AS (SELECT avg(v) AS a, stddev_pop(v) AS d FROM i WHERE fold <> 0)
