@@ -5,44 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import intermediate
 from .coverage import unpivoted
+from .ranks import exact_quantiles, placed
 
 
 def category(percent: Column, low: float = 33.3333, high: float = 66.6667) -> Column:
     return F.when(percent <= low, "low").when(percent <= high, "medium").otherwise("high")
 
 
-#: Value ranges that one feature's different values are dealt over, so that no task holds them all.
-RANGES = 64
-
-
-def value_positions(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """by, value, ties, below: how many rows of the group have the value, and how many a smaller one.
-
-    Equal values are counted before anything is sorted, and a group's different values are summed by ranges between
-    approximate percentiles, then over the ranges, so a group may be as large as the table.
-    """
-    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(1000)).alias("_cuts"))
-    counts = counts.join(cuts, by) if by else counts.join(F.broadcast(cuts))
-    counts = counts.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    totals = counts.groupBy(*by, "_range").agg(F.sum("ties").alias("n"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
-    totals = totals.select(*by, "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_within", F.coalesce(F.sum("ties").over(within), F.lit(0)))
-    return counts.join(totals, [*by, "_range"]).select(*by, value, "ties", (F.col("_before") + F.col("_within")).alias("below"))
-
-
 def ranked_long(long: DataFrame, by: list[str] = ("feature",)) -> DataFrame:
     """Descending rank, average-tie percentile rank (%) and tertile of `value` within each feature; nulls stay out."""
-    by = list(by)
-    rows = long.where("value is not null")
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    places = value_positions(rows, "value", by).join(sizes, by)
-    n, below, ties = F.col("_n"), F.col("below"), F.col("ties")
-    places = places.select(*by, "value", (n - below - ties + 1).alias("rank_desc"), (100.0 * (below + 1 + (ties - 1) / 2.0) / n).alias("percentile"))
-    return rows.join(places, [*by, "value"]).select(*long.columns, "rank_desc", "percentile").withColumn("category", category(F.col("percentile")))
+    rows = placed(long.where("value is not null"), ["value"], list(by))
+    n, below, ties = F.col("n"), F.col("value_below"), F.col("value_ties")
+    out = rows.select(*long.columns, (n - below - ties + 1).alias("rank_desc"), (100.0 * (below + 1 + (ties - 1) / 2.0) / n).alias("percentile"))
+    return out.withColumn("category", category(F.col("percentile")))
 
 
 def rank_percentile_category(df: DataFrame, cols: list[str], key: str = "subject_id") -> DataFrame:
@@ -71,8 +48,10 @@ def level_distribution(axes: DataFrame) -> DataFrame:
 
 def variability(long: DataFrame) -> DataFrame:
     """Sample SD, IQR and count of each feature, ranked by SD."""
-    q = lambda p: F.percentile("value", F.lit(p))
-    out = long.groupBy("feature").agg(F.stddev_samp("value").alias("sd"), (q(0.75) - q(0.25)).alias("iqr"), F.count("value").alias("n"))
+    rows = intermediate(long.select("feature", F.col("value").cast("double").alias("value")))
+    stats = rows.groupBy("feature").agg(F.stddev_samp("value").alias("sd"), F.count("value").alias("n"))
+    quartiles = exact_quantiles(rows, ["value"], [0.25, 0.75], ["feature"], written=True)
+    out = stats.join(quartiles, "feature", "left").withColumn("iqr", F.col("value_q1") - F.col("value_q0")).select("feature", "sd", "iqr", "n")
     return out.withColumn("variability_rank", F.rank().over(Window.orderBy(F.desc_nulls_last("sd"))).cast("long"))
 
 
@@ -93,13 +72,13 @@ def coverage_bands(df: DataFrame, missing: str = "missing_fraction", cover: str
     Rows of equal coverage are counted first; ranks are sums over the different coverages and places within one.
     """
     rows = df.withColumn("_m", F.coalesce(missing, F.lit(1.0))).withColumn("_c", -F.coalesce(cover, F.lit(0.0)))
-    groups = rows.groupBy("_m", "_c").agg(F.count(F.lit(1)).alias("_ties"))
-    shares = value_positions(rows.select("_m"), "_m", []).withColumnRenamed("below", "_below").select("_m", "_below")
+    # Below in the order of both: of the missing share, and of the coverage among rows of that share.
+    rows = placed(rows, ["_m"], []).withColumnRenamed("n", "_n")
     within = Window.partitionBy("_m").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("_first", F.coalesce(F.sum("_ties").over(within), F.lit(0))).join(shares, "_m").select("_m", "_c", (F.col("_below") + F.col("_first")).alias("_before"))
+    groups = rows.groupBy("_m", "_c").agg(F.count(F.lit(1)).alias("_ties"))
+    groups = groups.select("_m", "_c", F.coalesce(F.sum("_ties").over(within), F.lit(0)).alias("_first"))
     place = F.row_number().over(Window.partitionBy("_m", "_c").orderBy(key))
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    out = rows.join(groups, ["_m", "_c"]).withColumn("coverage_rank", F.col("_before") + place).join(F.broadcast(n))
+    out = rows.join(groups, ["_m", "_c"]).withColumn("coverage_rank", F.col("_m_below") + F.col("_first") + place)
     share = lambda q: F.greatest(F.lit(1), F.ceil(F.col("_n") * q))
     r = F.col("coverage_rank")
     band = F.when(r <= share(0.25), "Highest coverage quartile").when(r <= share(0.75), "Middle coverage").otherwise("Lowest coverage quartile")

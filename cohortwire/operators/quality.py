@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.io import intermediate
+from .ranks import exact_quantiles
 
 #: Codes that stand in a score's place.
 CODES = ["FP", "DI", "NA", "N/A"]
@@ -113,10 +115,11 @@ def feature_issues(sw: DataFrame, counts: list[str], max_days: int = 7) -> DataF
 
 
 def numeric_summary(long: DataFrame, by: str = "feature") -> DataFrame:
-    v = F.col("value")
-    return long.groupBy(by).agg(
-        F.count(v).alias("n"), F.min(v).alias("min"), S.percentile(v, 0.5).alias("median"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives")
-    )
+    """Number, extremes, median and mean of each feature's values, and how many are zero or negative."""
+    rows, v = intermediate(long.select(by, F.col("value").cast("double").alias("value"))), F.col("value")
+    medians = exact_quantiles(rows, ["value"], [0.5], [by], written=True).withColumnRenamed("value_q0", "median")
+    stats = rows.groupBy(by).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"))
+    return stats.join(medians, by, "left").select(by, "n", "min", "median", "mean", "max", "zeros", "negatives")
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

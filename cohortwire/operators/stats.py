@@ -15,7 +15,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .profiles import ranked_long, value_positions
+from .ranks import placed
 from .ridge import ALPHAS
 
 
@@ -204,10 +204,11 @@ def quartile_slopes(long: DataFrame, y: str = "y", least_rows: int = 8, least_va
 
 def spearman_assoc(long: DataFrame, y: str = "y", strongest: int | None = None) -> DataFrame:
     """Spearman correlation of each feature with y over its complete rows: correlation of average ranks."""
-    rows = long.where(F.col("value").isNotNull() & F.col(y).isNotNull())
-    x = ranked_long(rows).select("feature", "subject_id", y, F.col("percentile").alias("px"))
-    both = ranked_long(x.withColumnRenamed(y, "value")).withColumnRenamed("percentile", "py")
-    out = both.groupBy("feature").agg(F.corr("px", "py").alias("rho"), F.count(F.lit(1)).alias("n"), F.count_distinct("px").alias("n_values"))
+    rows = long.where(F.col("value").isNotNull() & F.col(y).isNotNull()).select("feature", F.col("value").alias("x"), F.col(y).alias("y"))
+    middle = lambda c: F.col(f"{c}_below") + (F.col(f"{c}_ties") + 1) / 2.0
+    out = placed(rows, ["x", "y"], ["feature"]).groupBy("feature").agg(
+        F.corr(middle("x"), middle("y")).alias("rho"), F.count(F.lit(1)).alias("n"), F.round(F.sum(1.0 / F.col("x_ties"))).cast("long").alias("n_values")
+    )
     return out if strongest is None else out.orderBy(F.desc(F.abs("rho")), "feature").limit(strongest)
 
 
@@ -225,9 +226,8 @@ def standardised_trend(long: DataFrame, y: str = "y") -> DataFrame:
 def rank_trend(long: DataFrame, score: str = "y") -> DataFrame:
     """Slope of each feature over the subjects' rank by score, largest first, ties by id."""
     rows = long.where(F.col("value").isNotNull() & F.col(score).isNotNull()).withColumn("_s", -F.col(score))
-    places = value_positions(rows, "_s", ["feature"]).select("feature", "_s", "below")
     tie = F.row_number().over(Window.partitionBy("feature", "_s").orderBy("subject_id"))
-    rows = rows.join(places, ["feature", "_s"]).withColumn("rank_no", F.col("below") + tie)
+    rows = placed(rows, ["_s"], ["feature"]).withColumn("rank_no", F.col("_s_below") + tie)
     return rows.groupBy("feature").agg(F.regr_slope("value", "rank_no").alias("slope"), F.regr_r2("value", "rank_no").alias("r2"), F.count(F.lit(1)).alias("n"))
 
 

@@ -19,16 +19,6 @@ DAY = 86_400_000
 MINUTE = 60_000
 
 
-def _folder(spark) -> str:
-    """A new folder that the driver and the executors share; on one machine a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="cohortwire-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark, sf_dir: str) -> DataFrame:
     """The events as a stream of files, with the same columns as the sensor rows."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -39,7 +29,7 @@ def _stream(spark, sf_dir: str) -> DataFrame:
 
 def _played(stream: DataFrame) -> DataFrame:
     """All that the stream emits once its input is read: rows of windows that the watermark has passed."""
-    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, IO.shared_folder(stream.sparkSession, "stream")
     writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
     writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -96,7 +86,7 @@ def stream_enrich(spark, sf_dir):
 @query(f"WITH {A.EVENTS} SELECT device_id, table_name, max(value) AS value FROM e GROUP BY ALL")
 def stream_upsert(spark, sf_dir):
     """The largest value of each device and table, kept up to date by key; a second start finds nothing new."""
-    folder = _folder(spark)
+    folder = IO.shared_folder(spark, "stream")
     rows = _stream(spark, sf_dir).groupBy("device_id", "table_name").agg(F.max("value").alias("value"))
     for _ in range(2):
         J.stream_upsert(rows, f"{folder}/out", f"{folder}/checkpoint", ["device_id", "table_name"], output="update").awaitTermination()
@@ -109,7 +99,7 @@ def stream_upsert(spark, sf_dir):
 @query(f"WITH {A.EVENTS} SELECT _id, timestamp, device_id, table_name FROM e WHERE table_name = 'view'")
 def lake_round_trip(spark, sf_dir):
     """Events written by table, and one table read back: only its partition is read."""
-    path = _folder(spark)
+    path = IO.shared_folder(spark, "stream")
     IO.write_tables(A.raw(A.events(spark, sf_dir)), path, ["table_name"])
     return IO.read_events(spark, path, "view").select("_id", "timestamp", "device_id", "table_name")
 
@@ -117,7 +107,7 @@ def lake_round_trip(spark, sf_dir):
 @query(f"WITH {A.EVENTS} SELECT device_id, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n FROM (SELECT device_id, 1 AS n FROM e WHERE value > 50 UNION ALL SELECT device_id, 2 FROM e WHERE value > 100) GROUP BY 1")
 def appended_records(spark, sf_dir):
     """Two runs appended to one table, one as parquet and one as lines of JSON, read back together."""
-    e, path = A.events(spark, sf_dir), _folder(spark)
+    e, path = A.events(spark, sf_dir), IO.shared_folder(spark, "stream")
     runs = [e.where("value > 50").select("device_id", F.lit(1).alias("n")), e.where("value > 100").select("device_id", F.lit(2).alias("n"))]
     IO.append_records(runs[0], f"{path}/parquet")
     IO.write_jsonl(runs[1], f"{path}/lines")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,3 +64,35 @@ def last_minutes(ev: DataFrame, minutes: int = 5, lookback_h: int = 6, now_ms: i
 
 def ranked(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+_OURS: dict[str, SparkSession] = {}
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; only a session on one machine may do
+    without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="cohortwire-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def intermediate(df: DataFrame, name: str = "rows") -> DataFrame:
+    """df written once to the shared folder and read back, for plans that read it several times: it is derived once and
+    outlives lost executors.  The folder goes when the driver ends, as later plans may still read it."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    _OURS[path] = spark
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _drop_intermediates() -> None:
+    for path, spark in _OURS.items():
+        with contextlib.suppress(Exception):  # the session may have ended
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

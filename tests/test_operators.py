@@ -222,16 +222,6 @@ def test_types_of_keys_come_from_their_own_values(spark):
     assert kinds == {"a": "mixed", "b": "mixed", "c": "boolean"}
 
 
-def test_positions_of_tied_values(spark):
-    from cohortwire.operators import profiles as P
-
-    rng = np.random.default_rng(2)
-    values = [float(v) for v in [*rng.integers(0, 9, 300), *rng.normal(size=400)]]
-    df = spark.createDataFrame([("f", f"s{i}", v) for i, v in enumerate(values)], "feature string, subject_id string, value double")
-    got = {r.value: (r.ties, r.below) for r in P.value_positions(df, "value", ["feature"]).collect()}
-    assert got == {v: (values.count(v), sum(x < v for x in values)) for v in set(values)}
-
-
 def test_pairwise_rand_is_the_single_one(spark):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([tuple(map(int, r)) for r in rng.integers(0, 3, (200, 3))], "x int, y int, z int")
