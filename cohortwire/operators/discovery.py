@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,18 +94,39 @@ def json_key_inventory(ev: DataFrame, per_window: int | None = None, total: int
     return out.join(sizes, "table_name").withColumn("percent", 100.0 * F.col("n_rows") / F.col("rows_read"))
 
 
+def smallest_distinct(rows: DataFrame, keys: list[str], values: list[str], n: int) -> DataFrame:
+    """Of each key the n smallest different tuples of values (strings; NULL before all), at most.
+
+    A task keeps n of them for each key it has seen and lets go of no more; what tasks have kept is cut to n again.
+    """
+    names = [*keys, *values]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            own = batch.to_pandas().drop_duplicates()
+            held = own if held is None else pd.concat([held, own]).drop_duplicates()
+            held = held.sort_values(values, na_position="first", kind="stable").groupby(keys, dropna=False, sort=False).head(n)
+        if held is not None:
+            yield pa.RecordBatch.from_pandas(held.reset_index(drop=True), schema=pa.schema([(c, pa.string()) for c in names]))
+
+    kept = rows.select(*[F.col(c).cast("string").alias(c) for c in names]).mapInArrow(keep, ", ".join(f"{c} string" for c in names)).distinct()
+    first = Window.partitionBy(*keys).orderBy(*[F.asc_nulls_first(v) for v in values])  # n rows a task and key
+    return kept.withColumn("_i", F.row_number().over(first)).filter(F.col("_i") <= n).drop("_i")
+
+
 def key_examples(ev: DataFrame, n: int = 20, patterns: list[str] = S.SENSITIVE) -> DataFrame:
     """The first n distinct example values of each key in order of value, sensitive ones redacted, and its type: numbers
     whole or not are `number` if no other kind and not both occur, several kinds are `mixed`, nulls don't count."""
     rows = exploded_keys(ev)
     shown = F.when(S.sensitive_key(F.col("key"), patterns), S.REDACTED).otherwise(F.substring("value", 1, 80))
-    distinct = rows.select("table_name", "key", "type", shown.alias("value")).distinct()
-    first = Window.partitionBy("table_name", "key").orderBy("value", "type")
-    numbered = distinct.withColumn("i", F.dense_rank().over(first))
+    rows = rows.select("table_name", "key", "type", shown.alias("value"))
     told = F.when(F.col("type") != "null", F.col("type"))
     one = F.when(F.min(told).isin("integer", "number"), "number").otherwise(F.min(told))
-    kind = F.when(F.count_distinct(told) > 1, "mixed").otherwise(F.coalesce(one, F.lit("unknown")))
-    return numbered.groupBy("table_name", "key").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("i") <= n, F.col("value")))), "|").alias("examples"), kind.alias("key_type"))
+    kind = F.when(F.min(told) != F.max(told), "mixed").otherwise(F.coalesce(one, F.lit("unknown")))
+    kinds = rows.groupBy("table_name", "key").agg(kind.alias("key_type"))
+    examples = smallest_distinct(rows, ["table_name", "key"], ["value", "type"], n).groupBy("table_name", "key").agg(F.array_join(F.array_sort(F.collect_set("value")), "|").alias("examples"))
+    return examples.join(kinds, ["table_name", "key"]).select("table_name", "key", "examples", "key_type")
 
 
 def flatten_json(ev: DataFrame, keys: list[str], patterns: list[str] = S.SENSITIVE) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -96,6 +95,17 @@ def stream_upsert(spark, sf_dir):
 # ------------------------------------------------------------------------------------------------------ sources
 
 
+@query(f"""WITH {A.EVENTS} SELECT device_id, table_name, count(*) AS n_rows, min(timestamp) AS first_ms, max(timestamp) AS last_ms FROM e
+    WHERE timestamp >= {1_704_067_200_000 + 5 * DAY} AND timestamp < {1_704_067_200_000 + 20 * DAY} GROUP BY ALL""")
+def stored_events(spark, sf_dir):
+    """Fifteen days of the event store, summed up by device and table without a shuffle."""
+    name = f"events_{uuid.uuid4().hex}"
+    store = IO.EventStore(spark, name, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), IO.shared_folder(spark, name), days=7)
+    store.add(A.raw(A.events(spark, sf_dir)))
+    rows = store.events(1_704_067_200_000 + 5 * DAY, 1_704_067_200_000 + 20 * DAY)
+    return rows.groupBy("device_id", "table_name").agg(F.count(F.lit(1)).alias("n_rows"), F.min("timestamp").alias("first_ms"), F.max("timestamp").alias("last_ms"))
+
+
 @query(f"WITH {A.EVENTS} SELECT _id, timestamp, device_id, table_name FROM e WHERE table_name = 'view'")
 def lake_round_trip(spark, sf_dir):
     """Events written by table, and one table read back: only its partition is read."""

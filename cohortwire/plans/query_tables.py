@@ -9,6 +9,7 @@ from ..operators import discovery as D
 from ..operators import profiles as P
 from ..operators import quality as Q
 from ..operators import reshape as L
+from ..operators import presence as B
 from . import stand_ins as A
 from .register import Register, rounded
 
@@ -587,3 +588,21 @@ def extract_wide(spark, sf_dir):
 @query(f"""{_EXTRACTED} SELECT table_name, count_if(table_status = 'calculated') AS calculated, count_if(table_status = 'no_valid_rows') AS no_valid_rows, count_if(table_status = 'no_rows_in_window') AS no_rows_in_window, count_if(table_status = 'no_window') AS no_window, count(*) AS attempts, round(100.0 * count_if(table_status = 'calculated') / count(*), 6) AS first_status_pct FROM st GROUP BY 1""")
 def extract_coverage(spark, sf_dir):
     return rounded(_extracted(spark, sf_dir).coverage, "first_status_pct")
+
+
+@query(f"""WITH {A.EVENTS} SELECT DISTINCT device_id, CAST(epoch_ms(timestamp // 86400000 * 86400000) AS DATE) AS day FROM e WHERE table_name IN ('view', 'purchase')""")
+def merged_day_bitmaps(spark, sf_dir):
+    """Days of purchases added to those of views, as bitmaps, and read out again."""
+    e = A.raw(A.events(spark, sf_dir))
+    known, new = (B.day_bitmaps(e.where(F.col("table_name") == t)) for t in ("view", "purchase"))
+    return B.days_of(B.merged_days(known, new))
+
+
+@query(f"""WITH {A.EVENTS}, d AS (SELECT DISTINCT device_id, table_name, CAST({LOCAL} AS DATE) AS day FROM e WHERE table_name IN ('view', 'purchase')),
+    w AS (SELECT device_id, day, count_if(table_name = 'view') AS a, count_if(table_name = 'purchase') AS b FROM d GROUP BY ALL)
+    SELECT device_id, count_if(a > 0) AS n_a, count_if(b > 0) AS n_b, count_if(a > 0 AND b > 0) AS n_both, count_if(a > 0 AND b = 0) AS n_only_a, count_if(a = 0 AND b > 0) AS n_only_b FROM w GROUP BY 1""")
+def compared_days(spark, sf_dir):
+    """Local days with views and with purchases, both, and one only."""
+    e = A.raw(A.events(spark, sf_dir))
+    a, b = (B.day_bitmaps(e.where(F.col("table_name") == t), tz=A.TZ) for t in ("view", "purchase"))
+    return B.compared_days(a, b)

@@ -96,3 +96,34 @@ def _drop_intermediates() -> None:
         with contextlib.suppress(Exception):  # the session may have ended
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class EventStore:
+    """Raw events as a table laid out for jobs by device: bucketed by device and sorted by device, table and time.
+
+    Joins and aggregates by device read it without a shuffle of events, and a filter on devices or times skips row
+    groups by their least and largest values.  `days` cuts it into partitions of so many days, to be replaced or dropped.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, buckets: int, location: str | None = None, days: int = 30):
+        self.spark, self.name, self.buckets, self.location, self.days = spark, name, buckets, location, days
+
+    def add(self, ev: DataFrame) -> None:
+        """Appends events (EVENT_COLUMNS and table_name); rows of one bucket and period go to one file."""
+        period = F.floor(F.col("timestamp") / (self.days * 86_400_000)).cast("int")
+        rows = ev.select(*EVENT_COLUMNS, "table_name", period.alias("period")).repartition(self.buckets, "device_id")
+        writer = rows.write.mode("append").format("parquet").partitionBy("period").bucketBy(self.buckets, "device_id").sortBy("device_id", "table_name", "timestamp")
+        writer = writer.option("path", self.location) if self.location else writer
+        writer.saveAsTable(self.name)
+
+    def events(self, low_ms: int | None = None, high_ms: int | None = None) -> DataFrame:
+        """The events in [low_ms, high_ms), from the periods that hold them."""
+        ev = self.spark.table(self.name)
+        if low_ms is not None:
+            ev = ev.filter((F.col("timestamp") >= low_ms) & (F.col("period") >= low_ms // (self.days * 86_400_000)))
+        if high_ms is not None:
+            ev = ev.filter((F.col("timestamp") < high_ms) & (F.col("period") <= (high_ms - 1) // (self.days * 86_400_000)))
+        return ev.drop("period")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

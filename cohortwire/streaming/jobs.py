@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -107,17 +109,98 @@ def stream_enrich(sdf: DataFrame, device_map: DataFrame, win: DataFrame | None =
     return out.join(w, inside).drop("w_subject_id")
 
 
+#: Live folders of an upserted table beyond which a batch makes one of them, and versions that readers may still hold.
+COMPACT_AFTER, KEPT_VERSIONS = 8, 3
+
+
+class UpsertedTable:
+    """A table of the last row of each key, under `path`: folders of rows, and a manifest for each batch that names the
+    live ones.
+
+    A manifest gets its name by a rename when all is written, so readers see a batch wholly or not at all; a batch that
+    has a manifest is not written again.  When COMPACT_AFTER folders are live, the last row of each key goes to a new one,
+    which takes their place; folders that the last KEPT_VERSIONS manifests don't name are removed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
+        self.spark, self.path, self.keys = spark, path, list(keys)
+        self.root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.files = self.root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, *names: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *names)))
+
+    def versions(self) -> list[int]:
+        where = self._at("manifest")
+        names = [s.getPath().getName() for s in self.files.listStatus(where)] if self.files.exists(where) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("_"))
+
+    def live(self, version: int) -> list[str]:
+        stream = self.files.open(self._at("manifest", f"{version:012d}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _publish(self, version: int, live: list[str]) -> None:
+        temporary = self._at("manifest", f"_{version:012d}-{uuid.uuid4().hex}")
+        stream = self.files.create(temporary, True)
+        stream.write(bytearray(json.dumps(live).encode()))
+        stream.close()
+        self.files.rename(temporary, self._at("manifest", f"{version:012d}.json"))
+
+    def _read(self, live: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{name}" for name in live])
+
+    def _last(self, rows: DataFrame) -> DataFrame:
+        columns = [c for c in rows.columns if c not in self.keys]
+        last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*columns), "batch").alias("_last"))
+        return last.select(*self.keys, "_last.*")
+
+    def add(self, batch: DataFrame, number: int) -> None:
+        """Adds a batch; of its rows of one key any one counts."""
+        known = self.versions()
+        if number in known:
+            return
+        earlier = [v for v in known if v < number]
+        live = self.live(earlier[-1]) if earlier else []
+        name = f"batch-{number:012d}"
+        batch.dropDuplicates(self.keys).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        live.append(name)
+        if len(live) > COMPACT_AFTER:
+            compacted = f"compacted-{number:012d}"
+            self._last(self._read(live)).write.mode("overwrite").parquet(f"{self.path}/{compacted}")
+            live = [compacted]
+        self._publish(number, live)
+        self._vacuum([*known, number])
+
+    def _vacuum(self, versions: list[int]) -> None:
+        kept = sorted(versions)[-KEPT_VERSIONS:]
+        needed = {name for v in kept for name in self.live(v)}
+        for status in self.files.listStatus(self.root):
+            name = status.getPath().getName()
+            old = int(name.rpartition("-")[2]) <= kept[-1] if name.startswith(("batch-", "compacted-")) else False
+            if old and name not in needed:
+                self.files.delete(status.getPath(), True)
+        for v in sorted(versions)[:-KEPT_VERSIONS]:
+            self.files.delete(self._at("manifest", f"{v:012d}.json"), True)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The last row of each key with the batch it came in, as of the last batch or of an earlier one that is kept."""
+        versions = self.versions()
+        if not versions:
+            raise FileNotFoundError(f"no batch has been written to {self.path}")
+        return self._last(self._read(self.live(versions[-1] if version is None else version)))
+
+
 def stream_upsert(sdf: DataFrame, path: str, checkpoint: str, keys: list[str], trigger: dict | None = None, output: str = "append"):
-    """Appends each micro-batch to `path` under its batch number, so a batch that is run again replaces itself; the
-    files are read back, the last batch of each key winning, by read_upserted()."""
+    """Writes each micro-batch to an UpsertedTable at `path`; read_upserted() reads it."""
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+        UpsertedTable(batch.sparkSession, path, keys).add(batch, number)
 
     return sdf.writeStream.foreachBatch(save).outputMode(output).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_upserted(spark, path: str, keys: list[str]) -> DataFrame:
-    rows = spark.read.parquet(path)
-    last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
-    return rows.join(last, [*keys, "batch"], "left_semi")
+    return UpsertedTable(spark, path, keys).read()
