@@ -19,6 +19,8 @@ from .rangejoin import small
 
 #: The grid of penalties.
 ALPHAS = tuple(float(a) for a in np.logspace(-3, 4, 30))
+#: The elastic net's shares of the absolute penalty, and its penalties.
+RATIOS, ELASTIC_ALPHAS = (0.05, 0.2, 0.5, 0.8, 0.95, 1.0), tuple(float(a) for a in np.logspace(-1, 4, 14))
 #: Bytes of sums that a task holds before it lets them go.
 HELD_BYTES = 256 << 20
 
@@ -108,7 +110,38 @@ def choose_alpha(parts: list[np.ndarray], alphas) -> float:
     return alphas[int(np.argmin(np.mean(errors, axis=0)))] if errors else alphas[0]
 
 
-def _fits(sums: pd.DataFrame, medians: pd.DataFrame, plan: dict, features: list[str], targets: list[str], alphas) -> Iterator[tuple]:
+def solved_elastic(gram: np.ndarray, grid, sd: np.ndarray | None = None, sweeps: int = 10_000, close: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """(intercepts, coefficients by (ratio, alpha)) of the elastic net on standardised columns, by coordinate descent on
+    the sums: half the mean squared error, plus alpha times ratio absolute and (1 - ratio) / 2 squared coefficients."""
+    n, mean, cov = centred(gram)
+    sd = scale(gram) if sd is None else sd
+    unit = np.where(sd > 0, 1.0 / np.where(sd > 0, sd, 1.0), 0.0)
+    xx, xy = cov[:-1, :-1] * np.outer(unit, unit) / n, cov[:-1, -1] * unit / n
+    ratio, alpha = np.array(grid, float).T
+    w = np.zeros((len(grid), len(xy)))
+    for _ in range(sweeps):
+        before = w.copy()
+        for j in range(len(xy)):
+            left = xy[j] - w @ xx[:, j] + xx[j, j] * w[:, j]
+            weight = xx[j, j] + alpha * (1 - ratio)
+            w[:, j] = np.where(weight > 0, np.sign(left) * np.maximum(np.abs(left) - alpha * ratio, 0.0) / np.where(weight > 0, weight, 1.0), 0.0)
+        if np.abs(w - before).max() <= close * max(1.0, np.abs(w).max()):
+            break
+    beta = w * unit
+    return mean[-1] - beta @ mean[:-1], beta
+
+
+def choose_elastic(parts: list[np.ndarray], grid):
+    """The (ratio, alpha) of least mean squared error over parts, each held out in turn; columns keep their scale in all."""
+    if len(parts) < 2 or len(grid) == 1:
+        return grid[0]
+    whole = sum(parts)
+    sd = scale(whole)
+    errors = [mean_squares(part, *solved_elastic(whole - part, grid, sd)) for part in parts if 0 < part[0, 0] < whole[0, 0]]
+    return grid[int(np.argmin(np.mean(errors, axis=0)))] if errors else grid[0]
+
+
+def _fits(sums: pd.DataFrame, medians: pd.DataFrame, plan: dict, features: list[str], targets: list[str], alphas, ratios) -> Iterator[tuple]:
     """Rows of coefficients for one repeat: every cohort, target, group of features and held-out fold."""
     k, size = len(features), 1 + 2 * len(features) + len(targets)
     upper = np.triu_indices(size)
@@ -138,8 +171,12 @@ def _fits(sums: pd.DataFrame, medians: pd.DataFrame, plan: dict, features: list[
             parts = [turn.T @ g @ turn for g in others]
             beta, alpha = np.zeros(2 * k), None
             if model != "mean_baseline":
-                alpha = choose_alpha(parts, alphas)
-                (intercept,), (own,) = solved(sum(parts), [alpha])
+                if ratios:
+                    chosen = choose_elastic(parts, [(r, a) for r in ratios for a in alphas])
+                    alpha, ((intercept,), (own,)) = chosen[1], solved_elastic(sum(parts), [chosen])
+                else:
+                    alpha = choose_alpha(parts, alphas)
+                    (intercept,), (own,) = solved(sum(parts), [alpha])
                 for at, c in enumerate(used):
                     beta[c] = own[at]
                     beta[k + c] = own[len(used) + at] + own[at] * fill[c]
@@ -149,9 +186,10 @@ def _fits(sums: pd.DataFrame, medians: pd.DataFrame, plan: dict, features: list[
             yield cohort, domain, model, target, held, alpha, float(intercept), beta.tolist()
 
 
-def target_models(df: DataFrame, domains: dict[str, tuple[str, list[str]]], cohorts: dict[str, int | None] | None = None, rank: str = "coverage_rank", alphas=ALPHAS, key: str = "subject_id") -> DataFrame:
+def target_models(df: DataFrame, domains: dict[str, tuple[str, list[str]]], cohorts: dict[str, int | None] | None = None, rank: str = "coverage_rank", alphas=ALPHAS, key: str = "subject_id", ratios=()) -> DataFrame:
     """Out-of-fold predictions of each domain's own target, in each cohort: a ridge on the domain's features
-    (domain_group_ridge), one on those of all domains (ridge), and the mean (mean_baseline).
+    (domain_group_ridge), one on those of all domains (ridge), and the mean (mean_baseline).  With ratios the models are
+    elastic nets, chosen by least mean squared error (domain_group_elastic_net, elastic_net).
 
     domains: name -> (target, features); cohorts: name -> largest `rank` of its rows, None for all.  df has repeat and
     fold.  Returns cohort, domain, target, model, repeat, fold, key, y, alpha, prediction, for the rows that have the
@@ -168,7 +206,8 @@ def target_models(df: DataFrame, domains: dict[str, tuple[str, list[str]]], coho
     for cohort in range(len(limits)):
         for number, (domain, (target, cols)) in enumerate(domains.items()):
             at = targets.index(target)
-            for model, used in (("ridge", features), ("domain_group_ridge", cols), ("mean_baseline", [])):
+            kind = "elastic_net" if ratios else "ridge"
+            for model, used in ((kind, features), (f"domain_group_{kind}", cols), ("mean_baseline", [])):
                 plan.append((cohort, number, model, at, [features.index(c) for c in used]))
 
     bracket = F.lit(None).cast("int")
@@ -193,7 +232,7 @@ def target_models(df: DataFrame, domains: dict[str, tuple[str, list[str]]], coho
     sums = basis_sums(rows, ["repeat", "fold", "bracket", "pattern"], xs, ts)
 
     def fit(keys: tuple, grams: pd.DataFrame, fills: pd.DataFrame) -> pd.DataFrame:
-        found = list(_fits(grams, fills, plan, features, targets, list(alphas)))
+        found = list(_fits(grams, fills, plan, features, targets, list(alphas), list(ratios)))
         out = pd.DataFrame(found, columns=["cohort", "domain", "model", "target", "fold", "alpha", "intercept", "beta"])
         return out.assign(repeat=keys[0])[["repeat", "fold", "cohort", "domain", "model", "target", "alpha", "intercept", "beta"]]
 

@@ -6,12 +6,8 @@ Rows are never gathered: a pass over the data gives sums per fold (k x k at most
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -247,23 +243,6 @@ def _vectors(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="skip").transform(df)
 
 
-#: The grid of the elastic net.
-ELASTIC_RATIOS = (0.05, 0.2, 0.5, 0.8, 0.95, 1.0)
-ELASTIC_ALPHAS = tuple(float(a) for a in np.logspace(-1, 4, 14))
-
-
-def elastic_net_cv(df: DataFrame, cols: list[str], y: str = "y", ratios=ELASTIC_RATIOS, alphas=ELASTIC_ALPHAS, k: int = 4, parallel: int = 4):
-    """The elastic net of least RMSE over k folds of df, fitted on all of it; columns are standardised by the solver."""
-    model = LinearRegression(labelCol=y, featuresCol="features", maxIter=100)
-    grid = ParamGridBuilder().addGrid(model.elasticNetParam, list(ratios)).addGrid(model.regParam, list(alphas)).build()
-    cv = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=y, metricName="rmse"), numFolds=k, seed=7, parallelism=parallel)
-    rows = _vectors(df, cols).persist()
-    try:
-        return cv.fit(rows)
-    finally:
-        rows.unpersist()
-
-
 def imputed(df: DataFrame, cols: list[str]) -> DataFrame:
     """df with NULL and NaN in cols replaced by the column's median, 0 where there is none."""
     value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
@@ -309,28 +288,6 @@ def pairwise_rand(labels: DataFrame, columns: list[str]) -> DataFrame:
     return sums.select("a", "b", F.when(top == 0, 1.0).otherwise((F.col("both") - expected) / top).alias("rand"))
 
 
-def kmeans_stability(df: DataFrame, features: str, ks=(2, 3, 4, 5), seeds: int = 20, key: str = "subject_id") -> DataFrame:
-    """Per k: silhouette mean, SD, min and max over seeds, the mean, least and largest adjusted Rand index over all pairs
-    of seeds, and whether it is the best: largest mean silhouette, then largest mean index."""
-    evaluator = ClusteringEvaluator(featuresCol=features)
-    names, out = [f"c{seed}" for seed in range(seeds)], []
-    df = df.persist()
-    try:
-        for k in ks:
-            found, scores = df, []
-            for seed, name in enumerate(names):
-                model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="prediction").fit(df)
-                scores.append(evaluator.evaluate(model.transform(df)))
-                found = model.setPredictionCol(name).transform(found)  # a label more for every row, no join
-            rand = pairwise_rand(found.select(*names), names).agg(F.avg("rand"), F.min("rand"), F.max("rand")).first() if seeds > 1 else (1.0, 1.0, 1.0)
-            out.append((k, seeds, float(np.mean(scores)), float(np.std(scores)), float(min(scores)), float(max(scores)), *map(float, rand)))
-    finally:
-        df.unpersist()
-    best = max(out, key=lambda r: (r[2], r[6]))[0]
-    schema = "k int, n_seeds int, silhouette_mean double, silhouette_sd double, silhouette_min double, silhouette_max double, rand_mean double, rand_min double, rand_max double, best boolean"
-    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in out], schema)
-
-
 def _scaled(long: DataFrame) -> DataFrame:
     """long with z: the value less its feature's mean by its population SD, from one aggregate and a join."""
     stats = long.groupBy("feature").agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"))

@@ -17,7 +17,8 @@ from .stats import fit_preprocess
 FOREST = {"numTrees": 300, "maxDepth": 2, "minInstancesPerNode": 6, "featureSubsetStrategy": "0.7"}
 BOOSTED = {"maxIter": 100, "stepSize": 0.03, "maxDepth": 2, "minInstancesPerNode": 8, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.7"}
 SHUFFLES = 3
-#: Rows that one task puts in order.
+#: Rows of a task that fits trees, at least, and rows that one task puts in order.
+FITTED_ROWS = 50_000
 ORDERED_ROWS = 100_000
 
 
@@ -63,9 +64,10 @@ def tree_cv(df: DataFrame, cols: list[str], y: str = "y", models: dict | None =
     kept = df.select(key, "fold", F.col(y).cast("double").alias(y), *cols).where(F.col(y).isNotNull()).persist()
     try:
         sizes = {r["fold"]: r["count"] for r in kept.groupBy("fold").count().collect()}  # a row a fold
+        few = kept.coalesce(max(1, sum(sizes.values()) // FITTED_ROWS))  # as trees take many short jobs
 
         def fit(fold: int):
-            ready = VectorAssembler(inputCols=names, outputCol="features").transform(fit_preprocess(kept, cols, fold))
+            ready = VectorAssembler(inputCols=names, outputCol="features").transform(fit_preprocess(few, cols, fold))
             ready = ready.select(key, "fold", y, F.array(*[F.col(c).cast("double") for c in names]).alias("values"), "features")
             return fold, ready.filter(F.col("fold") == fold), {name: m.fit(ready.filter(F.col("fold") != fold)) for name, m in models.items()}
 

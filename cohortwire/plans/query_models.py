@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import clusters as K
 from ..operators import coverage as C
 from ..operators import ridge as R
 from ..operators import stats as M
@@ -185,10 +186,21 @@ def cohort_baseline(spark, sf_dir):
 
 @query()
 def elastic_net_predictions(spark, sf_dir):
-    """The default grid over four folds; predictions of the rows that the chosen model was not fitted on."""
-    df, cols = _folded(spark, sf_dir), ["n_orders", "mean_price", "max_price"]
-    fitted = M.elastic_net_cv(df.filter("fold <> 0"), cols)
-    return fitted.transform(M._vectors(df.filter("fold = 0"), cols)).select("subject_id", "y", "prediction")
+    """The whole grid of ratios and penalties, each fold's from the others."""
+    cols = ["n_orders", "mean_price", "max_price"]
+    found = R.target_models(_folded(spark, sf_dir), {"score": ("y", cols)}, alphas=R.ELASTIC_ALPHAS, ratios=R.RATIOS)
+    return found.filter("model = 'elastic_net'").select("subject_id", "fold", "y", "alpha", "prediction")
+
+
+@query(f"""WITH {_FOLDED},
+    h AS (SELECT unnest(range(0, 5)) AS held),
+    t AS (SELECT held, avg(n_orders) AS mx, avg(y) AS my, stddev_pop(n_orders) AS s, covar_pop(n_orders, y) / stddev_pop(n_orders) AS c FROM fo, h WHERE fold <> held GROUP BY 1),
+    w AS (SELECT *, sign(c) * greatest(abs(c) - 20.0 * 0.8, 0) / (1 + 20.0 * (1 - 0.8)) / s AS b FROM t)
+    SELECT subject_id, CAST(fold AS INTEGER) AS fold, y, round(my + b * (n_orders - mx), 4) AS prediction FROM fo JOIN w ON fold = held""")
+def elastic_net_one(spark, sf_dir):
+    """One feature, one ratio and penalty: a soft threshold in closed form."""
+    found = R.target_models(_folded(spark, sf_dir), {"score": ("y", ["n_orders"])}, alphas=(20.0,), ratios=(0.8,))
+    return rounded(found.filter("model = 'elastic_net'").select("subject_id", "fold", "y", "prediction"), "prediction", digits=4)
 
 
 _FEATURES = ["n_orders", "mean_price", "max_price"]
@@ -219,7 +231,7 @@ def _components(spark, sf_dir):
 @query()
 def kmeans_stability(spark, sf_dir):
     """On the components."""
-    return M.kmeans_stability(_components(spark, sf_dir).select("subject_id", "pc"), "pc")
+    return K.kmeans_stability(_components(spark, sf_dir).select("subject_id", "pcs"), "pcs")
 
 
 @query()

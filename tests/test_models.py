@@ -163,3 +163,49 @@ def test_components_of_columns_with_nulls(spark):
     assert scores.count() == 80 and loadings.shape == (5, 5)
     assert np.allclose(explained, values[::-1] / values.sum())
     assert np.allclose(np.abs((loadings * vectors[:, ::-1]).sum(0)), 1, atol=1e-6)
+
+
+def test_elastic_net_meets_its_conditions():
+    """At the optimum the gradient of the smooth part equals the penalty's slope, or stays within it where w is 0."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 6)) @ np.triu(np.ones((6, 6)))
+    x = np.column_stack([x, np.full(120, 7.0)])  # a column that doesn't vary
+    y = x[:, 0] - 0.5 * x[:, 3] + rng.normal(size=120) + 4
+    basis = np.column_stack([np.ones(120), x, y])
+    grid = [(r, a) for r in R.RATIOS for a in (0.05, 0.3, 1.0, 30.0)]
+    intercepts, betas = R.solved_elastic(basis.T @ basis, grid)
+    sd = np.where(x.std(0) > 1e-9, x.std(0), 1.0)
+    z = (x - x.mean(0)) / sd
+    for (ratio, alpha), intercept, beta in zip(grid, intercepts, betas):
+        w = beta * sd
+        assert intercept == pytest.approx(y.mean() - beta @ x.mean(0)) and w[-1] == 0
+        slope = z.T @ (y - y.mean() - z @ w) / 120 - alpha * (1 - ratio) * w
+        used = w != 0
+        assert np.allclose(slope[used], alpha * ratio * np.sign(w[used]), atol=1e-6) and (np.abs(slope[~used]) <= alpha * ratio + 1e-6).all()
+    assert (betas[-1] == 0).all() and (betas[0] != 0).sum() > 2
+
+
+def test_kmeans_side_by_side(spark):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    from cohortwire.operators import clusters as K
+
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(60, 2)) * 0.3 + c for c in ((0, 0), (5, 0), (0, 5))] + [np.array([[9.0, 9.0]])])
+    df = spark.createDataFrame([(f"s{i}", list(map(float, r))) for i, r in enumerate(x)], "subject_id string, x array<double>").repartition(4)
+    models = K.fitted(df.select("x"), 2, [K.first_centres(x, k, np.random.default_rng(k)) for k in (2, 3, 5)])
+    sums = K._summed(df.select("x"), 2, models)
+    silhouettes, (table,) = K._compared(df.select("x"), 2, models, sums, [(0, 2)])
+    labels, distances = K._labels(x, models)
+    for m, (centres, label) in enumerate(zip(models, labels)):
+        for j in range(len(centres)):  # a fixed point: every centre is the mean of its points
+            assert np.allclose(centres[j], x[label == j].mean(0), atol=2e-4) and sums[m][j, 0] == (label == j).sum()
+        assert sums[m][:, -1].sum() == pytest.approx(distances[m].sum())
+        rows = spark.createDataFrame([(list(map(float, p)), float(c)) for p, c in zip(x, label)], "x array<double>, prediction double").withColumn("features", array_to_vector("x"))
+        assert silhouettes[m] == pytest.approx(ClusteringEvaluator().evaluate(rows))
+    pairs = spark.createDataFrame([(int(a), int(b)) for a, b in zip(labels[0], labels[2])], "a int, b int")
+    assert K.rand_index(table) == pytest.approx(M.adjusted_rand(pairs, "a", "b"))
+    got = {r.k: r for r in K.kmeans_stability(df.filter("x[0] < 8"), "x", ks=(2, 3, 4), seeds=4).collect()}
+    assert got[3].best and got[3].rand_min == 1.0 and got[3].silhouette_mean > 0.9 and got[2].silhouette_mean < got[3].silhouette_mean
+    assert K.kmeans_stability(df.limit(0), "x").isEmpty()
