@@ -11,6 +11,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import intermediate
 from .stats import fit_preprocess
 
 #: Settings of the forest and of the boosted trees.
@@ -51,7 +52,7 @@ def dealt_anew(rows: DataFrame, by: list[str], key: str, values: str, seed: int,
     return to.join(given, [*by, "place"]).drop("place")
 
 
-def tree_cv(df: DataFrame, cols: list[str], y: str = "y", models: dict | None = None, shuffles: int = SHUFFLES, key: str = "subject_id", parallel: int = 4) -> tuple[DataFrame, DataFrame]:
+def tree_cv(df: DataFrame, cols: list[str], y: str = "y", models: dict | None = None, shuffles: int = SHUFFLES, key: str = "subject_id", parallel: int = 8) -> tuple[DataFrame, DataFrame]:
     """(predictions, importance) of tree models, each fold's from models fitted on the others.
 
     predictions: key, fold, model, y, prediction.  importance: fold, model, feature, importance_mean, importance_std:
@@ -66,36 +67,38 @@ def tree_cv(df: DataFrame, cols: list[str], y: str = "y", models: dict | None =
         sizes = {r["fold"]: r["count"] for r in kept.groupBy("fold").count().collect()}  # a row a fold
         few = kept.coalesce(max(1, sum(sizes.values()) // FITTED_ROWS))  # as trees take many short jobs
 
-        def fit(fold: int):
+        def prepared(fold: int) -> DataFrame:
             ready = VectorAssembler(inputCols=names, outputCol="features").transform(fit_preprocess(few, cols, fold))
-            ready = ready.select(key, "fold", y, F.array(*[F.col(c).cast("double") for c in names]).alias("values"), "features")
-            return fold, ready.filter(F.col("fold") == fold), {name: m.fit(ready.filter(F.col("fold") != fold)) for name, m in models.items()}
+            return ready.select(key, "fold", y, F.array(*[F.col(c).cast("double") for c in names]).alias("values"), "features")
 
+        def fit(which: tuple[int, str]):
+            fold, name = which
+            return models[name].fit(ready[fold].filter(F.col("fold") != fold))
+
+        pairs = [(fold, name) for name in models for fold in sorted(sizes)]
         with ThreadPoolExecutor(parallel) as pool:
-            fitted = list(pool.map(fit, sorted(sizes)))
+            ready = dict(zip(sorted(sizes), pool.map(prepared, sorted(sizes)), strict=True))
+            fitted = dict(zip(pairs, pool.map(fit, pairs), strict=True))
     finally:
         kept.unpersist()
 
-    def predictions(fold: int, rows: DataFrame, name: str, model) -> DataFrame:
-        return model.transform(rows).select(key, "fold", F.lit(name).alias("model"), y, "prediction")
-
-    def rises(fold: int, rows: DataFrame, own: dict) -> DataFrame:
-        rows = rows.drop("features")
-        deals = reduce(DataFrame.unionByName, [dealt_anew(rows, ["fold"], key, "values", s, sizes[fold]).withColumn("shuffle", F.lit(s)) for s in range(1, shuffles + 1)])
-        each = deals.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
-        changed = each.withColumn("values", F.transform("values", lambda v, i: F.when(i == F.col("at"), F.col("dealt")[i]).otherwise(v))).drop("dealt")
-        asked = rows.withColumn("shuffle", F.lit(0)).withColumn("at", F.lit(-1)).unionByName(changed).withColumn("features", array_to_vector("values"))
-        error = F.col(y) - F.col("prediction")
-        found = []
-        for name, model in own.items():
-            rmse = model.transform(asked).groupBy("fold", "shuffle", "at").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
-            found.append(rmse.withColumn("model", F.lit(name)))
-        return reduce(DataFrame.unionByName, found)
-
-    out = reduce(DataFrame.unionByName, [predictions(fold, rows, name, m) for fold, rows, own in fitted for name, m in own.items()])
-    rmse = reduce(DataFrame.unionByName, [rises(*f) for f in fitted])  # a row per fold, model, feature and deal
-    base = rmse.filter("at < 0").select("fold", "model", F.col("rmse").alias("base"))
-    gains = rmse.filter("at >= 0").join(F.broadcast(base), ["fold", "model"]).withColumn("rise", F.col("rmse") - F.col("base"))
+    # Every row as its own fold's models see it, and with the values of others, dealt out for all folds at once.
+    held = intermediate(reduce(DataFrame.unionByName, [rows.filter(F.col("fold") == fold).drop("features") for fold, rows in ready.items()]), "held-out")
+    dealt = reduce(DataFrame.unionByName, [dealt_anew(held, ["fold"], key, "values", s, sum(sizes.values())).withColumn("shuffle", F.lit(s)) for s in range(1, shuffles + 1)])
+    dealt = intermediate(dealt, "dealt")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        """rows(fold, values) with model and prediction, from the models that have not seen the fold."""
+        rows = rows.withColumn("features", array_to_vector("values"))
+        each = [m.transform(rows.filter(F.col("fold") == fold)).withColumn("model", F.lit(name)) for (fold, name), m in fitted.items()]
+        return reduce(DataFrame.unionByName, each)
+
+    each = dealt.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
+    changed = each.withColumn("values", F.transform("values", lambda v, i: F.when(i == F.col("at"), F.col("dealt")[i]).otherwise(v)))
+    error = F.col(y) - F.col("prediction")
+    rmse = scored(changed).groupBy("fold", "model", "shuffle", "at").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
+    base = scored(held).groupBy("fold", "model").agg(F.sqrt(F.avg(error * error)).alias("base"))  # a row a fold and model
+    gains = rmse.join(F.broadcast(base), ["fold", "model"]).withColumn("rise", F.col("rmse") - F.col("base"))
     feature = F.array(*[F.lit(c.removesuffix("__z")) for c in names])[F.col("at")]
     importance = gains.groupBy("fold", "model", feature.alias("feature")).agg(F.avg("rise").alias("importance_mean"), F.stddev_pop("rise").alias("importance_std"))
-    return out, importance
+    return scored(held).select(key, "fold", "model", y, "prediction"), importance
