@@ -327,5 +327,7 @@ def _similar_groups(docs: DataFrame, shingle: int, least_similarity: float) -> D
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, with all their columns: one of each group of near duplicates, by doc_id."""
     keep = similar_groups(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    keep = keep.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    keep = keep.select(F.col("doc_id").alias("kept_id")).distinct()
+    # Rows are kept whole in one column, so that no name of theirs can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col("doc_id").alias("id"))
+    return rows.join(keep.hint("merge"), F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("whole.*")

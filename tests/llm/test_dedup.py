@@ -239,3 +239,13 @@ def test_near_groups_are_those_of_all_pairs(spark):
         name[d] = min(empty)
     got = {r.doc_id: r.keep_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(links) > 40 and got == {d: root(d) for d in sets}
+
+
+def test_columns_named_like_the_stages_own_stay(spark):
+    from cohortwire.llm import simhash
+
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text, "a", 7), (2, text + " more", "b", 8), (3, "other words here", "c", 9)], "doc_id long, text string, lang string, n_chars long")
+    names = ["_kept_id", "kept_id", "keep_id", "id", "whole", "node", "a.b"]
+    got = simhash.one_of_each_group(df.withColumns({name: F.lit("mine") for name in names}), shingle=5, least_similarity=0.8)
+    assert {(r["doc_id"], *(r[n] for n in names)) for r in got.collect()} == {(i, *["mine"] * 7) for i in (1, 3)} and got.columns == [*df.columns, *names]
