@@ -21,16 +21,17 @@ FALSE_WORDS = "example sample dummy fake test placeholder changeme xxxx sha1 sha
 TEST_PATHS = "test spec example sample mock fixture doc"
 #: What stands before a value that is given to a key, and before a password in an address.
 ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer)[\"']?(?:\s{0,3}[=:]\s{0,3}|\s)[\"']?"
-IN_ADDRESS = r"://[^\s/:@]{1,64}:"
+IN_ADDRESS = r"://[^\s/:@]++:"
 #: The forms of candidates, each of which may have one of the above before it: a value given to a key, a password in an
-#: address, keys of providers, signed tokens, private keys, and runs of 16 or more key characters with a digit.
+#: address, keys of providers, signed tokens, private keys, and runs of 16 or more key characters with a digit.  None has
+#: a largest length; what repeats is possessive, so a text is gone through once.
 FORMS = [
     ASSIGNED + r"(?=[^\s\"',;]*[^\sa-z\"',;])[^\s\"',;]{6,}",
-    IN_ADDRESS + r"[^\s/@]{3,128}(?=@)",
+    IN_ADDRESS + r"[^\s/@]{3,}+(?=@)",
     r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{16,})",
     r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*",
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+",
-    r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,512}[0-9])[A-Za-z0-9_+/=-]{16,}",
+    r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}",
 ]
 CANDIDATE = "|".join(FORMS)
 CONTEXT_CHARS = 48
@@ -96,7 +97,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
         "other_chars": share("[^A-Za-z0-9]"),
         "digit_share": share("[0-9]"),
         "upper_share": share("[A-Z]"),
-        "different_share": F.size(F.array_distinct(F.split(F.left("candidate", F.lit(256)), ""))) / F.least(n, F.lit(256)),
+        "different_share": F.size(F.array_distinct(F.split("candidate", ""))) / n,
         "repeated_share": share(r"(.)(?=\1)"),
         "dictionary_share": F.coalesce("covered", F.lit(0)) / n,
         "hex_only": flag(F.col("candidate"), "^[0-9a-fA-F]+$"),

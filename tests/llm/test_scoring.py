@@ -450,3 +450,15 @@ def test_texts_of_an_unknown_script_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {r.doc_id for r in language_id.with_known_language(docs, F.lit(False)).collect()}
     assert kept == {*range(20), 51}
+
+
+def test_candidates_have_no_largest_length(spark):
+    import time
+
+    run, password, user = "a" * 3000 + "7" + "b" * 30, "p" * 700, "u" * 300
+    texts = [f"x {run} y", f"see https://{user}:{password}@host/ now", "://" * 200_000, "a" * 2_000_000, ("b" * 50 + "://") * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.perf_counter()
+    found = {(r.doc_id, r.start, r.candidate) for r in secret_scan.candidates(df).collect()}
+    assert time.perf_counter() - start < 30
+    assert found == {(0, 2, run), (1, 4 + len(f"https://{user}:"), password)}
