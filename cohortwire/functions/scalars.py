@@ -194,6 +194,11 @@ def percentile(col, q: float) -> Column:
     return F.percentile(_c(col), F.lit(q))
 
 
+def thinned(ms, k: int, offset: int = 0) -> Column:
+    """True for the times that are `offset` more than a multiple of k: the same rows on every run, whatever the order."""
+    return F.pmod(_c(ms), F.lit(k)) == F.lit(offset % k)
+
+
 def sensitive_key(key: Column, patterns=SENSITIVE, allowed=ALLOWED_KEYS) -> Column:
     low = F.lower(key)
     hit = low.rlike("|".join(patterns))

@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import intermediate
 from .coverage import status_counts
 from .rangejoin import range_join
 from .reshape import to_wide
@@ -41,7 +42,7 @@ def extract(ev: DataFrame, win: DataFrame, subjects: DataFrame, jobs: dict[str,
     and feature_status that, or feature_missing for a value that is NULL where the table was calculated.  wide: a row
     per subject and a column <table>__<feature>.  coverage: how often each status occurs by table.
     """
-    we = windowed(ev, win, list(jobs))
+    we = intermediate(windowed(ev, win, list(jobs)), "windowed", by=["table_name"])  # once for all jobs, each reads its table
     values = rows = None
     for table, job in jobs.items():
         found = job.features(we.filter(F.col("table_name") == table))

@@ -24,7 +24,7 @@ def last_minutes(spark, sf_dir):
 def json_field_filter(spark, sf_dir):
     from ..functions import scalars as S
 
-    e = A.raw(A.events(spark, sf_dir)).filter(F.pmod("timestamp", F.lit(3)) == 0)
+    e = A.raw(A.events(spark, sf_dir)).filter(S.thinned("timestamp", 3))
     return e.select("_id", "timestamp", "device_id", S.json_field("data", "$.k", "double").alias("k")).filter(S.in_range("k", 10, 80))
 
 

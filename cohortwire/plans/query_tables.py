@@ -292,6 +292,20 @@ def compare_coverage(spark, sf_dir):
     return rounded(C.compare_coverage(w, b), "missing_pct_a", "missing_pct_b")
 
 
+@query(f"""WITH {A.LONG}, {_WIDE},
+    b AS (SELECT subject_id, CASE WHEN click_mean > 40 THEN click_mean END AS click_mean, view_mean, click_max FROM wd WHERE subject_id > 'S00002'),
+    j AS (SELECT subject_id, wd.click_mean AS a, b.click_mean AS b FROM wd JOIN b USING (subject_id)
+          UNION ALL SELECT subject_id, wd.view_mean, b.view_mean FROM wd JOIN b USING (subject_id)
+          UNION ALL SELECT subject_id, wd.click_max, b.click_max FROM wd JOIN b USING (subject_id))
+    SELECT subject_id, count(*) AS n, count_if(a IS NULL) AS missing_a, count_if(b IS NULL) AS missing_b, count_if(a IS NULL AND b IS NOT NULL) AS gained, count_if(a IS NOT NULL AND b IS NULL) AS lost,
+           round(100.0 * count_if(a IS NULL) / count(*), 6) AS missing_pct_a, round(100.0 * count_if(b IS NULL) / count(*), 6) AS missing_pct_b
+    FROM j GROUP BY 1""")
+def compare_coverage_by_subject(spark, sf_dir):
+    w = _wide(spark, sf_dir)
+    b = w.where("subject_id > 'S00002'").select("subject_id", F.when(F.col("click_mean") > 40, F.col("click_mean")).alias("click_mean"), "view_mean", "click_max")
+    return rounded(C.compare_coverage(w, b, by="subject_id"), "missing_pct_a", "missing_pct_b")
+
+
 @query(f"{_COV} SELECT table_name, count_if(status = 'ok_has_data') AS ok_has_data, count_if(status = 'ok_no_data') AS ok_no_data, count_if(status = 'missing_device_id') AS missing_device_id, count(*) AS attempts, round(100.0 * count_if(status = 'ok_has_data') / count(*), 6) AS first_status_pct FROM cov GROUP BY 1")
 def status_counts(spark, sf_dir):
     return rounded(C.status_counts(_cov(spark, sf_dir), ["ok_has_data", "ok_no_data", "missing_device_id"]), "first_status_pct")

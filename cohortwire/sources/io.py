@@ -80,12 +80,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def intermediate(df: DataFrame, name: str = "rows") -> DataFrame:
+def intermediate(df: DataFrame, name: str = "rows", by: list[str] = ()) -> DataFrame:
     """df written once to the shared folder and read back, for plans that read it several times: it is derived once and
-    outlives lost executors.  The folder goes when the driver ends, as later plans may still read it."""
+    outlives lost executors; with `by`, a filter on these columns reads its part only.  The folder goes when the driver
+    ends, as later plans may still read it."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     _OURS[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 

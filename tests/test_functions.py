@@ -136,3 +136,9 @@ def test_no_personal_key_gets_through(spark):
     assert "private" not in deep and json.loads(deep)["application_name"] == "app" and json.loads(deep)["is_system_app"] == "1"
     flat = json.loads(df.select(S.redact_flat("data").alias("d")).first().d)
     assert all(flat[k] == S.REDACTED for k in keys) and flat["application_name"] == "app"
+
+
+def test_thinned_times(spark):
+    df = spark.createDataFrame([(t,) for t in (-3, -1, 0, 2, 3, 5)], "t long")
+    assert [r.t for r in df.filter(S.thinned("t", 3)).collect()] == [-3, 0, 3]
+    assert [r.t for r in df.filter(S.thinned("t", 3, 5)).collect()] == [-1, 2, 5]
