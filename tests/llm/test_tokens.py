@@ -139,6 +139,27 @@ def test_most_tokens_follow_the_program(many):
     assert packing.least_sequences(counts, 4096) <= plan.bound <= plan.sequences and plan.gap < 0.01
 
 
+@pytest.mark.parametrize(("least", "most", "sequences"), [(900, 2000, 7_400), (1100, 1900, 7_950), (1366, 2100, 10_000)])
+def test_lengths_that_seldom_fill_a_sequence(least, most, sequences):
+    lengths, n = np.unique(np.random.default_rng(0).integers(least, most + 1, 20_000), return_counts=True)
+    counts = dict(zip(lengths.tolist(), n.tolist(), strict=True))
+    plan = packing.plan_packing(counts, 4096)
+    assert plan.taken == counts and plan.sequences <= sequences
+    assert plan.tokens_by_program > 0.9 and plan.gap < 0.03
+
+
+def test_the_knapsack_is_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        lengths = np.sort(rng.choice(np.arange(3, 25), 5, replace=False))
+        weights = np.full(41, -np.inf)
+        weights[lengths] = rng.random(5)
+        most = [0.0] * 41
+        for c in range(1, 41):
+            most[c] = max([most[c - 1], *(weights[k] + most[c - k] for k in lengths.tolist() if k <= c)])
+        assert packing.knapsack(weights, 40, int(lengths[0]))[0].tolist() == pytest.approx(most)
+
+
 def test_the_dual_bounds_lengths_that_fill_no_sequence():
     counts = {40: 1000, 70: 10}  # two of 40 and nothing beside them, one of 70 alone
     demand = np.zeros(101)
