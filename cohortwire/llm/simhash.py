@@ -158,11 +158,6 @@ def _named_by_least(nodes: DataFrame, named: DataFrame, node: str) -> DataFrame:
 
 # ------------------------------------------------------------------ near duplicates by similarity of shingles
 
-#: Texts that are looked at for common shingles, and how many of those are remembered.  They only order the keys, so
-#: that few texts share one; what is found doesn't depend on them.
-COMMON_SAMPLE, COMMON_KEPT = 5_000, 50_000
-#: Keys that two similar texts share at least (all of the overlap, if that is smaller): the prefixes are longer by it.
-SHARED_KEYS = 12
 #: Against rounding of products with the least similarity.
 TINY = 1e-9
 
@@ -175,36 +170,58 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def prefix_keys(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, least_similarity: float) -> np.ndarray:
-    """The first n - ceil(least_similarity * n) + SHARED_KEYS of n sorted different hashes in the global order (those
-    not common by value, then the common by rank).  Two sets of that similarity overlap in ceil(least_similarity *
-    n) at least, and the first SHARED_KEYS of what they share are among the keys of both."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    length = n - int(np.ceil(least_similarity * n - TINY)) + SHARED_KEYS
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        known = common[at] == hashes
-        shared = hashes[known][np.argsort(rank[at[known]])]
-        hashes = np.concatenate([hashes[~known], shared])
-    return hashes[:length]
+#: Sizes of sets go to buckets this much apart.
+BUCKET = 1.25
+#: Parts that a bucket's sets are cut into, for each element that two similar sets of it may differ in.
+PARTS = 1.25
+
+
+def size_bucket(n: int) -> tuple[int, int]:
+    """(number, largest size) of the bucket of sets of n > 0 elements."""
+    number, most = 0, 1
+    while most < n:
+        number, most = number + 1, max(most + 1, int(most * BUCKET))
+    return number, most
 
 
-def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, their ranks, the most common last) of shingles in three or more of the sampled texts."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
-    @F.pandas_udf("array<long>")
-    def different(text: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in text])
 
-    share = COMMON_SAMPLE / max(docs.count(), 1)
-    sample = texts(docs).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
-    counts = sample.select(F.explode(different("text")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
-    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON_KEPT).collect()
-    found = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(found)
-    return found[order], (len(found) - np.arange(len(found)))[order]
+def part_keys(hashes: np.ndarray, least_similarity: float) -> np.ndarray:
+    """Keys of a set of different hashes; two sets of the similarity share one.
+
+    Sets of nx <= ny elements meet in the bucket of ny, in which each is cut into `parts` by hash; a key is a part
+    with all its elements.  Similar sets differ in d = (1 - s) / (1 + s) * (nx + ny) elements at most, so all but d of
+    their parts are equal.  A set may therefore do without its smallest parts, as long as these are fewer than
+    parts - d: of the equal parts, one is larger than what either set left out.  What texts of a shared passage have in
+    common makes up a whole large part only by chance, so they seldom share a key.
+    """
+    n = len(hashes)
+    if not n:
+        return hashes
+    share = (1 - least_similarity) / (1 + least_similarity)
+    largest = int(n / least_similarity + TINY)  # the largest set that can be similar
+    bucket, most = size_bucket(n)
+    keys, mixed = [], _mixed(hashes)
+    while True:
+        parts = int(PARTS * int(2 * most * share + TINY)) + 1
+        differ = int((n + min(most, largest)) * share + TINY)
+        part = (hashes % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        size = np.bincount(part, minlength=parts)
+        held = np.flatnonzero(size)
+        total = np.zeros(parts, np.uint64)
+        total[held] = np.add.reduceat(mixed[order], (np.cumsum(size) - size)[held])
+        # The largest size of which all parts up to it can be left out.
+        upto = np.cumsum(np.bincount(size))
+        left_out = int(np.searchsorted(upto, parts - differ - 1, side="right")) - 1
+        chosen = np.flatnonzero(size > left_out)
+        keys.append(_mixed(total[chosen] ^ _mixed(chosen.astype(np.uint64) * np.uint64(4096) + np.uint64(bucket))))
+        if most >= largest:
+            return np.concatenate(keys)
+        bucket, most = bucket + 1, max(most + 1, int(most * BUCKET))
 
 
 def _verified(pairs: DataFrame, sets_of, least_similarity: float) -> DataFrame:
@@ -233,48 +250,56 @@ def _verified(pairs: DataFrame, sets_of, least_similarity: float) -> DataFrame:
 def similar_links(nodes: DataFrame, sets_of, least_similarity: float) -> DataFrame:
     """Links (a, b) that connect all nodes of the similarity.  nodes: node, n, keys; sets_of as in _verified().
 
-    All members of a key are compared with its smallest and largest node first; after that only those that aren't
-    yet connected, so a group of copies costs in proportion to its size.
+    A node is compared first with one other, the smallest of most of its keys; then, within the keys whose members
+    that left unconnected, with the first and the last by component; at last with those of other components.  So a
+    group of copies costs in proportion to its size.
     """
-    members = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "n")
-    several = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key"), "key-sizes")
-    kept = written(members.join(several, "key", "left_semi").select("key", F.struct("id", "n").alias("m")), "key-members")
-    dropped(several)
-    hubs = written(kept.groupBy("key").agg(F.min("m").alias("low"), F.max("m").alias("high")), "key-hubs")
-    shared = written(kept.join(hubs, "key"), "shared-keys")
-    dropped(kept)
-    dropped(hubs)
     alike = lambda x, y: F.least(x, y) >= F.lit(least_similarity) * F.greatest(x, y) - F.lit(TINY)
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    with_hub = shared.select("m", F.explode(F.array("low", "high")).alias("hub")).filter("m.id <> hub.id").filter(alike(F.col("m.n"), F.col("hub.n")))
-    # Pairs that meet in few keys here are left to the second comparison, which counts all their keys.
-    enough = F.least(F.lit(SHARED_KEYS), F.ceil(F.lit(least_similarity) * F.col("larger") - F.lit(TINY)))
-    with_hub = with_hub.select(*pair(F.col("m.id"), F.col("hub.id")), F.greatest("m.n", "hub.n").alias("larger"))
-    met = with_hub.groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"), F.first("larger").alias("larger"))
-    first = _verified(met.filter(F.col("keys") >= enough).select("a", "b"), sets_of, least_similarity)
-    named = components(first, None)
-    member = shared.select("key", F.col("m.id").alias("id"), F.col("m.n").alias("n"))
-    member = member.join(named, member["id"] == named["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("name"))
-    of_names = member = written(member, "named-members")
+    members = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "n")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("hub")).filter("size > 1")
+    hubs = written(sizes.select("key", "hub"), "key-hubs")
+    shared = written(members.join(hubs, "key"), "shared-keys")
+    dropped(hubs)
+
+    with_hub = shared.filter("id <> hub.id").filter(alike(F.col("n"), F.col("hub.n"))).groupBy("id", F.col("hub.id").alias("hub"))
+    met = with_hub.agg(F.count(F.lit(1)).alias("keys")).groupBy("id").agg(F.max_by("hub", F.struct("keys", "hub")).alias("hub"))
+    links = [_verified(met.select(*pair(F.col("id"), F.col("hub"))).distinct(), sets_of, least_similarity)]
+    left = _unconnected(shared.select("key", "id", "n"), links[0])
     dropped(shared)
-    split = member.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most")).filter("least < most")
-    member = written(member.join(split.select("key"), "key", "left_semi"), "members-left")
-    dropped(of_names)
-    other = member.select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("name").alias("other_name"))
-    rest = member.join(other, "key").filter("name < other_name").filter(alike(F.col("n"), F.col("other_n")))
-    rest = rest.select(*pair(F.col("id"), F.col("other")), F.greatest("n", "other_n").alias("larger"))
-    rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"), F.first("larger").alias("larger"))
-    rest = _verified(rest.filter(F.col("keys") >= enough).select("a", "b"), sets_of, least_similarity)
-    dropped(member)
-    return first.unionByName(rest)
+
+    ends = left.groupBy("key").agg(*[f(F.struct("name", "id", "n")).alias(f.__name__) for f in (F.min, F.max)])
+    with_end = left.join(ends, "key").select("id", "n", "name", F.explode(F.array("min", "max")).alias("end"))
+    with_end = with_end.filter(F.col("name") != F.col("end.name")).filter(alike(F.col("n"), F.col("end.n")))
+    links.append(_verified(with_end.select(*pair(F.col("id"), F.col("end.id"))).distinct(), sets_of, least_similarity))
+    found = links[0].unionByName(links[1])
+    last = _unconnected(left.select("key", "id", "n"), found)
+    dropped(left)
+
+    other = last.select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("name").alias("other_name"))
+    rest = last.join(other, "key").filter("name < other_name").filter(alike(F.col("n"), F.col("other_n")))
+    links.append(_verified(rest.select(*pair(F.col("id"), F.col("other"))).distinct(), sets_of, least_similarity))
+    dropped(last)
+    return found.unionByName(links[2])
+
+
+def _unconnected(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members (key, id, n) of the keys that hold several components of the links, with their component as name."""
+    named = components(links, None)
+    named = members.join(named, members["id"] == named["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("name"))
+    named = written(named, "named-members")
+    split = named.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most")).filter("least < most")
+    out = written(named.join(split.select("key"), "key", "left_semi"), "members-left")
+    dropped(named)
+    return out
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, least_similarity: float = 0.8) -> DataFrame:
     """doc_id, keep_id: texts whose `shingle`-word sets have the given similarity are linked; of a component the
     smallest doc_id stays.
 
-    Two bits of a 64-bit fingerprint can't find texts that are only 0.8 alike, so keys are prefixes of the shingle
-    sets in a global order, which miss no pair, and the full sets verify every pair.  Texts without a word are linked
+    Two bits of a 64-bit fingerprint can't find texts that are only 0.8 alike, so keys are parts of the shingle
+    sets, of which similar texts share one, and the full sets verify every pair.  Texts without a word are linked
     with nothing but equal texts.  Repeated rows and null ids are treated as in simhash_groups().
     """
     with shuffle_files_dropped(docs.sparkSession):
@@ -282,9 +307,6 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least_similarity: float =
 
 
 def _similar_groups(docs: DataFrame, shingle: int, least_similarity: float) -> DataFrame:
-    common, rank = common_shingles(docs, shingle)
-    shared = docs.sparkSession.sparkContext.broadcast((common, rank))
-
     @F.pandas_udf("node long, n long, keys array<long>")
     def features(text: pd.Series) -> pd.DataFrame:
         nodes, counts, keys = [], [], []
@@ -292,7 +314,7 @@ def _similar_groups(docs: DataFrame, shingle: int, least_similarity: float) -> D
             h = np.unique(shingle_hashes(t, shingle))
             nodes.append(xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split()), 5))
             counts.append(len(h))
-            keys.append(prefix_keys(h, *shared.value, least_similarity).view(np.int64))
+            keys.append(part_keys(h, least_similarity).view(np.int64))
         return pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "n": np.array(counts, np.int64), "keys": keys})
 
     @F.pandas_udf("binary")
