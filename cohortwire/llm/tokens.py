@@ -187,7 +187,7 @@ def vocabulary_size(path: str) -> int:
 
 
 def chunk_ids(path: str) -> ChunkIds:
-    return per_worker(("ids", path), lambda: ChunkIds(path))
+    return per_worker(("ids", path), lambda: ChunkIds(path), keep=1)  # in a pipeline, earlier stages' models go
 
 
 def default_vocabulary() -> str:
