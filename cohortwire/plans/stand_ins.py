@@ -130,10 +130,18 @@ LONG = f"""{EVENTS}, g AS (SELECT subject_id, table_name, round(avg(value), 6) A
             UNION ALL SELECT subject_id, table_name, 'n_events', n_events FROM g)"""
 
 
+def exact_mean(column: str, digits: int):
+    """The mean rounded to `digits`, from a sum in decimals, which no order of the rows changes: equal rows have equal
+    means on every run.  Values that no such decimal holds (over 22 digits, NaN, infinite) take the mean of doubles."""
+    x = F.col(column)
+    held = x.try_cast("decimal(30, 8)")
+    return F.when(F.count(held) == F.count(x), F.round(F.avg(held), digits).cast("double")).otherwise(F.round(F.avg(x), digits))
+
+
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as subjects: score y, and features from their orders, NULL where there are none."""
     c = table(spark, sf_dir, "customer")
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("n_orders"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"), F.max("o_totalprice").alias("max_price"))
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("n_orders"), exact_mean("o_totalprice", 4).alias("mean_price"), F.max("o_totalprice").alias("max_price"))
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left").select(padded(F.col("c_custkey"), "C").alias("subject_id"), F.col("c_acctbal").alias("y"), "n_orders", "mean_price", "max_price", "c_mktsegment", "c_nationkey")
 
 

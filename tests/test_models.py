@@ -209,3 +209,19 @@ def test_kmeans_side_by_side(spark):
     got = {r.k: r for r in K.kmeans_stability(df.filter("x[0] < 8"), "x", ks=(2, 3, 4), seeds=4).collect()}
     assert got[3].best and got[3].rand_min == 1.0 and got[3].silhouette_mean > 0.9 and got[2].silhouette_mean < got[3].silhouette_mean
     assert K.kmeans_stability(df.limit(0), "x").isEmpty()
+
+
+def test_means_of_equal_rows_are_equal_in_any_order(spark, tmp_path):
+    """Their mean, 263301.80125, is a tie at four digits: sums of doubles in these two orders fall on different sides."""
+    from cohortwire.plans import stand_ins as A
+
+    one = [186783.44, 318282.23, 296219.53, 12573.09, 296973.01, 249537.78, 369007.67, 377037.66]
+    other = [12573.09, 318282.23, 369007.67, 296973.01, 249537.78, 296219.53, 186783.44, 377037.66]
+    assert sorted(one) == sorted(other)
+    rows = [(k, p) for k, prices in ((1, one), (2, other), (3, [float("nan"), 1.0])) for p in prices]
+    spark.createDataFrame(rows, "o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    customers = [(k, 5.0, "A", 0) for k in (1, 2, 3, 4)]
+    spark.createDataFrame(customers, "c_custkey long, c_acctbal double, c_mktsegment string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.subject_id: r.mean_price for r in A.cohort(spark, str(tmp_path)).collect()}
+    assert got["C00001"] == got["C00002"] == 263301.8013
+    assert np.isnan(got["C00003"]) and got["C00004"] is None
