@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -29,8 +31,10 @@ def trapezoid(y: np.ndarray, x: np.ndarray) -> float:
     return float(((y[1:] + y[:-1]) / 2 * np.diff(x)).sum()) if len(x) > 1 else 0.0
 
 
+@lru_cache(maxsize=256)
 def butterworth(order: int, edges: tuple[float, ...], fs: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sections (b, a) of a digital Butterworth low-pass (one edge) or band-pass (two), by the bilinear transform."""
+    """Sections (b, a) of a digital Butterworth low-pass (one edge) or band-pass (two), by the bilinear transform.  Those
+    of the settings last used are kept, as most series have few rates."""
     poles = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
     warped = [2 * fs * np.tan(np.pi * f / fs) for f in edges]
     if len(edges) == 1:
@@ -71,28 +75,37 @@ def _states(step: np.ndarray, first: np.ndarray, given: np.ndarray) -> np.ndarra
     return s
 
 
-def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """One section from the steady state of the first value.
-
-    Blocks of samples are filtered by the matrix of the impulse response; what a block inherits is its state, and the
-    states of all blocks follow from each other by a linear recursion, so no step goes sample by sample.
-    """
+@lru_cache(maxsize=256)
+def _block_matrices(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[np.ndarray, ...]:
+    """Of a section: a block's response to its samples and to its first state, what a block leaves, its step of the
+    state, and the steady state of a series of ones."""
     n = max(len(a), len(b))
     b, a = np.pad(b, (0, n - len(b))), np.pad(a, (0, n - len(a)))
     step = np.eye(n - 1, k=1) - np.outer(a[1:], np.eye(1, n - 1))  # of the state, without input
     enter = b[1:] - a[1:] * b[0]  # what a sample adds to it
     gain = b.sum() / a.sum()
-    first = np.array([(b[k + 1 :].sum() - a[k + 1 :].sum() * gain) * x[0] for k in range(n - 1)])
+    first = np.array([b[k + 1 :].sum() - a[k + 1 :].sum() * gain for k in range(n - 1)])
     powers = [np.eye(n - 1)]
     for _ in range(BLOCK):
         powers.append(step @ powers[-1])
     seen = np.stack([p[0] for p in powers[:BLOCK]])  # what the state at a block's start adds to each of its samples
     response = np.concatenate([[b[0]], seen[: BLOCK - 1] @ enter])
-    inside = np.array([[response[i - j] if i >= j else 0.0 for j in range(BLOCK)] for i in range(BLOCK)])
+    lag = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
+    inside = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
     leave = np.stack([powers[BLOCK - 1 - j] @ enter for j in range(BLOCK)])
+    return inside, seen, leave, powers[BLOCK], first
+
+
+def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """One section from the steady state of the first value.
+
+    Blocks of samples are filtered by the matrix of the impulse response; what a block inherits is its state, and the
+    states of all blocks follow from each other by a linear recursion, so no step goes sample by sample.
+    """
+    inside, seen, leave, step, first = _block_matrices(tuple(b.tolist()), tuple(a.tolist()))
     blocks = np.zeros((-(-len(x) // BLOCK), BLOCK))
     blocks.reshape(-1)[: len(x)] = x
-    states = _states(powers[BLOCK], first, blocks @ leave)
+    states = _states(step, first * x[0], blocks @ leave)
     return (blocks @ inside.T + states @ seen.T).reshape(-1)[: len(x)]
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import scalars as S
 from .features import KEY
+from .series import over_groups
 
 #: Frequency bands in Hz, low <= f < high, cut at half the resampling rate.
 BANDS = {
@@ -258,20 +259,20 @@ def daily_signal_power(ev: DataFrame, tz: str = S.DEFAULT_TZ) -> DataFrame:
 def daily_band_power(ev: DataFrame, low: float = 0.5, high: float = 5.0, tz: str = S.DEFAULT_TZ, minutes: int = 60) -> DataFrame:
     """Mean square of the band-passed magnitude by device and day: filtered in chunks of `minutes`, weighted by size."""
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ms, x = pdf["timestamp"].to_numpy(), pdf["magnitude"].to_numpy()
+    def one(key: tuple, rows: dict[str, np.ndarray]) -> dict | None:
+        ms, x = rows["timestamp"], rows["magnitude"]
         order = np.argsort(ms, kind="stable")
         ms, x = ms[order], x[order]
         steps = np.diff(ms)
         steps = steps[steps > 0]
         fs = 1000.0 / np.median(steps) if len(steps) else 0.0
         if len(x) < 50 or fs <= 2 * high:
-            return pd.DataFrame([], columns=["device_id", "day", "power", "n"])
-        y = N.zero_phase(N.butterworth(4, (low, high), fs), x - x.mean())
-        return pd.DataFrame([(key[0], key[1], float((y**2).mean()), len(y))], columns=["device_id", "day", "power", "n"])
+            return None
+        y = N.zero_phase(N.butterworth(4, (low, high), float(fs)), x - x.mean())
+        return {"power": np.array([(y**2).mean()]), "n": np.array([len(y)])}
 
     rows = ev.select("device_id", S.local_day("timestamp", tz).alias("day"), F.floor(F.col("timestamp") / (minutes * 60_000)).alias("chunk"), "timestamp", "magnitude")
-    parts = rows.groupBy("device_id", "day", "chunk").applyInPandas(one, "device_id string, day date, power double, n long")
+    parts = over_groups(rows, ["device_id", "day", "chunk"], one, {"power": "double", "n": "long"})
     return parts.groupBy("device_id", "day").agg((F.sum(F.col("power") * F.col("n")) / F.sum("n")).alias("band_power"), F.sum("n").alias("n_samples"))
 
 
@@ -371,22 +372,24 @@ def sliding_power(ev: DataFrame, win_s: float = 5, overlap: float = 0.5, bands:
     last = F.floor((F.col("n") - 1) / F.col("length"))
     near = near.withColumn("piece", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, last))))
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        fs, n, length, t0 = pdf["fs"].iloc[0], int(pdf["n"].iloc[0]), int(pdf["length"].iloc[0]), int(pdf["t0"].iloc[0])
+    def one(key: tuple, rows: dict[str, np.ndarray]) -> dict:
+        fs, n, length, t0 = float(rows["fs"][0]), int(rows["n"][0]), int(rows["length"][0]), int(rows["t0"][0])
         size, step, sections = _window_plan(fs, win_s, overlap)
-        x, at = pdf["magnitude"].to_numpy(), int(pdf["place"].iloc[0])
+        x, at = rows["magnitude"], int(rows["place"][0])
         y = N.zero_phase(sections, x, at == 0, at + len(x) == n) if sections else x
         begin, stop = -(-key[1] * length // step) * step, min((key[1] + 1) * length, n - size + 1)
         starts = np.arange(begin, stop, step) - at
-        out = pd.DataFrame({"first_ms": pdf["timestamp"].to_numpy()[starts], **_powers(y, starts, size, fs, bands)})
-        out["day"] = 1 + (out["first_ms"] - t0) // 86_400_000
-        out["device_id"] = key[0]
-        long = out.melt(["device_id", "day", "first_ms"], list(bands), "band", "power")
-        return long.astype({"day": "int32", "power": float})
+        first = rows["timestamp"][starts]
+        powers = _powers(y, starts, size, fs, bands)
+        return {
+            "day": np.tile((1 + (first - t0) // 86_400_000).astype(np.int32), len(bands)), "first_ms": np.tile(first, len(bands)),
+            "band": np.repeat(np.arange(len(bands), dtype=np.int32), len(starts)), "power": np.concatenate([powers[b] for b in bands]),
+        }
 
     near = near.select("device_id", "piece", "place", "timestamp", "magnitude", "fs", "n", "length", "t0")
-    return near.groupBy("device_id", "piece").applyInPandas(one, "device_id string, day int, first_ms long, band string, power double")
+    out = over_groups(near, ["device_id", "piece"], one, {"day": "int", "first_ms": "long", "band": "int", "power": "double"}, ["place"])
+    names = F.array(*[F.lit(b) for b in bands])
+    return out.select("device_id", "day", "first_ms", names[F.col("band")].alias("band"), "power")
 
 
 def sliding_day_stats(windows: DataFrame) -> DataFrame:
@@ -454,40 +457,32 @@ def smoothed_pressure(at: np.ndarray, value: np.ndarray, max_gap_s: int = 5, lea
     return (np.concatenate(out_at), np.concatenate(out)) if out else (np.zeros(0, np.int64), np.zeros(0))
 
 
-_SIGNAL = "subject_id string, table_name string, window_rule string, device_id string, second long, pressure double, elevation_m double"
-
-
 def barometer_signal(we: DataFrame) -> DataFrame:
     """The smoothed pressure and the elevation relative to its start, a row per second of each window's device.
 
     Means of a time and medians of a second are taken before rows meet, so a task holds a value for each second.
     """
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("second")
-        at, p = smoothed_pressure(pdf["second"].to_numpy(), pdf["pressure"].to_numpy())
-        out = pd.DataFrame({"second": at, "pressure": p, "elevation_m": -8.3 * (p - p[0]) if len(p) else p})
-        for name, value in zip([*KEY, "device_id"], key, strict=True):
-            out[name] = value
-        return out[[*KEY, "device_id", "second", "pressure", "elevation_m"]]
+    def one(key: tuple, rows: dict[str, np.ndarray]) -> dict:
+        at, p = smoothed_pressure(rows["second"], rows["pressure"])
+        return {"second": at, "pressure": p, "elevation_m": -8.3 * (p - p[0]) if len(p) else p}
 
     rows = _pressure(we).where("pressure is not null").select(*KEY, "device_id", "timestamp", "pressure")
     rows = rows.groupBy(*KEY, "device_id", "timestamp").agg(F.avg("pressure").alias("pressure"))
     seconds = rows.groupBy(*KEY, "device_id", F.floor(F.col("timestamp") / 1000).alias("second")).agg(S.percentile("pressure", 0.5).alias("pressure"))
-    return seconds.groupBy(*KEY, "device_id").applyInPandas(one, _SIGNAL)
+    return over_groups(seconds, [*KEY, "device_id"], one, {"second": "long", "pressure": "double", "elevation_m": "double"}, ["second"])
 
 
 def elevation_transitions(signal: DataFrame) -> DataFrame:
     """A row per detected change of floor: second and signed change in metres."""
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("second")
-        hits = N.elevation_hits(pdf["second"].to_numpy(), pdf["elevation_m"].to_numpy())
-        seconds = pdf["second"].to_numpy()
-        return pd.DataFrame([(*key, int(seconds[i]), change) for i, change in hits], columns=[*KEY, "device_id", "second", "change_m"])
+    def one(key: tuple, rows: dict[str, np.ndarray]) -> dict:
+        seconds = rows["second"]
+        hits = N.elevation_hits(seconds, rows["elevation_m"])
+        return {"second": seconds[[i for i, _ in hits]] if hits else seconds[:0], "change_m": np.array([change for _, change in hits], float)}
 
-    schema = "subject_id string, table_name string, window_rule string, device_id string, second long, change_m double"
-    return signal.groupBy(*KEY, "device_id").applyInPandas(one, schema)
+    rows = signal.select(*KEY, "device_id", "second", "elevation_m")
+    return over_groups(rows, [*KEY, "device_id"], one, {"second": "long", "change_m": "double"}, ["second"])
 
 
 def transition_summary(signal: DataFrame) -> DataFrame:

@@ -139,3 +139,31 @@ def test_day_power_of_chunks(spark):
     got = G.daily_band_power(ev, tz="UTC", minutes=1).first()
     assert got["n_samples"] == len(t) and abs(got["band_power"] - 0.5) < 0.02
     assert ev.agg(F.count("magnitude")).first()[0] == len(t)
+
+
+def test_short_series_share_a_filters_matrices():
+    """Thousands of devices of one rate have the matrices of four sections made once, not for each of them."""
+    rng = np.random.default_rng(3)
+    N._block_matrices.cache_clear()
+    for _ in range(50):
+        N.zero_phase(N.butterworth(4, (0.5, 5.0), 20.0), rng.normal(size=300))
+    assert N._block_matrices.cache_info().misses == 4
+
+
+def test_groups_are_whole_whatever_the_batches(spark):
+    """Many groups to a batch and a group over many batches, null keys and groups that give nothing included."""
+    from cohortwire.operators.series import over_groups
+
+    rows = [(f"k{i % 7}" if i % 7 else None, i % 3, i, float(i)) for i in range(500)] + [("long", 0, i, 1.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "a string, b int, t long, x double").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        one = lambda key, c: None if key[1] == 2 else {"n": np.array([len(c["t"])]), "s": np.array([(c["x"] * np.arange(len(c["t"]))).sum()])}
+        got = {(r.a, r.b): (r.n, r.s) for r in over_groups(df, ["a", "b"], one, {"n": "long", "s": "double"}, ["t"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for a, b, _, x in rows:
+        want.setdefault((a, b), []).append(x)
+    assert got == {k: (len(v), sum(i * x for i, x in enumerate(v))) for k, v in want.items() if k[1] != 2}
