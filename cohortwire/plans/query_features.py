@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import features as X
 from ..operators import reshape as L
 from ..operators import signal as G
+from ..operators.rangejoin import small
 from . import stand_ins as A
 from .register import Register, rounded
 
@@ -306,6 +307,8 @@ def dedupe_signal(spark, sf_dir):
 
 
 _WEEK = 7 * 24 * 60
+#: Samples that one task puts in order, about, so that its memory doesn't follow the table.
+_TASK_ROWS = 1_000_000
 _CHUNKS = f"""WITH {A.SIGNAL}, w AS (SELECT device_id, min(timestamp) // {DAY} * {DAY} AS start_ms FROM sig GROUP BY 1), c AS (SELECT s.*, sqrt(x * x + y * y + z * z) AS m, (timestamp - start_ms) // {7 * DAY} AS chunk_index, start_ms FROM sig s JOIN w USING (device_id)),
     g0 AS (SELECT *, (timestamp - lag(timestamp) OVER (PARTITION BY device_id, chunk_index ORDER BY timestamp, _id)) / 1000 AS gap0 FROM c), g AS (SELECT *, CASE WHEN gap0 > 0 THEN gap0 END AS gap FROM g0), b AS (SELECT device_id, chunk_index, quantile_cont(m, 0.5) AS base FROM c GROUP BY ALL),
     d AS (SELECT g.*, base, abs(m - base) AS dyn FROM g JOIN b USING (device_id, chunk_index)),
@@ -316,12 +319,12 @@ _CHUNKS = f"""WITH {A.SIGNAL}, w AS (SELECT device_id, min(timestamp) // {DAY} *
 
 def _stats(spark, sf_dir):
     """Chunks of a week, as the samples are days apart, from the midnight before a device's first sample."""
-    from pyspark.sql import Window
-
     s = A.signal(spark, sf_dir).withColumn("magnitude", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))
-    first = F.min("timestamp").over(Window.partitionBy("device_id"))
-    s = s.withColumn("start_ms", F.floor(first / DAY) * DAY)
-    return G.chunk_stats(G.assign_chunks(s, _WEEK), minutes=_WEEK, tz="GMT+02:00")
+    # A row a device; no task sorts its samples for it.
+    first = small(s.groupBy("device_id").agg((F.floor(F.min("timestamp") / DAY) * DAY).alias("start_ms"), F.count(F.lit(1)).alias("_n")))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(first.agg(F.sum("_n")).first()[0] or 0) // _TASK_ROWS))
+    chunks = G.assign_chunks(s.join(first.drop("_n"), "device_id"), _WEEK).repartition(tasks, *G.CHUNK_KEY)
+    return G.chunk_stats(chunks, minutes=_WEEK, tz="GMT+02:00")
 
 
 @query(f"""{_CHUNKS} SELECT subject_id, device_id, chunk_index, sample_count, round(median_interval_s, 4) AS median_interval_s, round(p95_interval_s, 4) AS p95_interval_s, round(max_gap_s, 4) AS max_gap_s, gaps_over_1s, round(median_magnitude, 6) AS median_magnitude, round(dynamic_mean, 6) AS dynamic_mean,
