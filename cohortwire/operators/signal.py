@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import scalars as S
+from ..sources.io import intermediate
 from .features import KEY
 from .series import over_groups
 
@@ -349,12 +350,14 @@ def sliding_power(ev: DataFrame, win_s: float = 5, overlap: float = 0.5, bands:
 
     A device's series is cut into pieces, dealt over tasks.  Each has at both sides as many samples more as the filter
     remembers, and to the right a window's; the rate is the median of the steps, from their counts.  Samples without a
-    value are left out.
+    value are left out.  Samples are written as they come and once more with their numbers, as both are read twice.
     """
     bands = SLIDING_BANDS if bands is None else bands
     ev = ev.select("device_id", "timestamp", "magnitude").where("magnitude is not null and timestamp is not null and device_id is not null")
+    ev = intermediate(ev, "samples")
     first = ev.groupBy("device_id").agg(F.min("timestamp").alias("t0"))
     samples = numbered_samples(ev.join(first, "device_id").filter(F.col("timestamp") < F.col("t0") + 2 * 86_400_000))
+    samples = intermediate(samples, "numbered-samples")
     steps = samples.filter("step_ms > 0").groupBy("device_id", "step_ms").agg(F.count(F.lit(1)).alias("times"))
     rates = steps.groupBy("device_id").agg((1000.0 / F.expr("percentile(step_ms, 0.5, times)")).alias("fs"))
 

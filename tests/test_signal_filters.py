@@ -167,3 +167,22 @@ def test_groups_are_whole_whatever_the_batches(spark):
     for a, b, _, x in rows:
         want.setdefault((a, b), []).append(x)
     assert got == {k: (len(v), sum(i * x for i, x in enumerate(v))) for k, v in want.items() if k[1] != 2}
+
+
+def test_tasks_of_chunk_statistics_follow_the_samples(spark, monkeypatch):
+    """6,000 samples at 500 a task are dealt over 12 tasks, and no window sorts a device's samples for its first."""
+    from cohortwire.plans import query_features as Q
+
+    monkeypatch.setattr(Q, "_TASK_ROWS", 500)
+    stats = Q._stats(spark, "/root/testdata/sf0.001")
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    samples = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert f"{-(-samples // 500)}), REPARTITION_BY_NUM" in plan
+    assert "windowspecdefinition(device_id" not in plan
+
+
+def test_sliding_power_numbers_its_samples_once(spark):
+    """Rates and windows both read the numbered samples, which were derived anew for each."""
+    rows = spark.createDataFrame([("d", 50 * i, float(i % 7)) for i in range(400)], "device_id string, timestamp long, magnitude double")
+    plan = G.sliding_power(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan
