@@ -36,16 +36,27 @@ def _points(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[np.ndarray
             yield batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(float)
 
 
+#: Points whose distances to all centres are held at once.
+LABELLED = 1024
+
+
 def _labels(x: np.ndarray, models: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Of each model every point's cluster, of equally near ones the first, and squared distance."""
     every = np.concatenate(models)
-    d = (x * x).sum(1)[:, None] - 2 * x @ every.T + (every * every).sum(1)
-    at, labels, distances = 0, [], []
-    for m in models:
-        own = d[:, at : at + len(m)]
-        labels.append(own.argmin(1))
-        distances.append(np.maximum(own[np.arange(len(x)), labels[-1]], 0.0))
-        at += len(m)
+    length, square = (every * every).sum(1)[:, None], (x * x).sum(1)
+    labels = [np.zeros(len(x), np.int64) for _ in models]
+    distances = [np.zeros(len(x)) for _ in models]
+    for first in range(0, len(x), LABELLED):
+        part = slice(first, first + LABELLED)
+        d = length - 2 * (every @ x[part].T) + square[part]  # a row a centre
+        at = 0
+        for m, label, distance in zip(models, labels, distances, strict=True):
+            least, which = d[at].copy(), label[part]
+            for j in range(1, len(m)):
+                np.copyto(which, j, where=d[at + j] < least)
+                np.minimum(least, d[at + j], out=least)
+            np.maximum(least, 0.0, out=distance[part])
+            at += len(m)
     return labels, distances
 
 
@@ -57,10 +68,8 @@ def _summed(rows: DataFrame, dims: int, models: list[np.ndarray]) -> tuple[list[
         for x in _points(batches, dims):
             one = np.column_stack([np.ones(len(x)), x, (x * x).sum(1)])
             for total, label, distance in zip(totals, *_labels(x, models), strict=True):
-                for j in range(len(total)):
-                    own = label == j
-                    total[j, :-1] += own @ one
-                    total[j, -1] += distance[own].sum()
+                total[:, :-1] += (np.arange(len(total))[:, None] == label).astype(float) @ one
+                total[:, -1] += np.bincount(label, distance, len(total))
         where = [(m, j) for m, t in enumerate(totals) for j in range(len(t)) if t[j, 0]]
         values = pa.array([totals[m][j] for m, j in where], pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in where], pa.int32()), pa.array([j for _, j in where], pa.int32()), values], ["model", "cluster", "sums"])

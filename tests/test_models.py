@@ -225,3 +225,22 @@ def test_means_of_equal_rows_are_equal_in_any_order(spark, tmp_path):
     got = {r.subject_id: r.mean_price for r in A.cohort(spark, str(tmp_path)).collect()}
     assert got["C00001"] == got["C00002"] == 263301.8013
     assert np.isnan(got["C00003"]) and got["C00004"] is None
+
+
+def test_labels_hold_few_distances_at_once():
+    """Labels of 20,000 points by 1,400 centres are the nearest centres, without all 28 million distances at once (224 MB)."""
+    import tracemalloc
+
+    from cohortwire.operators import clusters as K
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(20_000, 10))
+    models = [rng.normal(size=(k, 10)) for k in (2, 3, 4, 5) for _ in range(100)]
+    tracemalloc.start()
+    labels, distances = K._labels(x, models)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for at in (0, 150, 399):
+        d = ((x[:, None] - models[at][None]) ** 2).sum(2)
+        assert (labels[at] == d.argmin(1)).all() and np.allclose(distances[at], d.min(1))
+    assert most < 200e6  # labels and distances are 128 MB
