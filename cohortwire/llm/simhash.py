@@ -77,6 +77,16 @@ def surviving_pairs(table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarra
     return i[good], j[good]
 
 
+def pivot_table(nodes: DataFrame) -> DataFrame:
+    """(fp, payload): the fingerprints (nodes: fp, each once) with their distances to the pivots."""
+
+    @F.pandas_udf("binary")
+    def payload(fp: pd.Series) -> pd.Series:
+        return pd.Series(pivot_payload(fp.to_numpy().view(np.uint64)))
+
+    return nodes.select("fp", payload("fp").alias("payload"))
+
+
 def _within_bits(bits: int):
     def like(payloads):
         table = np.frombuffer(b"".join(payloads), np.uint8).reshape(len(payloads), -1)
@@ -128,14 +138,9 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFram
     def prints(text: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(shingle_hashes(t, shingle)) for t in text], np.uint64).view(np.int64))
 
-    @F.pandas_udf("binary")
-    def payload(fp: pd.Series) -> pd.Series:
-        return pd.Series(pivot_payload(fp.to_numpy().view(np.uint64)))
-
     rows = written(texts(docs).select("doc_id", prints("text").alias("fp")), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
-    table = nodes.select("fp", payload("fp").alias("payload"))
-    named = components(links_of_fingerprints(table, bits), None)
+    named = components(links_of_fingerprints(pivot_table(nodes), bits), None)
     of_node = _named_by_least(nodes, named, "fp")
     out = rows.join(of_node.hint("merge"), "fp")
     out = out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -224,6 +229,38 @@ def part_keys(hashes: np.ndarray, least_similarity: float) -> np.ndarray:
         bucket, most = bucket + 1, max(most + 1, int(most * BUCKET))
 
 
+#: Least sizes of the classes of sets that the prefixes of larger ones meet.
+CLASSES = [1]
+while CLASSES[-1] < 1 << 40:
+    CLASSES.append(max(CLASSES[-1] + 1, int(CLASSES[-1] * 1.05)))
+
+
+def least_overlap(x, y, least_similarity: float):
+    """Elements that sets of x and y elements have in common at least if they have the similarity."""
+    least = least_similarity - TINY
+    return np.ceil(least / (1 + least) * (x + y) - TINY).astype(np.int64)
+
+
+def prefix_keys(shared: np.ndarray, n: int, least_similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, places, smaller) of a set of n > 0 hashes, of which `shared` are those that other sets hold too, rarest
+    first in an order that is the same for all sets; those that no other holds come before them.
+
+    Sets of nx <= ny elements with k in common have the first of these at a place of nx - k and ny - k at most (from 0).
+    So the smaller needs its first places only, in its own class of sizes, and the larger those up to the smallest size
+    of each class that it may meet.  The places leave a test to pairs that share a key: both must leave room for the
+    least overlap.
+    """
+    places = np.arange(n - len(shared), n)
+    least = max(1, int(np.ceil(n * (least_similarity - TINY) - TINY)))
+    own, first = (int(np.searchsorted(CLASSES, m, side="right")) - 1 for m in (n, least))
+    found = []
+    for c, size, smaller in [(own, n, True), *((c, max(least, CLASSES[c]), False) for c in range(first, own + 1))]:
+        few = int(np.searchsorted(places, n - least_overlap(size, n, least_similarity), side="right"))
+        keys = _mixed(shared[:few] ^ _mixed(np.array([c + 1], np.uint64)))
+        found.append((keys, places[:few], np.full(few, smaller)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _verified(pairs: DataFrame, sets_of, least_similarity: float) -> DataFrame:
     """Those of the different pairs (a, b) whose full sets of hashes have the similarity.  sets_of(nodes) gives (node,
     hashes) of the nodes that are in a pair; sets are made for these alone."""
@@ -247,49 +284,106 @@ def _verified(pairs: DataFrame, sets_of, least_similarity: float) -> DataFrame:
     return found
 
 
+def _pair(x, y) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _alike(x, y, least_similarity: float):
+    return F.least(x, y) >= F.lit(least_similarity) * F.greatest(x, y) - F.lit(TINY)
+
+
+def fingerprint_pairs(nodes: DataFrame, least_similarity: float, bits: int = 2) -> DataFrame:
+    """Pairs (a, b) of nodes (node, n, fp) whose fingerprints the pivot tables link, not more than a few a node: of one
+    fingerprint each node and the smallest, and the smallest ones of linked fingerprints."""
+    prints = written(nodes.filter("n > 0").groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")), "prints")
+    same = nodes.join(prints, "fp").select("node", "n", "first").filter("node <> first.node")
+    links = links_of_fingerprints(pivot_table(prints), bits)
+    ends = [prints.select(F.col("fp").alias(end), F.struct(F.col("first.node").alias("node"), F.col("first.n").alias("n")).alias(f"first_{end}")) for end in "ab"]
+    linked = links.join(ends[0], "a").join(ends[1], "b").select(F.col("first_a.node").alias("node"), F.col("first_a.n").alias("n"), F.col("first_b").alias("first"))
+    pairs = same.unionByName(linked).filter(_alike(F.col("n"), F.col("first.n"), least_similarity))
+    pairs = written(pairs.select(*_pair(F.col("node"), F.col("first.node"))), "print-pairs")
+    for x in (prints, links):
+        dropped(x)
+    return pairs
+
+
 def similar_links(nodes: DataFrame, sets_of, least_similarity: float) -> DataFrame:
-    """Links (a, b) that connect all nodes of the similarity.  nodes: node, n, keys; sets_of as in _verified().
+    """Links (a, b) that connect all nodes of the similarity.  nodes: node, n, fp, keys; sets_of as in _verified().
 
-    A node is compared first with one other, the smallest of most of its keys; then, within the keys whose members
-    that left unconnected, with the first and the last by component; at last with those of other components.  So a
-    group of copies costs in proportion to its size.
+    Nodes are compared first as their fingerprints and pivot tables say, and each with one other, the hub of most of
+    its keys: of a key's members, the one that shares its keys with most others, as the text does that others were made
+    from.  The nodes of keys whose members that left unconnected are compared by rare_pairs().  So a group of
+    copies costs in proportion to its size, and near copies that are not similar enough share no key.
     """
-    alike = lambda x, y: F.least(x, y) >= F.lit(least_similarity) * F.greatest(x, y) - F.lit(TINY)
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     members = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "n")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("hub")).filter("size > 1")
-    hubs = written(sizes.select("key", "hub"), "key-hubs")
-    shared = written(members.join(hubs, "key"), "shared-keys")
-    dropped(hubs)
-
-    with_hub = shared.filter("id <> hub.id").filter(alike(F.col("n"), F.col("hub.n"))).groupBy("id", F.col("hub.id").alias("hub"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sizes = written(sizes, "key-sizes")
+    shared = written(members.join(sizes, "key"), "shared-keys")
+    dropped(sizes)
+
+    degree = shared.groupBy("id").agg(F.sum("size").alias("degree"))
+    hubs = shared.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id", "n")).alias("hub"))
+    hubs = written(hubs, "key-hubs")
+    with_hub = shared.join(hubs, "key").filter("id <> hub.id").filter(_alike(F.col("n"), F.col("hub.n"), least_similarity)).groupBy("id", F.col("hub.id").alias("hub"))
     met = with_hub.agg(F.count(F.lit(1)).alias("keys")).groupBy("id").agg(F.max_by("hub", F.struct("keys", "hub")).alias("hub"))
-    links = [_verified(met.select(*pair(F.col("id"), F.col("hub"))).distinct(), sets_of, least_similarity)]
-    left = _unconnected(shared.select("key", "id", "n"), links[0])
+    by_print = fingerprint_pairs(nodes, least_similarity)
+    found = _verified(by_print.unionByName(met.select(*_pair(F.col("id"), F.col("hub")))).distinct(), sets_of, least_similarity)
+    for x in (by_print, hubs):
+        dropped(x)
+    left = _unconnected(shared.select("key", "id", "n"), found)
     dropped(shared)
 
-    ends = left.groupBy("key").agg(*[f(F.struct("name", "id", "n")).alias(f.__name__) for f in (F.min, F.max)])
-    with_end = left.join(ends, "key").select("id", "n", "name", F.explode(F.array("min", "max")).alias("end"))
-    with_end = with_end.filter(F.col("name") != F.col("end.name")).filter(alike(F.col("n"), F.col("end.n")))
-    links.append(_verified(with_end.select(*pair(F.col("id"), F.col("end.id"))).distinct(), sets_of, least_similarity))
-    found = links[0].unionByName(links[1])
-    last = _unconnected(left.select("key", "id", "n"), found)
-    dropped(left)
+    sets = written(sets_of(left.select("node")), "left-sets")
+    rare = rare_pairs(left, sets, least_similarity)
+    more = _verified(rare, lambda wanted: sets.join(wanted, "node", "left_semi"), least_similarity)
+    for x in (left, sets, rare):
+        dropped(x)
+    return found.unionByName(more)
+
 
-    other = last.select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("name").alias("other_name"))
-    rest = last.join(other, "key").filter("name < other_name").filter(alike(F.col("n"), F.col("other_n")))
-    links.append(_verified(rest.select(*pair(F.col("id"), F.col("other"))).distinct(), sets_of, least_similarity))
-    dropped(last)
-    return found.unionByName(links[2])
+def rare_pairs(nodes: DataFrame, sets: DataFrame, least_similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes (node, n, name) of different names among which are all of the similarity; sets: node, hashes.
+
+    Hashes are ordered by how many of these nodes hold them, so what many near copies have in common comes last and is
+    no key of theirs; see prefix_keys().
+    """
+
+    @F.pandas_udf("array<long>")
+    def longs(hashes: pd.Series) -> pd.Series:
+        return hashes.map(lambda h: np.frombuffer(h, np.int64))
+
+    def run(batches):
+        for batch in batches:
+            found = [prefix_keys(np.asarray(h, np.int64).view(np.uint64), n, least_similarity) for h, n in zip(batch["shared"], batch["n"], strict=True)]
+            if found:
+                keys, places, smaller = (np.concatenate(x) for x in zip(*found, strict=True))
+                own = np.repeat(np.arange(len(batch)), [len(k) for k, _, _ in found])
+                yield batch[["node", "n", "name"]].iloc[own].assign(key=keys.view(np.int64), place=places, smaller=smaller)
+
+    each = sets.select("node", F.explode(longs("hashes")).alias("hash"))
+    held = written(each.groupBy("hash").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "held")
+    order = F.sort_array(F.collect_list(F.struct("held", "hash")))["hash"]
+    of_node = each.join(held, "hash").groupBy("node").agg(order.alias("shared")).join(nodes, "node").select("node", "n", "name", "shared")
+    keys = written(of_node.mapInPandas(run, "node long, n long, name long, key long, place long, smaller boolean"), "rare-keys")
+    dropped(held)
+    x, y = (keys.filter(F.col("smaller") == one).select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "name", "place")]) for end, one in (("x", True), ("y", False)))
+    least = least_similarity - TINY
+    overlap = F.ceil(F.lit(least / (1 + least)) * (F.col("n_x") + F.col("n_y")) - F.lit(TINY))
+    both = x.join(y, "key").filter("name_x <> name_y AND (n_x < n_y OR n_x = n_y AND node_x < node_y)")
+    both = both.filter((F.col("place_x") <= F.col("n_x") - overlap) & (F.col("place_y") <= F.col("n_y") - overlap))
+    pairs = written(both.select(*_pair(F.col("node_x"), F.col("node_y"))).distinct(), "rare-pairs")
+    dropped(keys)
+    return pairs
 
 
 def _unconnected(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members (key, id, n) of the keys that hold several components of the links, with their component as name."""
+    """The nodes (node, n, name) of members (key, id, n) whose keys hold several components of the links; name is theirs."""
     named = components(links, None)
     named = members.join(named, members["id"] == named["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("name"))
     named = written(named, "named-members")
     split = named.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most")).filter("least < most")
-    out = written(named.join(split.select("key"), "key", "left_semi"), "members-left")
+    out = named.join(split.select("key"), "key", "left_semi").select(F.col("id").alias("node"), "n", "name").distinct()
+    out = written(out, "nodes-left")
     dropped(named)
     return out
 
@@ -298,8 +392,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least_similarity: float =
     """doc_id, keep_id: texts whose `shingle`-word sets have the given similarity are linked; of a component the
     smallest doc_id stays.
 
-    Two bits of a 64-bit fingerprint can't find texts that are only 0.8 alike, so keys are parts of the shingle
-    sets, of which similar texts share one, and the full sets verify every pair.  Texts without a word are linked
+    The fingerprints of the sets are linked by their pivot tables first.  Two bits of 64 can't find all texts that are
+    only 0.8 alike, so the rest is found by parts of the sets, of which similar texts share one, and by their rarest
+    shingles; the full sets verify every pair.  Texts without a word are linked
     with nothing but equal texts.  Repeated rows and null ids are treated as in simhash_groups().
     """
     with shuffle_files_dropped(docs.sparkSession):
@@ -307,15 +402,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least_similarity: float =
 
 
 def _similar_groups(docs: DataFrame, shingle: int, least_similarity: float) -> DataFrame:
-    @F.pandas_udf("node long, n long, keys array<long>")
+    @F.pandas_udf("node long, n long, fp long, keys array<long>")
     def features(text: pd.Series) -> pd.DataFrame:
-        nodes, counts, keys = [], [], []
+        nodes, counts, prints, keys = [], [], [], []
         for t in text:
             h = np.unique(shingle_hashes(t, shingle))
             nodes.append(xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split()), 5))
             counts.append(len(h))
+            prints.append(fingerprint(h))
             keys.append(part_keys(h, least_similarity).view(np.int64))
-        return pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "n": np.array(counts, np.int64), "keys": keys})
+        return pd.DataFrame({"node": np.array(nodes, np.uint64).view(np.int64), "n": np.array(counts, np.int64), "fp": np.array(prints, np.uint64).view(np.int64), "keys": keys})
 
     @F.pandas_udf("binary")
     def hashes(text: pd.Series) -> pd.Series:
@@ -325,7 +421,7 @@ def _similar_groups(docs: DataFrame, shingle: int, least_similarity: float) -> D
     found = texts(docs).select("doc_id", text_hash, features("text").alias("f")).select("doc_id", "text_hash", "f.*")
     found = written(found, "shingle-keys")
     rows = written(found.select("doc_id", "node"), "shingle-rows")
-    nodes = found.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("text_hash").alias("text_hash"), F.first("keys").alias("keys"))
+    nodes = found.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("text_hash").alias("text_hash"), F.first("keys").alias("keys"))
     nodes = written(nodes, "shingle-nodes")
     dropped(found)
 

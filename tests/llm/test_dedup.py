@@ -249,3 +249,54 @@ def test_columns_named_like_the_stages_own_stay(spark):
     names = ["_kept_id", "kept_id", "keep_id", "id", "whole", "node", "a.b"]
     got = simhash.one_of_each_group(df.withColumns({name: F.lit("mine") for name in names}), shingle=5, least_similarity=0.8)
     assert {(r["doc_id"], *(r[n] for n in names)) for r in got.collect()} == {(i, *["mine"] * 7) for i in (1, 3)} and got.columns == [*df.columns, *names]
+
+
+def test_edited_copies_of_one_text_cost_in_proportion(spark, monkeypatch):
+    """Copies that are less than 0.8 alike, with some that are more: the pairs that are compared don't grow with their square."""
+    rng = random.Random(4)
+    base, rows = [f"w{i}" for i in range(160)], []
+    for n in range(300):
+        words = list(base)
+        for k in rng.sample(range(160), 8 if n % 10 else 2):
+            words[k] = f"edit{n}x{k}"
+        rows.append((n, " ".join(words)))
+    compared, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *more: compared.append(pairs.count()) or verified(pairs, *more))
+    got = {r.doc_id: r.keep_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    name = {d: d for d, _ in rows}
+    for i, (d, t) in enumerate(rows):  # components of all pairs
+        for e, u in rows[:i]:
+            if name[d] != name[e] and _jaccard(t, u) >= 0.8 - 1e-9:
+                least, most = sorted((name[d], name[e]))
+                name = {x: least if y == most else y for x, y in name.items()}
+    assert got == name and 100 < len(set(got.values())) < 295
+    assert sum(compared) < 6 * len(rows)
+
+
+def test_similar_sets_share_a_rare_key():
+    rng, met = np.random.default_rng(3), 0
+    for _ in range(400):
+        n = int(rng.integers(1, 200))
+        a, b = rng.integers(0, 2**63, (2, n + 40), dtype=np.uint64)
+        a, b = a[:n], np.concatenate([a[: n - int(rng.integers(0, n // 6 + 1))], b[: int(rng.integers(0, n // 6 + 1))]])
+        if simhash.similarity(a, b) < 0.8:
+            continue
+        x, y = sorted((a, b), key=len)
+        shared = [np.sort(z[np.isin(z, np.intersect1d(a, b)) | (z % 3 == 0)]) for z in (x, y)]  # a third of the others are in other sets
+        least, keys = simhash.least_overlap(len(x), len(y), 0.8), []
+        for z, h, one in ((x, shared[0], True), (y, shared[1], False)):
+            key, place, smaller = simhash.prefix_keys(h, len(z), 0.8)
+            keys.append(set(key[(smaller == one) & (place <= len(z) - least)].tolist()))
+        assert keys[0] & keys[1]
+        met += 1
+    assert met > 200
+
+
+def test_fingerprints_and_pivots_pair_near_copies(spark):
+    words = [f"w{i}" for i in range(800)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(f"z{i}" for i in range(500)), ""]
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    rows = [(n, len(h), int(np.uint64(simhash.fingerprint(h)).astype(np.int64))) for n, h in enumerate(sets)]
+    assert bin((rows[0][2] ^ rows[1][2]) & (2**64 - 1)).count("1") <= 2
+    pairs = simhash.fingerprint_pairs(spark.createDataFrame(rows, "node long, n long, fp long"), 0.8).collect()
+    assert {(r.a, r.b) for r in pairs} == {(0, 1)}
