@@ -52,13 +52,13 @@ def dealt_anew(rows: DataFrame, by: list[str], key: str, values: str, seed: int,
     return to.join(given, [*by, "place"]).drop("place")
 
 
-def tree_cv(df: DataFrame, cols: list[str], y: str = "y", models: dict | None = None, shuffles: int = SHUFFLES, key: str = "subject_id", parallel: int = 8) -> tuple[DataFrame, DataFrame]:
+def tree_cv(df: DataFrame, cols: list[str], y: str = "y", models: dict | None = None, shuffles: int = SHUFFLES, key: str = "subject_id", parallel: int = 8) -> tuple[DataFrame, DataFrame | None]:
     """(predictions, importance) of tree models, each fold's from models fitted on the others.
 
     predictions: key, fold, model, y, prediction.  importance: fold, model, feature, importance_mean, importance_std:
     how much the RMSE on the held-out rows rises when a feature's values are dealt out anew among them, over `shuffles`
     deals.  Features are median-imputed and standardised by the training rows, with missing__ indicators.  df has fold;
-    rows without y take no part.  Folds are fitted side by side.
+    rows without y take no part.  Folds are fitted side by side.  Without shuffles nothing is dealt and importance is None.
     """
     models = models or estimators(y)
     names = [*[f"{c}__z" for c in cols], *[f"missing__{c}" for c in cols]]
@@ -79,20 +79,24 @@ def tree_cv(df: DataFrame, cols: list[str], y: str = "y", models: dict | None =
         with ThreadPoolExecutor(parallel) as pool:
             ready = dict(zip(sorted(sizes), pool.map(prepared, sorted(sizes)), strict=True))
             fitted = dict(zip(pairs, pool.map(fit, pairs), strict=True))
+        # Every row as its own fold's models see it, while the rows are at hand.
+        held = intermediate(reduce(DataFrame.unionByName, [rows.filter(F.col("fold") == fold).drop("features") for fold, rows in ready.items()]), "held-out")
     finally:
         kept.unpersist()
 
-    # Every row as its own fold's models see it, and with the values of others, dealt out for all folds at once.
-    held = intermediate(reduce(DataFrame.unionByName, [rows.filter(F.col("fold") == fold).drop("features") for fold, rows in ready.items()]), "held-out")
-    dealt = reduce(DataFrame.unionByName, [dealt_anew(held, ["fold"], key, "values", s, sum(sizes.values())).withColumn("shuffle", F.lit(s)) for s in range(1, shuffles + 1)])
-    dealt = intermediate(dealt, "dealt")
-
     def scored(rows: DataFrame) -> DataFrame:
         """rows(fold, values) with model and prediction, from the models that have not seen the fold."""
         rows = rows.withColumn("features", array_to_vector("values"))
         each = [m.transform(rows.filter(F.col("fold") == fold)).withColumn("model", F.lit(name)) for (fold, name), m in fitted.items()]
         return reduce(DataFrame.unionByName, each)
 
+    predictions = scored(held).select(key, "fold", "model", y, "prediction")
+    if not shuffles:
+        return predictions, None
+
+    # And with the values of others, dealt out for all folds at once.
+    dealt = reduce(DataFrame.unionByName, [dealt_anew(held, ["fold"], key, "values", s, sum(sizes.values())).withColumn("shuffle", F.lit(s)) for s in range(1, shuffles + 1)])
+    dealt = intermediate(dealt, "dealt")
     each = dealt.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
     changed = each.withColumn("values", F.transform("values", lambda v, i: F.when(i == F.col("at"), F.col("dealt")[i]).otherwise(v)))
     error = F.col(y) - F.col("prediction")
@@ -101,4 +105,4 @@ def tree_cv(df: DataFrame, cols: list[str], y: str = "y", models: dict | None =
     gains = rmse.join(F.broadcast(base), ["fold", "model"]).withColumn("rise", F.col("rmse") - F.col("base"))
     feature = F.array(*[F.lit(c.removesuffix("__z")) for c in names])[F.col("at")]
     importance = gains.groupBy("fold", "model", feature.alias("feature")).agg(F.avg("rise").alias("importance_mean"), F.stddev_pop("rise").alias("importance_std"))
-    return scored(held).select(key, "fold", "model", y, "prediction"), importance
+    return predictions, importance

@@ -244,3 +244,13 @@ def test_labels_hold_few_distances_at_once():
         d = ((x[:, None] - models[at][None]) ** 2).sum(2)
         assert (labels[at] == d.argmin(1)).all() and np.allclose(distances[at], d.min(1))
     assert most < 200e6  # labels and distances are 128 MB
+
+
+def test_predictions_alone_deal_nothing(spark, monkeypatch):
+    rows = [(f"s{i}", i % 2, float(i % 7), float(i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "subject_id string, fold int, a double, y double")
+    tree = {"tree": DecisionTreeRegressor(labelCol="y", featuresCol="features", maxDepth=2)}
+    want = sorted(map(tuple, T.tree_cv(df, ["a"], models=tree)[0].collect()))
+    monkeypatch.setattr(T, "dealt_anew", None)
+    found, importance = T.tree_cv(df, ["a"], models=tree, shuffles=0)
+    assert sorted(map(tuple, found.collect())) == want and importance is None
